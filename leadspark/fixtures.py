@@ -110,9 +110,7 @@ def history(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFr
     ]
     h = h.select(*cols)
     if with_text:
-        docs = read(spark, sf_dir, "documents").select(
-            F.col("doc_id").alias("search_id"), F.col("text").alias("search_results"))
-        h = h.join(docs, "search_id", "left")
+        h = h.join(history_text(spark, sf_dir), "search_id", "left")
     else:
         h = h.withColumn("search_results", F.lit(None).cast("string"))
     for c in ["search_event_type", "search_query", "search_raw", "url_facebook",
@@ -121,6 +119,13 @@ def history(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFr
     return h.select(*[f.name for f in S.HISTORY.fields])
 
 
+def history_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(search_id, search_results): the stored result text of each search,
+    kept apart so plans filter on keys first and fetch text last."""
+    return read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("search_id"), F.col("text").alias("search_results"))
+
+
 def consumption(spark: SparkSession, sf_dir: str) -> DataFrame:
     """API usage: one record per event, spread over the five tenants."""
     ev = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")

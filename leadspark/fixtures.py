@@ -108,14 +108,13 @@ def history(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFr
                F.col("o_orderdate").cast("timestamp_ntz") + F.expr("INTERVAL 7 DAYS"))
         .alias("email_date"),
     ]
-    h = h.select(*cols)
+    empty = ["search_event_type", "search_query", "search_raw", "url_facebook",
+             "url_linkedin", "url_company", "email_content", "email_batch_recipient"]
+    if not with_text:
+        empty.append("search_results")
+    h = h.select(*cols, *[F.lit(None).cast("string").alias(c) for c in empty])
     if with_text:
         h = h.join(history_text(spark, sf_dir), "search_id", "left")
-    else:
-        h = h.withColumn("search_results", F.lit(None).cast("string"))
-    for c in ["search_event_type", "search_query", "search_raw", "url_facebook",
-              "url_linkedin", "url_company", "email_content", "email_batch_recipient"]:
-        h = h.withColumn(c, F.lit(None).cast("string"))
     return h.select(*[f.name for f in S.HISTORY.fields])
 
 

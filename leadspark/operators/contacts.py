@@ -18,12 +18,12 @@ def clean(contacts: DataFrame) -> DataFrame:
     """Strip whitespace on every text column, drop rows
     with a null or blank name part or company (D9), clean the URL, drop
     exact duplicate rows (the first ``src_row`` is kept)."""
-    c = contacts
-    for name in TEXT_COLS:
-        if name in c.columns:
-            c = c.withColumn(name, TX.strip_ws(F.col(name).cast("string")))
+    c = contacts.select(*[TX.strip_ws(F.col(n).cast("string")).alias(n) if n in TEXT_COLS
+                          else F.col(n) for n in contacts.columns])
+    keep = F.lit(True)
     for name in NAME_COLS:
-        c = c.filter(F.col(name).isNotNull() & (F.length(name) > 0))
+        keep = keep & F.col(name).isNotNull() & (F.length(name) > 0)
+    c = c.filter(keep)
     if "url" in c.columns:
         c = c.withColumn("url", TX.clean_url("url"))
     business = ["client"] + [x for x in TEXT_COLS if x in c.columns]
@@ -32,11 +32,8 @@ def clean(contacts: DataFrame) -> DataFrame:
 
 def ascii_only(contacts: DataFrame) -> DataFrame:
     """F2 on every contact text column (null stays null, D10)."""
-    c = contacts
-    for name in TEXT_COLS:
-        if name in c.columns:
-            c = c.withColumn(name, TX.strip_non_ascii(name))
-    return c
+    return contacts.select(*[TX.strip_non_ascii(n).alias(n) if n in TEXT_COLS else F.col(n)
+                             for n in contacts.columns])
 
 
 def one_per_person(contacts: DataFrame) -> DataFrame:

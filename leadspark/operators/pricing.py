@@ -22,6 +22,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizing import broadcast_bounded, is_small
+
 # A price list is a small dimension (models x price periods). It is
 # broadcast only when a bounded count proves it below this many rows;
 # past that the same plan runs as a shuffled equi-join on ``model``, with
@@ -34,11 +36,6 @@ MEASURE_OF_PRICE = {"input_price": "input_tokens", "output_price": "output_token
                     "search_price": "search_calls"}
 
 
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """Bounded size check: scans at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def periods_by_model(prices: DataFrame) -> DataFrame:
     """One row per model holding all of its price periods."""
     return prices.groupBy("model").agg(F.collect_list(F.struct(
@@ -161,9 +158,15 @@ def period_label(totals: DataFrame, date_from=None, date_to=None) -> Column:
                        part(date_to, "last_date"))
 
 
-def cost_mtd(usage: DataFrame, prices: DataFrame, as_of) -> DataFrame:
-    """Month-to-date cost per tenant."""
-    detail = cost_detail(month_to_date(usage, as_of), prices)
+def cost_mtd(usage: DataFrame, prices: DataFrame, as_of,
+             clients: DataFrame | None = None, clients_small: bool = False) -> DataFrame:
+    """Month-to-date cost per tenant. With ``clients`` the usage is
+    first cut to those tenants (semi join), so the result has at most one
+    row per row of ``clients``."""
+    u = month_to_date(usage, as_of)
+    if clients is not None:
+        u = u.join(broadcast_bounded(clients.select("client"), clients_small), "client", "left_semi")
+    detail = cost_detail(u, prices)
     return detail.groupBy("client").agg(F.sum("money").cast("double").alias("mtd_cost"))
 
 

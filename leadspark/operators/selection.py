@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..schemas import KEY3
 from . import contacts as CT
 from .grouping import top_k_per_group
-from .tenants import maybe_broadcast
+from .sizing import broadcast_bounded
 
 # BATCH_SIZE is validated to 1..999, so 999 bounds every batch.
 MAX_BATCH = 999
@@ -63,17 +63,19 @@ def eligible(cands: DataFrame, as_of) -> DataFrame:
 
 
 def daily_batch(elig: DataFrame, tenants: DataFrame, seed: str,
-                salts: int | None = None) -> DataFrame:
+                salts: int | None = None, tenant_bound: DataFrame | bool | None = None) -> DataFrame:
     """O2 + O3 + O4 + W5: per tenant, never-searched contacts first (in
     shuffled order), then the rest drawn by weight ``last_total_score``
     without replacement; null/non-positive weights come after all positive
     ones (in shuffled order). ``tenants`` gives ``batch_size`` and
-    ``mini_batch_size``."""
+    ``mini_batch_size``; ``tenant_bound`` is the dimension table (or the
+    result of its size check) that bounds ``tenants``' rows."""
     u = uniform(seed, *KEY3)
     w = F.col("last_total_score")
     tier = F.when(F.col("is_new"), 0).when(w > 0, 1).otherwise(2)
     key = F.when(tier == 1, -F.log(u) / w.cast("double")).otherwise(u)
-    t = maybe_broadcast(tenants.select("client", "batch_size", "mini_batch_size"))
+    t = broadcast_bounded(tenants.select("client", "batch_size", "mini_batch_size"),
+                          tenants if tenant_bound is None else tenant_bound)
     d = elig.join(t, "client").withColumn("_tier", tier).withColumn("_key", key)
     order = [F.col("_tier"), F.col("_key"), *[F.col(c) for c in KEY3[1:]]]
     kw = {"salts": salts} if salts else {}
@@ -84,10 +86,12 @@ def daily_batch(elig: DataFrame, tenants: DataFrame, seed: str,
     ).drop("_tier", "_key")
 
 
-def batch_plan(elig: DataFrame, tenants: DataFrame) -> DataFrame:
+def batch_plan(elig: DataFrame, tenants: DataFrame,
+               tenant_bound: DataFrame | bool | None = None) -> DataFrame:
     """A9 + A10: per tenant the eligible split into new/existing, the top
     score (1 when none) and the slots left for weighted sampling."""
-    t = maybe_broadcast(tenants.select("client", "batch_size"))
+    t = broadcast_bounded(tenants.select("client", "batch_size"),
+                          tenants if tenant_bound is None else tenant_bound)
     agg = elig.groupBy("client").agg(
         F.count(F.lit(1)).alias("n_eligible"),
         F.count_if(F.col("is_new")).alias("n_new"),

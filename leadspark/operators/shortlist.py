@@ -18,7 +18,7 @@ from ..schemas import KEY3
 from .contacts import as_ts
 from .grouping import top_k_per_group
 from .selection import whole_days
-from .tenants import maybe_broadcast
+from .sizing import broadcast_bounded, is_small, MAX_BROADCAST_TENANTS
 
 # Native stand-ins for the ranking criteria (promotable fact,
 # detail, links). Boundaries are spelled out so that the pattern means the
@@ -32,12 +32,18 @@ MIN_NOVELTY = 5
 
 
 def fill_search_date(history: DataFrame, given=None) -> DataFrame:
-    """A null ``search_date`` becomes ``given`` or the tenant's latest."""
+    """A null ``search_date`` becomes ``given`` or the tenant's latest.
+
+    Only the undated rows are joined to the per-tenant maximum; dated rows
+    pass through without any shuffle."""
     if given is not None:
         return history.withColumn("search_date", F.coalesce("search_date", F.lit(as_ts(given))))
-    latest = history.groupBy("client").agg(F.max("search_date").alias("_latest"))
-    return (history.join(maybe_broadcast(latest), "client", "left")
-            .withColumn("search_date", F.coalesce("search_date", "_latest")).drop("_latest"))
+    latest = (history.filter(F.col("search_date").isNotNull())
+              .groupBy("client").agg(F.max("search_date").alias("_latest")))
+    dated = history.filter(F.col("search_date").isNotNull())
+    undated = (history.filter(F.col("search_date").isNull()).join(latest, "client", "left")
+               .withColumn("search_date", F.col("_latest")).drop("_latest"))
+    return dated.unionByName(undated.select(*history.columns))
 
 
 def last_email_per_person(history: DataFrame) -> DataFrame:
@@ -61,6 +67,13 @@ def candidates(history: DataFrame, today) -> DataFrame:
         "combined_score", F.col("activity_score") + F.col("services_need_score"))
 
 
+def k_bound(settings: DataFrame, column: str) -> int:
+    """Literal upper bound of a per-tenant limit: one aggregate row read from
+    the settings dimension (never from the large tables)."""
+    v = settings.agg(F.max(column)).first()[0]
+    return max(int(v or 1), 1)
+
+
 def rank_features(text: Column) -> list[Column]:
     """T8 native criteria: promotable-fact hit, number of links, length."""
     t = F.coalesce(text, F.lit(""))
@@ -69,7 +82,8 @@ def rank_features(text: Column) -> list[Column]:
             F.length(t).alias("_len")]
 
 
-def shortlist(cands: DataFrame, tenants: DataFrame, k_max: int) -> DataFrame:
+def shortlist(cands: DataFrame, tenants: DataFrame, k_max: int,
+              tenant_bound: DataFrame | bool | None = None) -> DataFrame:
     """A6 + W3 + T8 + O5 + W4/O6 + P20: best ``max_emails`` leads per tenant.
 
     When more rows share the top combined score than ``max_emails`` (a tie),
@@ -78,13 +92,15 @@ def shortlist(cands: DataFrame, tenants: DataFrame, k_max: int) -> DataFrame:
     follow the combined score, ``search_id`` breaking equal scores.
     ``k_max`` is a literal upper bound of every tenant's ``max_emails``.
     """
-    t = maybe_broadcast(tenants.select("client", "max_emails"))
-    c = cands.join(t, "client")
+    bound = tenants if tenant_bound is None else tenant_bound
+    small = bound if isinstance(bound, bool) else is_small(bound, MAX_BROADCAST_TENANTS)
+    c = cands.join(broadcast_bounded(tenants.select("client", "max_emails"), small), "client")
+    # Per-tenant facts: one row per tenant of ``tenants`` at most.
     top = c.groupBy("client").agg(F.max("combined_score").alias("top_score"))
-    c = c.join(maybe_broadcast(top), "client")
+    c = c.join(broadcast_bounded(top, small), "client")
     n_top = (c.filter(F.col("combined_score") == F.col("top_score"))
              .groupBy("client").agg(F.count(F.lit(1)).alias("top_count")))
-    c = c.join(maybe_broadcast(n_top), "client", "left")
+    c = c.join(broadcast_bounded(n_top, small), "client", "left")
     in_tie = (F.col("top_count") > F.col("max_emails")) & (F.col("combined_score") == F.col("top_score"))
     c = c.select("*", *rank_features(F.col("search_results"))).withColumn("_tie", in_tie)
     order = [F.col("combined_score").desc(),
@@ -97,13 +113,13 @@ def shortlist(cands: DataFrame, tenants: DataFrame, k_max: int) -> DataFrame:
 
 
 def history_update(history: DataFrame, picked: DataFrame, today, content: Column,
-                   recipient: Column) -> DataFrame:
+                   recipient: Column, picked_small: bool = True) -> DataFrame:
     """Set the e-mail columns on the picked rows (by ``search_id``)
     and keep every other row unchanged. ``picked`` holds at most
-    tenants x max_emails rows."""
-    p = maybe_broadcast(picked.select(
+    tenants x max_emails rows; ``picked_small`` is that bound's check."""
+    p = broadcast_bounded(picked.select(
         "search_id", F.lit(as_ts(today)).alias("_ed"), content.alias("_ec"),
-        recipient.alias("_er")))
+        recipient.alias("_er")), picked_small)
     h = history.join(p, "search_id", "left")
     hit = F.col("_ed").isNotNull()
     return (h.withColumn("email_date", F.when(hit, F.col("_ed")).otherwise(F.col("email_date")))
@@ -116,8 +132,10 @@ def history_update(history: DataFrame, picked: DataFrame, today, content: Column
 def searches_since_last_email(history: DataFrame) -> DataFrame:
     """A4 + A5: per tenant the latest e-mail date and how many dated searches
     came after it (all dated searches when the tenant never e-mailed)."""
+    # No size proof for a per-tenant aggregate of the whole history: the
+    # join is left to AQE (broadcast after measuring, else skew split).
     last = history.groupBy("client").agg(F.max("email_date").alias("last_email_date"))
-    h = history.join(maybe_broadcast(last), "client")
+    h = history.join(last, "client")
     after = F.col("search_date").isNotNull() & (
         F.col("last_email_date").isNull() | (F.col("search_date") > F.col("last_email_date")))
     return h.groupBy("client", "last_email_date").agg(

@@ -12,14 +12,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pricing import cost_mtd, is_small
-
-MAX_BROADCAST_TENANTS = 1_000_000
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_TENANTS) -> DataFrame:
-    """Broadcast ``df`` only when a bounded count proves it small."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+from .pricing import cost_mtd
+from .sizing import MAX_BROADCAST_TENANTS, broadcast_bounded, is_small, maybe_broadcast  # noqa: F401
 
 
 def _day(v) -> dt.date:
@@ -37,8 +31,7 @@ def live_subscriptions(subs: DataFrame, today) -> DataFrame:
     return subs.filter(named & live)
 
 
-def settings_violations(settings: DataFrame) -> DataFrame:
-    """One row per broken settings rule (client, check, key, detail)."""
+def _rules() -> list[tuple[str, str, Column]]:
     c = F.col
     rules: list[tuple[str, str, Column]] = [
         ("send_flag", "send_proposed_emails must be true or false",
@@ -58,6 +51,12 @@ def settings_violations(settings: DataFrame) -> DataFrame:
         ("email_days", "at least one weekday is needed",
          F.coalesce(F.size(c("email_days_of_week")) < 1, F.lit(True))),
     ]
+    return rules
+
+
+def settings_violations(settings: DataFrame) -> DataFrame:
+    """One row per broken settings rule (client, check, key, detail)."""
+    rules = _rules()
     arr = F.array(*[F.when(pred, F.struct(F.lit(name).alias("check"), F.lit(msg).alias("detail")))
                     for name, msg, pred in rules])
     return (settings.select("client", F.explode(F.filter(arr, lambda x: x.isNotNull())).alias("v"))
@@ -66,16 +65,21 @@ def settings_violations(settings: DataFrame) -> DataFrame:
 
 
 def valid_settings(settings: DataFrame) -> DataFrame:
-    """Tenants whose settings break no rule (left anti join)."""
-    bad = settings_violations(settings).select("client").distinct()
-    return settings.join(maybe_broadcast(bad), "client", "left_anti")
+    """Tenants whose settings break no rule (the anti join of the
+    violations, evaluated row-wise: no shuffle, no join)."""
+    broken = F.lit(False)
+    for _, _, pred in _rules():
+        broken = broken | F.coalesce(pred, F.lit(False))
+    return settings.filter(~broken)
 
 
 def budget_gate(subs: DataFrame, usage: DataFrame, prices: DataFrame, as_of) -> DataFrame:
     """P19 (+A1b, J11): live tenants with month-to-date cost and whether they
     may run (``mtd_cost < monthly_budget``; missing usage counts as 0)."""
     live = live_subscriptions(subs, as_of)
-    mtd = cost_mtd(usage, prices, as_of)
+    small = is_small(subs, MAX_BROADCAST_TENANTS)
+    # mtd has at most one row per live tenant (usage is cut to them first).
+    mtd = broadcast_bounded(cost_mtd(usage, prices, as_of, live, small), small)
     out = live.join(mtd, "client", "left").select(
         "client", "monthly_budget",
         F.greatest(F.coalesce(F.col("mtd_cost"), F.lit(0.0)), F.lit(0.0)).alias("mtd_cost"))
@@ -90,6 +94,7 @@ def weekday_due(settings: DataFrame, as_of) -> Column:
 
 def runnable_tenants(subs: DataFrame, settings: DataFrame, usage: DataFrame,
                      prices: DataFrame, as_of) -> DataFrame:
-    """Tenants that run today: live, valid config, under budget."""
-    gate = budget_gate(subs, usage, prices, as_of).filter("runnable").select("client", "monthly_budget")
-    return valid_settings(settings).join(gate, "client")
+    """Tenants that run today: live, valid config, under budget.
+    A subset of the settings rows (semi join), so bounded by that table."""
+    gate = budget_gate(subs, usage, prices, as_of).filter("runnable").select("client")
+    return valid_settings(settings).join(broadcast_bounded(gate, subs), "client", "left_semi")

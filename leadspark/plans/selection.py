@@ -174,7 +174,7 @@ def _tenants(spark, sf_dir):
 def daily_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P17 + P19 + O2 + O3 + O4 + W5: today's batch for every runnable tenant."""
     e = SL.eligible(SL.candidates(fx.contacts(spark, sf_dir), fx.history(spark, sf_dir), AS_OF), AS_OF)
-    b = SL.daily_batch(e, _tenants(spark, sf_dir), SEED)
+    b = SL.daily_batch(e, _tenants(spark, sf_dir), SEED, tenant_bound=fx.settings(spark))
     return b.select("client", "first_name", "last_name", "company", "position", "is_new",
                     "last_search_date", "last_total_score", "pick_rank", "mini_batch")
 
@@ -192,4 +192,4 @@ def daily_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9 + A10: new vs. existing split and the slots left for sampling."""
     e = SL.eligible(SL.candidates(fx.contacts(spark, sf_dir), fx.history(spark, sf_dir), AS_OF), AS_OF)
-    return SL.batch_plan(e, _tenants(spark, sf_dir))
+    return SL.batch_plan(e, _tenants(spark, sf_dir), tenant_bound=fx.settings(spark))

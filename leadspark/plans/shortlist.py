@@ -9,6 +9,7 @@ from .. import fixtures as fx
 from .. import oracle as O
 from ..operators import shortlist as SH
 from ..operators import tenants as TN
+from ..operators.sizing import MAX_BROADCAST_TENANTS, is_small
 from ..registry import register
 from .selection import CLEAN_CTES, TENANT_CTES
 
@@ -54,9 +55,9 @@ def _due_tenants(spark):
 
 
 def _k_max(spark) -> int:
-    # One aggregate row over the settings table: the literal bound that lets
-    # the per-tenant top-k run as a group limit.
-    return int(fx.settings(spark).agg(F.max("max_emails")).first()[0] or 1)
+    # One aggregate row over the (dimension) settings table: the literal
+    # bound that lets the per-tenant top-k run as a group limit.
+    return SH.k_bound(fx.settings(spark), "max_emails")
 
 
 def _cands(spark, sf_dir):
@@ -137,7 +138,9 @@ def history_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = picked(spark, sf_dir).drop("email_batch_recipient").join(
         F.broadcast(_due_tenants(spark).select("client", "email_batch_recipient")), "client")
     caption = F.format_string("%s, %s %s", "company", "first_name", "last_name")
+    # picked <= tenants x k_max rows: proven small through the settings table.
+    small = is_small(fx.settings(spark), MAX_BROADCAST_TENANTS // max(_k_max(spark), 1))
     u = SH.history_update(fx.history(spark, sf_dir), p, TODAY, caption,
-                          F.col("email_batch_recipient"))
+                          F.col("email_batch_recipient"), picked_small=small)
     return u.select("client", "search_id", "email_date", "email_batch_recipient",
                     F.col("email_content").alias("email_subject"), "emailed_now")

@@ -198,3 +198,30 @@ def settings(spark: SparkSession) -> DataFrame:
     rows = [(c, b, m, e, t, p, ls, le, days, send, "user@example.com", "team@example.com")
             for c, b, m, e, t, p, ls, le, days, send in SETTINGS_ROWS]
     return spark.createDataFrame(rows, S.SETTINGS)
+
+
+# The standard search query template (tenant prompt
+# "standard_query"; the attribute form reads fields of the contact).
+STANDARD_QUERY = ("{candidate.first_name} {candidate.last_name}, {candidate.company} "
+                  "official blog or case studies {search_period}")
+
+# Per-tenant prompt rows (client, name, body); a tenant without its own row
+# uses the default.
+PROMPT_ROWS = [
+    ("ASIA", "standard_query",
+     "{candidate.first_name} {candidate.last_name} {candidate.company} news {search_period}"),
+    ("AFRICA", "email_template",
+     "Dear {first_name},\n\nCongratulations on the news at {company}. {{Team}}"),
+]
+DEFAULT_PROMPT_ROWS = [
+    ("standard_query", STANDARD_QUERY),
+    ("email_template", "Hello {first_name},\n\nWe read about {company} and would like to talk."),
+]
+
+
+def prompts(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PROMPT_ROWS, S.PROMPTS)
+
+
+def default_prompts(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(DEFAULT_PROMPT_ROWS, "name string, body string")

@@ -8,7 +8,7 @@ ones a statement uses.
 
 from __future__ import annotations
 
-from .fixtures import PRICE_ROWS, SETTINGS_ROWS, SUBSCRIPTION_ROWS
+from .fixtures import PRICE_ROWS, PROMPT_ROWS, SETTINGS_ROWS, SUBSCRIPTION_ROWS
 
 
 def _lit(v):
@@ -84,6 +84,10 @@ SETTINGS = f"""SELECT client, batch_size, mini_batch_size, max_emails, max_tavil
   ) AS t(client, batch_size, mini_batch_size, max_emails, max_tavily_searches,
          max_pplx_searches, llm_search, llm_email, email_days_of_week, send_proposed_emails)"""
 
+PROMPTS = f"""SELECT * FROM (VALUES
+  {_values(PROMPT_ROWS)}
+  ) AS t(client, name, body)"""
+
 BASE = [("geo", GEO), ("contacts", CONTACTS), ("history", HISTORY), ("history_t", HISTORY_T),
         ("consumption", CONSUMPTION), ("pricing", PRICING), ("subscriptions", SUBSCRIPTIONS),
         ("settings", SETTINGS)]

@@ -74,3 +74,15 @@ def row_number_per_group(df: DataFrame, group: list[str], order: list, name: str
     out = r.join(offsets, [*group, "_pid"])
     return out.withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_mid0") + 1)
                           .cast("bigint")).drop("_pid", "_mid", "_off", "_mid0")
+
+
+def previous_in_group(df: DataFrame, group: list[str], order: list, id_col: str,
+                      prev_name: str = "prev_id") -> DataFrame:
+    """``lag(id_col) over (partition by group order by order)`` as a join on
+    ``(group, row_no - 1)``: rows are numbered by :func:`row_number_per_group`
+    (no single-task group) and the equi-join keys are unique."""
+    keys = df.select(*group, *[c for c in order if isinstance(c, str) and c not in group], id_col) \
+        if id_col not in order else df.select(*group, *[c for c in order if isinstance(c, str)])
+    n = row_number_per_group(keys, group, order, name="_rn")
+    prev = n.select(*group, (F.col("_rn") + 1).alias("_rn"), F.col(id_col).alias(prev_name))
+    return n.join(prev, [*group, "_rn"], "left").drop("_rn")

@@ -1 +1,123 @@
-"""Registered queries (filled in below)."""
+"""Native enrichment plans over the driver's corpus tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import fixtures as fx
+from .. import oracle as O
+from ..operators import enrich as EN
+from ..registry import register
+
+_TOK = r"[\p{L}\p{N}]+"
+
+
+def _tok(x):
+    return f"regexp_extract_all(lower({x}), '{_TOK}')"
+
+
+SEARCH_SQL = f"""WITH q AS (SELECT DISTINCT item_id AS q_id, unnest({_tok('text')}) AS term FROM benchmark),
+qt AS (SELECT DISTINCT term FROM q),
+d AS (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents),
+tf AS (SELECT doc_id, d.term, count(*) AS tf FROM d JOIN qt ON d.term = qt.term GROUP BY doc_id, d.term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+n AS (SELECT count(*) AS n FROM documents),
+s AS (SELECT q.q_id, tf.doc_id, sum(tf.tf * ln(1 + n.n / df.df)) AS raw_score
+        FROM q JOIN tf ON q.term = tf.term JOIN df ON df.term = q.term, n GROUP BY q.q_id, tf.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(raw_score, 9) DESC, doc_id) AS rank FROM s)
+SELECT q_id, rank, doc_id, round(raw_score, 6) AS score FROM r WHERE rank <= 3"""
+
+
+@register("t4_corpus_search", SEARCH_SQL)
+def corpus_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: every benchmark passage searched (whole text) in the whole
+    document corpus; top 3 documents each."""
+    q = fx.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("query"))
+    docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return EN.corpus_search(q, docs, k=3)
+
+
+def _link_text_col():
+    pid = F.col("page_id").cast("string")
+    return F.concat(
+        F.when(F.col("page_id") % 5 == 0, F.lit("Profile https://facebook.com/ and "))
+        .otherwise(F.concat(F.lit("Profile https://www.facebook.com/p"), pid, F.lit(" and "))),
+        F.lit("("), F.col("url"), F.lit(") then https://linkedin.com/in/u"), (F.col("page_id") % 7).cast("string"),
+        F.when(F.col("page_id") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit(" also "), F.col("url"))),
+        F.lit(" or https://news.example.org/a"), (F.col("page_id") % 3).cast("string"))
+
+
+_LINK_TEXT_SQL = """CASE WHEN page_id % 5 = 0 THEN 'Profile https://facebook.com/ and '
+            ELSE 'Profile https://www.facebook.com/p' || page_id || ' and ' END
+       || '(' || url || ') then https://linkedin.com/in/u' || (page_id % 7)
+       || CASE WHEN page_id % 4 = 0 THEN '' ELSE ' also ' || url END
+       || ' or https://news.example.org/a' || (page_id % 3)"""
+_FIND = r"https?://[^\s()\[\]{},]+"
+_HOSTX = r"""regexp_replace(regexp_extract(lower(x), '^[a-z]+://([^/?#:]+)', 1), '^www\.', '')"""
+
+URLS_SQL = f"""WITH t AS (SELECT page_id, {_LINK_TEXT_SQL} AS text FROM pages),
+u AS (SELECT page_id, regexp_extract_all(text, '{_FIND}') AS urls FROM t),
+hs AS (SELECT page_id, urls, list_filter(list_transform(urls, lambda x: {_HOSTX}),
+          lambda h: length(h) > 0 AND NOT regexp_matches(h, '(^|\\.)(facebook|linkedin)\\.com$')) AS hosts FROM u),
+h AS (SELECT page_id, unnest(hosts) AS host, unnest(generate_series(1, len(hosts))) AS pos FROM hs),
+c AS (SELECT page_id, host, count(*) AS n, min(pos) AS p FROM h GROUP BY page_id, host),
+b AS (SELECT page_id, arg_max(host, n * 1000000 - p) AS host FROM c GROUP BY page_id)
+SELECT hs.page_id,
+       coalesce(list_filter(urls, lambda x: regexp_matches(lower(x), '^https?://([a-z0-9-]+\\.)*facebook\\.com/[^/?#]'))[1], '')
+         AS url_facebook,
+       coalesce(list_filter(urls, lambda x: regexp_matches(lower(x), '^https?://([a-z0-9-]+\\.)*linkedin\\.com/in/'))[1], '')
+         AS url_linkedin,
+       coalesce('https://' || b.host, '') AS url_company
+  FROM hs LEFT JOIN b ON hs.page_id = b.page_id"""
+
+
+@register("t5_url_extraction", URLS_SQL)
+def url_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5 on a result text per page (the page URL among social links)."""
+    pg = fx.read(spark, sf_dir, "pages").select("page_id", _link_text_col().alias("text"))
+    return pg.select("page_id", EN.extract_urls("text").alias("u")).select("page_id", "u.*")
+
+
+def _rubric_sql(x):
+    parts = [f"CASE WHEN regexp_matches({x}, '{p}') THEN {pts} ELSE 0 END" for _, pts, p in EN.RUBRIC]
+    return " + ".join(parts)
+
+
+_ANY_FACT = "(?i)" + "|".join(f"({p.replace('(?i)', '')})" for _, _, p in EN.RUBRIC)
+
+RUBRIC_SQL = f"""SELECT doc_id, CAST(0 AS BIGINT) AS activity_score,
+       CAST(least({_rubric_sql("coalesce(text, '')")}, 10) AS BIGINT) AS services_need_score,
+       md5(array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)),
+           lambda s: regexp_matches(s, '{_ANY_FACT}')), chr(10))) AS summary_md5
+  FROM documents"""
+
+
+@register("t6_rubric_score", RUBRIC_SQL)
+def rubric_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T6 on every whole document text."""
+    d = fx.read(spark, sf_dir, "documents").select("doc_id", EN.rubric_score("text").alias("s"))
+    return d.select("doc_id", "s.activity_score", "s.services_need_score",
+                    F.md5("s.summary").alias("summary_md5"))
+
+
+NOVELTY_SQL = O.with_views(f"""SELECT k.client, k.search_id, k.prev_search_id,
+       CASE WHEN len(coalesce(a.toks, [])) = 0 AND len(coalesce(b.toks, [])) = 0 THEN 0
+            WHEN len(coalesce(b.toks, [])) = 0 THEN 10
+            ELSE CAST(floor(10.0 * (1.0 - len(list_intersect(coalesce(a.toks, []), b.toks))
+                  / len(list_distinct(list_concat(coalesce(a.toks, []), b.toks)))) + 0.5) AS BIGINT)
+       END AS novelty_score
+  FROM k LEFT JOIN t a ON a.doc_id = k.search_id LEFT JOIN t b ON b.doc_id = k.prev_search_id""", [
+    ("k", """SELECT client, search_id, lag(search_id) OVER (PARTITION BY client, first_name, last_name, company
+         ORDER BY search_date, search_id) AS prev_search_id FROM history"""),
+    ("t", f"SELECT doc_id, list_distinct({_tok('text')}) AS toks FROM documents"),
+])
+
+
+@register("t7_novelty", NOVELTY_SQL)
+def novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W2 + T7: every stored search scored against the person's previous one."""
+    h = fx.history(spark, sf_dir).select("client", "first_name", "last_name", "company",
+                                         "search_date", "search_id")
+    n = EN.novelty(h, fx.history_text(spark, sf_dir), ["client", "first_name", "last_name", "company"])
+    return n.select("client", "search_id", "prev_search_id", "novelty_score")

@@ -60,6 +60,36 @@ def query_terms(queries: DataFrame, id_col: str = "q_id", text_col: str = "query
     return queries.select(id_col, F.explode(token_set(text_col)).alias("term"))
 
 
+def term_index(docs: DataFrame, terms: DataFrame | None = None,
+               terms_small: bool = True) -> DataFrame:
+    """(doc_id, term, tf): the inverted index of a corpus. With ``terms``
+    only those terms are kept, map-side (broadcast semi join) before the
+    partial aggregation, so only matching tokens are shuffled."""
+    toks = docs.select("doc_id", F.explode(tokens("text")).alias("term"))
+    if terms is not None:
+        toks = toks.join(F.broadcast(terms) if terms_small else terms, "term", "left_semi")
+    return toks.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def search_index(index: DataFrame, n_docs: int, queries: DataFrame, k: int = DEFAULT_TOP_K,
+                 id_col: str = "q_id", text_col: str = "query") -> DataFrame:
+    """Top-``k`` documents per query from a term index (see corpus_search)."""
+    qt = query_terms(queries, id_col, text_col)
+    terms = qt.select("term").distinct()
+    small = is_small(terms, MAX_BROADCAST_TERMS)
+    probe = index.join(F.broadcast(terms) if small else terms, "term", "left_semi")
+    df = probe.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighted = probe.join(df, "term").withColumn(
+        "w", F.col("tf") * F.log(F.lit(1.0) + F.lit(float(n_docs)) / F.col("df")))
+    qside = F.broadcast(qt) if small else qt  # rows <= queries x their distinct terms
+    scores = (weighted.join(qside, "term")
+              .groupBy(id_col, "doc_id").agg(F.sum("w").alias("raw_score"))
+              .withColumn("score", F.round("raw_score", 9)))
+    order = [F.col("score").desc(), F.col("doc_id").asc()]
+    top = top_k_per_group(scores, [id_col], order, k, k, ["doc_id"], rank_col="rank")
+    return top.select(id_col, "rank", "doc_id", F.round("raw_score", 6).alias("score"))
+
+
 def corpus_search(queries: DataFrame, docs: DataFrame, k: int = DEFAULT_TOP_K,
                   id_col: str = "q_id", text_col: str = "query") -> DataFrame:
     """T4: top-``k`` documents per query by tf-idf.
@@ -69,25 +99,14 @@ def corpus_search(queries: DataFrame, docs: DataFrame, k: int = DEFAULT_TOP_K,
     term dictionary is broadcast (bounded count) and applied map-side as a
     semi join, then term frequencies are partially aggregated before the
     shuffle. ``df`` is computed for query terms only. Ties: lower doc_id.
+    For several searches over one corpus build :func:`term_index` once and
+    use :func:`search_index`.
     """
-    qt = query_terms(queries, id_col, text_col)
-    terms = qt.select("term").distinct()
+    terms = query_terms(queries, id_col, text_col).select("term").distinct()
     small = is_small(terms, MAX_BROADCAST_TERMS)
-    dict_side = F.broadcast(terms) if small else terms
-    toks = docs.select("doc_id", F.explode(tokens("text")).alias("term"))
-    tf = (toks.join(dict_side, "term", "left_semi")
-          .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    index = term_index(docs, terms, small)
     n_docs = docs.count()  # one number (parquet footers / one aggregate row)
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = tf.join(df, "term").withColumn(
-        "w", F.col("tf") * F.log(F.lit(1.0) + F.lit(float(n_docs)) / F.col("df")))
-    qside = F.broadcast(qt) if small else qt  # rows <= terms x queries; same bound
-    scores = (weighted.join(qside, "term")
-              .groupBy(id_col, "doc_id").agg(F.sum("w").alias("raw_score"))
-              .withColumn("score", F.round("raw_score", 9)))
-    order = [F.col("score").desc(), F.col("doc_id").asc()]
-    top = top_k_per_group(scores, [id_col], order, k, k, ["doc_id"], rank_col="rank")
-    return top.select(id_col, "rank", "doc_id", F.round("raw_score", 6).alias("score"))
+    return search_index(index, n_docs, queries, k, id_col, text_col)
 
 
 def doc_url(source: Column, doc_id: Column) -> Column:

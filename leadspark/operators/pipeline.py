@@ -1,0 +1,173 @@
+"""The per-contact research pipeline as one DataFrame plan over a
+whole day's batch (all tenants), producing HISTORY rows and usage rows.
+
+Steps (reference order): event type (T1) -> two proposed queries (T2) ->
+standard query (T3) -> searches on engine 1 for every query and on engine 2
+for the first one when the tenant allows it (T4) -> URLs (T5) -> business
+need score (T6) -> novelty against the previous result (T7) -> scores
+(F21). Every step is native here; :mod:`.provider` replaces a step by an
+external call. Each contact's queries are searched together in one corpus
+search, so the corpus is scanned once per batch, not once per query.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as TX
+from ..schemas import KEY3
+from . import enrich as EN
+
+# Templates of the two proposed queries (T2) and their cap.
+PROPOSALS = [
+    "{first_name} {last_name} {company} {search_event_type} {search_period}",
+    "{company} news and updates {search_period}",
+]
+MAX_QUERY_CHARS = 350
+NATIVE_MODEL = "native"
+EVENT_TYPE_CHARS = 200
+
+# Function names of the usage rows, one per call.
+FN_EVENT, FN_PROPOSAL, FN_SEARCH1, FN_SEARCH2 = (
+    "search_event_type", "search_proposal_agent", "search_engine_1", "search_engine_2")
+FN_URLS, FN_SCORE, FN_NOVELTY = ("url_extraction_agent", "target_score_agent",
+                                 "results_comparison_agent")
+
+
+def _render(template: str, values: dict[str, Column]) -> Column:
+    return F.substring(TX.render_template(F.lit(template), values), 1, MAX_QUERY_CHARS)
+
+
+def engine1_text(h: Column) -> Column:
+    """Engine-1 style answer: hit contents, then numbered citations."""
+    body = F.array_join(F.transform(h, lambda x: x["content"]), "\n\n")
+    return TX.with_citations(body, F.transform(h, lambda x: x["url"]))
+
+
+def enrich_batch(batch: DataFrame, tenants: DataFrame, standard_templates: DataFrame,
+                 docs: DataFrame, prev_texts: DataFrame, as_of, k: int = EN.DEFAULT_TOP_K,
+                 tenants_small: bool = True) -> DataFrame:
+    """Run the native pipeline for every contact of ``batch``.
+
+    ``batch``: client, first_name, last_name, company, position,
+    last_search_id, last_search_date. ``tenants``: client,
+    max_tavily_searches. ``standard_templates``: client, template (tenant
+    overrides; default otherwise). ``docs``: doc_id, text, source.
+    ``prev_texts``: search_id, search_results of stored searches.
+    Returns one row per contact with the HISTORY columns plus ``usage``
+    (array of call records) and ``contact_id``.
+    """
+    from ..fixtures import STANDARD_QUERY  # the default template
+
+    t = tenants.select("client", "max_tavily_searches")
+    st = standard_templates.select("client", "template")
+    if tenants_small:  # both are per-tenant tables (one row each)
+        t, st = F.broadcast(t), F.broadcast(st)
+    # The batch is today's durable decision and small (<= tenants x 999):
+    # materialise it once so later size checks and stages never re-run the
+    # selection plan.
+    c = (batch.join(t, "client", "left").join(st, "client", "left")
+         .withColumn("contact_id", F.xxhash64(*KEY3))
+         .withColumn("search_period", TX.search_period("last_search_date", as_of))
+         .checkpoint(eager=True))
+    # The corpus index is built once and probed by both searches.
+    index = EN.term_index(docs).checkpoint(eager=True)
+    n_docs = docs.count()
+    fields = {"first_name": F.col("first_name"), "last_name": F.col("last_name"),
+              "company": F.col("company"), "candidate.first_name": F.col("first_name"),
+              "candidate.last_name": F.col("last_name"), "candidate.company": F.col("company"),
+              "search_period": F.col("search_period")}
+
+    # The event question, searched first (its answer feeds T2).
+    c = c.withColumn("event_q", TX.event_question("first_name", "last_name", "position", "company"))
+    q1 = c.select(F.struct("contact_id", F.lit(0).alias("qpos")).alias("qid"),
+                  F.col("event_q").alias("query"))
+    top1 = EN.search_index(index, n_docs, q1, k=k, id_col="qid")
+    h1 = EN.hits(top1, docs, id_col="qid")
+    ev = h1.select(F.col("qid.contact_id").alias("contact_id"), F.col("hits").alias("event_hits"))
+    c = c.join(ev, "contact_id", "left").withColumn(
+        "search_event_type", F.coalesce(F.substring(F.split(
+            F.coalesce(F.try_element_at("event_hits", F.lit(1))["content"], F.lit("")), "\n")[0],
+            1, EVENT_TYPE_CHARS), F.lit("")))
+
+    # T2 + T3: proposals and the standard query.
+    fields["search_event_type"] = F.col("search_event_type")
+    queries = F.array(*[_render(p, fields) for p in PROPOSALS],
+                      TX.render_template(F.coalesce("template", F.lit(STANDARD_QUERY)), fields))
+    c = c.withColumn("queries", queries).checkpoint(eager=True)
+
+    # T4: all queries of all contacts in one corpus search.
+    q = c.select("contact_id", F.posexplode("queries").alias("qpos", "query")).select(
+        F.struct("contact_id", (F.col("qpos") + 1).alias("qpos")).alias("qid"), "query")
+    top = EN.search_index(index, n_docs, q, k=k, id_col="qid")
+    hs = EN.hits(top, docs, id_col="qid").select(
+        F.col("qid.contact_id").alias("contact_id"), F.col("qid.qpos").alias("qpos"), "hits")
+    per_contact = hs.groupBy("contact_id").agg(  # <= len(queries) rows per contact
+        F.array_sort(F.collect_list(F.struct("qpos", "hits"))).alias("qhits"))
+    c = c.join(per_contact, "contact_id", "left")
+    n_q = F.size("queries")
+    hits_at = lambda i: F.coalesce(
+        F.try_element_at(F.filter("qhits", lambda x: x["qpos"] == i), F.lit(1))["hits"],
+        F.array().cast("array<struct<url:string,content:string>>"))
+    e1 = F.transform(F.sequence(F.lit(1), n_q), lambda i: engine1_text(hits_at(i)))
+    use_e2 = F.coalesce(F.col("max_tavily_searches"), F.lit(0)) > 0
+    e2 = TX.hits_text(hits_at(F.lit(1)))
+    results = F.when(use_e2, F.concat(e1, F.array(e2))).otherwise(e1)
+    c = c.withColumn("results", results).withColumn("search_raw", TX.join_results("results"))
+
+    # T5, T6.
+    c = (c.withColumn("_u", EN.extract_urls("search_raw"))
+         .withColumn("_s", EN.rubric_score("search_raw")))
+    # Previous result text of the person's latest stored search.
+    prev = prev_texts.select(F.col("search_id").alias("last_search_id"),
+                             EN.token_set("search_results").alias("_prev_toks"))
+    c = c.join(prev, "last_search_id", "left").withColumn(
+        "novelty_score", EN.novelty_score(EN.token_set(F.col("search_raw")), F.col("_prev_toks")))
+
+    usage = usage_records(c, use_e2)
+    act, srv = F.col("_s.activity_score"), F.col("_s.services_need_score")
+    return c.select(
+        "client", "contact_id", *KEY3[1:],
+        F.lit(as_of).cast("timestamp_ntz").alias("search_date"),
+        "search_event_type", TX.join_queries("queries").alias("search_query"), "search_raw",
+        F.col("_u.url_facebook").alias("url_facebook"), F.col("_u.url_linkedin").alias("url_linkedin"),
+        F.col("_u.url_company").alias("url_company"),
+        F.col("_s.summary").alias("search_results"),
+        "novelty_score", act.alias("activity_score"), srv.alias("services_need_score"),
+        (F.col("novelty_score") + act + srv).alias("total_score"),
+        F.lit(None).cast("timestamp_ntz").alias("email_date"),
+        F.lit(None).cast("string").alias("email_content"),
+        F.lit(None).cast("string").alias("email_batch_recipient"),
+        usage.alias("usage"))
+
+
+def _call(fn: str, calls: int, prompt: Column, answer: Column) -> Column:
+    return F.struct(F.lit(fn).alias("function"), F.lit(NATIVE_MODEL).alias("model"),
+                    F.lit(calls).cast("bigint").alias("search_calls"),
+                    TX.token_count(prompt).cast("bigint").alias("input_tokens"),
+                    TX.token_count(answer).cast("bigint").alias("output_tokens"))
+
+
+def usage_records(c: DataFrame, use_e2: Column) -> Column:
+    """One record per call made for the contact (native model)."""
+    q = F.col("queries")
+    e1 = [_call(FN_SEARCH1, 1, q[i], F.col("results")[i]) for i in range(len(PROPOSALS) + 1)]
+    e2 = _call(FN_SEARCH2, 1, q[0], F.element_at("results", -1))
+    base = F.array(
+        _call(FN_EVENT, 1, F.col("event_q"), F.col("search_event_type")),
+        _call(FN_PROPOSAL, 0, F.col("event_q"), TX.join_queries(F.slice(q, 1, len(PROPOSALS)))),
+        *e1)
+    tail = F.array(
+        _call(FN_URLS, 0, F.col("search_raw"), F.concat_ws(" ", "_u.url_facebook", "_u.url_linkedin",
+                                                            "_u.url_company")),
+        _call(FN_SCORE, 0, F.col("search_raw"), F.col("_s.summary")),
+        _call(FN_NOVELTY, 0, F.col("search_raw"), F.col("novelty_score").cast("string")))
+    return F.when(use_e2, F.concat(base, F.array(e2), tail)).otherwise(F.concat(base, tail))
+
+
+def usage_table(enriched: DataFrame) -> DataFrame:
+    """T11 -> CONSUMPTION rows (client and date first, P15)."""
+    u = enriched.select("client", "search_date", F.posexplode("usage").alias("call_no", "u"))
+    return u.select("client", "search_date", "u.function", "u.model", "u.search_calls",
+                    "u.input_tokens", "u.output_tokens", "call_no")

@@ -121,3 +121,36 @@ def novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          "search_date", "search_id")
     n = EN.novelty(h, fx.history_text(spark, sf_dir), ["client", "first_name", "last_name", "company"])
     return n.select("client", "search_id", "prev_search_id", "novelty_score")
+
+
+# --- T10 / T11: the day's research over the whole batch --------------------
+
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import pipeline as PP
+    from ..operators import selection as SL
+    from .selection import AS_OF, SEED, _tenants
+    settings = fx.settings(spark)
+    tenants = _tenants(spark, sf_dir)
+    e = SL.eligible(SL.candidates(fx.contacts(spark, sf_dir), fx.history(spark, sf_dir), AS_OF), AS_OF)
+    batch = SL.daily_batch(e, tenants, SEED, tenant_bound=settings)
+    templates = fx.prompts(spark).filter(F.col("name") == "standard_query").select(
+        "client", F.col("body").alias("template"))
+    docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return PP.enrich_batch(batch, tenants, templates, docs, fx.history_text(spark, sf_dir), AS_OF)
+
+
+@register("t10_enrich_batch")
+def enrich_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1-T7 + T10 + T13: HISTORY rows of today's research for every
+    runnable tenant's batch (native backend)."""
+    from ..schemas import HISTORY
+    e = enriched(spark, sf_dir)
+    cols = [f.name for f in HISTORY.fields if f.name != "search_id"]
+    return e.select("contact_id", *cols)
+
+
+@register("t11_usage_rows")
+def usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T11 + P15: one CONSUMPTION row per call made by the day's research."""
+    from ..operators import pipeline as PP
+    return PP.usage_table(enriched(spark, sf_dir))

@@ -216,6 +216,10 @@ PROMPT_ROWS = [
 DEFAULT_PROMPT_ROWS = [
     ("standard_query", STANDARD_QUERY),
     ("email_template", "Hello {first_name},\n\nWe read about {company} and would like to talk."),
+    ("business_description",
+     "We produce short customer videos and case studies for industrial companies.\n\n"
+     "Our team turns product launches, awards and new partnerships into news stories.\n\n"
+     "We also run event coverage and blog updates for teams without a media department."),
 ]
 
 

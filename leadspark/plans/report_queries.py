@@ -1 +1,170 @@
-"""Registered queries (filled in below)."""
+"""Checks, history views and the lead report plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import fixtures as fx
+from .. import oracle as O
+from ..operators import checks as CK
+from ..operators import pricing as P
+from ..operators import report as RP
+from ..operators import shortlist as SH
+from ..registry import register
+from .shortlist import TODAY, _due_tenants, picked
+
+ROWS_PER_PAGE = 20
+PAGE = 9
+
+
+@register("w1_price_sequence", O.with_views(
+    """SELECT model, ord, start_date, end_date, next_start, issue FROM (
+  SELECT *, CASE WHEN next_start IS NULL THEN NULL WHEN end_date IS NULL THEN 'open_ended'
+                 WHEN end_date < next_start THEN 'gap' END AS issue
+    FROM (SELECT model, ord, start_date, end_date,
+                 lead(start_date) OVER (PARTITION BY model ORDER BY start_date, ord) AS next_start
+            FROM pricing) s) t
+ WHERE issue IS NOT NULL AND model IN (SELECT DISTINCT model FROM consumption)"""))
+def price_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 / C8 for the models in use."""
+    seq = P.price_sequence_issues(fx.pricing(spark))
+    # Distinct models in use: materialised once (a short list), then checked.
+    used = fx.consumption(spark, sf_dir).select("model").distinct().checkpoint(eager=True)
+    used = F.broadcast(used) if P.is_small(used, P.MAX_BROADCAST_PRICE_ROWS) else used
+    return seq.join(used, "model", "left_semi")
+
+
+CHECKS_SQL = O.with_views("""SELECT client, 'model_without_price' AS "check", model AS key,
+       'no price for this model' AS detail
+  FROM (SELECT DISTINCT client, model FROM consumption WHERE model NOT IN (SELECT model FROM pricing)) m
+UNION ALL
+SELECT NULL, 'price_sequence', model || '#' || ord, issue FROM (
+  SELECT *, CASE WHEN next_start IS NULL THEN NULL WHEN end_date IS NULL THEN 'open_ended'
+                 WHEN end_date < next_start THEN 'gap' END AS issue
+    FROM (SELECT model, ord, start_date, end_date,
+                 lead(start_date) OVER (PARTITION BY model ORDER BY start_date, ord) AS next_start
+            FROM pricing) s) t WHERE issue IS NOT NULL
+UNION ALL
+SELECT client, 'usage_missing_fields', CAST(usage_id AS VARCHAR), 'missing required fields: '
+       || array_to_string(list_filter([CASE WHEN function IS NULL THEN 'function' END,
+            CASE WHEN model IS NULL THEN 'model' END, CASE WHEN search_calls IS NULL THEN 'search_calls' END,
+            CASE WHEN input_tokens IS NULL THEN 'input_tokens' END,
+            CASE WHEN output_tokens IS NULL THEN 'output_tokens' END], lambda x: x IS NOT NULL), ', ')
+  FROM consumption
+ WHERE function IS NULL OR model IS NULL OR search_calls IS NULL OR input_tokens IS NULL
+    OR output_tokens IS NULL
+UNION ALL
+SELECT client, 'mini_batch', client, 'mini_batch_size must be <= batch_size' FROM settings
+ WHERE coalesce(mini_batch_size, 0) > coalesce(batch_size, 0)
+UNION ALL
+SELECT client, 'max_tavily', client, 'max_tavily_searches must be in 1..19' FROM settings
+ WHERE NOT coalesce(max_tavily_searches > 0 AND max_tavily_searches < 20, FALSE)
+UNION ALL
+SELECT client, 'max_pplx', client, 'max_pplx_searches must be in 1..9' FROM settings
+ WHERE NOT coalesce(max_pplx_searches > 0 AND max_pplx_searches < 10, FALSE)
+UNION ALL
+SELECT client, 'batch_size', client, 'batch_size must be in 1..999' FROM settings
+ WHERE NOT coalesce(batch_size > 0 AND batch_size < 1000, FALSE)
+UNION ALL
+SELECT client, 'llm_search', client, 'llm_search must be gpt-4o-mini, gpt-4o or gpt-4' FROM settings
+ WHERE NOT coalesce(llm_search IN ('gpt-4o-mini', 'gpt-4o', 'gpt-4'), FALSE)
+UNION ALL
+SELECT client, 'llm_email', client, 'llm_email must start with gpt-4o' FROM settings
+ WHERE NOT coalesce(starts_with(llm_email, 'gpt-4o'), FALSE)
+UNION ALL
+SELECT client, 'send_flag', client, 'send_proposed_emails must be true or false' FROM settings
+ WHERE send_proposed_emails IS NULL
+UNION ALL
+SELECT client, 'email_days', client, 'at least one weekday is needed' FROM settings
+ WHERE coalesce(len(email_days_of_week) < 1, TRUE)""")
+
+
+@register("c5_quality_checks", CHECKS_SQL)
+def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4 + C5 + C7 + C8 as one (client, check, key, detail) table."""
+    return CK.all_checks(fx.settings(spark), fx.pricing(spark), fx.consumption(spark, sf_dir))
+
+
+PAGES_SQL = O.with_views(f"""SELECT client, search_id, search_date,
+       row_number() OVER (PARTITION BY client ORDER BY search_date DESC, search_id) AS row_no,
+       CAST(floor((row_number() OVER (PARTITION BY client ORDER BY search_date DESC, search_id) - 1)
+            / {ROWS_PER_PAGE}) AS BIGINT) + 1 AS page_no,
+       CAST(ceil(count(*) OVER (PARTITION BY client) / {ROWS_PER_PAGE}) AS BIGINT) AS n_pages
+  FROM history""")
+
+
+def _paged(spark, sf_dir):
+    h = fx.history(spark, sf_dir).select("client", "search_id", "search_date")
+    return RP.history_pages(h, ROWS_PER_PAGE, [F.col("search_date").desc(), F.col("search_id")])
+
+
+@register("w7_history_pages", PAGES_SQL)
+def history_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O7 + W7: newest-first history with row, page and page count."""
+    return _paged(spark, sf_dir).select("client", "search_id", "search_date", "row_no", "page_no",
+                                        "n_pages")
+
+
+@register("o8_history_page", f"""SELECT * FROM ({PAGES_SQL}) p
+ WHERE page_no = least(greatest({PAGE}, 1), n_pages)""")
+def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 9 of every tenant's history, clamped to the last page."""
+    return RP.history_page(_paged(spark, sf_dir), PAGE).select(
+        "client", "search_id", "search_date", "row_no", "page_no", "n_pages")
+
+
+@register("u1_usage_union", O.with_views("""SELECT client, usage_id, model, input_tokens, output_tokens
+  FROM consumption WHERE model = 'click'
+UNION ALL
+SELECT client, usage_id, model, input_tokens, NULL FROM consumption WHERE model <> 'click'"""))
+def usage_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two usage frames concatenated by column name, missing columns
+    null (one frame lacks ``output_tokens``)."""
+    u = fx.consumption(spark, sf_dir)
+    a = u.filter(F.col("model") == "click").select("client", "usage_id", "model", "input_tokens",
+                                                   "output_tokens")
+    b = u.filter(F.col("model") != "click").select("model", "usage_id", "client", "input_tokens")
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@register("u3_unpriced_models", O.with_views(
+    "SELECT model FROM consumption EXCEPT SELECT model FROM pricing"))
+def unpriced_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set difference of model names (EXCEPT DISTINCT)."""
+    return fx.consumption(spark, sf_dir).select("model").subtract(fx.pricing(spark).select("model"))
+
+
+def leads_with_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortlisted leads with their T9 draft (tenant template + business
+    text from the prompts table, default when the tenant has none)."""
+    from ..sources.tables import prompt_for
+    p = picked(spark, sf_dir)
+    names = _due_tenants(spark).select(
+        "client", F.explode(F.array(F.lit("email_template"), F.lit("business_description"))).alias("name"))
+    texts = prompt_for(names, fx.prompts(spark), fx.default_prompts(spark)).groupBy("client").pivot(
+        "name", ["email_template", "business_description"]).agg(F.first("body"))
+    j = p.join(F.broadcast(texts), "client", "left")
+    return j.withColumn("email_content", RP.draft_email(
+        F.col("email_template"), F.col("business_description"), F.col("search_results"),
+        F.col("first_name"), F.col("last_name"), F.col("company")))
+
+
+@register("t9_email_drafts")
+def email_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proposed e-mail of every shortlisted lead (F33 subject)."""
+    from ..functions import text as TX
+    j = leads_with_email(spark, sf_dir)
+    return j.select("client", "search_id", "pick_rank",
+                    TX.email_subject("first_name", "last_name", "company").alias("email_subject"),
+                    "email_content",
+                    TX.with_evidence("email_content", "search_results").alias("email_with_evidence"))
+
+
+@register("k8_report_rows")
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8 + A4: the lead report of every due tenant as ordered lines."""
+    leads = leads_with_email(spark, sf_dir)
+    since = SH.searches_since_last_email(fx.history(spark, sf_dir))
+    return RP.report_lines(leads, since, TODAY).select(
+        "client", "section_no", "line_no", "kind", "text", "url")

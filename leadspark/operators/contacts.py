@@ -14,10 +14,12 @@ NAME_COLS = ["first_name", "last_name", "company"]
 TEXT_COLS = ["first_name", "last_name", "company", "position", "url"]
 
 
-def clean(contacts: DataFrame) -> DataFrame:
+def clean(contacts: DataFrame, dedupe: bool = True) -> DataFrame:
     """Strip whitespace on every text column, drop rows
     with a null or blank name part or company (D9), clean the URL, drop
-    exact duplicate rows (the first ``src_row`` is kept)."""
+    exact duplicate rows (the first ``src_row`` is kept). ``dedupe=False``
+    leaves A11 to a later per-person aggregation (which subsumes it), saving
+    a shuffle."""
     c = contacts.select(*[TX.strip_ws(F.col(n).cast("string")).alias(n) if n in TEXT_COLS
                           else F.col(n) for n in contacts.columns])
     keep = F.lit(True)
@@ -26,6 +28,8 @@ def clean(contacts: DataFrame) -> DataFrame:
     c = c.filter(keep)
     if "url" in c.columns:
         c = c.withColumn("url", TX.clean_url("url"))
+    if not dedupe:
+        return c
     business = ["client"] + [x for x in TEXT_COLS if x in c.columns]
     return c.groupBy(*business).agg(F.min("src_row").alias("src_row"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from .grouping import previous_in_group, top_k_per_group
-from .sizing import is_small
+from .sizing import is_small, spread
 
 # Tokenisation (letters and digits of any script, lower-cased;
 # the same class is valid in Java regex and RE2).
@@ -65,7 +65,8 @@ def term_index(docs: DataFrame, terms: DataFrame | None = None,
     """(doc_id, term, tf): the inverted index of a corpus. With ``terms``
     only those terms are kept, map-side (broadcast semi join) before the
     partial aggregation, so only matching tokens are shuffled."""
-    toks = docs.select("doc_id", F.explode(tokens("text")).alias("term"))
+    toks = spread(docs.select("doc_id", "text")).select(
+        "doc_id", F.explode(tokens("text")).alias("term"))
     if terms is not None:
         toks = toks.join(F.broadcast(terms) if terms_small else terms, "term", "left_semi")
     return toks.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -74,7 +75,8 @@ def term_index(docs: DataFrame, terms: DataFrame | None = None,
 def search_index(index: DataFrame, n_docs: int, queries: DataFrame, k: int = DEFAULT_TOP_K,
                  id_col: str = "q_id", text_col: str = "query") -> DataFrame:
     """Top-``k`` documents per query from a term index (see corpus_search)."""
-    qt = query_terms(queries, id_col, text_col)
+    # Query terms are read three times (size check, df, scoring): built once.
+    qt = query_terms(queries, id_col, text_col).checkpoint(eager=True)
     terms = qt.select("term").distinct()
     small = is_small(terms, MAX_BROADCAST_TERMS)
     probe = index.join(F.broadcast(terms) if small else terms, "term", "left_semi")
@@ -102,9 +104,11 @@ def corpus_search(queries: DataFrame, docs: DataFrame, k: int = DEFAULT_TOP_K,
     For several searches over one corpus build :func:`term_index` once and
     use :func:`search_index`.
     """
-    terms = query_terms(queries, id_col, text_col).select("term").distinct()
+    terms = query_terms(queries, id_col, text_col).select("term").distinct().checkpoint(eager=True)
     small = is_small(terms, MAX_BROADCAST_TERMS)
-    index = term_index(docs, terms, small)
+    # The matched index feeds both df and the scores: materialised once so
+    # the corpus is tokenised once.
+    index = term_index(docs, terms, small).checkpoint(eager=True)
     n_docs = docs.count()  # one number (parquet footers / one aggregate row)
     return search_index(index, n_docs, queries, k, id_col, text_col)
 
@@ -198,7 +202,8 @@ def novelty(history_keys: DataFrame, texts: DataFrame, group: list[str]) -> Data
     one. ``texts`` is (search_id, search_results); token sets are built once
     per text and joined by id (long texts never enter the ordering)."""
     prev = previous_search(history_keys, group)
-    ts = texts.select("search_id", token_set("search_results").alias("toks"))
+    ts = spread(texts.select("search_id", "search_results")).select(
+        "search_id", token_set("search_results").alias("toks"))
     cur = prev.join(ts, "search_id", "left")
     prv = ts.select(F.col("search_id").alias("prev_search_id"), F.col("toks").alias("prev_toks"))
     both = cur.join(prv, "prev_search_id", "left")

@@ -48,8 +48,13 @@ def whole_days(start, end) -> Column:
 
 
 def candidates(contacts: DataFrame, history: DataFrame, as_of) -> DataFrame:
-    """Clean contacts (one per person) with their latest search attached."""
-    c = CT.one_per_person(CT.ascii_only(CT.clean(contacts)))
+    """Clean contacts (one per person) with their latest search attached.
+
+    Exact-duplicate removal (A11) is folded into the per-person aggregate:
+    the person keeps the first ``src_row`` either way, so contacts are
+    shuffled once, on Key3, and the history aggregate on Key3 joins them
+    without another exchange."""
+    c = CT.one_per_person(CT.ascii_only(CT.clean(contacts, dedupe=False)))
     return c.join(latest_search(history), KEY3, "left")
 
 

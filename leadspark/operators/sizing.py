@@ -39,3 +39,15 @@ def broadcast_bounded(df: DataFrame, bound: DataFrame | bool,
     result of an earlier check."""
     ok = bound if isinstance(bound, bool) else is_small(bound, max_rows)
     return F.broadcast(df) if ok else df
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Spread a CPU-heavy input over the cluster when its scan yields fewer
+    than ``factor`` x default-parallelism partitions (few large files or row
+    groups). A scan of a large table already has many more splits than
+    cores and is returned unchanged, so no shuffle is added at scale."""
+    sc = df.sparkSession.sparkContext
+    want = sc.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from .. import oracle as O
 from ..operators import enrich as EN
+from ..operators.sizing import spread
 from ..registry import register
 
 _TOK = r"[\p{L}\p{N}]+"
@@ -96,7 +97,8 @@ RUBRIC_SQL = f"""SELECT doc_id, CAST(0 AS BIGINT) AS activity_score,
 @register("t6_rubric_score", RUBRIC_SQL)
 def rubric_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T6 on every whole document text."""
-    d = fx.read(spark, sf_dir, "documents").select("doc_id", EN.rubric_score("text").alias("s"))
+    docs = spread(fx.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = docs.select("doc_id", EN.rubric_score("text").alias("s"))
     return d.select("doc_id", "s.activity_score", "s.services_need_score",
                     F.md5("s.summary").alias("summary_md5"))
 

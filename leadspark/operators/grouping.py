@@ -3,11 +3,12 @@
 A tenant may hold a third of all rows, so no operator may sort a whole
 tenant inside one task:
 
-* :func:`top_k_per_group` ranks in two stages. Stage 1 ranks within
-  ``(group, salt)`` buckets and keeps the first ``k`` of each; the literal
-  bound ``k_max`` lets Catalyst plan a partial ``WindowGroupLimit`` *before*
-  the shuffle, so at most ``k_max`` rows per bucket and map task move.
-  Stage 2 ranks the ``<= k * salts`` survivors of each group. The top ``k``
+* :func:`top_k_per_group` ranks as a two-level tree. The literal bound
+  ``k_max`` lets Catalyst plan a partial ``WindowGroupLimit`` *before* each
+  shuffle, so every map task sends at most ``k`` rows per bucket. Level 1
+  buckets are ``(group, map task mod salts)``: a hot group's partial results
+  from many map tasks are merged by ``salts`` reducers instead of one.
+  Level 2 ranks the ``<= k * salts`` survivors of each group. The top ``k``
   of a group is always among the per-bucket top ``k``, so this is exact.
 * :func:`row_number_per_group` numbers every row of a group in order with a
   range-partitioned global sort plus per-partition offsets; each task sorts
@@ -34,7 +35,10 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k, k_m
     """Rows ranked ``1..k`` per group by ``order`` (which must be a total
     order); ``k`` may be a per-row column bounded by the literal ``k_max``."""
     kc = _c(k) if not isinstance(k, int) else F.lit(k)
-    salt = F.pmod(F.xxhash64(*[_c(c) for c in salt_cols]), F.lit(salts))
+    # Bucket by the producing task (deterministic for a given input split):
+    # each level-1 reducer merges the partial top-k of 1/salts of the tasks.
+    # ``salt_cols`` is kept for callers; ties are broken by ``order``.
+    salt = F.pmod(F.spark_partition_id(), F.lit(salts))
     d = df.withColumn("_salt", salt)
     w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
     s1 = (d.withColumn("_rn1", F.row_number().over(w1))

@@ -186,14 +186,24 @@ def _sql_variant(valid, missing, invalid):
     return f"CASE event_id % 3 WHEN 0 THEN {valid} WHEN 1 THEN {missing} ELSE {invalid} END"
 
 
-P = F.col("props")
-EID = F.col("event_id").cast("string")
-
-SCORE_PAYLOAD = _variant(
-    F.replace(F.replace(P, F.lit('"k"'), F.lit('"services_need_score"')), F.lit("}"),
-              F.concat(F.lit(', "reasoning": "r", "summary_of_facts": "s'), EID, F.lit('"}'))),
-    F.replace(P, F.lit('"k"'), F.lit('"services_need_score"')),
-    F.concat(F.lit("{"), P))
+# Column builders are functions: nothing here may touch Spark at import time
+# (the oracle SQL is read without a session).
+def _p():
+    return F.col("props")
+
+
+def _eid():
+    return F.col("event_id").cast("string")
+
+def score_payload():
+    P, EID = _p(), _eid()
+    return _variant(
+        F.replace(F.replace(P, F.lit('"k"'), F.lit('"services_need_score"')), F.lit("}"),
+                  F.concat(F.lit(', "reasoning": "r", "summary_of_facts": "s'), EID, F.lit('"}'))),
+        F.replace(P, F.lit('"k"'), F.lit('"services_need_score"')),
+        F.concat(F.lit("{"), P))
+
+
 SCORE_SQL = _sql_variant(
     """replace(replace(props, '"k"', '"services_need_score"'), '}', ', "reasoning": "r", "summary_of_facts": "s' || event_id || '"}')""",
     """replace(props, '"k"', '"services_need_score"')""", "'{' || props")
@@ -225,15 +235,19 @@ SELECT event_id, CAST(0 AS BIGINT) AS activity_score,
   FROM o""")
 def target_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F15."""
-    e = _events(spark, sf_dir).select("event_id", PL.target_score(SCORE_PAYLOAD).alias("s"))
+    e = _events(spark, sf_dir).select("event_id", PL.target_score(score_payload()).alias("s"))
     return e.select("event_id", "s.*")
 
 
-NOVELTY_PAYLOAD = _variant(
-    F.replace(F.replace(P, F.lit('"k"'), F.lit('"novelty_score"')), F.lit("}"),
-              F.concat(F.lit(', "reasoning": "because '), EID, F.lit('"}'))),
-    F.replace(P, F.lit('"k"'), F.lit('"reasoning"')),
-    F.concat(F.lit("{"), P))
+def novelty_payload():
+    P, EID = _p(), _eid()
+    return _variant(
+        F.replace(F.replace(P, F.lit('"k"'), F.lit('"novelty_score"')), F.lit("}"),
+                  F.concat(F.lit(', "reasoning": "because '), EID, F.lit('"}'))),
+        F.replace(P, F.lit('"k"'), F.lit('"reasoning"')),
+        F.concat(F.lit("{"), P))
+
+
 NOVELTY_SQL = _sql_variant(
     """replace(replace(props, '"k"', '"novelty_score"'), '}', ', "reasoning": "because ' || event_id || '"}')""",
     """replace(props, '"k"', '"reasoning"')""", "'{' || props")
@@ -250,14 +264,18 @@ SELECT event_id,
   FROM e""")
 def novelty_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F16."""
-    e = _events(spark, sf_dir).select("event_id", PL.novelty(NOVELTY_PAYLOAD).alias("s"))
+    e = _events(spark, sf_dir).select("event_id", PL.novelty(novelty_payload()).alias("s"))
     return e.select("event_id", "s.*")
 
 
-QUERIES_PAYLOAD = _variant(
-    F.concat(F.lit('{"search_queries": ["'), F.replace(P, F.lit('"'), F.lit("")), F.lit('", "q'), EID,
-             F.lit('"]}')),
-    P, F.concat(F.lit("["), P))
+def queries_payload():
+    P, EID = _p(), _eid()
+    return _variant(
+        F.concat(F.lit('{"search_queries": ["'), F.replace(P, F.lit('"'), F.lit("")), F.lit('", "q'), EID,
+                 F.lit('"]}')),
+        P, F.concat(F.lit("["), P))
+
+
 QUERIES_SQL = _sql_variant(
     """'{"search_queries": ["' || replace(props, '"', '') || '", "q' || event_id || '"]}'""",
     "props", "'[' || props")
@@ -272,14 +290,18 @@ SELECT event_id, coalesce(CASE WHEN {_json_ok('j')} THEN
   FROM e""")
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F17 + F5."""
-    e = _events(spark, sf_dir).select("event_id", PL.search_queries(QUERIES_PAYLOAD).alias("queries"))
+    e = _events(spark, sf_dir).select("event_id", PL.search_queries(queries_payload()).alias("queries"))
     return e.select("event_id", "queries", TX.join_queries("queries").alias("query_text"))
 
 
 RANK_PREFIX = '{"rankings": [{"first_name": "a", "last_name": "b", "company": "c", "rank": '
-RANK_PAYLOAD = _variant(
-    F.concat(F.replace(P, F.lit('{"k": '), F.lit(RANK_PREFIX)), F.lit("]}")),
-    P, F.concat(F.lit("{"), P))
+def rank_payload():
+    P, EID = _p(), _eid()
+    return _variant(
+        F.concat(F.replace(P, F.lit('{"k": '), F.lit(RANK_PREFIX)), F.lit("]}")),
+        P, F.concat(F.lit("{"), P))
+
+
 RANK_SQL = _sql_variant(
     f"""replace(props, '{{"k": ', '{RANK_PREFIX}') || ']}}'""", "props", "'{' || props")
 
@@ -294,17 +316,21 @@ SELECT event_id, x.first_name AS first_name, x.last_name AS last_name, x.company
   FROM u""")
 def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F18 (JSON -> rows)."""
-    e = _events(spark, sf_dir).select("event_id", PL.rankings(RANK_PAYLOAD).alias("rs"))
+    e = _events(spark, sf_dir).select("event_id", PL.rankings(rank_payload()).alias("rs"))
     return e.select("event_id", F.inline("rs"))
 
 
-URL_PAYLOAD = _variant(
-    F.concat(F.lit('{"url_facebook": "https://facebook.com/p'), EID,
-             F.lit('", "url_linkedin": "https://linkedin.com/in/p'), EID,
-             F.lit('", "url_company": "https://c'), EID, F.lit('.example.com"}')),
-    F.concat(F.lit('{"url_facebook": "https://facebook.com/p'), EID,
-             F.lit('", "url_company": "https://c'), EID, F.lit('.example.com"}')),
-    F.concat(F.lit("{"), P))
+def url_payload():
+    P, EID = _p(), _eid()
+    return _variant(
+        F.concat(F.lit('{"url_facebook": "https://facebook.com/p'), EID,
+                 F.lit('", "url_linkedin": "https://linkedin.com/in/p'), EID,
+                 F.lit('", "url_company": "https://c'), EID, F.lit('.example.com"}')),
+        F.concat(F.lit('{"url_facebook": "https://facebook.com/p'), EID,
+                 F.lit('", "url_company": "https://c'), EID, F.lit('.example.com"}')),
+        F.concat(F.lit("{"), P))
+
+
 URL_SQL = _sql_variant(
     """'{"url_facebook": "https://facebook.com/p' || event_id || '", "url_linkedin": "https://linkedin.com/in/p' || event_id || '", "url_company": "https://c' || event_id || '.example.com"}'""",
     """'{"url_facebook": "https://facebook.com/p' || event_id || '", "url_company": "https://c' || event_id || '.example.com"}'""",
@@ -321,7 +347,7 @@ SELECT event_id,
   FROM e""")
 def url_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F19."""
-    e = _events(spark, sf_dir).select("event_id", PL.urls(URL_PAYLOAD).alias("s"))
+    e = _events(spark, sf_dir).select("event_id", PL.urls(url_payload()).alias("s"))
     return e.select("event_id", "s.*")
 
 

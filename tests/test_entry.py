@@ -22,3 +22,11 @@ def test_queries_run_small(spark):
     qs = E.queries()
     for name in ["p2_clean_contacts", "f4_search_period", "t4_corpus_search", "t7_novelty", "w4_weekly_shortlist"]:
         assert qs[name](spark, SF).count() >= 0
+
+
+def test_registry_loads_without_a_session():
+    import subprocess
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as E; print(len(E.oracle_sql()), len(E.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr

@@ -195,7 +195,7 @@ def _p():
 def _eid():
     return F.col("event_id").cast("string")
 
-def score_payload():
+def _score_json():
     P, EID = _p(), _eid()
     return _variant(
         F.replace(F.replace(P, F.lit('"k"'), F.lit('"services_need_score"')), F.lit("}"),
@@ -235,11 +235,11 @@ SELECT event_id, CAST(0 AS BIGINT) AS activity_score,
   FROM o""")
 def target_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F15."""
-    e = _events(spark, sf_dir).select("event_id", PL.target_score(score_payload()).alias("s"))
+    e = _events(spark, sf_dir).select("event_id", PL.target_score(_score_json()).alias("s"))
     return e.select("event_id", "s.*")
 
 
-def novelty_payload():
+def _novelty_json():
     P, EID = _p(), _eid()
     return _variant(
         F.replace(F.replace(P, F.lit('"k"'), F.lit('"novelty_score"')), F.lit("}"),
@@ -264,11 +264,11 @@ SELECT event_id,
   FROM e""")
 def novelty_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F16."""
-    e = _events(spark, sf_dir).select("event_id", PL.novelty(novelty_payload()).alias("s"))
+    e = _events(spark, sf_dir).select("event_id", PL.novelty(_novelty_json()).alias("s"))
     return e.select("event_id", "s.*")
 
 
-def queries_payload():
+def _queries_json():
     P, EID = _p(), _eid()
     return _variant(
         F.concat(F.lit('{"search_queries": ["'), F.replace(P, F.lit('"'), F.lit("")), F.lit('", "q'), EID,
@@ -290,12 +290,12 @@ SELECT event_id, coalesce(CASE WHEN {_json_ok('j')} THEN
   FROM e""")
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F17 + F5."""
-    e = _events(spark, sf_dir).select("event_id", PL.search_queries(queries_payload()).alias("queries"))
+    e = _events(spark, sf_dir).select("event_id", PL.search_queries(_queries_json()).alias("queries"))
     return e.select("event_id", "queries", TX.join_queries("queries").alias("query_text"))
 
 
 RANK_PREFIX = '{"rankings": [{"first_name": "a", "last_name": "b", "company": "c", "rank": '
-def rank_payload():
+def _rank_json():
     P, EID = _p(), _eid()
     return _variant(
         F.concat(F.replace(P, F.lit('{"k": '), F.lit(RANK_PREFIX)), F.lit("]}")),
@@ -316,11 +316,11 @@ SELECT event_id, x.first_name AS first_name, x.last_name AS last_name, x.company
   FROM u""")
 def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F18 (JSON -> rows)."""
-    e = _events(spark, sf_dir).select("event_id", PL.rankings(rank_payload()).alias("rs"))
+    e = _events(spark, sf_dir).select("event_id", PL.rankings(_rank_json()).alias("rs"))
     return e.select("event_id", F.inline("rs"))
 
 
-def url_payload():
+def _url_json():
     P, EID = _p(), _eid()
     return _variant(
         F.concat(F.lit('{"url_facebook": "https://facebook.com/p'), EID,
@@ -347,7 +347,7 @@ SELECT event_id,
   FROM e""")
 def url_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F19."""
-    e = _events(spark, sf_dir).select("event_id", PL.urls(url_payload()).alias("s"))
+    e = _events(spark, sf_dir).select("event_id", PL.urls(_url_json()).alias("s"))
     return e.select("event_id", "s.*")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..schemas import KEY3
 from .contacts import as_ts
-from .grouping import top_k_per_group
+from .grouping import row_number_per_group, top_k_per_group
 from .selection import whole_days
 from .sizing import broadcast_bounded, is_small, MAX_BROADCAST_TENANTS
 
@@ -82,27 +82,59 @@ def rank_features(text: Column) -> list[Column]:
             F.length(t).alias("_len")]
 
 
-def shortlist(cands: DataFrame, tenants: DataFrame, k_max: int,
+def tie_flags(cands: DataFrame, tenants: DataFrame,
               tenant_bound: DataFrame | bool | None = None) -> DataFrame:
-    """A6 + W3 + T8 + O5 + W4/O6 + P20: best ``max_emails`` leads per tenant.
-
-    When more rows share the top combined score than ``max_emails`` (a tie),
-    the tie group is ordered by the native ranking criteria; ``rank`` is the
-    resulting unique rank (1 = best) of the chosen tie rows. Otherwise rows
-    follow the combined score, ``search_id`` breaking equal scores.
-    ``k_max`` is a literal upper bound of every tenant's ``max_emails``.
-    """
+    """A6 + W3: candidates of the given tenants with ``top_score``,
+    ``top_count`` and ``_tie`` (more rows share the top combined score than
+    ``max_emails``). Per-tenant facts are aggregates broadcast back (at most
+    one row per tenant), not windows over a whole tenant."""
     bound = tenants if tenant_bound is None else tenant_bound
     small = bound if isinstance(bound, bool) else is_small(bound, MAX_BROADCAST_TENANTS)
     c = cands.join(broadcast_bounded(tenants.select("client", "max_emails"), small), "client")
-    # Per-tenant facts: one row per tenant of ``tenants`` at most.
     top = c.groupBy("client").agg(F.max("combined_score").alias("top_score"))
     c = c.join(broadcast_bounded(top, small), "client")
     n_top = (c.filter(F.col("combined_score") == F.col("top_score"))
              .groupBy("client").agg(F.count(F.lit(1)).alias("top_count")))
     c = c.join(broadcast_bounded(n_top, small), "client", "left")
     in_tie = (F.col("top_count") > F.col("max_emails")) & (F.col("combined_score") == F.col("top_score"))
-    c = c.select("*", *rank_features(F.col("search_results"))).withColumn("_tie", in_tie)
+    return c.withColumn("_tie", in_tie)
+
+
+# Texts per ranking request.
+RANK_BATCH = 6
+
+
+def ranking_requests(flagged: DataFrame, batch_size: int = RANK_BATCH) -> DataFrame:
+    """W6 + F31: the tie group of each tenant cut into requests of
+    ``batch_size`` texts in ``search_id`` order (for a provider-backed T8).
+    Rows are numbered with the range-partitioned numbering, so a huge tie
+    group is never sorted in one task; each request gathers at most
+    ``batch_size`` rows. The closing line states the request's own size."""
+    tie = flagged.filter(F.col("_tie")).select("client", "search_id", "first_name", "last_name",
+                                               "company", "search_results")
+    n = row_number_per_group(tie, ["client"], ["search_id"], name="tie_no")
+    n = n.withColumn("batch_no", F.floor((F.col("tie_no") - 1) / batch_size).cast("bigint"))
+    block = TX.rank_block("first_name", "last_name", "company", "search_results")
+    g = n.groupBy("client", "batch_no").agg(
+        F.array_sort(F.collect_list(F.struct("tie_no", block.alias("b")))).alias("bs"))
+    cnt = F.size("bs")
+    text = F.concat(F.array_join(F.transform("bs", lambda x: x["b"]), ""),
+                    F.format_string("There are %d texts. You must return %d rankings", cnt, cnt))
+    return g.select("client", "batch_no", cnt.cast("bigint").alias("n_texts"), text.alias("request"))
+
+
+def shortlist(cands: DataFrame, tenants: DataFrame, k_max: int,
+              tenant_bound: DataFrame | bool | None = None) -> DataFrame:
+    """A6 + W3 + T8 + O5 + W4/O6 + P20: best ``max_emails`` leads per tenant.
+
+    When more rows share the top combined score than ``max_emails`` (a tie),
+    the tie group is ordered by the native ranking criteria; ``rank`` is the
+    resulting unique rank (1 = best) of the chosen tie rows. Otherwise rows
+    follow the combined score, ``search_id`` breaking equal scores.
+    ``k_max`` is a literal upper bound of every tenant's ``max_emails``.
+    """
+    c = tie_flags(cands, tenants, tenant_bound)
+    c = c.select("*", *rank_features(F.col("search_results")))
     order = [F.col("combined_score").desc(),
              *[F.when(F.col("_tie"), F.col(x)).desc_nulls_last() for x in ("_promo", "_links", "_len")],
              F.col("search_id").asc()]

@@ -144,3 +144,20 @@ def history_update(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.col("email_batch_recipient"), picked_small=small)
     return u.select("client", "search_id", "email_date", "email_batch_recipient",
                     F.col("email_content").alias("email_subject"), "emailed_now")
+
+
+@register("w6_ranking_requests", O.with_views(
+    """SELECT client, CAST(floor((tie_no - 1) / 6) AS BIGINT) AS batch_no, count(*) AS n_texts,
+       string_agg('<text first_name="' || first_name || '", last_name="' || last_name || '", company="'
+                  || company || '">' || chr(10) || coalesce(x.text, 'None') || chr(10) || '</text>' || chr(10),
+                  '' ORDER BY tie_no)
+         || 'There are ' || count(*) || ' texts. You must return ' || count(*) || ' rankings' AS request
+  FROM (SELECT f.*, row_number() OVER (PARTITION BY f.client ORDER BY f.search_id) AS tie_no
+          FROM feat f WHERE tie) t
+  LEFT JOIN documents x ON x.doc_id = t.search_id
+ GROUP BY client, CAST(floor((tie_no - 1) / 6) AS BIGINT)""", SHORT_CTES))
+def ranking_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W6 + F31: ranking requests of six tied texts for every due tenant."""
+    c = _cands(spark, sf_dir).drop("search_results").join(
+        fx.history_text(spark, sf_dir), "search_id", "left")
+    return SH.ranking_requests(SH.tie_flags(c, _due_tenants(spark)))

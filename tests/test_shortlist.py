@@ -51,3 +51,13 @@ def test_searches_since_last_email(spark):
                    ("U", 3, "a", dt.datetime(2024, 3, 1), 1, 1, 1, None, "")])
     got = {r.client: r.searches_since_last_email for r in SH.searches_since_last_email(h).collect()}
     assert got == {"T": 1, "U": 1}
+
+
+def test_ranking_requests_batches_of_six(spark):
+    d = TODAY - dt.timedelta(days=1)
+    h = _h(spark, [("T", i, f"p{i}", d, 9, 1, 3, None, None) for i in range(1, 15)])
+    tenants = spark.createDataFrame([("T", 3)], "client string, max_emails bigint")
+    req = SH.ranking_requests(SH.tie_flags(SH.candidates(h, TODAY), tenants)).orderBy("batch_no").collect()
+    assert [r.n_texts for r in req] == [6, 6, 2]
+    assert req[2].request.endswith("There are 2 texts. You must return 2 rankings")
+    assert req[0].request.startswith('<text first_name="p1", last_name="l", company="co">\nNone\n</text>\n')

@@ -12,7 +12,7 @@ from ..operators import pricing as P
 from ..operators import report as RP
 from ..operators import shortlist as SH
 from ..registry import register
-from .shortlist import TODAY, _due_tenants, picked
+from .shortlist import SHORT_CTES, TODAY, _due_tenants, picked
 
 ROWS_PER_PAGE = 20
 PAGE = 9
@@ -150,7 +150,54 @@ def leads_with_email(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("first_name"), F.col("last_name"), F.col("company")))
 
 
-@register("t9_email_drafts")
+_TOKS = r"list_distinct(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+'))"
+
+
+def _render_sql(t):
+    r = f"replace(replace({t}, '{{{{', chr(1)), '}}}}', chr(2))"
+    for name, col in [("first_name", "first_name"), ("last_name", "last_name"), ("company", "company"),
+                      ("search_name_first", "first_name"), ("search_name_last", "last_name"),
+                      ("search_company", "company")]:
+        r = f"replace({r}, '{{{name}}}', coalesce({col}, 'None'))"
+    return f"replace(replace({r}, chr(1), '{{'), chr(2), '}}')"
+
+
+DRAFT_CTES = [
+    ("prompts", O.PROMPTS),
+    ("defaults", f"""SELECT * FROM (VALUES {O._values(fx.DEFAULT_PROMPT_ROWS)}) AS t(name, body)"""),
+    ("leads", """SELECT p.client, p.search_id, p.pick_rank, p.first_name, p.last_name, p.company,
+       x.text AS search_results,
+       coalesce((SELECT body FROM prompts r WHERE r.client = p.client AND r.name = 'email_template'),
+                (SELECT body FROM defaults d WHERE d.name = 'email_template')) AS email_template,
+       coalesce((SELECT body FROM prompts r WHERE r.client = p.client AND r.name = 'business_description'),
+                (SELECT body FROM defaults d WHERE d.name = 'business_description')) AS business
+  FROM picked p LEFT JOIN documents x ON x.doc_id = p.search_id"""),
+    ("paras", f"""SELECT search_id, p, i,
+       len(list_intersect({_TOKS.format(x='p')}, {_TOKS.format(x="coalesce(search_results, '')")})) AS n
+  FROM (SELECT search_id, search_results, unnest(ps) AS p, unnest(generate_series(1, len(ps))) AS i
+          FROM (SELECT search_id, search_results,
+                       list_filter(regexp_split_to_array(coalesce(business, ''), '\n\s*\n'),
+                                   lambda q: length(q) > 0) AS ps FROM leads) a) b"""),
+    ("best", "SELECT search_id, arg_max(p, n * 1000000 - i) AS best FROM paras GROUP BY search_id"),
+    ("drafted", f"""SELECT l.*, CASE WHEN b.best IS NOT NULL
+            THEN {_render_sql('l.email_template')} || chr(10) || chr(10) || b.best
+            ELSE {_render_sql('l.email_template')} END AS text0
+  FROM leads l LEFT JOIN best b ON l.search_id = b.search_id"""),
+    ("mailed", """SELECT *, CASE WHEN len(regexp_split_to_array(trim(text0), '\s+')) > 200
+            THEN array_to_string(regexp_split_to_array(trim(text0), '\s+')[1:200], ' ')
+            ELSE text0 END AS email_content
+  FROM drafted"""),
+]
+
+
+@register("t9_email_drafts", O.with_views(
+    """SELECT client, search_id, pick_rank,
+       'Proposed email for ' || first_name || ' ' || last_name || ' of ' || company AS email_subject,
+       email_content,
+       email_content || chr(10) || '=======================' || chr(10)
+         || 'This proposed email follows from the below search results:' || chr(10)
+         || coalesce(search_results, 'None') AS email_with_evidence
+  FROM mailed""", SHORT_CTES + DRAFT_CTES))
 def email_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The proposed e-mail of every shortlisted lead (F33 subject)."""
     from ..functions import text as TX
@@ -161,7 +208,53 @@ def email_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     TX.with_evidence("email_content", "search_results").alias("email_with_evidence"))
 
 
-@register("k8_report_rows")
+_FIND2 = r"https?://[^\s()\[\]{},]+"
+_STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+REPORT_CTES = [
+    ("since", """SELECT h.client, count(*) FILTER (WHERE h.search_date IS NOT NULL
+                        AND (m.last_email_date IS NULL OR h.search_date > m.last_email_date)) AS n_since
+  FROM history h JOIN (SELECT client, max(email_date) AS last_email_date FROM history GROUP BY client) m
+    ON h.client = m.client GROUP BY h.client"""),
+    ("cap", """SELECT *, company || ', ' || first_name || ' ' || last_name AS caption,
+       regexp_replace(replace(coalesce(search_results, ''), '\\n', chr(10)),
+                      '\\(\\s*(\\bhttps?://[^\\s\\)]+)\\s*\\)', '(\\1)', 'g') AS body
+  FROM mailed"""),
+    ("pieces", f"""SELECT *, regexp_split_to_array(body, '{_FIND2}') AS parts,
+       regexp_extract_all(body, '{_FIND2}') AS urls FROM cap"""),
+    ("runs", f"""SELECT client, pick_rank, 2 * (i - 1) AS k, 'text' AS kind, {_STRIP.format(x='parts[i]')} AS text,
+       CAST(NULL AS VARCHAR) AS url
+  FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM pieces) a
+UNION ALL
+SELECT client, pick_rank, 2 * (i - 1) + 1, 'link', {_STRIP.format(x='urls[i]')}, {_STRIP.format(x='urls[i]')}
+  FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM pieces) a WHERE i <= len(urls)"""),
+    ("nruns", "SELECT client, pick_rank, count(*) AS n_runs FROM runs GROUP BY client, pick_rank"),
+    ("tenants_r", """SELECT c.client, count(*) AS n_leads, coalesce(max(s.n_since), 0) AS n_since
+  FROM cap c LEFT JOIN since s ON c.client = s.client GROUP BY c.client"""),
+]
+
+REPORT_SQL = O.with_views("""SELECT client, 0 AS section_no, 1 AS line_no, 'h1' AS kind, 'Proposed Leads' AS text,
+       CAST(NULL AS VARCHAR) AS url FROM tenants_r
+UNION ALL SELECT client, 0, 2, 'p', 'As of Thu 02-Aug-2001', NULL FROM tenants_r
+UNION ALL SELECT client, 0, 3, 'p', 'Since the last email, ' || n_since
+       || ' searches were completed. These are the most promising leads:', NULL FROM tenants_r
+UNION ALL SELECT client, 0, 4, 'h2', 'Contents', NULL FROM tenants_r
+UNION ALL SELECT client, 0, n_leads + 5, 'h2', 'Results', NULL FROM tenants_r
+UNION ALL SELECT client, n_leads + 1, 0, 'h2', 'End of Report', NULL FROM tenants_r
+UNION ALL SELECT client, 0, pick_rank + 4, 'li', caption, NULL FROM cap
+UNION ALL SELECT client, pick_rank, 0, 'h3', caption, NULL FROM cap
+UNION ALL SELECT client, pick_rank, 1, 'p', 'Search Date: ' || strftime(search_date, '%a %d-%b-%Y'), NULL
+  FROM cap c JOIN history h USING (search_id, client)
+UNION ALL SELECT client, pick_rank, k + 2, kind, text, url FROM runs
+UNION ALL SELECT c.client, c.pick_rank, n.n_runs + 2, 'bold', 'Proposed Email', NULL
+  FROM cap c JOIN nruns n ON c.client = n.client AND c.pick_rank = n.pick_rank
+UNION ALL SELECT c.client, c.pick_rank, n.n_runs + 3, 'p', coalesce(c.email_content, ''), NULL
+  FROM cap c JOIN nruns n ON c.client = n.client AND c.pick_rank = n.pick_rank
+UNION ALL SELECT c.client, c.pick_rank, n.n_runs + 4, 'p', repeat('_', 50), NULL
+  FROM cap c JOIN nruns n ON c.client = n.client AND c.pick_rank = n.pick_rank""",
+    SHORT_CTES + DRAFT_CTES + REPORT_CTES)
+
+
+@register("k8_report_rows", REPORT_SQL)
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K8 + A4: the lead report of every due tenant as ordered lines."""
     leads = leads_with_email(spark, sf_dir)

@@ -145,6 +145,39 @@ def _d(s):
     return None if s is None else dt.datetime.fromisoformat(s)
 
 
+def _sql_lit(v, t) -> str:
+    """Spark SQL literal of a fixed value, typed by the target field."""
+    ts = t.simpleString()
+    if v is None:
+        return f"CAST(NULL AS {ts})"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (list, tuple)):
+        inner = t.elementType
+        return f"CAST(array({', '.join(_sql_lit(x, inner) for x in v)}) AS {ts})" if v else f"CAST(array() AS {ts})"
+    if isinstance(v, dt.datetime):
+        return f"TIMESTAMP_NTZ '{v.isoformat(sep=' ')}'"
+    if isinstance(v, dt.date):
+        return f"DATE '{v.isoformat()}'"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+    return f"CAST({v!r} AS {ts})"
+
+
+def local_table(spark: SparkSession, rows, schema) -> DataFrame:
+    """A fixed table as a JVM local relation (``VALUES``): no Python worker
+    is involved when it is scanned, and Catalyst knows its exact size."""
+    if isinstance(schema, str):
+        schema = spark.createDataFrame([], schema).schema
+    names = [f.name for f in schema.fields]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    vals = ",\n".join("(" + ", ".join(_sql_lit(v, f.dataType) for v, f in zip(r, schema.fields)) + ")"
+                      for r in rows)
+    cols = ", ".join(f"CAST({n} AS {f.dataType.simpleString()}) AS {n}" for n, f in zip(names, schema.fields))
+    return spark.sql(f"SELECT {cols} FROM VALUES {vals} AS t({', '.join(names)})")
+
+
 # The price list (file order = ord). Token prices per million,
 # search price per call.
 PRICE_ROWS = [
@@ -161,7 +194,7 @@ PRICE_ROWS = [
 
 def pricing(spark: SparkSession) -> DataFrame:
     rows = [(o, m, _d(s), _d(e), a, b, c) for o, m, s, e, a, b, c in PRICE_ROWS]
-    return spark.createDataFrame(rows, S.PRICING)
+    return local_table(spark, rows, S.PRICING)
 
 
 # Tenant subscriptions.
@@ -179,7 +212,7 @@ def subscriptions(spark: SparkSession) -> DataFrame:
     def day(s):
         return None if s is None else dt.date.fromisoformat(s)
     rows = [(c, day(s), day(e), b) for c, s, e, b in SUBSCRIPTION_ROWS]
-    return spark.createDataFrame(rows, S.SUBSCRIPTIONS)
+    return local_table(spark, rows, S.SUBSCRIPTIONS)
 
 
 # Per-tenant settings
@@ -197,7 +230,7 @@ SETTINGS_ROWS = [
 def settings(spark: SparkSession) -> DataFrame:
     rows = [(c, b, m, e, t, p, ls, le, days, send, "user@example.com", "team@example.com")
             for c, b, m, e, t, p, ls, le, days, send in SETTINGS_ROWS]
-    return spark.createDataFrame(rows, S.SETTINGS)
+    return local_table(spark, rows, S.SETTINGS)
 
 
 # The standard search query template (tenant prompt
@@ -224,8 +257,8 @@ DEFAULT_PROMPT_ROWS = [
 
 
 def prompts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PROMPT_ROWS, S.PROMPTS)
+    return local_table(spark, PROMPT_ROWS, S.PROMPTS)
 
 
 def default_prompts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DEFAULT_PROMPT_ROWS, "name string, body string")
+    return local_table(spark, DEFAULT_PROMPT_ROWS, "name string, body string")

@@ -141,18 +141,188 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PP.enrich_batch(batch, tenants, templates, docs, fx.history_text(spark, sf_dir), AS_OF)
 
 
-@register("t10_enrich_batch")
 def enrich_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1-T7 + T10 + T13: HISTORY rows of today's research for every
     runnable tenant's batch (native backend)."""
     from ..schemas import HISTORY
     e = enriched(spark, sf_dir)
     cols = [f.name for f in HISTORY.fields if f.name != "search_id"]
-    return e.select("contact_id", *cols)
+    return e.select(*cols)
 
 
-@register("t11_usage_rows")
 def usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T11 + P15: one CONSUMPTION row per call made by the day's research."""
     from ..operators import pipeline as PP
     return PP.usage_table(enriched(spark, sf_dir))
+
+
+# --- DuckDB oracle of the composed pipeline (T10) ---------------------------
+
+def _search_ctes(prefix: str, queries: str) -> list[tuple[str, str]]:
+    """tf-idf top-3 over the whole corpus for the (qid, query) rows of the
+    CTE ``queries``; mirrors :func:`leadspark.operators.enrich.search_index`."""
+    return [
+        (f"{prefix}_qt", f"SELECT DISTINCT qid, unnest(list_distinct({_tok('query')})) AS term FROM {queries}"),
+        (f"{prefix}_terms", f"SELECT DISTINCT term FROM {prefix}_qt"),
+        (f"{prefix}_tf", f"""SELECT i.doc_id, i.term, i.tf FROM idx i JOIN {prefix}_terms t ON i.term = t.term"""),
+        (f"{prefix}_df", f"SELECT term, count(*) AS df FROM {prefix}_tf GROUP BY term"),
+        (f"{prefix}_s", f"""SELECT q.qid, f.doc_id, sum(f.tf * ln(1 + ndocs.n / d.df)) AS raw_score
+  FROM {prefix}_qt q JOIN {prefix}_tf f ON q.term = f.term JOIN {prefix}_df d ON d.term = q.term, ndocs
+ GROUP BY q.qid, f.doc_id"""),
+        (f"{prefix}_top", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid
+         ORDER BY round(raw_score, 9) DESC, doc_id) AS rank FROM {prefix}_s) r WHERE rank <= 3"""),
+        (f"{prefix}_hits", f"""SELECT t.qid, list({{'url': 'https://' || d.source || '.example.org/doc/' || d.doc_id,
+                             'content': substring(d.text, 1, 500)}} ORDER BY t.rank) AS hits
+  FROM {prefix}_top t JOIN documents d ON d.doc_id = t.doc_id GROUP BY t.qid"""),
+    ]
+
+
+def _render(template: str, values: list[tuple[str, str]]) -> str:
+    r = f"replace(replace({template}, '{{{{', chr(1)), '}}}}', chr(2))"
+    for name, expr in values:
+        r = f"replace({r}, '{{{name}}}', coalesce({expr}, 'None'))"
+    return f"replace(replace({r}, chr(1), '{{'), chr(2), '}}')"
+
+
+def _e1(h: str) -> str:
+    body = f"coalesce(array_to_string(list_transform({h}, lambda x: x.content), chr(10) || chr(10)), '')"
+    cites = (f"array_to_string(list_transform(generate_series(1, len({h})), "
+             f"lambda i: i || ', ' || {h}[i].url), chr(10))")
+    return f"CASE WHEN len(coalesce({h}, [])) > 0 THEN {body} || chr(10) || chr(10) || {cites} ELSE {body} END"
+
+
+def _e2(h: str) -> str:
+    ok = f"list_filter(coalesce({h}, []), lambda x: x.url IS NOT NULL AND x.content IS NOT NULL)"
+    body = (f"array_to_string(list_transform({ok}, lambda x: 'URL: ' || x.url || chr(10) || 'Content: ' "
+            f"|| x.content || chr(10) || repeat('-', 50) || chr(10)), '')")
+    return f"CASE WHEN len({ok}) > 0 THEN {body} ELSE 'No search results available.' END"
+
+
+def _pipeline_ctes() -> list[tuple[str, str]]:
+    from ..operators import pipeline as PP
+    from .selection import BATCH_CTES
+    from .text_queries import PERIOD_SQL
+    std = fx.STANDARD_QUERY.replace("'", "''")
+    fields = [("first_name", "first_name"), ("last_name", "last_name"), ("company", "company"),
+              ("candidate.first_name", "first_name"), ("candidate.last_name", "last_name"),
+              ("candidate.company", "company"), ("search_period", "search_period")]
+    ev = fields + [("search_event_type", "search_event_type")]
+    props = [f"substring({_render(repr(p).replace(chr(92), ''), ev)}, 1, {PP.MAX_QUERY_CHARS})"
+             for p in PP.PROPOSALS]
+    question = ("'What kind of events, blogs and updates are typically published by ' || first_name || ' ' "
+                "|| last_name || ', who works as ' || coalesce(position, 'None') || ' at this company: ' "
+                "|| company || '. Ignore similar named companies and people. Focus on this one only.'")
+    any_fact = "(?i)" + "|".join(f"({p.replace('(?i)', '')})" for _, _, p in EN.RUBRIC)
+    rubric = " + ".join(f"CASE WHEN regexp_matches(search_raw, '{p}') THEN {pts} ELSE 0 END"
+                        for _, pts, p in EN.RUBRIC)
+    ctes = BATCH_CTES + [
+        ("prompts", O.PROMPTS),
+        ("batch", f"""SELECT r.*, t.max_tavily_searches, pr.body AS template,
+       r.client || '|' || r.first_name || '|' || r.last_name || '|' || r.company AS cid
+  FROM ranked r JOIN tenants t ON r.client = t.client
+  LEFT JOIN prompts pr ON pr.client = r.client AND pr.name = 'standard_query'
+ WHERE r.pick_rank <= r.batch_size"""),
+        ("per", """SELECT *, CASE WHEN last_search_date > TIMESTAMP '2001-08-02 00:00:00'
+                   THEN CAST(DATE '2001-08-02' - INTERVAL 3 MONTH AS DATE)
+                   ELSE coalesce(CAST(last_search_date AS DATE), CAST(DATE '2001-08-02' - INTERVAL 2 MONTH AS DATE))
+              END AS p0 FROM batch"""),
+        ("named", """SELECT *, list_transform(generate_series(CAST(date_trunc('month', p0) AS TIMESTAMP),
+                     TIMESTAMP '2001-08-02 00:00:00', INTERVAL 1 MONTH), lambda m: strftime(m, '%B %Y')) AS names
+  FROM per"""),
+        ("c0", f"SELECT *, {PERIOD_SQL} AS search_period, {question} AS event_q FROM named"),
+        ("idx", f"""SELECT doc_id, term, count(*) AS tf
+  FROM (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents) GROUP BY doc_id, term"""),
+        ("ndocs", "SELECT count(*) AS n FROM documents"),
+        ("q1", "SELECT cid AS qid, event_q AS query FROM c0"),
+    ] + _search_ctes("s1", "q1") + [
+        ("c1", """SELECT c0.*, coalesce(substring(split_part(coalesce(h.hits[1].content, ''), chr(10), 1), 1, 200), '')
+         AS search_event_type
+  FROM c0 LEFT JOIN s1_hits h ON h.qid = c0.cid"""),
+        ("c2", f"""SELECT *, [{props[0]}, {props[1]},
+         {_render(f"coalesce(template, '{std}')", fields)}] AS queries FROM c1"""),
+        ("q2", "SELECT cid || '#' || i AS qid, queries[i] AS query FROM (SELECT cid, queries, unnest([1, 2, 3]) AS i FROM c2)"),
+    ] + _search_ctes("s2", "q2") + [
+        ("c3", f"""SELECT c2.*, h1.hits AS h1, h2.hits AS h2, h3.hits AS h3 FROM c2
+  LEFT JOIN s2_hits h1 ON h1.qid = c2.cid || '#1'
+  LEFT JOIN s2_hits h2 ON h2.qid = c2.cid || '#2'
+  LEFT JOIN s2_hits h3 ON h3.qid = c2.cid || '#3'"""),
+        ("c4", f"""SELECT *, CASE WHEN coalesce(max_tavily_searches, 0) > 0
+            THEN [{_e1('h1')}, {_e1('h2')}, {_e1('h3')}, {_e2('h1')}]
+            ELSE [{_e1('h1')}, {_e1('h2')}, {_e1('h3')}] END AS results FROM c3"""),
+        ("c5", """SELECT *, array_to_string(results, '/n===/n') AS search_raw,
+       array_to_string(queries, chr(10) || '===' || chr(10)) AS search_query FROM c4"""),
+        ("c6", f"""SELECT c5.*, CAST(least({rubric}, 10) AS BIGINT) AS services_need_score,
+       array_to_string(list_filter(string_split(search_raw, chr(10)), lambda s: regexp_matches(s, '{any_fact}')),
+                       chr(10)) AS search_results,
+       {_tok('search_raw')} AS raw_toks,
+       list_distinct({_tok("coalesce(d.text, '')")}) AS prev_toks
+  FROM c5 LEFT JOIN documents d ON d.doc_id = c5.last_search_id"""),
+        ("c7", """SELECT *, list_distinct(raw_toks) AS a, prev_toks AS b FROM c6"""),
+        ("c8", """SELECT *, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 0 WHEN len(b) = 0 THEN 10
+            ELSE CAST(floor(10.0 * (1.0 - len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))))
+                 + 0.5) AS BIGINT) END AS novelty_score FROM c7"""),
+    ] + _url_ctes()
+    return ctes
+
+
+def _pipeline_sql() -> str:
+    body = """SELECT c8.client, first_name, last_name, company,
+       TIMESTAMP '2001-08-02 00:00:00' AS search_date, search_event_type, search_query, search_raw,
+       u.url_facebook, u.url_linkedin, u.url_company, search_results, novelty_score,
+       CAST(0 AS BIGINT) AS activity_score, services_need_score,
+       novelty_score + services_need_score AS total_score,
+       CAST(NULL AS TIMESTAMP) AS email_date, CAST(NULL AS VARCHAR) AS email_content,
+       CAST(NULL AS VARCHAR) AS email_batch_recipient
+  FROM c8 JOIN urls u ON u.cid = c8.cid"""
+    return O.with_views(body, _pipeline_ctes())
+
+
+def _usage_sql() -> str:
+    def n(x):
+        return f"CAST(len(regexp_extract_all({x}, '[^ \\t\\n\\x0B\\f\\r]+')) AS BIGINT)"
+    calls = [
+        ("'search_event_type'", 1, "event_q", "search_event_type"),
+        ("'search_proposal_agent'", 0, "event_q", "array_to_string(queries[1:2], chr(10) || '===' || chr(10))"),
+        ("'search_engine_1'", 1, "queries[1]", "results[1]"),
+        ("'search_engine_1'", 1, "queries[2]", "results[2]"),
+        ("'search_engine_1'", 1, "queries[3]", "results[3]"),
+        ("'search_engine_2'", 1, "queries[1]", "results[len(results)]"),
+        ("'url_extraction_agent'", 0, "search_raw",
+         "concat_ws(' ', u.url_facebook, u.url_linkedin, u.url_company)"),
+        ("'target_score_agent'", 0, "search_raw", "search_results"),
+        ("'results_comparison_agent'", 0, "search_raw", "CAST(novelty_score AS VARCHAR)"),
+    ]
+    parts = []
+    for i, (fn, sc, a, b) in enumerate(calls):
+        if fn == "'search_engine_2'":
+            no, cond = "5", "coalesce(max_tavily_searches, 0) > 0"
+        else:
+            no = str(i) if i < 5 else f"{i} - CASE WHEN coalesce(max_tavily_searches, 0) > 0 THEN 0 ELSE 1 END"
+            cond = "TRUE"
+        parts.append(f"""SELECT c8.client, TIMESTAMP '2001-08-02 00:00:00' AS search_date, {fn} AS function,
+       'native' AS model, CAST({sc} AS BIGINT) AS search_calls, {n(a)} AS input_tokens, {n(b)} AS output_tokens,
+       CAST({no} AS BIGINT) AS call_no
+  FROM c8 JOIN urls u ON u.cid = c8.cid WHERE {cond}""")
+    return O.with_views("\nUNION ALL\n".join(parts), _pipeline_ctes())
+
+
+def _url_ctes() -> list[tuple[str, str]]:
+    fb = r"'^https?://([a-z0-9-]+\.)*facebook\.com/[^/?#]'"
+    li = r"'^https?://([a-z0-9-]+\.)*linkedin\.com/in/'"
+    return [
+        ("uu", f"SELECT cid, regexp_extract_all(search_raw, '{_FIND}') AS urls FROM c8"),
+        ("uhs", f"""SELECT cid, urls, list_filter(list_transform(urls, lambda x: {_HOSTX}),
+          lambda h: length(h) > 0 AND NOT regexp_matches(h, '(^|\\.)(facebook|linkedin)\\.com$')) AS hosts FROM uu"""),
+        ("uh", "SELECT cid, unnest(hosts) AS host, unnest(generate_series(1, len(hosts))) AS pos FROM uhs"),
+        ("uc", "SELECT cid, host, count(*) AS n, min(pos) AS p FROM uh GROUP BY cid, host"),
+        ("ub", "SELECT cid, arg_max(host, n * 1000000 - p) AS host FROM uc GROUP BY cid"),
+        ("urls", f"""SELECT uhs.cid,
+       coalesce(list_filter(urls, lambda x: regexp_matches(lower(x), {fb}))[1], '') AS url_facebook,
+       coalesce(list_filter(urls, lambda x: regexp_matches(lower(x), {li}))[1], '') AS url_linkedin,
+       coalesce('https://' || ub.host, '') AS url_company
+  FROM uhs LEFT JOIN ub ON uhs.cid = ub.cid"""),
+    ]
+
+
+register("t10_enrich_batch", _pipeline_sql())(enrich_batch)
+register("t11_usage_rows", _usage_sql())(usage_rows)

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..schemas import KEY3
 from . import enrich as EN
+from . import provider as PV
+from ..functions import payloads as PL
+from .sizing import broadcast_bounded, maybe_broadcast
 
 # Templates of the two proposed queries (T2) and their cap.
 PROPOSALS = [
@@ -47,7 +50,7 @@ def engine1_text(h: Column) -> Column:
 
 def enrich_batch(batch: DataFrame, tenants: DataFrame, standard_templates: DataFrame,
                  docs: DataFrame, prev_texts: DataFrame, as_of, k: int = EN.DEFAULT_TOP_K,
-                 tenants_small: bool = True) -> DataFrame:
+                 tenant_bound: DataFrame | bool | None = None) -> DataFrame:
     """Run the native pipeline for every contact of ``batch``.
 
     ``batch``: client, first_name, last_name, company, position,
@@ -56,14 +59,14 @@ def enrich_batch(batch: DataFrame, tenants: DataFrame, standard_templates: DataF
     overrides; default otherwise). ``docs``: doc_id, text, source.
     ``prev_texts``: search_id, search_results of stored searches.
     Returns one row per contact with the HISTORY columns plus ``usage``
-    (array of call records) and ``contact_id``.
+    (array of call records) and ``contact_id``. ``tenant_bound``: the
+    dimension table (or its check result) bounding ``tenants``' rows.
     """
     from ..fixtures import STANDARD_QUERY  # the default template
 
-    t = tenants.select("client", "max_tavily_searches")
-    st = standard_templates.select("client", "template")
-    if tenants_small:  # both are per-tenant tables (one row each)
-        t, st = F.broadcast(t), F.broadcast(st)
+    t = broadcast_bounded(tenants.select("client", "max_tavily_searches"),
+                          tenants if tenant_bound is None else tenant_bound)
+    st = maybe_broadcast(standard_templates.select("client", "template"))  # a prompt table
     # The batch is today's durable decision and small (<= tenants x 999):
     # materialise it once so later size checks and stages never re-run the
     # selection plan.
@@ -171,3 +174,42 @@ def usage_table(enriched: DataFrame) -> DataFrame:
     u = enriched.select("client", "search_date", F.posexplode("usage").alias("call_no", "u"))
     return u.select("client", "search_date", "u.function", "u.model", "u.search_calls",
                     "u.input_tokens", "u.output_tokens", "call_no")
+
+
+USAGE_TYPE = ("array<struct<function:string,model:string,search_calls:bigint,"
+              "input_tokens:bigint,output_tokens:bigint>>")
+
+
+def rescore_with_provider(enriched: DataFrame, factory, partitions: int,
+                          calls_per_minute: float = PV.CALLS_PER_MINUTE) -> DataFrame:
+    """T6 + T7 through an external provider (T12): one scoring and one
+    comparison request per contact, answers parsed with F15/F16, scores and
+    usage records of those two steps replaced by the provider's. Requests
+    are at most two per contact of the batch."""
+    e = enriched
+    req = e.select(F.explode(F.array(
+        F.struct(F.concat(F.col("contact_id").cast("string"), F.lit(":s")).alias("request_id"),
+                 F.lit(FN_SCORE).alias("function"), F.col("search_raw").alias("prompt")),
+        F.struct(F.concat(F.col("contact_id").cast("string"), F.lit(":n")).alias("request_id"),
+                 F.lit(FN_NOVELTY).alias("function"), F.col("search_raw").alias("prompt")))).alias("r")
+    ).select("r.*")
+    ans = PV.call_provider(req, factory, partitions, calls_per_minute)
+    a = ans.select(F.split("request_id", ":")[0].cast("bigint").alias("contact_id"), "function",
+                   "response", F.struct("function", "model", F.lit(0).cast("bigint").alias("search_calls"),
+                                        "input_tokens", "output_tokens").alias("call"))
+    per = a.groupBy("contact_id").agg(
+        F.max(F.when(F.col("function") == FN_SCORE, F.col("response"))).alias("_score_json"),
+        F.max(F.when(F.col("function") == FN_NOVELTY, F.col("response"))).alias("_nov_json"),
+        F.collect_list("call").alias("_calls"))  # two per contact
+    j = e.join(per, "contact_id", "left")
+    sc = PL.target_score(F.col("_score_json"))
+    nv = PL.novelty(F.col("_nov_json"))
+    kept = F.filter("usage", lambda u: ~u["function"].isin(FN_SCORE, FN_NOVELTY))
+    return (j.withColumn("services_need_score", sc["services_need_score"])
+            .withColumn("activity_score", sc["activity_score"])
+            .withColumn("search_results", sc["summary"])
+            .withColumn("novelty_score", nv["novelty_score"])
+            .withColumn("total_score", F.col("novelty_score") + F.col("activity_score")
+                        + F.col("services_need_score"))
+            .withColumn("usage", F.concat(kept, F.coalesce("_calls", F.array().cast(USAGE_TYPE))))
+            .drop("_score_json", "_nov_json", "_calls"))

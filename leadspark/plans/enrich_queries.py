@@ -128,7 +128,7 @@ def novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- T10 / T11: the day's research over the whole batch --------------------
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import pipeline as PP
+    from ..operators import research as PP
     from ..operators import selection as SL
     from .selection import AS_OF, SEED, _tenants
     settings = fx.settings(spark)
@@ -138,7 +138,8 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     templates = fx.prompts(spark).filter(F.col("name") == "standard_query").select(
         "client", F.col("body").alias("template"))
     docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return PP.enrich_batch(batch, tenants, templates, docs, fx.history_text(spark, sf_dir), AS_OF)
+    return PP.enrich_batch(batch, tenants, templates, docs, fx.history_text(spark, sf_dir), AS_OF,
+                           tenant_bound=settings)
 
 
 def enrich_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +153,7 @@ def enrich_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T11 + P15: one CONSUMPTION row per call made by the day's research."""
-    from ..operators import pipeline as PP
+    from ..operators import research as PP
     return PP.usage_table(enriched(spark, sf_dir))
 
 
@@ -198,8 +199,8 @@ def _e2(h: str) -> str:
     return f"CASE WHEN len({ok}) > 0 THEN {body} ELSE 'No search results available.' END"
 
 
-def _pipeline_ctes() -> list[tuple[str, str]]:
-    from ..operators import pipeline as PP
+def _research_ctes() -> list[tuple[str, str]]:
+    from ..operators import research as PP
     from .selection import BATCH_CTES
     from .text_queries import PERIOD_SQL
     std = fx.STANDARD_QUERY.replace("'", "''")
@@ -265,7 +266,7 @@ def _pipeline_ctes() -> list[tuple[str, str]]:
     return ctes
 
 
-def _pipeline_sql() -> str:
+def _research_sql() -> str:
     body = """SELECT c8.client, first_name, last_name, company,
        TIMESTAMP '2001-08-02 00:00:00' AS search_date, search_event_type, search_query, search_raw,
        u.url_facebook, u.url_linkedin, u.url_company, search_results, novelty_score,
@@ -274,7 +275,7 @@ def _pipeline_sql() -> str:
        CAST(NULL AS TIMESTAMP) AS email_date, CAST(NULL AS VARCHAR) AS email_content,
        CAST(NULL AS VARCHAR) AS email_batch_recipient
   FROM c8 JOIN urls u ON u.cid = c8.cid"""
-    return O.with_views(body, _pipeline_ctes())
+    return O.with_views(body, _research_ctes())
 
 
 def _usage_sql() -> str:
@@ -303,7 +304,7 @@ def _usage_sql() -> str:
        'native' AS model, CAST({sc} AS BIGINT) AS search_calls, {n(a)} AS input_tokens, {n(b)} AS output_tokens,
        CAST({no} AS BIGINT) AS call_no
   FROM c8 JOIN urls u ON u.cid = c8.cid WHERE {cond}""")
-    return O.with_views("\nUNION ALL\n".join(parts), _pipeline_ctes())
+    return O.with_views("\nUNION ALL\n".join(parts), _research_ctes())
 
 
 def _url_ctes() -> list[tuple[str, str]]:
@@ -324,5 +325,5 @@ def _url_ctes() -> list[tuple[str, str]]:
     ]
 
 
-register("t10_enrich_batch", _pipeline_sql())(enrich_batch)
+register("t10_enrich_batch", _research_sql())(enrich_batch)
 register("t11_usage_rows", _usage_sql())(usage_rows)

@@ -161,13 +161,19 @@ def history_update(history: DataFrame, picked: DataFrame, today, content: Column
             .withColumn("emailed_now", hit).drop("_ed", "_ec", "_er"))
 
 
-def searches_since_last_email(history: DataFrame) -> DataFrame:
+def searches_since_last_email(history: DataFrame, tenants: DataFrame | None = None) -> DataFrame:
     """A4 + A5: per tenant the latest e-mail date and how many dated searches
-    came after it (all dated searches when the tenant never e-mailed)."""
-    # No size proof for a per-tenant aggregate of the whole history: the
-    # join is left to AQE (broadcast after measuring, else skew split).
+    came after it (all dated searches when the tenant never e-mailed).
+
+    With ``tenants`` (a dimension table, size-checked) the history is first
+    cut to those tenants, so the per-tenant maximum is bounded by that table
+    and is broadcast back; without it the join is left to AQE."""
+    small = False
+    if tenants is not None:
+        small = is_small(tenants, MAX_BROADCAST_TENANTS)
+        history = history.join(broadcast_bounded(tenants.select("client"), small), "client", "left_semi")
     last = history.groupBy("client").agg(F.max("email_date").alias("last_email_date"))
-    h = history.join(last, "client")
+    h = history.join(broadcast_bounded(last, small), "client")
     after = F.col("search_date").isNotNull() & (
         F.col("last_email_date").isNull() | (F.col("search_date") > F.col("last_email_date")))
     return h.groupBy("client", "last_email_date").agg(

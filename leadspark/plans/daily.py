@@ -85,7 +85,7 @@ def run_daily(spark: SparkSession, sf_dir: str, out: str, as_of=fx.AS_OF_CONTACT
     small = is_small(settings, MAX_BROADCAST_TENANTS // k_max)
     updated = SH.history_update(history, leads, as_of, F.col("email_content"),
                                 F.col("email_batch_recipient"), picked_small=small)
-    report = RP.report_lines(leads, SH.searches_since_last_email(history), as_of)
+    report = RP.report_lines(leads, SH.searches_since_last_email(history, settings), as_of)
     K.write_partitioned(report, posixpath.join(out, "report"))
     K.update_history(updated.filter("emailed_now").select(*HISTORY_COLS),
                      posixpath.join(out, "history_emailed"), picked)

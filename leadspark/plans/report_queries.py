@@ -258,6 +258,6 @@ UNION ALL SELECT c.client, c.pick_rank, n.n_runs + 4, 'p', repeat('_', 50), NULL
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K8 + A4: the lead report of every due tenant as ordered lines."""
     leads = leads_with_email(spark, sf_dir)
-    since = SH.searches_since_last_email(fx.history(spark, sf_dir))
+    since = SH.searches_since_last_email(fx.history(spark, sf_dir), fx.settings(spark))
     return RP.report_lines(leads, since, TODAY).select(
         "client", "section_no", "line_no", "kind", "text", "url")

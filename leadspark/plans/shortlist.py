@@ -122,7 +122,7 @@ def weekly_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
   GROUP BY h.client, m.last_email_date""", SHORT_CTES))
 def searches_since_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4 + A5."""
-    return SH.searches_since_last_email(fx.history(spark, sf_dir))
+    return SH.searches_since_last_email(fx.history(spark, sf_dir), fx.settings(spark))
 
 
 @register("k6_history_update", O.with_views(

@@ -95,6 +95,11 @@ def load_contacts(spark: SparkSession, path: str, fmt: str = "parquet",
     return c.orderBy("client", "first_name", "last_name", "company")
 
 
+def nan_to_null(c: str):
+    """One missing-value marker (NaN in a double becomes NULL)."""
+    return F.when(~F.isnan(F.col(c)), F.col(c))
+
+
 # Raw price list as it lands (dates as text, possibly dirty).
 PRICING_RAW = "ord bigint, model string, start_date string, end_date string, " \
               "input_price double, output_price double, search_price double"
@@ -109,7 +114,7 @@ def load_prices(spark: SparkSession, path: str, fmt: str = "csv", **options) ->
         "ord", "model",
         F.try_to_timestamp(F.col("start_date")).cast("timestamp_ntz").alias("start_date"),
         F.try_to_timestamp(F.col("end_date")).cast("timestamp_ntz").alias("end_date"),
-        "input_price", "output_price", "search_price",
+        *[nan_to_null(c).alias(c) for c in ("input_price", "output_price", "search_price")],
         F.col("start_date").alias("_raw_start"))
     checks = parsed.agg(
         F.count(F.lit(1)).alias("n"),

@@ -29,7 +29,6 @@ PROPOSALS = [
 ]
 MAX_QUERY_CHARS = 350
 NATIVE_MODEL = "native"
-EVENT_TYPE_CHARS = 200
 
 # Function names of the usage rows, one per call.
 FN_EVENT, FN_PROPOSAL, FN_SEARCH1, FN_SEARCH2 = (
@@ -89,10 +88,11 @@ def enrich_batch(batch: DataFrame, tenants: DataFrame, standard_templates: DataF
     top1 = EN.search_index(index, n_docs, q1, k=k, id_col="qid")
     h1 = EN.hits(top1, docs, id_col="qid")
     ev = h1.select(F.col("qid.contact_id").alias("contact_id"), F.col("hits").alias("event_hits"))
+    # The event type is the first line of the best document (whole line).
     c = c.join(ev, "contact_id", "left").withColumn(
-        "search_event_type", F.coalesce(F.substring(F.split(
+        "search_event_type", F.coalesce(F.split(
             F.coalesce(F.try_element_at("event_hits", F.lit(1))["content"], F.lit("")), "\n")[0],
-            1, EVENT_TYPE_CHARS), F.lit("")))
+            F.lit("")))
 
     # T2 + T3: proposals and the standard query.
     fields["search_event_type"] = F.col("search_event_type")

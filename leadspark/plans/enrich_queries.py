@@ -173,7 +173,7 @@ def _search_ctes(prefix: str, queries: str) -> list[tuple[str, str]]:
         (f"{prefix}_top", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid
          ORDER BY round(raw_score, 9) DESC, doc_id) AS rank FROM {prefix}_s) r WHERE rank <= 3"""),
         (f"{prefix}_hits", f"""SELECT t.qid, list({{'url': 'https://' || d.source || '.example.org/doc/' || d.doc_id,
-                             'content': substring(d.text, 1, 500)}} ORDER BY t.rank) AS hits
+                             'content': d.text}} ORDER BY t.rank) AS hits
   FROM {prefix}_top t JOIN documents d ON d.doc_id = t.doc_id GROUP BY t.qid"""),
     ]
 
@@ -236,7 +236,7 @@ def _research_ctes() -> list[tuple[str, str]]:
         ("ndocs", "SELECT count(*) AS n FROM documents"),
         ("q1", "SELECT cid AS qid, event_q AS query FROM c0"),
     ] + _search_ctes("s1", "q1") + [
-        ("c1", """SELECT c0.*, coalesce(substring(split_part(coalesce(h.hits[1].content, ''), chr(10), 1), 1, 200), '')
+        ("c1", """SELECT c0.*, coalesce(split_part(coalesce(h.hits[1].content, ''), chr(10), 1), '')
          AS search_event_type
   FROM c0 LEFT JOIN s1_hits h ON h.qid = c0.cid"""),
         ("c2", f"""SELECT *, [{props[0]}, {props[1]},

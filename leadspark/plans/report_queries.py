@@ -176,15 +176,15 @@ DRAFT_CTES = [
        len(list_intersect({_TOKS.format(x='p')}, {_TOKS.format(x="coalesce(search_results, '')")})) AS n
   FROM (SELECT search_id, search_results, unnest(ps) AS p, unnest(generate_series(1, len(ps))) AS i
           FROM (SELECT search_id, search_results,
-                       list_filter(regexp_split_to_array(coalesce(business, ''), '\n\s*\n'),
+                       list_filter(regexp_split_to_array(coalesce(business, ''), '\\n\\s*\\n'),
                                    lambda q: length(q) > 0) AS ps FROM leads) a) b"""),
     ("best", "SELECT search_id, arg_max(p, n * 1000000 - i) AS best FROM paras GROUP BY search_id"),
     ("drafted", f"""SELECT l.*, CASE WHEN b.best IS NOT NULL
             THEN {_render_sql('l.email_template')} || chr(10) || chr(10) || b.best
             ELSE {_render_sql('l.email_template')} END AS text0
   FROM leads l LEFT JOIN best b ON l.search_id = b.search_id"""),
-    ("mailed", """SELECT *, CASE WHEN len(regexp_split_to_array(trim(text0), '\s+')) > 200
-            THEN array_to_string(regexp_split_to_array(trim(text0), '\s+')[1:200], ' ')
+    ("mailed", """SELECT *, CASE WHEN len(regexp_split_to_array(trim(text0), '\\s+')) > 200
+            THEN array_to_string(regexp_split_to_array(trim(text0), '\\s+')[1:200], ' ')
             ELSE text0 END AS email_content
   FROM drafted"""),
 ]

@@ -28,17 +28,42 @@ TOKEN = r"[\p{L}\p{N}]+"
 MAX_BROADCAST_TERMS = 2_000_000
 DEFAULT_TOP_K = 3
 
-# The business-need rubric (metric, points, pattern). Points
+# The business-need rubric (metric, points, keywords). Points
 # follow the scoring guide: A +3 case study, B +2 news/launch, C +1 recent
-# activity, D +4 promotable fact; the total is capped at 10.
-_W = r"(^|[^\p{L}\p{N}_])"
-_E = r"([^\p{L}\p{N}_]|$)"
+# activity, D +4 promotable fact; the total is capped at 10. Keywords match
+# whole words of the lower-cased text.
 RUBRIC = [
-    ("A", 3, rf"(?i){_W}(case stud(y|ies)|customer stor(y|ies)|success stor(y|ies)){_E}"),
-    ("B", 2, rf"(?i){_W}(launch(ed|es)?|releas(e|ed|es)|announc(e|ed|es|ement)|news){_E}"),
-    ("C", 1, rf"(?i){_W}(blog|post(ed|s)?|events?|webinars?|conferences?|updates?){_E}"),
-    ("D", 4, rf"(?i){_W}(awards?|records?|milestones?|partnerships?|expansion|funding){_E}"),
+    ("A", 3, r"case stud(y|ies)|customer stor(y|ies)|success stor(y|ies)"),
+    ("B", 2, r"launch(ed|es)?|releas(e|ed|es)|announc(e|ed|es|ement)|news"),
+    ("C", 1, r"blog|post(ed|s)?|events?|webinars?|conferences?|updates?"),
+    ("D", 4, r"awards?|records?|milestones?|partnerships?|expansion|funding"),
 ]
+# Literal stems every keyword of a rubric line starts with (a cheap substring
+# test before the word-boundary regex runs).
+RUBRIC_STEMS = {
+    "A": ["case stud", "customer stor", "success stor"],
+    "B": ["launch", "releas", "announc", "news"],
+    "C": ["blog", "post", "event", "webinar", "conference", "update"],
+    "D": ["award", "record", "milestone", "partnership", "expansion", "funding"],
+}
+_WORD_CHAR = r"[\p{L}\p{N}_]"
+
+
+def word_pattern(keywords: str) -> str:
+    """Whole-word match (Java regex): look-arounds test the neighbours
+    without consuming them, so each position is tried once."""
+    return rf"(?<!{_WORD_CHAR})(?:{keywords})(?!{_WORD_CHAR})"
+
+
+def word_pattern_re2(keywords: str) -> str:
+    """The same matches for an engine without look-arounds (RE2)."""
+    return rf"(^|[^\p{{L}}\p{{N}}_])({keywords})([^\p{{L}}\p{{N}}_]|$)"
+
+
+def any_keyword(rubric=None) -> str:
+    return "|".join(f"(?:{kw})" for _, _, kw in (rubric or RUBRIC))
+
+
 MAX_SCORE = 10
 
 
@@ -164,15 +189,30 @@ def extract_urls(text) -> Column:
 
 def rubric_score(text, rubric=RUBRIC) -> Column:
     """struct(activity_score 0, services_need_score, summary). Points of
-    every rubric line whose pattern occurs, capped at 10; the summary is the
-    text lines that carry a fact."""
-    t = F.coalesce(TX.col(text), F.lit(""))
-    total = sum((F.when(t.rlike(p), F.lit(pts)).otherwise(F.lit(0)) for _, pts, p in rubric), F.lit(0))
-    any_fact = "|".join(f"({p.replace('(?i)', '')})" for _, _, p in rubric)
-    lines = F.filter(F.split(t, "\n", -1), lambda s: s.rlike("(?i)" + any_fact))
+    every rubric line whose keywords occur (whole words, any case), capped
+    at 10; the summary is the text lines that carry a fact.
+
+    Long texts are tested with plain substring searches for the keyword
+    stems first; the word-boundary regex only runs where a stem occurs, and
+    lines are only searched when the text has a fact at all."""
+    raw = F.coalesce(TX.col(text), F.lit(""))
+    t = F.lower(raw)
+    flags = []
+    for metric, pts, kw in rubric:
+        stem = F.lit(False)
+        for st in RUBRIC_STEMS[metric]:
+            stem = stem | (F.instr(t, st) > 0)
+        flags.append((pts, stem & t.rlike(word_pattern(kw))))
+    total = sum((F.when(f, F.lit(pts)).otherwise(F.lit(0)) for pts, f in flags), F.lit(0))
+    any_fact = F.lit(False)
+    for _, f in flags:
+        any_fact = any_fact | f
+    fact = word_pattern(any_keyword(rubric))
+    lines = F.filter(F.split(raw, "\n", -1), lambda s: F.lower(s).rlike(fact))
+    summary = F.when(any_fact, F.array_join(lines, "\n")).otherwise(F.lit(""))
     return F.struct(F.lit(0).cast("bigint").alias("activity_score"),
                     F.least(total, F.lit(MAX_SCORE)).cast("bigint").alias("services_need_score"),
-                    F.array_join(lines, "\n").alias("summary"))
+                    summary.alias("summary"))
 
 
 # --- T7 -------------------------------------------------------------------

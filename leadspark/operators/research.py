@@ -20,7 +20,10 @@ from ..schemas import KEY3
 from . import enrich as EN
 from . import provider as PV
 from ..functions import payloads as PL
-from .sizing import broadcast_bounded, maybe_broadcast
+from .sizing import broadcast_bounded, is_small, maybe_broadcast, spread
+
+# Search ids of one day's batch: bounded by tenants x 999.
+MAX_BROADCAST_IDS = 2_000_000
 
 # Templates of the two proposed queries (T2) and their cap.
 PROPOSALS = [
@@ -117,14 +120,26 @@ def enrich_batch(batch: DataFrame, tenants: DataFrame, standard_templates: DataF
     use_e2 = F.coalesce(F.col("max_tavily_searches"), F.lit(0)) > 0
     e2 = TX.hits_text(hits_at(F.lit(1)))
     results = F.when(use_e2, F.concat(e1, F.array(e2))).otherwise(e1)
-    c = c.withColumn("results", results).withColumn("search_raw", TX.join_results("results"))
+    # Materialise the research texts once (one row per contact): every later
+    # step reads them several times, and Catalyst would otherwise inline the
+    # text-building expressions into each use.
+    c = (c.withColumn("results", results).withColumn("search_raw", TX.join_results("results"))
+         .drop("qhits", "event_hits").checkpoint(eager=True))
+    # A day's batch is a few rows per tenant but each carries long texts:
+    # spread them over the cores for the regex and token work below.
+    c = spread(c)
 
     # T5, T6.
     c = (c.withColumn("_u", EN.extract_urls("search_raw"))
          .withColumn("_s", EN.rubric_score("search_raw")))
     # Previous result text of the person's latest stored search.
-    prev = prev_texts.select(F.col("search_id").alias("last_search_id"),
-                             EN.token_set("search_results").alias("_prev_toks"))
+    # Only the stored texts this batch compares against are tokenised: the
+    # batch's search ids (<= batch rows, materialised above) cut the text
+    # table first.
+    ids = c.select(F.col("last_search_id").alias("search_id")).where("search_id IS NOT NULL").distinct()
+    ids = F.broadcast(ids) if is_small(ids, MAX_BROADCAST_IDS) else ids
+    prev = prev_texts.join(ids, "search_id", "left_semi").select(
+        F.col("search_id").alias("last_search_id"), EN.token_set("search_results").alias("_prev_toks"))
     c = c.join(prev, "last_search_id", "left").withColumn(
         "novelty_score", EN.novelty_score(EN.token_set(F.col("search_raw")), F.col("_prev_toks")))
 

@@ -81,16 +81,17 @@ def url_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rubric_sql(x):
-    parts = [f"CASE WHEN regexp_matches({x}, '{p}') THEN {pts} ELSE 0 END" for _, pts, p in EN.RUBRIC]
+    parts = [f"CASE WHEN regexp_matches(lower({x}), '{EN.word_pattern_re2(kw)}') THEN {pts} ELSE 0 END"
+             for _, pts, kw in EN.RUBRIC]
     return " + ".join(parts)
 
 
-_ANY_FACT = "(?i)" + "|".join(f"({p.replace('(?i)', '')})" for _, _, p in EN.RUBRIC)
+_ANY_FACT = EN.word_pattern_re2(EN.any_keyword())
 
 RUBRIC_SQL = f"""SELECT doc_id, CAST(0 AS BIGINT) AS activity_score,
        CAST(least({_rubric_sql("coalesce(text, '')")}, 10) AS BIGINT) AS services_need_score,
        md5(array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)),
-           lambda s: regexp_matches(s, '{_ANY_FACT}')), chr(10))) AS summary_md5
+           lambda s: regexp_matches(lower(s), '{_ANY_FACT}')), chr(10))) AS summary_md5
   FROM documents"""
 
 
@@ -213,9 +214,9 @@ def _research_ctes() -> list[tuple[str, str]]:
     question = ("'What kind of events, blogs and updates are typically published by ' || first_name || ' ' "
                 "|| last_name || ', who works as ' || coalesce(position, 'None') || ' at this company: ' "
                 "|| company || '. Ignore similar named companies and people. Focus on this one only.'")
-    any_fact = "(?i)" + "|".join(f"({p.replace('(?i)', '')})" for _, _, p in EN.RUBRIC)
-    rubric = " + ".join(f"CASE WHEN regexp_matches(search_raw, '{p}') THEN {pts} ELSE 0 END"
-                        for _, pts, p in EN.RUBRIC)
+    any_fact = EN.word_pattern_re2(EN.any_keyword())
+    rubric = " + ".join(f"CASE WHEN regexp_matches(lower(search_raw), '{EN.word_pattern_re2(kw)}') THEN {pts} ELSE 0 END"
+                        for _, pts, kw in EN.RUBRIC)
     ctes = BATCH_CTES + [
         ("prompts", O.PROMPTS),
         ("batch", f"""SELECT r.*, t.max_tavily_searches, pr.body AS template,
@@ -253,7 +254,7 @@ def _research_ctes() -> list[tuple[str, str]]:
         ("c5", """SELECT *, array_to_string(results, '/n===/n') AS search_raw,
        array_to_string(queries, chr(10) || '===' || chr(10)) AS search_query FROM c4"""),
         ("c6", f"""SELECT c5.*, CAST(least({rubric}, 10) AS BIGINT) AS services_need_score,
-       array_to_string(list_filter(string_split(search_raw, chr(10)), lambda s: regexp_matches(s, '{any_fact}')),
+       array_to_string(list_filter(string_split(search_raw, chr(10)), lambda s: regexp_matches(lower(s), '{any_fact}')),
                        chr(10)) AS search_results,
        {_tok('search_raw')} AS raw_toks,
        list_distinct({_tok("coalesce(d.text, '')")}) AS prev_toks

@@ -8,8 +8,6 @@ map-side before it is shuffled.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,7 +180,3 @@ def searches_since_last_email(history: DataFrame, tenants: DataFrame | None = No
 
 def weekday_name(today) -> str:
     return as_ts(today).strftime("%A")
-
-
-def _unused(_: dt.date):  # pragma: no cover - keeps dt import for typing users
-    return None

@@ -1,13 +1,13 @@
 """Session helpers.
 
-Library code never invents storage locations: lineage cuts go to the
-shared folder named by ``spark.checkpoint.dir``. Only tests and local
-tools call :func:`ensure_checkpoint_dir` to fill it in when it is unset.
+Lineage cuts go to the shared folder named by ``spark.checkpoint.dir``. Only
+a local session that names none gets a scratch folder of its own, made once.
 """
 
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -15,25 +15,25 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def build_session(master: str | None = None, app_name: str = "leadspark",
-                  shuffle_partitions: int | None = None) -> SparkSession:
-    """Session tuned for the engine's plans (AQE on, UTC, no UI)."""
-    cpus = os.environ.get("BENCH_CPUS", "8")
+                  conf: dict[str, str] | None = None) -> SparkSession:
+    """A session with the settings that the plans rely on (adaptive execution,
+    UTC). Sizes (memory, shuffle partitions) are the caller's or the cluster's."""
     builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app_name)
+        SparkSession.builder.appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
         # Speculative copies of tasks that call external services would
         # repeat those calls; the provider stage de-duplicates anyway.
         .config("spark.speculation", "false")
     )
+    if master:
+        builder = builder.master(master)
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -46,14 +46,19 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; error when unset."""
-    path = spark.conf.get(CHECKPOINT_CONF, None)
+    """The shared checkpoint folder that the session names, set on the context
+    as well. A ``local[...]`` session that names none gets a scratch folder,
+    made once; any other one is an error, as executors would not share it."""
+    context = spark.sparkContext
+    path = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        raise RuntimeError(
-            f"{CHECKPOINT_CONF} is not set; point it at a shared folder "
-            "(HDFS/S3/ABFS) visible to every executor")
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError(
+                f"{CHECKPOINT_CONF} is not set; point it at a shared folder "
+                "(HDFS/S3/ABFS) visible to every executor")
+        path = tempfile.mkdtemp(prefix="leadspark-ckpt-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(path)
     return path
 
 

@@ -1,3 +1,51 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express.
+
+Constants are written out here on purpose, apart from the operators' own.
+"""
 
 SQL: dict[str, str] = {}
+
+SQL["op2_quality_rules"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+words AS (
+  SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
+wins AS (
+  SELECT rid, i, array_to_string(list_slice(w, i, i + 7), ' ') AS g
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM words WHERE len(w) >= 8)),
+twice AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM wins) WHERE n > 1),
+repeats AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY rid),
+raw AS (
+  SELECT rid, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM docs),
+live AS (
+  SELECT rid, line, k,
+    trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                        '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
+  FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM live GROUP BY rid),
+near AS (
+  SELECT rid, norm, lag(norm) OVER w AS a, lead(norm) OVER w AS b,
+    len(string_split(norm, ' ')) AS n
+  FROM live WINDOW w AS (PARTITION BY rid ORDER BY k)),
+flat AS (SELECT near.*, d.source, d.t FROM near JOIN docs d USING (rid) WHERE n >= 5),
+often AS (
+  SELECT source, norm FROM flat GROUP BY source, norm
+  HAVING count(DISTINCT t) > 20 AND count(DISTINCT (coalesce(a, chr(1)), coalesce(b, chr(1)))) > 20),
+lost AS (
+  SELECT f.rid, sum(f.n) AS n FROM flat f JOIN often o
+    ON f.norm = o.norm AND f.source IS NOT DISTINCT FROM o.source GROUP BY f.rid),
+base AS (
+  SELECT d.doc_id, len(w.w) AS n_words, length(array_to_string(w.w, '')) AS word_chars,
+    length(d.t) - length(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
+    coalesce(lost.n, 0)::BIGINT AS n_removed_words
+  FROM docs d JOIN words w USING (rid) LEFT JOIN dups USING (rid) LEFT JOIN repeats USING (rid)
+    LEFT JOIN lost USING (rid)),
+judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 2 * (n_words - n_removed_words) >= n_words AS kept, n_removed_words
+FROM judged
+"""

@@ -8,9 +8,10 @@ the last returns the pieces of the packed sequences.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadspark.llm import fm
+from leadspark.llm import fm, lines, packing, recompression, simhash
 from leadspark.llm.common import stored, table
 
 
@@ -19,8 +20,32 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return fm.accepted(docs, table(spark, sf_dir, "labels"))
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, without their boilerplate lines."""
+    return lines.applied(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of linked fingerprints."""
+    return simhash.first_of_each(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the words of repeated 35-word windows."""
+    return recompression.deduplicated(docs)
+
+
+def retrieval_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
     ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("retrieval_packing", retrieval_packing),
 ]
 
 #: Hashes, a fitted model and greedy packing: not expressible in SQL.

@@ -49,3 +49,68 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND 2 * (n_words - n_removed_words) >= n_words AS kept, n_removed_words
 FROM judged
 """
+
+
+def _licenses() -> str:
+    texts = {
+        "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+               "documentation files the software to deal in the software without restriction including without limitation "
+               "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to "
+               "permit persons to whom the software is furnished to do so",
+        "apache": "you may not use this file except in compliance with the license you may obtain a copy of the license at "
+                  "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing "
+                  "software distributed under the license is distributed on an as is basis",
+        "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
+               "public license as published by the free software foundation either version 3 of the license or at your "
+               "option any later version",
+        "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that "
+               "the following conditions are met redistributions of source code must retain the above copyright notice "
+               "this list of conditions and the following disclaimer",
+        "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+               "granted provided that the above copyright notice and this permission notice appear in all copies",
+        "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was "
+               "not distributed with this file you can obtain one at",
+    }
+    values = ", ".join(f"('{k}', '{v}')" for k, v in texts.items())
+    return r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+flat AS (SELECT rid, unnest(range(len(w))) AS pos, unnest(w) AS w0 FROM docs),
+near AS (SELECT rid, pos, w0, lead(w0, 1) OVER o AS w1, lead(w0, 2) OVER o AS w2, lead(w0, 3) OVER o AS w3
+  FROM flat WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+places AS (
+  SELECT rid, pos, CASE WHEN w0 = 'mit' AND w1 = 'license' THEN 'mit' WHEN w0 = 'apache' AND w1 = 'license' THEN 'apache'
+    WHEN w0 = 'general' AND w1 = 'public' AND w2 = 'license' THEN 'gpl' END AS label FROM near),
+base AS (
+  SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels
+  FROM places WHERE label IS NOT NULL GROUP BY rid),
+texts(label, t) AS (VALUES """ + values + r"""),
+tflat AS (SELECT label, len(string_split(t, ' ')) AS size, unnest(range(len(string_split(t, ' ')))) AS tpos,
+  unnest(string_split(t, ' ')) AS w0 FROM texts),
+tnear AS (SELECT label, size, tpos, w0, lead(w0, 1) OVER o AS w1, lead(w0, 2) OVER o AS w2, lead(w0, 3) OVER o AS w3
+  FROM tflat WINDOW o AS (PARTITION BY label ORDER BY tpos)),
+votes AS (
+  SELECT n.rid, t.label, t.size, t.tpos, n.pos, n.pos - t.tpos AS diag
+  FROM near n JOIN tnear t ON n.w0 = t.w0 AND n.w1 = t.w1 AND n.w2 = t.w2 AND n.w3 = t.w3),
+diags AS (SELECT DISTINCT rid, label, diag FROM votes),
+steps AS (SELECT rid, label, diag,
+  CASE WHEN diag - lag(diag) OVER (PARTITION BY rid, label ORDER BY diag) <= 8 THEN 0 ELSE 1 END AS step FROM diags),
+marked AS (SELECT rid, label, diag, sum(step) OVER (PARTITION BY rid, label ORDER BY diag) AS span FROM steps),
+cells AS (SELECT v.rid, v.label, v.size, m.span, v.pos, v.pos + 4 AS pend, unnest(range(v.tpos, v.tpos + 4)) AS c
+  FROM votes v JOIN marked m USING (rid, label, diag)),
+spans AS (SELECT rid, label, size, count(DISTINCT c) AS covered, max(pend) - min(pos) AS length
+  FROM cells GROUP BY rid, label, size, span),
+best AS (SELECT rid, max(covered / size) AS coverage,
+  coalesce(list(DISTINCT label) FILTER (covered >= 0.6 * size AND covered >= 0.6 * length), []) AS labels
+  FROM spans GROUP BY rid)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base, b.first_word::BIGINT AS first_word,
+  b.last_word::BIGINT AS last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(s.labels, [])))), ',') AS labels,
+  CASE WHEN b.n_base > 0 THEN 1.0 ELSE coalesce(s.coverage, 0.0) END::DOUBLE AS score
+FROM docs d LEFT JOIN base b USING (rid) LEFT JOIN best s USING (rid)
+"""
+
+
+SQL["op1_license_scan"] = _licenses()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leadspark.session import checkpoint_dir
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Rows of one Arrow batch: bounds a Python worker's memory by this many texts.
 BATCH_ROWS = 2000
@@ -34,7 +35,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     empty table rereads as well."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # the exchanges of this write are done with when it ends: free their disk then
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,7 +18,7 @@ equal anchors at the same place.
 Spark counts anchors over the corpus; a bitmap of fixed size (bounded by
 BITMAP_BITS whatever the input; a false hit only costs a check) marks those seen
 twice or more. Windows with a shared anchor are then verified: their (anchor,
-window hash) pairs, 128 bits, are counted, and those found twice or more go.
+window hash) pairs, 96 bits, are counted, and those found twice or more go.
 
 Null text: no words, hash of the empty string. Documents with fewer words than
 WINDOW stay whole. Repeated rows are documents like any other, so all their
@@ -176,7 +176,7 @@ def _shared_bits(spark: SparkSession, shared: DataFrame) -> tuple[int, np.ndarra
     return bits, out
 
 
-_CANDIDATES = "struct<n_words:bigint,kept_sha256:string,a:array<bigint>,p:array<int>,w:array<bigint>>"
+_CANDIDATES = "struct<n_words:bigint,kept_sha256:string,a:array<int>,p:array<int>,w:array<bigint>>"
 
 
 def _candidates(text: Column, bitmap) -> Column:
@@ -194,7 +194,7 @@ def _candidates(text: Column, bitmap) -> Column:
                 picked = np.flatnonzero(mark)
                 if len(starts):
                     doc = np.searchsorted(first, starts[picked], side="right") - 1
-                    a.append(found[picked])
+                    a.append((found[picked] >> _U(32)).astype(np.uint32))
                     w.append(window_hashes(h)[starts[picked]])
                     p.append(starts[picked] - first[doc])
                     per = np.bincount(doc, minlength=len(held))
@@ -207,7 +207,7 @@ def _candidates(text: Column, bitmap) -> Column:
             at = pa.array(offsets, pa.int32())
             yield pa.StructArray.from_arrays([
                 pa.array(n, pa.int64()), pa.array(sha, pa.string()),
-                pa.ListArray.from_arrays(at, pa.array(join(a, np.int64))),
+                pa.ListArray.from_arrays(at, pa.array(join(a, np.int32))),
                 pa.ListArray.from_arrays(at, pa.array(join(p, np.int64).astype(np.int32))),
                 pa.ListArray.from_arrays(at, pa.array(join(w, np.int64)))],
                 names=["n_words", "kept_sha256", "a", "p", "w"])
@@ -258,9 +258,9 @@ def _marked(docs: DataFrame, carried: list[str], all_texts: bool) -> tuple[DataF
         .select("rid", *[F.col(f"`c_{c}`") for c in carried], "m",
                 (F.col("t") if all_texts else F.when(F.size("m.a") > 0, F.col("t"))).alias("t")), "windows")
     flat = rows.select("rid", F.explode(F.arrays_zip("m.a", "m.p", "m.w")).alias("x")).select("rid", "x.*")
-    twice = flat.groupBy("a", "w").agg(F.count("*").alias("n")).filter("n > 1").select("a", "w")
+    twice = common.stored(flat.groupBy("a", "w").agg(F.count("*").alias("n")).filter("n > 1").select("a", "w"), "twice")
     hits = flat.join(twice, ["a", "w"]).groupBy("rid").agg(F.collect_list("p").alias("starts"))
-    return rows, hits
+    return rows, common.stored(hits, "hits")
 
 
 def removals(docs: DataFrame) -> DataFrame:

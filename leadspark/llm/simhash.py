@@ -142,12 +142,15 @@ class Groups:
         return x
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        new = self.root[a] != self.root[b]
-        for x, y in zip(a[new].tolist(), b[new].tolist()):
-            x, y = self._find(x), self._find(y)
-            if x != y:
-                self.root[max(x, y)] = min(x, y)
-        self.settle()
+        for at in range(0, len(a), 1 << 15):  # most of a dense group's pairs are linked after the first few
+            x, y = a[at:at + (1 << 15)], b[at:at + (1 << 15)]
+            new = self.root[x] != self.root[y]
+            for i, j in zip(x[new].tolist(), y[new].tolist()):
+                i, j = self._find(i), self._find(j)
+                if i != j:
+                    self.root[max(i, j)] = min(i, j)
+            if new.any():
+                self.settle()
 
     def settle(self) -> None:
         while True:

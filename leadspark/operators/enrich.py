@@ -14,6 +14,8 @@ per-group ordering uses the skew-safe helpers of :mod:`.grouping`.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,17 +40,24 @@ RUBRIC = [
     ("C", 1, r"blog|post(ed|s)?|events?|webinars?|conferences?|updates?"),
     ("D", 4, r"awards?|records?|milestones?|partnerships?|expansion|funding"),
 ]
-# Literal stems every keyword of a rubric line starts with (a cheap substring
-# test before the word-boundary regex runs).
-RUBRIC_STEMS = {
-    "A": ["case stud", "customer stor", "success stor"],
-    "B": ["launch", "releas", "announc", "news"],
-    "C": ["blog", "post", "event", "webinar", "conference", "update"],
-    "D": ["award", "record", "milestone", "partnership", "expansion", "funding"],
-}
 _WORD_CHAR = r"[\p{L}\p{N}_]"
 
 
+def stems(keywords: str) -> list[str]:
+    """Literal text that each top-level alternative of a keyword pattern starts
+    with (a cheap substring test before the regex runs); empty when one of
+    them starts with no literal, so that the test can't be used."""
+    parts, depth = [""], 0
+    for c in keywords:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += c
+    found = [re.match(r"(?:[^\\^$.|?*+()\[\]{}](?![?*{]))*", p)[0] for p in parts]
+    return found if all(found) else []
+
+
 def word_pattern(keywords: str) -> str:
     """Whole-word match (Java regex): look-arounds test the neighbours
     without consuming them, so each position is tried once."""
@@ -112,7 +121,7 @@ def search_index(index: DataFrame, n_docs: int, queries: DataFrame, k: int = DEF
               .groupBy(id_col, "doc_id").agg(F.sum("w").alias("raw_score"))
               .withColumn("score", F.round("raw_score", 9)))
     order = [F.col("score").desc(), F.col("doc_id").asc()]
-    top = top_k_per_group(scores, [id_col], order, k, k, ["doc_id"], rank_col="rank")
+    top = top_k_per_group(scores, [id_col], order, k, k, rank_col="rank")
     return top.select(id_col, "rank", "doc_id", F.round("raw_score", 6).alias("score"))
 
 
@@ -198,9 +207,10 @@ def rubric_score(text, rubric=RUBRIC) -> Column:
     raw = F.coalesce(TX.col(text), F.lit(""))
     t = F.lower(raw)
     flags = []
-    for metric, pts, kw in rubric:
-        stem = F.lit(False)
-        for st in RUBRIC_STEMS[metric]:
+    for _, pts, kw in rubric:
+        starts = stems(kw)
+        stem = F.lit(not starts)
+        for st in starts:
             stem = stem | (F.instr(t, st) > 0)
         flags.append((pts, stem & t.rlike(word_pattern(kw))))
     total = sum((F.when(f, F.lit(pts)).otherwise(F.lit(0)) for pts, f in flags), F.lit(0))

@@ -30,14 +30,12 @@ def _c(c) -> Column:
 
 
 def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k, k_max: int,
-                    salt_cols: list[str], rank_col: str = "rank",
-                    salts: int = DEFAULT_SALTS) -> DataFrame:
+                    rank_col: str = "rank", salts: int = DEFAULT_SALTS) -> DataFrame:
     """Rows ranked ``1..k`` per group by ``order`` (which must be a total
     order); ``k`` may be a per-row column bounded by the literal ``k_max``."""
     kc = _c(k) if not isinstance(k, int) else F.lit(k)
     # Bucket by the producing task (deterministic for a given input split):
     # each level-1 reducer merges the partial top-k of 1/salts of the tasks.
-    # ``salt_cols`` is kept for callers; ties are broken by ``order``.
     salt = F.pmod(F.spark_partition_id(), F.lit(salts))
     d = df.withColumn("_salt", salt)
     w1 = Window.partitionBy(*group, "_salt").orderBy(*order)

@@ -65,21 +65,21 @@ def price_asof(usage: DataFrame, prices: DataFrame, date_col: str = "search_date
         *[F.col(f"_best.p.{f}").alias(f) for f in PRICE_FIELDS])
 
 
-# Money is computed in exact decimals (measure <= 10^12 per record, price
-# < 10^8 with 6 decimals) so sums do not depend on the order rows arrive in;
-# results are turned into DOUBLE only at the end.
-MEASURE_DEC = "decimal(12,0)"
-PRICE_DEC = "decimal(14,6)"
+# Money is computed in exact decimals (measure < 10^13 per record, price
+# < 10^6 with 9 decimals; a larger value fails the cast, it is never lost) so
+# sums do not depend on the order rows arrive in; results are turned into
+# DOUBLE only at the end. The widths are the largest whose sum of three terms
+# (scale 15) stays exact in 38 digits.
+MEASURE_DEC = "decimal(13,0)"
+PRICE_DEC = "decimal(15,9)"
 PER_MILLION = Decimal("0.000001")
 
 
 def money_part(measure: Column, price: Column, per_million: bool) -> Column:
     """One F22 term; a missing or zero price adds nothing (falsy prices are
     skipped)."""
-    amount = measure.cast(MEASURE_DEC) * price.cast(PRICE_DEC)
-    if per_million:
-        amount = amount * F.lit(PER_MILLION)
-    return F.when(price.isNotNull() & (price != 0), amount).otherwise(F.lit(Decimal(0)))
+    each = price.cast(PRICE_DEC) * F.lit(PER_MILLION) if per_million else price.cast(PRICE_DEC)
+    return F.when(price.isNotNull() & (price != 0), each * measure.cast(MEASURE_DEC)).otherwise(F.lit(Decimal(0)))
 
 
 def cost_money() -> Column:
@@ -182,10 +182,8 @@ def cost_by_measure(usage: DataFrame, prices: DataFrame) -> DataFrame:
             F.col(f).alias("price"),
             F.lit(f != "search_price").alias("per_million")) for f in PRICE_FIELDS])).alias("m"))
     m = F.col("m")
-    base = m["amount"].cast(MEASURE_DEC) * m["price"].cast(PRICE_DEC)
-    cost = F.when(m["price"].isNotNull() & (m["price"] != 0),
-                  F.when(m["per_million"], base * F.lit(PER_MILLION)).otherwise(base)
-                  ).otherwise(F.lit(Decimal(0)))
+    cost = F.when(m["per_million"], money_part(m["amount"], m["price"], True)).otherwise(
+        money_part(m["amount"], m["price"], False))
     return stacked.groupBy("client", "model", m["measure"].alias("measure")).agg(
         F.sum(m["amount"]).alias("amount"), F.sum(cost).cast("double").alias("cost"))
 

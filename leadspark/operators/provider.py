@@ -50,15 +50,15 @@ class OfflineProvider(Provider):
         h = int(hashlib.md5(prompt.encode("utf-8")).hexdigest()[:8], 16)
         if function == "target_score_agent":
             out = {"services_need_score": h % 11, "reasoning": "offline",
-                   "summary_of_facts": prompt[:80]}
+                   "summary_of_facts": f"facts {h}"}
         elif function == "results_comparison_agent":
             out = {"novelty_score": h % 11, "reasoning": "offline"}
         elif function == "search_proposal_agent":
-            out = {"search_queries": [prompt[:60] + " news", prompt[:60] + " blog"]}
+            out = {"search_queries": [f"query {h} news", f"query {h} blog"]}
         elif function == "url_extraction_agent":
             out = {"url_facebook": "", "url_linkedin": "", "url_company": ""}
         else:
-            out = {"text": prompt[:200]}
+            out = {"text": f"text {h}"}
         text = json.dumps(out)
         return text, len(prompt.split()), len(text.split())
 
@@ -97,13 +97,16 @@ def _run_partition(factory: Callable[[], Provider], per_task_rate: float,
 
 def call_provider(requests: DataFrame, factory: Callable[[], Provider], partitions: int,
                   calls_per_minute: float = CALLS_PER_MINUTE, max_attempts: int = MAX_ATTEMPTS,
-                  sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+                  sleep: Callable[[float], None] = time.sleep,
+                  max_in_flight: int = MAX_IN_FLIGHT) -> DataFrame:
     """Answer every request once; returns RESPONSE_SCHEMA rows.
 
-    ``partitions`` is the number of concurrent callers (<= the service's
-    in-flight limit); each gets ``calls_per_minute / partitions``.
+    ``partitions`` is the number of concurrent callers, at most the service's
+    ``max_in_flight``; each gets ``calls_per_minute / partitions``.
     """
-    n = max(1, min(partitions, MAX_IN_FLIGHT))
+    if partitions > max_in_flight:
+        raise ValueError(f"{partitions} callers exceed the service's limit of {max_in_flight} calls in flight")
+    n = max(1, partitions)
     fn = _run_partition(factory, calls_per_minute / n, max_attempts, sleep)
     spread = requests.select("request_id", "function", "prompt").repartition(n, "request_id")
     answered = spread.mapInPandas(fn, RESPONSE_SCHEMA)

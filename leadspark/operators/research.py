@@ -25,12 +25,11 @@ from .sizing import broadcast_bounded, is_small, maybe_broadcast, spread
 # Search ids of one day's batch: bounded by tenants x 999.
 MAX_BROADCAST_IDS = 2_000_000
 
-# Templates of the two proposed queries (T2) and their cap.
+# Templates of the two proposed queries.
 PROPOSALS = [
     "{first_name} {last_name} {company} {search_event_type} {search_period}",
     "{company} news and updates {search_period}",
 ]
-MAX_QUERY_CHARS = 350
 NATIVE_MODEL = "native"
 
 # Function names of the usage rows, one per call.
@@ -41,7 +40,7 @@ FN_URLS, FN_SCORE, FN_NOVELTY = ("url_extraction_agent", "target_score_agent",
 
 
 def _render(template: str, values: dict[str, Column]) -> Column:
-    return F.substring(TX.render_template(F.lit(template), values), 1, MAX_QUERY_CHARS)
+    return TX.render_template(F.lit(template), values)
 
 
 def engine1_text(h: Column) -> Column:

@@ -18,8 +18,6 @@ from . import contacts as CT
 from .grouping import top_k_per_group
 from .sizing import broadcast_bounded
 
-# BATCH_SIZE is validated to 1..999, so 999 bounds every batch.
-MAX_BATCH = 999
 HEX13 = float(16 ** 13)
 
 
@@ -30,6 +28,13 @@ def uniform(seed: str, *cols) -> Column:
     return (n + F.lit(0.5)) / F.lit(HEX13)
 
 
+def k_bound(settings: DataFrame, column: str) -> int:
+    """Literal upper bound of a per-tenant limit: one aggregate row read from
+    the settings dimension (never from the large tables)."""
+    v = settings.agg(F.max(column)).first()[0]
+    return max(int(v or 1), 1)
+
+
 def latest_search(history: DataFrame) -> DataFrame:
     """Per person the latest search (by date, then id) and its score.
     Partial aggregation runs map-side, so a hot person costs one row per
@@ -68,13 +73,15 @@ def eligible(cands: DataFrame, as_of) -> DataFrame:
 
 
 def daily_batch(elig: DataFrame, tenants: DataFrame, seed: str,
-                salts: int | None = None, tenant_bound: DataFrame | bool | None = None) -> DataFrame:
+                salts: int | None = None, tenant_bound: DataFrame | bool | None = None,
+                k_max: int | None = None) -> DataFrame:
     """O2 + O3 + O4 + W5: per tenant, never-searched contacts first (in
     shuffled order), then the rest drawn by weight ``last_total_score``
     without replacement; null/non-positive weights come after all positive
     ones (in shuffled order). ``tenants`` gives ``batch_size`` and
     ``mini_batch_size``; ``tenant_bound`` is the dimension table (or the
-    result of its size check) that bounds ``tenants``' rows."""
+    result of its size check) that bounds ``tenants``' rows; ``k_max`` a
+    known bound of every ``batch_size`` (else read from ``tenants``)."""
     u = uniform(seed, *KEY3)
     w = F.col("last_total_score")
     tier = F.when(F.col("is_new"), 0).when(w > 0, 1).otherwise(2)
@@ -84,7 +91,7 @@ def daily_batch(elig: DataFrame, tenants: DataFrame, seed: str,
     d = elig.join(t, "client").withColumn("_tier", tier).withColumn("_key", key)
     order = [F.col("_tier"), F.col("_key"), *[F.col(c) for c in KEY3[1:]]]
     kw = {"salts": salts} if salts else {}
-    top = top_k_per_group(d, ["client"], order, "batch_size", MAX_BATCH, KEY3,
+    top = top_k_per_group(d, ["client"], order, "batch_size", k_max or k_bound(tenants, "batch_size"),
                           rank_col="pick_rank", **kw)
     return top.withColumn(
         "mini_batch", F.floor((F.col("pick_rank") - 1) / F.col("mini_batch_size")).cast("bigint")

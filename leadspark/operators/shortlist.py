@@ -15,7 +15,7 @@ from ..functions import text as TX
 from ..schemas import KEY3
 from .contacts import as_ts
 from .grouping import row_number_per_group, top_k_per_group
-from .selection import whole_days
+from .selection import k_bound, whole_days  # noqa: F401
 from .sizing import broadcast_bounded, is_small, MAX_BROADCAST_TENANTS
 
 # Native stand-ins for the ranking criteria (promotable fact,
@@ -65,13 +65,6 @@ def candidates(history: DataFrame, today) -> DataFrame:
         "combined_score", F.col("activity_score") + F.col("services_need_score"))
 
 
-def k_bound(settings: DataFrame, column: str) -> int:
-    """Literal upper bound of a per-tenant limit: one aggregate row read from
-    the settings dimension (never from the large tables)."""
-    v = settings.agg(F.max(column)).first()[0]
-    return max(int(v or 1), 1)
-
-
 def rank_features(text: Column) -> list[Column]:
     """T8 native criteria: promotable-fact hit, number of links, length."""
     t = F.coalesce(text, F.lit(""))
@@ -136,8 +129,7 @@ def shortlist(cands: DataFrame, tenants: DataFrame, k_max: int,
     order = [F.col("combined_score").desc(),
              *[F.when(F.col("_tie"), F.col(x)).desc_nulls_last() for x in ("_promo", "_links", "_len")],
              F.col("search_id").asc()]
-    top_k = top_k_per_group(c, ["client"], order, "max_emails", k_max, ["search_id"],
-                            rank_col="pick_rank")
+    top_k = top_k_per_group(c, ["client"], order, "max_emails", k_max, rank_col="pick_rank")
     return top_k.withColumn("rank", F.when(F.col("_tie"), F.col("pick_rank"))).drop(
         "_promo", "_links", "_len")
 

@@ -111,11 +111,11 @@ PRICE_PICK = [
   LEFT JOIN pricing p ON p.ord = k.price_ord"""),
     ("detail", """SELECT client, usage_id, search_date AS date, model, price_ord,
        (CASE WHEN input_price IS NOT NULL AND input_price <> 0
-             THEN CAST(input_tokens AS DECIMAL(12,0)) * CAST(input_price AS DECIMAL(14,6)) * 0.000001 ELSE 0 END
+             THEN CAST(input_tokens AS DECIMAL(13,0)) * CAST(input_price AS DECIMAL(15,9)) * 0.000001 ELSE 0 END
       + CASE WHEN output_price IS NOT NULL AND output_price <> 0
-             THEN CAST(output_tokens AS DECIMAL(12,0)) * CAST(output_price AS DECIMAL(14,6)) * 0.000001 ELSE 0 END
+             THEN CAST(output_tokens AS DECIMAL(13,0)) * CAST(output_price AS DECIMAL(15,9)) * 0.000001 ELSE 0 END
       + CASE WHEN search_price IS NOT NULL AND search_price <> 0
-             THEN CAST(search_calls AS DECIMAL(12,0)) * CAST(search_price AS DECIMAL(14,6)) ELSE 0 END) AS money,
+             THEN CAST(search_calls AS DECIMAL(13,0)) * CAST(search_price AS DECIMAL(15,9)) ELSE 0 END) AS money,
        (price_ord IS NOT NULL AND (input_price IS NULL OR output_price IS NULL OR search_price IS NULL))
          AS price_missing
   FROM priced"""),

@@ -69,15 +69,15 @@ def cost_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT client, model, measure, CAST(sum(amount) AS BIGINT) AS amount, CAST(sum(money) AS DOUBLE) AS cost
   FROM (
     SELECT client, model, 'input_tokens' AS measure, input_tokens AS amount,
-           CASE WHEN input_price IS NOT NULL AND input_price <> 0 THEN CAST(input_tokens AS DECIMAL(12,0)) * CAST(input_price AS DECIMAL(14,6)) * 0.000001 ELSE 0 END AS money
+           CASE WHEN input_price IS NOT NULL AND input_price <> 0 THEN CAST(input_tokens AS DECIMAL(13,0)) * CAST(input_price AS DECIMAL(15,9)) * 0.000001 ELSE 0 END AS money
       FROM priced
     UNION ALL
     SELECT client, model, 'output_tokens', output_tokens,
-           CASE WHEN output_price IS NOT NULL AND output_price <> 0 THEN CAST(output_tokens AS DECIMAL(12,0)) * CAST(output_price AS DECIMAL(14,6)) * 0.000001 ELSE 0 END
+           CASE WHEN output_price IS NOT NULL AND output_price <> 0 THEN CAST(output_tokens AS DECIMAL(13,0)) * CAST(output_price AS DECIMAL(15,9)) * 0.000001 ELSE 0 END
       FROM priced
     UNION ALL
     SELECT client, model, 'search_calls', search_calls,
-           CASE WHEN search_price IS NOT NULL AND search_price <> 0 THEN CAST(search_calls AS DECIMAL(12,0)) * CAST(search_price AS DECIMAL(14,6)) ELSE 0 END
+           CASE WHEN search_price IS NOT NULL AND search_price <> 0 THEN CAST(search_calls AS DECIMAL(13,0)) * CAST(search_price AS DECIMAL(15,9)) ELSE 0 END
       FROM priced) m
   GROUP BY client, model, measure""", O.PRICE_PICK))
 def cost_by_measure(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,7 +201,6 @@ def _e2(h: str) -> str:
 
 
 def _research_ctes() -> list[tuple[str, str]]:
-    from ..operators import research as PP
     from .selection import BATCH_CTES
     from .text_queries import PERIOD_SQL
     std = fx.STANDARD_QUERY.replace("'", "''")
@@ -209,8 +208,9 @@ def _research_ctes() -> list[tuple[str, str]]:
               ("candidate.first_name", "first_name"), ("candidate.last_name", "last_name"),
               ("candidate.company", "company"), ("search_period", "search_period")]
     ev = fields + [("search_event_type", "search_event_type")]
-    props = [f"substring({_render(repr(p).replace(chr(92), ''), ev)}, 1, {PP.MAX_QUERY_CHARS})"
-             for p in PP.PROPOSALS]
+    props = [_render(p, ev) for p in (
+        "'{first_name} {last_name} {company} {search_event_type} {search_period}'",
+        "'{company} news and updates {search_period}'")]
     question = ("'What kind of events, blogs and updates are typically published by ' || first_name || ' ' "
                 "|| last_name || ', who works as ' || coalesce(position, 'None') || ' at this company: ' "
                 "|| company || '. Ignore similar named companies and people. Focus on this one only.'")

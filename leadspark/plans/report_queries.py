@@ -183,10 +183,7 @@ DRAFT_CTES = [
             THEN {_render_sql('l.email_template')} || chr(10) || chr(10) || b.best
             ELSE {_render_sql('l.email_template')} END AS text0
   FROM leads l LEFT JOIN best b ON l.search_id = b.search_id"""),
-    ("mailed", """SELECT *, CASE WHEN len(regexp_split_to_array(trim(text0), '\\s+')) > 200
-            THEN array_to_string(regexp_split_to_array(trim(text0), '\\s+')[1:200], ' ')
-            ELSE text0 END AS email_content
-  FROM drafted"""),
+    ("mailed", "SELECT *, text0 AS email_content FROM drafted"),
 ]
 
 
@@ -196,7 +193,9 @@ DRAFT_CTES = [
        email_content,
        email_content || chr(10) || '=======================' || chr(10)
          || 'This proposed email follows from the below search results:' || chr(10)
-         || coalesce(search_results, 'None') AS email_with_evidence
+         || coalesce(search_results, 'None') AS email_with_evidence,
+       CAST(len(regexp_extract_all(email_content, '[^ \\t\\n\\x0B\\f\\r]+')) AS BIGINT) AS n_words,
+       len(regexp_extract_all(email_content, '[^ \\t\\n\\x0B\\f\\r]+')) > 200 AS over_limit
   FROM mailed""", SHORT_CTES + DRAFT_CTES))
 def email_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The proposed e-mail of every shortlisted lead (F33 subject)."""
@@ -205,7 +204,8 @@ def email_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("client", "search_id", "pick_rank",
                     TX.email_subject("first_name", "last_name", "company").alias("email_subject"),
                     "email_content",
-                    TX.with_evidence("email_content", "search_results").alias("email_with_evidence"))
+                    TX.with_evidence("email_content", "search_results").alias("email_with_evidence"),
+                    *RP.draft_size(F.col("email_content")))
 
 
 _FIND2 = r"https?://[^\s()\[\]{},]+"

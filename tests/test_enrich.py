@@ -32,3 +32,33 @@ def test_url_extraction(spark):
     r = spark.createDataFrame([(t,), ("",)], "t string").select(EN.extract_urls("t").alias("u")).collect()
     assert tuple(r[0].u) == ("https://www.facebook.com/acme", "https://linkedin.com/in/jo", "https://acme.com")
     assert tuple(r[1].u) == ("", "", "")
+
+
+def test_stems_follow_the_rubric():
+    assert EN.stems(EN.RUBRIC[0][2]) == ["case stud", "customer stor", "success stor"]
+    assert EN.stems("colou?r|new") == ["colo", "new"]
+    assert EN.stems("(a|b)c|new") == []
+
+
+def test_other_rubric(spark):
+    df = spark.createDataFrame([("A colour of merger talks",), ("nothing",)], "t string")
+    got = df.select(EN.rubric_score("t", [("X", 5, "(a|b)cquir(es|ed)|merger"), ("Y", 3, "colou?r")]).alias("s")).collect()
+    assert [r.s.services_need_score for r in got] == [8, 0]
+    assert [r.s.summary for r in got] == ["A colour of merger talks", ""]
+
+
+def test_long_event_type_keeps_the_period(spark):
+    import datetime as dt
+
+    from leadspark.operators import research as RS
+    first = "Ann Lee Acme events " + "long " * 400
+    docs = spark.createDataFrame([(1, first + "\nsecond line", "src0")], "doc_id long, text string, source string")
+    batch = spark.createDataFrame([("T", "Ann", "Lee", "Acme", "CEO", None, None)],
+                                  "client string, first_name string, last_name string, company string, position string, "
+                                  "last_search_id long, last_search_date timestamp_ntz")
+    tenants = spark.createDataFrame([("T", 1)], "client string, max_tavily_searches long")
+    empty = spark.createDataFrame([], "client string, template string")
+    prev = spark.createDataFrame([], "search_id long, search_results string")
+    row = RS.enrich_batch(batch, tenants, empty, docs, prev, dt.datetime(2001, 8, 2)).first()
+    period = row.search_query.split("\n===\n")[0]
+    assert len(period) > 2000 and period.endswith("August 2001")

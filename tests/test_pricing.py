@@ -1,4 +1,5 @@
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -55,3 +56,10 @@ def test_cost_is_additive_over_date_splits(spark):
     a = P.cost_detail(u, prices, date_to="2024-01-15 23:59:59.999999").agg(F.sum("money")).first()[0] or 0
     b = P.cost_detail(u, prices, date_from="2024-01-16").agg(F.sum("money")).first()[0] or 0
     assert total == a + b
+
+
+def test_small_prices_and_large_measures_are_exact(spark):
+    prices = spark.createDataFrame([(1, "m", D(2024, 1, 1), None, 0.0000004, 0.0, 0.000000001)], fx.S.PRICING)
+    u = _usage(spark, [("m", D(2024, 1, 2), 5_000_000_000_000, 7, 3)])
+    money = P.cost_detail(u, prices).first().money
+    assert money == Decimal("2.000000003")

@@ -1,6 +1,8 @@
 import datetime as dt
 import sys
 
+import pytest
+
 from pyspark import cloudpickle
 
 from pyspark.sql import functions as F
@@ -32,12 +34,21 @@ def test_report_lines_layout(spark):
     assert kinds[-1] == (2, "h2", "End of Report")
 
 
-def test_email_draft_word_cap(spark):
+def test_long_email_draft_is_kept(spark):
     df = spark.createDataFrame([("Hi {first_name} " + "w " * 300, "p one\n\nlaunch news", "launch")],
                                "t string, b string, r string")
     got = df.select(RP.draft_email(F.col("t"), F.col("b"), F.col("r"), F.lit("A"), F.lit("B"),
-                                   F.lit("C")).alias("e")).first().e
-    assert got.startswith("Hi A") and len(got.split()) == 200
+                                   F.lit("C")).alias("e")).select("e", *RP.draft_size(F.col("e"))).first()
+    assert got.e == "Hi A " + "w " * 300 + "\n\nlaunch news"
+    assert got.n_words == 304 and got.over_limit
+
+
+def test_more_callers_than_the_service_allows(spark):
+    req = spark.createDataFrame([("1", "f", "ok")], "request_id string, function string, prompt string")
+    with pytest.raises(ValueError):
+        PV.call_provider(req, PV.OfflineProvider, 20)
+    out = PV.call_provider(req, PV.OfflineProvider, 20, calls_per_minute=0, max_in_flight=20, sleep=lambda s: None)
+    assert out.count() == 1
 
 
 class Flaky(PV.Provider):

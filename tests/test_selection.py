@@ -47,7 +47,7 @@ def test_batch_properties(spark):
         flags = [r.is_new for r in rows]
         assert flags == sorted(flags, reverse=True)  # new contacts first
     n_elig = e.filter(F.col("client") == "ASIA").count()
-    assert len(per.get("ASIA", [])) == min(n_elig, 999)
+    assert len(per.get("ASIA", [])) == min(n_elig, 1000)
     assert all(r.mini_batch == (r.pick_rank - 1) // 7 for r in per.get("ASIA", []))
 
 
@@ -70,7 +70,7 @@ def test_top_k_and_row_numbers_match_windows(spark):
         (F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 1000).alias("v"), F.col("id"))
     order = [F.col("v").desc(), F.col("id")]
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
-    top = G.top_k_per_group(df, ["g"], order, 5, 5, ["id"], rank_col="rn", salts=4)
+    top = G.top_k_per_group(df, ["g"], order, 5, 5, rank_col="rn", salts=4)
     assert sorted(top.select("g", "id", "rn").collect()) == sorted(
         ref.filter("rn <= 5").select("g", "id", "rn").collect())
     num = G.row_number_per_group(df, ["g"], order, name="rn", partitions=5)
@@ -82,6 +82,14 @@ def test_top_k_and_row_numbers_match_windows(spark):
 
 def test_top_k_plans_a_group_limit(spark):
     df = spark.range(0, 100).select((F.col("id") % 3).alias("g"), F.col("id"))
-    top = G.top_k_per_group(df, ["g"], [F.col("id")], F.col("g") + 1, 3, ["id"])
+    top = G.top_k_per_group(df, ["g"], [F.col("id")], F.col("g") + 1, 3)
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_batch_is_never_cut_below_its_size(spark):
+    e = spark.range(0, 2000).select(
+        F.lit("T").alias("client"), F.concat(F.lit("p"), "id").alias("first_name"), F.lit("x").alias("last_name"),
+        F.lit("c").alias("company"), F.lit(None).cast("string").alias("position"), F.lit(True).alias("is_new"),
+        F.lit(None).cast("bigint").alias("last_search_id"), F.lit(None).cast("bigint").alias("last_total_score"))
+    assert SL.daily_batch(e, _tenants(spark, [("T", 1500, 10)]), "s").count() == 1500

@@ -28,6 +28,8 @@ from .sizing import is_small, spread
 TOKEN = r"[\p{L}\p{N}]+"
 # Query-term dictionary broadcast bound (distinct terms of all queries).
 MAX_BROADCAST_TERMS = 2_000_000
+# Hit document ids (at most k per query).
+MAX_BROADCAST_IDS = 2_000_000
 DEFAULT_TOP_K = 3
 
 # The business-need rubric (metric, points, keywords). Points
@@ -88,11 +90,6 @@ def token_set(text) -> Column:
 
 # --- T4 -------------------------------------------------------------------
 
-def query_terms(queries: DataFrame, id_col: str = "q_id", text_col: str = "query") -> DataFrame:
-    """(q_id, term): distinct terms of each query."""
-    return queries.select(id_col, F.explode(token_set(text_col)).alias("term"))
-
-
 def term_index(docs: DataFrame, terms: DataFrame | None = None,
                terms_small: bool = True) -> DataFrame:
     """(doc_id, term, tf): the inverted index of a corpus. With ``terms``
@@ -105,20 +102,37 @@ def term_index(docs: DataFrame, terms: DataFrame | None = None,
     return toks.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def search_index(index: DataFrame, n_docs: int, queries: DataFrame, k: int = DEFAULT_TOP_K,
-                 id_col: str = "q_id", text_col: str = "query") -> DataFrame:
-    """Top-``k`` documents per query from a term index (see corpus_search)."""
-    # Query terms are read three times (size check, df, scoring): built once.
-    qt = query_terms(queries, id_col, text_col).checkpoint(eager=True)
-    terms = qt.select("term").distinct()
-    small = is_small(terms, MAX_BROADCAST_TERMS)
-    probe = index.join(F.broadcast(terms) if small else terms, "term", "left_semi")
-    df = probe.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = probe.join(df, "term").withColumn(
-        "w", F.col("tf") * F.log(F.lit(1.0) + F.lit(float(n_docs)) / F.col("df")))
-    qside = F.broadcast(qt) if small else qt  # rows <= queries x their distinct terms
-    scores = (weighted.join(qside, "term")
-              .groupBy(id_col, "doc_id").agg(F.sum("w").alias("raw_score"))
+def search_index(index: DataFrame, n_docs: int, qt: DataFrame, k: int = DEFAULT_TOP_K,
+                 id_col: str = "q_id", group_col: str = "grp") -> DataFrame:
+    """Top-``k`` documents per query from a term index and the queries' terms
+    ``(id, grp, term)``, both materialised (see corpus_search).
+
+    Words that *all* queries of a group share give one base score per document
+    and group. Documents with no further word of a query score just their base,
+    so a query's top ``k`` are among its documents with a further word and the
+    group's ``k`` best base scores: only those pairs are scored."""
+    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # one row per distinct query term, broadcast where that is proven small
+    small = is_small(df, MAX_BROADCAST_TERMS)
+    df = F.broadcast(df) if small else df
+    weighted = index.join(df, "term").select("doc_id", "term", (
+        F.col("tf") * F.log(F.lit(1.0) + F.lit(float(n_docs)) / F.col("df"))).alias("w"))
+    sizes = qt.groupBy(group_col).agg(F.count_distinct(id_col).alias("n_queries"))
+    shared = (qt.groupBy(group_col, "term").agg(F.count(F.lit(1)).alias("n")).join(sizes, group_col)
+              .filter((F.col("n") == F.col("n_queries")) & (F.col("n") > 1)).select(group_col, "term"))
+    further = qt.join(shared, [group_col, "term"], "left_anti")
+    base = weighted.join(F.broadcast(shared) if small else shared, "term").groupBy(group_col, "doc_id").agg(
+        F.sum("w").alias("base")).checkpoint(eager=True)
+    order = [F.round("base", 9).desc(), F.col("doc_id").asc()]
+    best = top_k_per_group(base, [group_col], order, k, k, rank_col="_r").select(group_col, "doc_id")
+    ids = qt.select(id_col, group_col).distinct()
+    plain = ids.join(best, group_col).select(id_col, group_col, "doc_id", F.lit(0.0).alias("w"))
+    # (query, term) rows: counted before they are broadcast
+    few = is_small(further, MAX_BROADCAST_TERMS)
+    pairs = weighted.join(F.broadcast(further) if few else further, "term").select(id_col, group_col, "doc_id", "w")
+    scores = (pairs.unionByName(plain).groupBy(id_col, group_col, "doc_id").agg(F.sum("w").alias("rest"))
+              .join(base, [group_col, "doc_id"], "left")
+              .withColumn("raw_score", F.col("rest") + F.coalesce("base", F.lit(0.0)))
               .withColumn("score", F.round("raw_score", 9)))
     order = [F.col("score").desc(), F.col("doc_id").asc()]
     top = top_k_per_group(scores, [id_col], order, k, k, rank_col="rank")
@@ -126,7 +140,8 @@ def search_index(index: DataFrame, n_docs: int, queries: DataFrame, k: int = DEF
 
 
 def corpus_search(queries: DataFrame, docs: DataFrame, k: int = DEFAULT_TOP_K,
-                  id_col: str = "q_id", text_col: str = "query") -> DataFrame:
+                  id_col: str = "q_id", text_col: str = "query", group_col: str | None = None,
+                  n_docs: int | None = None) -> DataFrame:
     """T4: top-``k`` documents per query by tf-idf.
 
     ``score(q, d) = sum over distinct terms t of q in d: tf(t, d) * ln(1 + N / df(t))``.
@@ -134,16 +149,17 @@ def corpus_search(queries: DataFrame, docs: DataFrame, k: int = DEFAULT_TOP_K,
     term dictionary is broadcast (bounded count) and applied map-side as a
     semi join, then term frequencies are partially aggregated before the
     shuffle. ``df`` is computed for query terms only. Ties: lower doc_id.
-    For several searches over one corpus build :func:`term_index` once and
-    use :func:`search_index`.
+    ``group_col``: queries made from one template, whose words they share.
     """
-    terms = query_terms(queries, id_col, text_col).select("term").distinct().checkpoint(eager=True)
+    group = F.col(group_col) if group_col else F.lit(0)
+    # The queries' terms and the matched index are read several times: built
+    # once, so the corpus is tokenised once.
+    qt = queries.select(id_col, group.alias("grp"), F.explode(token_set(text_col)).alias("term")).checkpoint(eager=True)
+    terms = qt.select("term").distinct()
     small = is_small(terms, MAX_BROADCAST_TERMS)
-    # The matched index feeds both df and the scores: materialised once so
-    # the corpus is tokenised once.
     index = term_index(docs, terms, small).checkpoint(eager=True)
-    n_docs = docs.count()  # one number (parquet footers / one aggregate row)
-    return search_index(index, n_docs, queries, k, id_col, text_col)
+    n = docs.count() if n_docs is None else n_docs  # parquet footers / one aggregate row
+    return search_index(index, n, qt, k, id_col)
 
 
 def doc_url(source: Column, doc_id: Column) -> Column:
@@ -155,8 +171,12 @@ def hits(top: DataFrame, docs: DataFrame, id_col: str = "q_id") -> DataFrame:
     """(q_id, hits array<struct<url, content>>) in rank order; the content
     is the whole document. A query has at most ``k`` hits, so the per-query
     list is bounded."""
+    top = top.checkpoint(eager=True)
+    ids = top.select("doc_id").distinct()
     d = docs.select("doc_id", doc_url(F.col("source"), F.col("doc_id")).alias("url"),
                     F.col("text").alias("content"))  # the whole document
+    if is_small(ids, MAX_BROADCAST_IDS):  # only the hits' texts leave the scan
+        d = d.join(F.broadcast(ids), "doc_id", "left_semi")
     j = top.join(d, "doc_id")
     h = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "url", "content"))).alias("h"))
     return h.select(id_col, F.transform("h", lambda x: F.struct(x["url"].alias("url"),
@@ -250,10 +270,11 @@ def previous_search(history_keys: DataFrame, group: list[str]) -> DataFrame:
 def novelty(history_keys: DataFrame, texts: DataFrame, group: list[str]) -> DataFrame:
     """T7 over stored searches: each search against the person's previous
     one. ``texts`` is (search_id, search_results); token sets are built once
-    per text and joined by id (long texts never enter the ordering)."""
+    per text, materialised, and joined by id (long texts never enter the
+    ordering)."""
     prev = previous_search(history_keys, group)
     ts = spread(texts.select("search_id", "search_results")).select(
-        "search_id", token_set("search_results").alias("toks"))
+        "search_id", token_set("search_results").alias("toks")).checkpoint(eager=True)
     cur = prev.join(ts, "search_id", "left")
     prv = ts.select(F.col("search_id").alias("prev_search_id"), F.col("toks").alias("prev_toks"))
     both = cur.join(prv, "prev_search_id", "left")

@@ -49,6 +49,19 @@ def draft_size(content: Column) -> list[Column]:
     return [n.alias("n_words"), (n > EMAIL_WORDS).alias("over_limit")]
 
 
+def sent_content(send: Column, content: Column, results: Column) -> Column:
+    """The stored e-mail: where the tenant has its drafts sent one by one
+    (SEND_PROPOSED_EMAILS), the evidence follows the draft (F33)."""
+    return F.when(send, TX.with_evidence(content, results)).otherwise(content)
+
+
+def reported(leads: DataFrame, tenants: DataFrame) -> DataFrame:
+    """Leads that go into the report: those of tenants whose drafts were not
+    sent one by one."""
+    batch = tenants.filter(~F.col("send_proposed_emails")).select("client")
+    return leads.join(maybe_broadcast(batch), "client", "left_semi")
+
+
 def _line(section, line, kind: str, text: Column, url: Column | None = None) -> Column:
     return F.struct(F.lit(section).cast("bigint").alias("section_no") if isinstance(section, int)
                     else section.cast("bigint").alias("section_no"),

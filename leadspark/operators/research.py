@@ -7,7 +7,7 @@ for the first one when the tenant allows it (T4) -> URLs (T5) -> business
 need score (T6) -> novelty against the previous result (T7) -> scores
 (F21). Every step is native here; :mod:`.provider` replaces a step by an
 external call. Each contact's queries are searched together in one corpus
-search, so the corpus is scanned once per batch, not once per query.
+search, so the corpus is scanned once per search step, not once per query.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ FN_EVENT, FN_PROPOSAL, FN_SEARCH1, FN_SEARCH2 = (
 FN_URLS, FN_SCORE, FN_NOVELTY = ("url_extraction_agent", "target_score_agent",
                                  "results_comparison_agent")
 
+FUNCTIONS = [FN_EVENT, FN_PROPOSAL, FN_SEARCH1, FN_SEARCH2, FN_URLS, FN_SCORE, FN_NOVELTY]
+
 
 def _render(template: str, values: dict[str, Column]) -> Column:
     return TX.render_template(F.lit(template), values)
@@ -51,7 +53,7 @@ def engine1_text(h: Column) -> Column:
 
 def enrich_batch(batch: DataFrame, tenants: DataFrame, standard_templates: DataFrame,
                  docs: DataFrame, prev_texts: DataFrame, as_of, k: int = EN.DEFAULT_TOP_K,
-                 tenant_bound: DataFrame | bool | None = None) -> DataFrame:
+                 tenant_bound: DataFrame | bool | None = None, with_previous: bool = False) -> DataFrame:
     """Run the native pipeline for every contact of ``batch``.
 
     ``batch``: client, first_name, last_name, company, position,
@@ -62,6 +64,8 @@ def enrich_batch(batch: DataFrame, tenants: DataFrame, standard_templates: DataF
     Returns one row per contact with the HISTORY columns plus ``usage``
     (array of call records) and ``contact_id``. ``tenant_bound``: the
     dimension table (or its check result) bounding ``tenants``' rows.
+    ``with_previous`` adds the previous result's text as ``previous_results``
+    (for a provider that compares).
     """
     from ..fixtures import STANDARD_QUERY  # the default template
 
@@ -72,11 +76,9 @@ def enrich_batch(batch: DataFrame, tenants: DataFrame, standard_templates: DataF
     # materialise it once so later size checks and stages never re-run the
     # selection plan.
     c = (batch.join(t, "client", "left").join(st, "client", "left")
-         .withColumn("contact_id", F.xxhash64(*KEY3))
+         .withColumn("contact_id", F.md5(F.to_json(F.struct(*KEY3))))
          .withColumn("search_period", TX.search_period("last_search_date", as_of))
          .checkpoint(eager=True))
-    # The corpus index is built once and probed by both searches.
-    index = EN.term_index(docs).checkpoint(eager=True)
     n_docs = docs.count()
     fields = {"first_name": F.col("first_name"), "last_name": F.col("last_name"),
               "company": F.col("company"), "candidate.first_name": F.col("first_name"),
@@ -87,7 +89,7 @@ def enrich_batch(batch: DataFrame, tenants: DataFrame, standard_templates: DataF
     c = c.withColumn("event_q", TX.event_question("first_name", "last_name", "position", "company"))
     q1 = c.select(F.struct("contact_id", F.lit(0).alias("qpos")).alias("qid"),
                   F.col("event_q").alias("query"))
-    top1 = EN.search_index(index, n_docs, q1, k=k, id_col="qid")
+    top1 = EN.corpus_search(q1, docs, k=k, id_col="qid", n_docs=n_docs)
     h1 = EN.hits(top1, docs, id_col="qid")
     ev = h1.select(F.col("qid.contact_id").alias("contact_id"), F.col("hits").alias("event_hits"))
     # The event type is the first line of the best document (whole line).
@@ -104,8 +106,8 @@ def enrich_batch(batch: DataFrame, tenants: DataFrame, standard_templates: DataF
 
     # T4: all queries of all contacts in one corpus search.
     q = c.select("contact_id", F.posexplode("queries").alias("qpos", "query")).select(
-        F.struct("contact_id", (F.col("qpos") + 1).alias("qpos")).alias("qid"), "query")
-    top = EN.search_index(index, n_docs, q, k=k, id_col="qid")
+        F.struct("contact_id", (F.col("qpos") + 1).alias("qpos")).alias("qid"), "qpos", "query")
+    top = EN.corpus_search(q, docs, k=k, id_col="qid", group_col="qpos", n_docs=n_docs)
     hs = EN.hits(top, docs, id_col="qid").select(
         F.col("qid.contact_id").alias("contact_id"), F.col("qid.qpos").alias("qpos"), "hits")
     per_contact = hs.groupBy("contact_id").agg(  # <= len(queries) rows per contact
@@ -138,7 +140,8 @@ def enrich_batch(batch: DataFrame, tenants: DataFrame, standard_templates: DataF
     ids = c.select(F.col("last_search_id").alias("search_id")).where("search_id IS NOT NULL").distinct()
     ids = F.broadcast(ids) if is_small(ids, MAX_BROADCAST_IDS) else ids
     prev = prev_texts.join(ids, "search_id", "left_semi").select(
-        F.col("search_id").alias("last_search_id"), EN.token_set("search_results").alias("_prev_toks"))
+        F.col("search_id").alias("last_search_id"), F.col("search_results").alias("previous_results"),
+        EN.token_set("search_results").alias("_prev_toks"))
     c = c.join(prev, "last_search_id", "left").withColumn(
         "novelty_score", EN.novelty_score(EN.token_set(F.col("search_raw")), F.col("_prev_toks")))
 
@@ -156,7 +159,7 @@ def enrich_batch(batch: DataFrame, tenants: DataFrame, standard_templates: DataF
         F.lit(None).cast("timestamp_ntz").alias("email_date"),
         F.lit(None).cast("string").alias("email_content"),
         F.lit(None).cast("string").alias("email_batch_recipient"),
-        usage.alias("usage"))
+        usage.alias("usage"), *(["previous_results", "search_period"] if with_previous else []))
 
 
 def _call(fn: str, calls: int, prompt: Column, answer: Column) -> Column:
@@ -201,14 +204,18 @@ def rescore_with_provider(enriched: DataFrame, factory, partitions: int,
     usage records of those two steps replaced by the provider's. Requests
     are at most two per contact of the batch."""
     e = enriched
+    person = F.concat(F.lit("Person: "), F.concat_ws(" ", "first_name", "last_name"), F.lit("\nCompany: "),
+                      F.col("company"), F.lit("\nPeriod: "), F.coalesce("search_period", F.lit("None")), F.lit("\n\n"))
     req = e.select(F.explode(F.array(
         F.struct(F.concat(F.col("contact_id").cast("string"), F.lit(":s")).alias("request_id"),
-                 F.lit(FN_SCORE).alias("function"), F.col("search_raw").alias("prompt")),
+                 F.lit(FN_SCORE).alias("function"), F.concat(person, F.col("search_raw")).alias("prompt")),
         F.struct(F.concat(F.col("contact_id").cast("string"), F.lit(":n")).alias("request_id"),
-                 F.lit(FN_NOVELTY).alias("function"), F.col("search_raw").alias("prompt")))).alias("r")
+                 F.lit(FN_NOVELTY).alias("function"),
+                 F.concat(person, F.lit("Previous results:\n"), F.coalesce("previous_results", F.lit("None")),
+                          F.lit("\n\nNew results:\n"), F.col("search_raw")).alias("prompt")))).alias("r")
     ).select("r.*")
     ans = PV.call_provider(req, factory, partitions, calls_per_minute)
-    a = ans.select(F.split("request_id", ":")[0].cast("bigint").alias("contact_id"), "function",
+    a = ans.select(F.split("request_id", ":")[0].alias("contact_id"), "function",
                    "response", F.struct("function", "model", F.lit(0).cast("bigint").alias("search_calls"),
                                         "input_tokens", "output_tokens").alias("call"))
     per = a.groupBy("contact_id").agg(
@@ -226,4 +233,4 @@ def rescore_with_provider(enriched: DataFrame, factory, partitions: int,
             .withColumn("total_score", F.col("novelty_score") + F.col("activity_score")
                         + F.col("services_need_score"))
             .withColumn("usage", F.concat(kept, F.coalesce("_calls", F.array().cast(USAGE_TYPE))))
-            .drop("_score_json", "_nov_json", "_calls"))
+            .drop("_score_json", "_nov_json", "_calls", "previous_results", "search_period"))

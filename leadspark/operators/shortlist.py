@@ -16,7 +16,7 @@ from ..schemas import KEY3
 from .contacts import as_ts
 from .grouping import row_number_per_group, top_k_per_group
 from .selection import k_bound, whole_days  # noqa: F401
-from .sizing import broadcast_bounded, is_small, MAX_BROADCAST_TENANTS
+from .sizing import MAX_BROADCAST_TENANTS, broadcast_bounded, is_small, rows_of
 
 # Native stand-ins for the ranking criteria (promotable fact,
 # detail, links). Boundaries are spelled out so that the pattern means the
@@ -24,6 +24,10 @@ from .sizing import broadcast_bounded, is_small, MAX_BROADCAST_TENANTS
 PROMOTABLE = (r"(?i)(^|[^A-Za-z0-9_])(launch(ed|es)?|opening|opened|award(s|ed)?|record|"
               r"milestone|partnership|expansion|new)([^A-Za-z0-9_]|$)")
 URL_TOKEN = r"https?://[^ \t\n\r\f()<>]+"
+# A picked lead with its draft, generously.
+LEAD_BYTES = 4096
+# Search ids (8 bytes) of a broadcast.
+MAX_BROADCAST_IDS = rows_of(32)
 EMAIL_GAP_DAYS = 31
 SEARCH_AGE_DAYS = 31
 MIN_NOVELTY = 5
@@ -49,6 +53,16 @@ def last_email_per_person(history: DataFrame) -> DataFrame:
     return history.groupBy(*KEY3).agg(F.max("email_date").alias("last_email_date"))
 
 
+KEYS = ["client", "search_id", "first_name", "last_name", "company", "search_date", "novelty_score",
+        "activity_score", "services_need_score", "total_score", "email_date"]
+
+
+def history_keys(history: DataFrame) -> DataFrame:
+    """The history without its texts, materialised: the shortlist reads it
+    several times (tenant maximum, last e-mail, candidates)."""
+    return history.select(*KEYS).checkpoint(eager=True)
+
+
 def candidates(history: DataFrame, today) -> DataFrame:
     """P11 + F21: novel (> 5), not yet e-mailed, searched within 31 days,
     person not e-mailed within 31 days; ``combined_score`` = activity +
@@ -77,16 +91,16 @@ def tie_flags(cands: DataFrame, tenants: DataFrame,
               tenant_bound: DataFrame | bool | None = None) -> DataFrame:
     """A6 + W3: candidates of the given tenants with ``top_score``,
     ``top_count`` and ``_tie`` (more rows share the top combined score than
-    ``max_emails``). Per-tenant facts are aggregates broadcast back (at most
-    one row per tenant), not windows over a whole tenant."""
+    ``max_emails``). The candidates, keys without texts, are materialised
+    once; per-tenant facts are aggregates broadcast back (at most one row per
+    tenant), not windows over a whole tenant."""
     bound = tenants if tenant_bound is None else tenant_bound
     small = bound if isinstance(bound, bool) else is_small(bound, MAX_BROADCAST_TENANTS)
-    c = cands.join(broadcast_bounded(tenants.select("client", "max_emails"), small), "client")
-    top = c.groupBy("client").agg(F.max("combined_score").alias("top_score"))
+    c = cands.join(broadcast_bounded(tenants.select("client", "max_emails"), small), "client").checkpoint(eager=True)
+    per_score = c.groupBy("client", "combined_score").agg(F.count(F.lit(1)).alias("n"))
+    top = per_score.groupBy("client").agg(F.max("combined_score").alias("top_score"),
+                                          F.max_by("n", "combined_score").alias("top_count"))
     c = c.join(broadcast_bounded(top, small), "client")
-    n_top = (c.filter(F.col("combined_score") == F.col("top_score"))
-             .groupBy("client").agg(F.count(F.lit(1)).alias("top_count")))
-    c = c.join(broadcast_bounded(n_top, small), "client", "left")
     in_tie = (F.col("top_count") > F.col("max_emails")) & (F.col("combined_score") == F.col("top_score"))
     return c.withColumn("_tie", in_tie)
 
@@ -95,15 +109,15 @@ def tie_flags(cands: DataFrame, tenants: DataFrame,
 RANK_BATCH = 6
 
 
-def ranking_requests(flagged: DataFrame, batch_size: int = RANK_BATCH) -> DataFrame:
+def ranking_requests(flagged: DataFrame, texts: DataFrame, batch_size: int = RANK_BATCH) -> DataFrame:
     """W6 + F31: the tie group of each tenant cut into requests of
     ``batch_size`` texts in ``search_id`` order (for a provider-backed T8).
     Rows are numbered with the range-partitioned numbering, so a huge tie
     group is never sorted in one task; each request gathers at most
     ``batch_size`` rows. The closing line states the request's own size."""
-    tie = flagged.filter(F.col("_tie")).select("client", "search_id", "first_name", "last_name",
-                                               "company", "search_results")
+    tie = flagged.filter(F.col("_tie")).select("client", "search_id", "first_name", "last_name", "company")
     n = row_number_per_group(tie, ["client"], ["search_id"], name="tie_no")
+    n = n.join(of_ids(texts, tie.select("search_id")), "search_id", "left")
     n = n.withColumn("batch_no", F.floor((F.col("tie_no") - 1) / batch_size).cast("bigint"))
     block = TX.rank_block("first_name", "last_name", "company", "search_results")
     g = n.groupBy("client", "batch_no").agg(
@@ -114,7 +128,15 @@ def ranking_requests(flagged: DataFrame, batch_size: int = RANK_BATCH) -> DataFr
     return g.select("client", "batch_no", cnt.cast("bigint").alias("n_texts"), text.alias("request"))
 
 
-def shortlist(cands: DataFrame, tenants: DataFrame, k_max: int,
+def of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the given searches: ids are counted, and broadcast where
+    few, so that no other text leaves the scan."""
+    if is_small(ids, MAX_BROADCAST_IDS):
+        ids = F.broadcast(ids)
+    return texts.join(ids, "search_id", "left_semi")
+
+
+def shortlist(cands: DataFrame, texts: DataFrame, tenants: DataFrame, k_max: int,
               tenant_bound: DataFrame | bool | None = None) -> DataFrame:
     """A6 + W3 + T8 + O5 + W4/O6 + P20: best ``max_emails`` leads per tenant.
 
@@ -123,9 +145,14 @@ def shortlist(cands: DataFrame, tenants: DataFrame, k_max: int,
     resulting unique rank (1 = best) of the chosen tie rows. Otherwise rows
     follow the combined score, ``search_id`` breaking equal scores.
     ``k_max`` is a literal upper bound of every tenant's ``max_emails``.
+    ``texts`` (search_id, search_results) is read for the tie rows only; the
+    result holds no text (see :func:`with_texts`).
     """
     c = tie_flags(cands, tenants, tenant_bound)
-    c = c.select("*", *rank_features(F.col("search_results")))
+    tied = of_ids(texts, c.filter("_tie").select("search_id"))
+    c = c.join(tied.select("search_id", *rank_features(F.col("search_results"))), "search_id", "left")
+    none = {"_promo": 0, "_links": 0, "_len": 0}  # a tie row without a stored text
+    c = c.na.fill(none)
     order = [F.col("combined_score").desc(),
              *[F.when(F.col("_tie"), F.col(x)).desc_nulls_last() for x in ("_promo", "_links", "_len")],
              F.col("search_id").asc()]
@@ -134,6 +161,12 @@ def shortlist(cands: DataFrame, tenants: DataFrame, k_max: int,
         "_promo", "_links", "_len")
 
 
+def with_texts(picked: DataFrame, texts: DataFrame) -> DataFrame:
+    """Picked leads (at most tenants x max_emails) with their result text."""
+    p = picked.checkpoint(eager=True)
+    return p.join(of_ids(texts, p.select("search_id")), "search_id", "left")
+
+
 def history_update(history: DataFrame, picked: DataFrame, today, content: Column,
                    recipient: Column, picked_small: bool = True) -> DataFrame:
     """Set the e-mail columns on the picked rows (by ``search_id``)

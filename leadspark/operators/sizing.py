@@ -16,6 +16,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# What one broadcast may take: rows that carry texts are bounded by bytes.
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def rows_of(row_bytes: int) -> int:
+    """Rows of this size that fit one broadcast."""
+    return max(1, MAX_BROADCAST_BYTES // row_bytes)
+
+
 # Tenant-level tables (settings, subscriptions, per-tenant aggregates).
 MAX_BROADCAST_TENANTS = 1_000_000
 
@@ -45,7 +54,11 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     """Spread a CPU-heavy input over the cluster when its scan yields fewer
     than ``factor`` x default-parallelism partitions (few large files or row
     groups). A scan of a large table already has many more splits than
-    cores and is returned unchanged, so no shuffle is added at scale."""
+    cores and is returned unchanged, so no shuffle is added at scale.
+    For scans and checkpoints only: counting the partitions of a frame with a
+    shuffle would run its stages."""
+    if "Exchange" in df._jdf.queryExecution().sparkPlan().toString():
+        raise ValueError("spread() takes scans and checkpoints only")
     sc = df.sparkSession.sparkContext
     want = sc.defaultParallelism * factor
     if df.rdd.getNumPartitions() < want:

@@ -5,7 +5,13 @@ the writes are the only actions besides lineage cuts.
 
 ``run_daily`` reads the domain tables through :mod:`leadspark.fixtures`
 (the driver's parquet shaped into the domain); a deployment points the same
-steps at its own tables via :mod:`leadspark.sources.tables`.
+steps at its own tables via :mod:`leadspark.sources.tables`. What it writes it
+reads back the next day: ``history`` (first filled from the past searches) with
+its e-mail marks, and ``usage``, which counts for the budget and the costs.
+
+A run is known by its day. Repeating one after a failure computes the same
+batch and leads (what the failed attempt stored is set aside) and stores only
+what is missing.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from .. import schemas as S
+from ..functions import text as TX
 from ..operators import checks as CK
 from ..operators import pricing as P
 from ..operators import report as RP
@@ -24,74 +31,135 @@ from ..operators import research as RS
 from ..operators import selection as SL
 from ..operators import shortlist as SH
 from ..operators import tenants as TN
-from ..operators.sizing import MAX_BROADCAST_TENANTS, is_small
+from ..operators.contacts import as_ts
+from ..operators.sizing import is_small, maybe_broadcast, rows_of
 from ..sources import sinks as K
-from ..sources.tables import load_or_create_history, prompt_for
+from ..sources.tables import path_exists, prompt_for
 
 HISTORY_COLS = [f.name for f in S.HISTORY.fields]
+USAGE_COLS = [f.name for f in S.CONSUMPTION.fields]
+# Function names of the usage rows of the shortlist's calls.
+FN_RANKING, FN_EMAIL = "results_ranking_agent", "email_proposal_agent"
+
+
+def stored_history(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
+    """The engine's history table; the first time it is filled with the past
+    searches and their texts."""
+    path = posixpath.join(out, "history")
+    if not path_exists(spark, path):
+        K.write_partitioned(K.with_month(fx.history(spark, sf_dir, with_text=True)), path,
+                            partition_by=K.HISTORY_PARTITIONS)
+    return spark.read.schema(S.HISTORY).parquet(path).select(*HISTORY_COLS)
+
+
+def all_usage(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
+    """Usage that was there before plus what this engine has stored."""
+    path = posixpath.join(out, "usage")
+    usage = fx.consumption(spark, sf_dir).select(*USAGE_COLS)
+    if path_exists(spark, path):
+        usage = usage.unionByName(spark.read.parquet(path).select(*USAGE_COLS))
+    return usage
+
+
+def _usage_rows(calls: DataFrame) -> DataFrame:
+    """CONSUMPTION rows of the calls; the id is a hash of what makes the call
+    one of its own (tenant, day, function, subject, number)."""
+    return calls.withColumn("usage_id", F.xxhash64("client", "search_date", "function", "subject", "call_no")).select(*USAGE_COLS)
+
 
+def research_usage(enriched: DataFrame) -> DataFrame:
+    """T11 of the research calls."""
+    u = enriched.select("client", "search_date", F.col("contact_id").alias("subject"),
+                        F.posexplode("usage").alias("call_no", "u"))
+    return _usage_rows(u.select("client", "search_date", "subject", "call_no", "u.*"))
 
-def _stored_history(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
-    """History = the driver's past searches plus everything this engine has
-    appended under ``out`` (S3: empty when nothing was written yet)."""
-    base = fx.history(spark, sf_dir)
-    mine = load_or_create_history(spark, posixpath.join(out, "history"))
-    return base.unionByName(mine.select(*HISTORY_COLS))
+
+def _native_call(df: DataFrame, as_of, fn: str, subject, prompt, answer_tokens) -> DataFrame:
+    return _usage_rows(df.select(
+        "client", F.lit(as_ts(as_of)).alias("search_date"), F.lit(fn).alias("function"),
+        F.lit(RS.NATIVE_MODEL).alias("model"), F.lit(0).cast("bigint").alias("search_calls"),
+        TX.token_count(prompt).cast("bigint").alias("input_tokens"),
+        answer_tokens.cast("bigint").alias("output_tokens"), subject.cast("string").alias("subject"),
+        F.lit(0).alias("call_no")))
 
 
 def run_daily(spark: SparkSession, sf_dir: str, out: str, as_of=fx.AS_OF_CONTACTS,
               seed: str | None = None, provider=None, provider_partitions: int = 4) -> dict:
     """Run one day. Returns the stage row counts (A13) and the output paths."""
     seed = seed or as_of.strftime("%Y-%m-%d")
+    today = F.lit(as_ts(as_of))
+    history_path, usage_path = posixpath.join(out, "history"), posixpath.join(out, "usage")
     settings, subs, prices = fx.settings(spark), fx.subscriptions(spark), fx.pricing(spark)
-    usage = fx.consumption(spark, sf_dir)
 
     # Tenants that run today (P7, P8, P17, P19) and their batches.
-    tenants = TN.runnable_tenants(subs, settings, usage, prices, as_of)
-    history = _stored_history(spark, sf_dir, out)
-    elig = SL.eligible(SL.candidates(fx.contacts(spark, sf_dir), history, as_of), as_of)
+    # Rows of an earlier attempt at this day are set aside.
+    usage = all_usage(spark, sf_dir, out)
+    before = usage.filter(~F.col("function").isin(*RS.FUNCTIONS, FN_RANKING, FN_EMAIL) | (F.col("search_date") != today))
+    tenants = TN.runnable_tenants(subs, settings, before, prices, as_of).checkpoint(eager=True)
+    history = stored_history(spark, sf_dir, out)
+    past = history.filter(F.col("search_date").isNull() | (F.col("search_date") != today))
+    elig = SL.eligible(SL.candidates(fx.contacts(spark, sf_dir), past, as_of), as_of)
     batch, batch_obs = CK.observed(SL.daily_batch(elig, tenants, seed, tenant_bound=settings), "batch")
 
     # Research (T1-T11); optionally scores through an external provider.
     templates = fx.prompts(spark).filter(F.col("name") == "standard_query").select(
         "client", F.col("body").alias("template"))
     docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    texts = history.select("search_id", "search_results")
-    enriched = RS.enrich_batch(batch, tenants, templates, docs, texts, as_of, tenant_bound=settings)
+    texts = past.select("search_id", "search_results")
+    enriched = RS.enrich_batch(batch, tenants, templates, docs, texts, as_of, tenant_bound=settings,
+                               with_previous=provider is not None)
     if provider is not None:
         enriched = RS.rescore_with_provider(enriched, provider, provider_partitions)
     enriched = enriched.withColumn(
         "search_id", F.xxhash64("client", "first_name", "last_name", "company", "search_date"))
     # K5: one materialisation, then history and usage appends.
-    K.persist_enrichment(enriched, posixpath.join(out, "history"), posixpath.join(out, "usage"),
-                         HISTORY_COLS, lambda d: RS.usage_table(d).drop("call_no"))
+    K.persist_enrichment(enriched, history_path, usage_path, HISTORY_COLS, research_usage)
 
-    # Weekly shortlist for tenants due today (P16), update (K6) and report (K8).
-    history = _stored_history(spark, sf_dir, out)
+    # Weekly shortlist for tenants due today (P16), over keys; texts by id.
+    history = stored_history(spark, sf_dir, out)
+    texts = history.select("search_id", "search_results")
     due = TN.valid_settings(settings).filter(TN.weekday_due(settings, as_of))
+    keys = SH.history_keys(history.withColumn(  # marks of an earlier attempt at this day are set aside
+        "email_date", F.when(F.col("email_date") != today, F.col("email_date"))))
+    cands = SH.candidates(keys, as_of)
     k_max = SH.k_bound(settings, "max_emails")
-    cands = SH.candidates(history.drop("search_results"), as_of).join(
-        history.select("search_id", "search_results"), "search_id", "left")
-    picked = SH.shortlist(cands, due, k_max, tenant_bound=settings).checkpoint(eager=True)
+    leads = SH.with_texts(SH.shortlist(cands, texts, due, k_max, tenant_bound=settings), texts)
     names = due.select("client", F.explode(F.array(F.lit("email_template"),
                                                    F.lit("business_description"))).alias("name"))
-    texts = prompt_for(names, fx.prompts(spark), fx.default_prompts(spark)).groupBy("client").pivot(
+    bodies = prompt_for(names, fx.prompts(spark), fx.default_prompts(spark)).groupBy("client").pivot(
         "name", ["email_template", "business_description"]).agg(F.first("body"))
-    leads = picked.drop("email_content", "email_batch_recipient").join(F.broadcast(texts), "client", "left") \
-        .join(F.broadcast(due.select("client", "email_batch_recipient")), "client")
-    leads = leads.withColumn("email_content", RP.draft_email(
+    leads = leads.join(maybe_broadcast(bodies), "client", "left").join(
+        maybe_broadcast(due.select("client", "email_batch_recipient", "send_proposed_emails")), "client")
+    leads = leads.withColumn("draft", RP.draft_email(
         F.col("email_template"), F.col("business_description"), F.col("search_results"),
         F.col("first_name"), F.col("last_name"), F.col("company")))
-    small = is_small(settings, MAX_BROADCAST_TENANTS // k_max)
-    updated = SH.history_update(history, leads, as_of, F.col("email_content"),
-                                F.col("email_batch_recipient"), picked_small=small)
-    report = RP.report_lines(leads, SH.searches_since_last_email(history, settings), as_of)
+    leads = leads.withColumn("email_content", RP.sent_content(
+        F.col("send_proposed_emails"), F.col("draft"), F.col("search_results"))).checkpoint(eager=True)
+
+    # Usage of the ranking requests (W6) and the drafts.
+    requests = SH.ranking_requests(SH.tie_flags(cands, due, settings), texts)
+    calls = _native_call(requests, as_of, FN_RANKING, F.col("batch_no"), F.col("request"), F.col("n_texts"))
+    calls = calls.unionByName(_native_call(
+        leads, as_of, FN_EMAIL, F.col("search_id"),
+        F.concat_ws("\n", "email_template", "business_description", "search_results"), TX.token_count("draft")))
+    K.append(calls, usage_path, key=["usage_id"])
+
+    # K6: the e-mail marks go into the history itself; K8: the report.
+    since = SH.searches_since_last_email(keys, settings)
+    report = RP.report_lines(RP.reported(leads, due), since, as_of)
     K.write_partitioned(report, posixpath.join(out, "report"))
-    K.update_history(updated.filter("emailed_now").select(*HISTORY_COLS),
-                     posixpath.join(out, "history_emailed"), picked)
+    small = is_small(settings, max(1, rows_of(SH.LEAD_BYTES) // k_max))
+    K.update_history(history, history_path, leads, lambda rows: SH.history_update(
+        rows, leads, as_of, F.col("email_content"), F.col("email_batch_recipient"), picked_small=small).drop("emailed_now"))
 
-    # Costs of the usage month.
-    costs = P.cost_daily(P.cost_detail(usage, prices))
-    K.write_partitioned(costs.withColumn("period_label", F.concat_ws("_", "client", F.lit("all"))),
-                        posixpath.join(out, "costs"), partition_by=("client",))
+    # Costs of all usage (A14) under the tenant's period label (K4).
+    detail = P.cost_detail(all_usage(spark, sf_dir, out), prices).checkpoint(eager=True)
+    totals = P.cost_total(detail)
+    labels = totals.select("client", P.period_label(totals).alias("period_label"))
+    K.write_costs(P.cost_daily(detail).join(labels, "client"), posixpath.join(out, "costs"))
     return {"batch_rows": (batch_obs.get or {}).get("rows"), "out": out}
+
+
+def usage_of_day(spark: SparkSession, out: str, as_of) -> DataFrame:
+    """The usage that the runs of a day have stored."""
+    return spark.read.parquet(posixpath.join(out, "usage")).filter(F.col("search_date") == F.lit(as_ts(as_of)))

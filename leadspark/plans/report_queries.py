@@ -11,6 +11,7 @@ from ..operators import checks as CK
 from ..operators import pricing as P
 from ..operators import report as RP
 from ..operators import shortlist as SH
+from ..operators.sizing import maybe_broadcast
 from ..registry import register
 from .shortlist import SHORT_CTES, TODAY, _due_tenants, picked
 
@@ -139,12 +140,12 @@ def leads_with_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortlisted leads with their T9 draft (tenant template + business
     text from the prompts table, default when the tenant has none)."""
     from ..sources.tables import prompt_for
-    p = picked(spark, sf_dir)
+    p = SH.with_texts(picked(spark, sf_dir), fx.history_text(spark, sf_dir))
     names = _due_tenants(spark).select(
         "client", F.explode(F.array(F.lit("email_template"), F.lit("business_description"))).alias("name"))
     texts = prompt_for(names, fx.prompts(spark), fx.default_prompts(spark)).groupBy("client").pivot(
         "name", ["email_template", "business_description"]).agg(F.first("body"))
-    j = p.join(F.broadcast(texts), "client", "left")
+    j = p.join(maybe_broadcast(texts), "client", "left")
     return j.withColumn("email_content", RP.draft_email(
         F.col("email_template"), F.col("business_description"), F.col("search_results"),
         F.col("first_name"), F.col("last_name"), F.col("company")))
@@ -218,7 +219,8 @@ REPORT_CTES = [
     ("cap", """SELECT *, company || ', ' || first_name || ' ' || last_name AS caption,
        regexp_replace(replace(coalesce(search_results, ''), '\\n', chr(10)),
                       '\\(\\s*(\\bhttps?://[^\\s\\)]+)\\s*\\)', '(\\1)', 'g') AS body
-  FROM mailed"""),
+  FROM mailed
+ WHERE client IN (SELECT client FROM settings WHERE NOT send_proposed_emails)"""),
     ("pieces", f"""SELECT *, regexp_split_to_array(body, '{_FIND2}') AS parts,
        regexp_extract_all(body, '{_FIND2}') AS urls FROM cap"""),
     ("runs", f"""SELECT client, pick_rank, 2 * (i - 1) AS k, 'text' AS kind, {_STRIP.format(x='parts[i]')} AS text,
@@ -257,7 +259,7 @@ UNION ALL SELECT c.client, c.pick_rank, n.n_runs + 4, 'p', repeat('_', 50), NULL
 @register("k8_report_rows", REPORT_SQL)
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K8 + A4: the lead report of every due tenant as ordered lines."""
-    leads = leads_with_email(spark, sf_dir)
+    leads = RP.reported(leads_with_email(spark, sf_dir), _due_tenants(spark))
     since = SH.searches_since_last_email(fx.history(spark, sf_dir), fx.settings(spark))
     return RP.report_lines(leads, since, TODAY).select(
         "client", "section_no", "line_no", "kind", "text", "url")

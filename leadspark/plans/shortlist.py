@@ -9,7 +9,7 @@ from .. import fixtures as fx
 from .. import oracle as O
 from ..operators import shortlist as SH
 from ..operators import tenants as TN
-from ..operators.sizing import MAX_BROADCAST_TENANTS, is_small
+from ..operators.sizing import is_small, maybe_broadcast, rows_of
 from ..registry import register
 from .selection import CLEAN_CTES, TENANT_CTES
 
@@ -61,13 +61,11 @@ def _k_max(spark) -> int:
 
 
 def _cands(spark, sf_dir):
-    return SH.candidates(fx.history(spark, sf_dir), TODAY)
+    return SH.candidates(SH.history_keys(fx.history(spark, sf_dir)), TODAY)
 
 
 def picked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _cands(spark, sf_dir).drop("search_results").join(
-        fx.history_text(spark, sf_dir), "search_id", "left")
-    return SH.shortlist(c, _due_tenants(spark), _k_max(spark))
+    return SH.shortlist(_cands(spark, sf_dir), fx.history_text(spark, sf_dir), _due_tenants(spark), _k_max(spark))
 
 
 @register("w8_last_email", O.with_views(
@@ -135,11 +133,11 @@ def searches_since_email(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM history h LEFT JOIN picked p ON h.search_id = p.search_id""", SHORT_CTES))
 def history_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6 + J5 + F32: every history row, the picked ones marked e-mailed today."""
-    p = picked(spark, sf_dir).drop("email_batch_recipient").join(
-        F.broadcast(_due_tenants(spark).select("client", "email_batch_recipient")), "client")
+    p = picked(spark, sf_dir).join(
+        maybe_broadcast(_due_tenants(spark).select("client", "email_batch_recipient")), "client")
     caption = F.format_string("%s, %s %s", "company", "first_name", "last_name")
     # picked <= tenants x k_max rows: proven small through the settings table.
-    small = is_small(fx.settings(spark), MAX_BROADCAST_TENANTS // max(_k_max(spark), 1))
+    small = is_small(fx.settings(spark), max(1, rows_of(SH.LEAD_BYTES) // _k_max(spark)))
     u = SH.history_update(fx.history(spark, sf_dir), p, TODAY, caption,
                           F.col("email_batch_recipient"), picked_small=small)
     return u.select("client", "search_id", "email_date", "email_batch_recipient",
@@ -158,6 +156,4 @@ def history_update(spark: SparkSession, sf_dir: str) -> DataFrame:
  GROUP BY client, CAST(floor((tie_no - 1) / 6) AS BIGINT)""", SHORT_CTES))
 def ranking_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W6 + F31: ranking requests of six tied texts for every due tenant."""
-    c = _cands(spark, sf_dir).drop("search_results").join(
-        fx.history_text(spark, sf_dir), "search_id", "left")
-    return SH.ranking_requests(SH.tie_flags(c, _due_tenants(spark)))
+    return SH.ranking_requests(SH.tie_flags(_cands(spark, sf_dir), _due_tenants(spark)), fx.history_text(spark, sf_dir))

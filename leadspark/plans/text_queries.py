@@ -16,6 +16,7 @@ from .. import oracle as O
 from ..functions import payloads as PL
 from ..functions import text as TX
 from ..operators import selection as SL
+from ..operators.sizing import maybe_broadcast
 from ..registry import register
 from .selection import AS_OF, CLEAN_CTES
 
@@ -141,7 +142,7 @@ def standard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = SL.candidates(fx.contacts(spark, sf_dir), fx.history(spark, sf_dir), AS_OF)
     prompts = fx.prompts(spark).filter(F.col("name") == "standard_query").select(
         "client", F.col("body").alias("template"))
-    c = c.join(F.broadcast(prompts), "client", "left")  # one fixed row per tenant
+    c = c.join(maybe_broadcast(prompts), "client", "left")
     period = TX.search_period("last_search_date", AS_OF)
     q = TX.render_template(F.coalesce("template", F.lit(fx.STANDARD_QUERY)), {
         "candidate.first_name": F.col("first_name"), "candidate.last_name": F.col("last_name"),

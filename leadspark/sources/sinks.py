@@ -21,9 +21,7 @@ def write_partitioned(df: DataFrame, path: str, fmt: str = "parquet",
                       partition_by=("client",), mode: str = "overwrite") -> None:
     """K1: write by tenant; with ``overwrite`` only the partitions present in
     ``df`` are replaced (dynamic partition overwrite)."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.write.mode(mode).format(fmt).partitionBy(*partition_by).save(path)
+    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").format(fmt).partitionBy(*partition_by).save(path)
 
 
 def conform(df: DataFrame, schema) -> DataFrame:
@@ -40,23 +38,28 @@ def conform(df: DataFrame, schema) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def append(df: DataFrame, path: str, partition_by=("client",)) -> None:
+def append(df: DataFrame, path: str, partition_by=("client",), key: list[str] | None = None) -> None:
     """Append to a stored table, reconciled to its schema (new
-    table: written as is)."""
+    table: written as is). With ``key`` rows that are stored already are left
+    out, so a run that failed between two appends can be repeated."""
     spark = df.sparkSession
     if path_exists(spark, path):
-        stored = spark.read.parquet(path).schema
-        df = conform(df, stored)
+        stored = spark.read.parquet(path)
+        df = conform(df, stored.schema)
+        if key:
+            df = df.join(stored.select(*key), key, "left_anti").select(*stored.columns)
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, partition_by=("client",), sort_by=None) -> None:
-    """K3 / K7: CSV with a header per tenant folder, rows sorted within each
-    file (no global sort of all tenants in one task)."""
+    """K3 / K7: CSV with a header per tenant folder. With ``sort_by`` rows are
+    dealt by ranges of (tenant, order): each file is sorted and holds a range
+    of its own, files in name order are in row order, and a large tenant is
+    written by many tasks."""
     out = df
     if sort_by:
-        out = out.repartition(*[F.col(c) for c in partition_by]).sortWithinPartitions(*sort_by) \
-            if partition_by else out.sortWithinPartitions(*sort_by)
+        keys = [F.col(c) for c in (*partition_by, *sort_by)]
+        out = out.repartitionByRange(*keys).sortWithinPartitions(*keys)
     w = out.write.mode("overwrite").option("header", True)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -69,20 +72,32 @@ def write_costs(costs: DataFrame, path: str) -> None:
 
 
 def persist_enrichment(enriched: DataFrame, history_path: str, usage_path: str,
-                       history_cols: list[str], usage_fn) -> None:
+                       history_cols: list[str], usage_fn) -> DataFrame:
     """K5: results and usage come from one materialisation (checkpoint to
     the shared folder), so a retried or re-planned write never repeats the
-    research; then the two appends."""
+    research; then the two appends, each leaving out what a failed earlier
+    attempt of the same run has stored (``search_id``, ``usage_id``)."""
     done = enriched.checkpoint(eager=True)
-    append(done.select(*history_cols), history_path)
-    append(usage_fn(done), usage_path)
+    append(with_month(done.select(*history_cols)), history_path, HISTORY_PARTITIONS, ["search_id"])
+    append(usage_fn(done), usage_path, key=["usage_id"])
+    return done
+
+
+# A stored history is partitioned by tenant and search month, so that marking a
+# few e-mailed searches rewrites a month of a tenant, not all of it.
+HISTORY_PARTITIONS = ("client", "search_month")
+
+
+def with_month(history: DataFrame) -> DataFrame:
+    return history.withColumn("search_month", F.date_format("search_date", "yyyy-MM"))
 
 
-def update_history(updated: DataFrame, path: str, touched_clients: DataFrame) -> None:
-    """K6: rewrite only the tenant partitions that had rows e-mailed."""
+def update_history(history: DataFrame, path: str, touched: DataFrame, update) -> None:
+    """K6: rewrite the partitions of the stored ``history`` that ``touched``
+    (rows with client and search_date, at most a few per tenant) falls into;
+    ``update`` maps their rows."""
     from ..operators.sizing import maybe_broadcast
-    # A handful of tenant names: materialised once, then size-checked.
-    touched = touched_clients.select("client").distinct().checkpoint(eager=True)
-    changed = updated.join(maybe_broadcast(touched), "client", "left_semi")
-    done = changed.checkpoint(eager=True)  # the source partitions are overwritten below
-    write_partitioned(done, path)
+    parts = with_month(touched.select("client", "search_date")).select(*HISTORY_PARTITIONS).distinct()
+    rows = with_month(history).join(maybe_broadcast(parts.checkpoint(eager=True)), [*HISTORY_PARTITIONS], "left_semi")
+    done = update(rows).checkpoint(eager=True)  # the partitions it comes from are overwritten below
+    write_partitioned(done, path, partition_by=HISTORY_PARTITIONS)

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators import contacts as CT
+from ..operators.grouping import row_number_per_group
+from ..operators.sizing import maybe_broadcast
 
 CONTACT_FIELDS = ["first_name", "last_name", "company", "position"]
 REQUIRED_CONTACT_FIELDS = ["first_name", "last_name", "company"]
@@ -69,6 +71,22 @@ def require_columns(df: DataFrame, required: list[str], ordered: bool = False) -
     return missing
 
 
+def _file_order(raw: DataFrame, fmt: str) -> DataFrame:
+    """``src_row`` in file order: files in path order, rows in file order. A
+    Parquet row's place in its file is known; rows of a text format are ordered
+    by their split's start and their order in the scan, and numbered."""
+    path = F.col("_metadata.file_path")
+    if fmt != "parquet":
+        rows = raw.select("*", path.alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+                          F.monotonically_increasing_id().alias("_row"))
+        return row_number_per_group(rows, [], ["_path", "_block", "_row"], name="src_row").drop("_path", "_block", "_row")
+    files = raw.select(path.alias("_f")).distinct()  # one row per file
+    numbered = files.withColumn("_file", F.row_number().over(Window.orderBy("_f")).cast("bigint") - 1)
+    rows = raw.select("*", path.alias("_path"), F.col("_metadata.row_index").alias("_at"))
+    return rows.join(numbered, rows["_path"] == numbered["_f"]).withColumn(
+        "src_row", F.shiftleft("_file", 40) + F.col("_at")).drop("_path", "_at", "_file", "_f")
+
+
 def load_contacts(spark: SparkSession, path: str, fmt: str = "parquet",
                   client: str | None = None, **options) -> DataFrame:
     """Read, check required columns (C1), clean
@@ -85,10 +103,7 @@ def load_contacts(spark: SparkSession, path: str, fmt: str = "parquet",
     if "src_row" not in raw.columns:
         # File order: position within the landed file (stable across re-reads
         # of the same files, unlike an id assigned per task).
-        raw = raw.withColumn("src_row", F.shiftleft(F.pmod(F.xxhash64(F.col("_metadata.file_path")),
-                                                           F.lit(1 << 20)), 40)
-                             + F.col("_metadata.row_index")) if fmt == "parquet" else \
-            raw.withColumn("src_row", F.monotonically_increasing_id())
+        raw = _file_order(raw, fmt)
     if client is not None:
         raw = raw.filter(F.col("client") == client)
     c = CT.clean(raw.select(*[F.col(f.name).cast(f.dataType) for f in S.CONTACTS.fields]))
@@ -155,8 +170,8 @@ def prompt_for(names: DataFrame, prompts: DataFrame, defaults: DataFrame) -> Dat
     default text of the same name."""
     own = prompts.select("client", "name", F.col("body").alias("_own"))
     dflt = defaults.select("name", F.col("body").alias("_default"))
-    return (names.join(F.broadcast(own), ["client", "name"], "left")
-            .join(F.broadcast(dflt), "name", "left")
+    return (names.join(maybe_broadcast(own), ["client", "name"], "left")
+            .join(maybe_broadcast(dflt), "name", "left")
             .select("client", "name", F.coalesce("_own", "_default").alias("body"),
                     F.col("_own").isNull().alias("is_default")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from leadspark.session import checkpoint_dir
@@ -29,10 +29,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared checkpoint folder and reread:
-    cuts the lineage and survives lost executors. The schema is given, so an
-    empty table rereads as well."""
+def _written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     # the exchanges of this write are done with when it ends: free their disk then
@@ -45,6 +42,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and reread:
+    cuts the lineage and survives lost executors. The schema is given, so an
+    empty table rereads as well."""
+    return _written(df, name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,29 +79,28 @@ def components(edges: DataFrame) -> DataFrame:
     the longest path. Every step is a grouped minimum (combined before the
     shuffle) and a join that adaptive execution splits where a node is hot.
     """
-    def pairs(df: DataFrame) -> DataFrame:
-        return df.filter("u <> v").select(F.greatest("u", "v").alias("u"),
-                                          F.least("u", "v").alias("v")).distinct()
+    def links(df: DataFrame) -> DataFrame:
+        """Links (larger, smaller node), without loops."""
+        return df.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
-    e = stored(pairs(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "edges")
-    mark = _mark(e)
+    e, mark = _marked(links(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).distinct(), "edges")
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(pairs(large), "large")
+        large = _written(links(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(pairs(small.unionByName(low.select("u", F.col("m").alias("v")))), "small")
-        now = _mark(e)
-        if now == mark:
+        before = mark
+        e, mark = _marked(links(small.unionByName(low.select("u", F.col("m").alias("v")))).distinct(), "small")
+        if mark == before:
             break
-        mark = now
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _mark(e: DataFrame) -> tuple[int, int]:
-    """Count and order-free hash of the edges, to see when they stay."""
-    row = e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-    return row[0], row[1]
+def _marked(e: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int]]:
+    """The stored links with their count and order-free hash, taken while they
+    are written, to see when they stay."""
+    seen = Observation()
+    e = _written(e.observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")), name)
+    return e, (seen.get["n"], seen.get["x"])

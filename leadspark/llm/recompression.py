@@ -245,8 +245,8 @@ def _cut(texts: Column, starts: Column) -> Column:
 
 def _marked(docs: DataFrame, carried: list[str], all_texts: bool) -> tuple[DataFrame, DataFrame]:
     """A stored table of the documents (``rid``, ``c_<column>`` of the carried
-    columns, ``text``: of all, or of those with windows to verify), and the
-    starts of the repeated windows per ``rid``."""
+    columns, ``t``: the text of all, or of those with windows to verify), and the
+    starts of the repeated windows per ``rid``: null where all of them are."""
     spark = common.prepare(docs.sparkSession)
     text = common.text_of().cast("binary")
     counts = docs.select(text.alias("t")).mapInArrow(_count_anchors, "a long, c int")
@@ -254,24 +254,42 @@ def _marked(docs: DataFrame, carried: list[str], all_texts: bool) -> tuple[DataF
     bitmap = spark.sparkContext.broadcast(_shared_bits(spark, shared))
     rows = common.stored(
         docs.select(F.monotonically_increasing_id().alias("rid"), *[F.col(c).alias(f"c_{c}") for c in carried],
-                    text.alias("t"), _candidates(text, bitmap).alias("m"))
+                    (F.col("text").cast("binary") if all_texts else text).alias("t"), _candidates(text, bitmap).alias("m"))
         .select("rid", *[F.col(f"`c_{c}`") for c in carried], "m",
                 (F.col("t") if all_texts else F.when(F.size("m.a") > 0, F.col("t"))).alias("t")), "windows")
-    flat = rows.select("rid", F.explode(F.arrays_zip("m.a", "m.p", "m.w")).alias("x")).select("rid", "x.*")
-    twice = common.stored(flat.groupBy("a", "w").agg(F.count("*").alias("n")).filter("n > 1").select("a", "w"), "twice")
-    hits = flat.join(twice, ["a", "w"]).groupBy("rid").agg(F.collect_list("p").alias("starts"))
-    return rows, common.stored(hits, "hits")
+    # documents of equal words are copies of each other: all their windows repeat.
+    # Their first one stands in for them below, counted twice.
+    copied = (rows.filter(F.col("m.n_words") >= WINDOW).groupBy(F.col("m.kept_sha256").alias("sha"))
+              .agg(F.count("*").alias("n"), F.min("rid").alias("first")).filter("n > 1").select("sha", "first"))
+    copies = common.stored(rows.select("rid", F.col("m.kept_sha256").alias("sha")).join(copied, "sha").select(
+        "rid", (F.col("rid") == F.col("first")).alias("lead")), "copies")
+
+    def flat(part: DataFrame, weight: int) -> DataFrame:
+        x = F.explode(F.arrays_zip("m.a", "m.p", "m.w")).alias("x")
+        return part.select("rid", x, F.lit(weight).alias("n")).select("rid", "n", "x.*")
+
+    single = flat(rows.join(copies.select("rid"), "rid", "left_anti"), 1)
+    lead = flat(rows.join(copies.filter("lead").select("rid"), "rid", "left_semi"), 2)
+    twice = common.stored(single.unionByName(lead).groupBy("a", "w").agg(F.sum("n").alias("n"))
+                          .filter("n > 1").select("a", "w"), "twice")
+    hits = common.stored(single.join(twice, ["a", "w"]).groupBy("rid").agg(F.collect_list("p").alias("starts")), "hits")
+    return rows, hits.unionByName(copies.select("rid", F.lit(None).cast("array<int>").alias("starts")))
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """One row per document row: ``doc_id, n_words, n_removed, kept_sha256``
     and ``kept_text`` (null where nothing is removed)."""
     rows, hits = _marked(docs, ["doc_id"], False)
-    texts = rows.filter(F.size("m.a") > 0).select("rid", "t").join(hits, "rid")
-    cut = texts.select("rid", _cut(F.col("t"), F.col("starts")).alias("x"))
-    return rows.select("rid", "c_doc_id", "m.n_words", "m.kept_sha256").join(cut, "rid", "left").select(
-        F.col("c_doc_id").alias("doc_id"), "n_words", F.coalesce("x.n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("x.kept_sha256", "kept_sha256").alias("kept_sha256"), F.col("x.text").alias("kept_text"))
+    none, empty = F.lit(0).cast("long"), F.lit(hashlib.sha256(b"").hexdigest())
+    texts = rows.select("rid", "t").join(hits.filter("starts is not null"), "rid")
+    cut = texts.select("rid", _cut(F.col("t"), F.col("starts")).alias("x")).select("rid", "x.*").unionByName(
+        hits.filter("starts is null").select("rid", F.lit(None).cast("long").alias("n_removed"),
+                                             empty.alias("kept_sha256"), F.lit("").alias("text")))
+    whole = rows.select("rid", F.col("c_doc_id").alias("doc_id"), "m.n_words", F.col("m.kept_sha256").alias("sha"))
+    gone = F.when(F.col("text").isNull(), none).otherwise(F.coalesce("n_removed", "n_words"))
+    return whole.join(cut, "rid", "left").select("doc_id", "n_words", gone.alias("n_removed"),
+                                                 F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
+                                                 F.col("text").alias("kept_text"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -281,10 +299,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     other = [c for c in docs.columns if c != "text"]
     rows, hits = _marked(docs, other, True)
     known = docs.schema["text"].dataType
-    joined = rows.join(hits, "rid", "left")
+    joined = rows.join(hits.withColumn("hit", F.lit(True)), "rid", "left")
+    held = [f"c_{c}" for c in other]
     cut = joined.filter("starts is not null").select(
-        *[f"c_{c}" for c in other], "t", _cut(F.col("t"), F.col("starts")).getField("text").alias("new"))
-    whole = joined.filter("starts is null").select(*[f"c_{c}" for c in other], "t", F.lit(None).cast("string").alias("new"))
+        *held, "t", _cut(F.col("t"), F.col("starts")).getField("text").alias("new"))
+    whole = joined.filter("starts is null").select(*held, "t", F.when(F.col("hit"), F.lit("")).alias("new"))
     out = cut.unionByName(whole)
     value = {c: F.col(f"c_{c}") for c in other} | {"text": F.coalesce("new", F.col("t").cast(known))}
     if "n_chars" in value:

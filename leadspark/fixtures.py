@@ -243,6 +243,7 @@ SETTINGS_ROWS = [
     ("ASIA", 10, 3, 5, 3, 2, "gpt-4", "gpt-4o", ["monday", "THURSDAY"], True),
     ("EUROPE", 6, 8, 3, 25, 2, "gpt-4o-mini", "gpt-4o", ["Thursday"], False),
     ("MIDDLE EAST", 300, 50, 4, 3, 2, "gpt-4o-mini", "gpt-4o", ["Friday", "Thursday"], False),
+    ("NEW TENANT", 5, None, None, 3, 2, "gpt-4o", "gpt-4o", ["Thursday"], False),
 ]
 
 

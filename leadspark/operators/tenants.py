@@ -31,9 +31,15 @@ def live_subscriptions(subs: DataFrame, today) -> DataFrame:
     return subs.filter(named & live)
 
 
+# Settings that must be given (beside those with a range).
+REQUIRED = ["mini_batch_size", "max_emails", "email_user", "email_batch_recipient"]
+
+
 def _rules() -> list[tuple[str, str, Column]]:
+    # The allowed ranges and models.
     c = F.col
     rules: list[tuple[str, str, Column]] = [
+        *[(f"missing_{name}", f"{name} must be given", c(name).isNull()) for name in REQUIRED],
         ("send_flag", "send_proposed_emails must be true or false",
          c("send_proposed_emails").isNull()),
         ("max_tavily", "max_tavily_searches must be in 1..19",

@@ -74,6 +74,10 @@ UNION ALL
 SELECT client, 'llm_email', client, 'llm_email must start with gpt-4o' FROM settings
  WHERE NOT coalesce(starts_with(llm_email, 'gpt-4o'), FALSE)
 UNION ALL
+SELECT client, 'missing_max_emails', client, 'max_emails must be given' FROM settings WHERE max_emails IS NULL
+UNION ALL
+SELECT client, 'missing_mini_batch_size', client, 'mini_batch_size must be given' FROM settings WHERE mini_batch_size IS NULL
+UNION ALL
 SELECT client, 'send_flag', client, 'send_proposed_emails must be true or false' FROM settings
  WHERE send_proposed_emails IS NULL
 UNION ALL

@@ -66,7 +66,7 @@ CLEAN_CTES = [
 
 TENANT_CTES = O.PRICE_PICK + [
     ("valid_settings", """SELECT * FROM settings
-  WHERE send_proposed_emails IS NOT NULL
+  WHERE send_proposed_emails IS NOT NULL AND max_emails IS NOT NULL AND mini_batch_size IS NOT NULL
     AND max_tavily_searches > 0 AND max_tavily_searches < 20
     AND max_pplx_searches > 0 AND max_pplx_searches < 10
     AND batch_size > 0 AND batch_size < 1000

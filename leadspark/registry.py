@@ -40,4 +40,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load():
     # Importing the query modules fills the registry.
-    from .plans import costs, selection, shortlist, text_queries, enrich_queries, report_queries  # noqa: F401
+    from .plans import branch_queries, costs, enrich_queries, report_queries, selection, shortlist, text_queries  # noqa: F401

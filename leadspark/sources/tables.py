@@ -124,27 +124,36 @@ def load_prices(spark: SparkSession, path: str, fmt: str = "csv", **options) ->
     """Prices with dates parsed leniently (bad -> null, F24) and the
     load checks: C9 empty source, C6 unparseable start dates."""
     opts = {"header": "true", **options} if fmt == "csv" else options
-    raw = spark.read.schema(PRICING_RAW).options(**opts).format(fmt).load(path)
+    return parse_prices(spark.read.schema(PRICING_RAW).options(**opts).format(fmt).load(path))
+
+
+def parse_prices(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Typed prices of raw ones, and what is wrong with them. A blank start
+    date is no date that failed to parse; both leave a period without a start."""
+    blank = F.col("start_date").isNull() | (F.trim("start_date") == "")
     parsed = raw.select(
         "ord", "model",
         F.try_to_timestamp(F.col("start_date")).cast("timestamp_ntz").alias("start_date"),
         F.try_to_timestamp(F.col("end_date")).cast("timestamp_ntz").alias("end_date"),
         *[nan_to_null(c).alias(c) for c in ("input_price", "output_price", "search_price")],
-        F.col("start_date").alias("_raw_start"))
+        blank.alias("_blank"))
     checks = parsed.agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("start_date").isNull() & F.col("_raw_start").isNotNull()).alias("bad_start"),
-        F.count_if(F.col("start_date").isNull()).alias("null_start"))
+        F.count_if(F.col("start_date").isNull() & ~F.col("_blank")).alias("bad_start"),
+        F.count_if(F.col("_blank")).alias("blank_start"))
     issues = checks.select(F.explode(F.array(
         F.when(F.col("n") == 0, F.struct(F.lit("empty_source").alias("check"),
                                          F.lit("pricing").alias("key"),
                                          F.lit("the pricing file is empty").alias("detail"))),
-        F.when(F.col("null_start") > 0, F.struct(
+        F.when(F.col("bad_start") > 0, F.struct(
             F.lit("start_date_unparsed").alias("check"), F.lit("pricing").alias("key"),
-            F.format_string("%d start dates could not be parsed", F.col("null_start")).alias("detail"))),
+            F.format_string("%d start dates could not be parsed", F.col("bad_start")).alias("detail"))),
+        F.when(F.col("blank_start") > 0, F.struct(
+            F.lit("start_date_blank").alias("check"), F.lit("pricing").alias("key"),
+            F.format_string("%d start dates are blank", F.col("blank_start")).alias("detail"))),
     )).alias("i")).filter(F.col("i").isNotNull()).select(
         F.lit(None).cast("string").alias("client"), "i.check", "i.key", "i.detail")
-    return parsed.drop("_raw_start"), issues
+    return parsed.drop("_blank"), issues
 
 
 def load_subscriptions(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:

@@ -47,11 +47,15 @@ STOP = 0.25
 END = 0.01
 #: Weight of the existing scores against the expected counts, in words.
 PRIOR = 1000.0
+#: Characters of words worked on at once.
+CHUNK_CHARACTERS = 100_000
 _MARK = "▁"
 
 
 class Lattice:
-    """Log weights of the pieces, and sums over segmentations."""
+    """Log weights of the pieces, and sums over segmentations. Words of one
+    length are worked on together, column by column; a substring is looked up
+    among the pieces by a 64-bit rolling hash."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -72,6 +76,12 @@ class Lattice:
         for i in self.byte.values():
             scores[i] = low
         self.longest = max(map(len, self.ids))
+        keys = np.empty(len(self.ids), dtype=np.uint64)
+        values = np.empty(len(self.ids), dtype=np.int64)
+        for at, (piece, i) in enumerate(self.ids.items()):
+            keys[at], values[at] = _prefixes(_codes([piece], len(piece)))[0, -1], i
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
         # scores are minus the merge rank: Zipf weights
         weights = np.where(np.isfinite(scores), 1.0 / (2.7 - scores), 0.0)
         self.prior = weights / weights.sum()
@@ -80,79 +90,109 @@ class Lattice:
     def use(self, weights: np.ndarray) -> None:
         """Set the pieces' probabilities."""
         with np.errstate(divide="ignore"):
-            logs = np.log(weights * (1 - STOP))
-        self.log = {piece: (i, float(logs[i])) for piece, i in self.ids.items() if np.isfinite(logs[i])}
-        self.byte_log = {b: float(logs[i]) for b, i in self.byte.items()}
-        self.heads = {p[:2] for p in self.log}
-
-    def edges(self, word: str) -> list[list[tuple[int, int, float]]]:
-        """Per end: (start, piece, log weight); piece -1: a character's bytes."""
-        text = _MARK + word
-        get, longest = self.log.get, self.longest
-        n = len(text)
-        out: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-        for start in range(n):
-            one = text[start]
-            out[start + 1].append((start, -1, sum(self.byte_log[b] for b in one.encode("utf-8", "replace"))))
-            hit = get(one)
-            if hit:
-                out[start + 1].append((start, hit[0], hit[1]))
-            if start + 1 < n and text[start:start + 2] in self.heads:
-                for end in range(start + 2, min(n, start + longest) + 1):
-                    hit = get(text[start:end])
-                    if hit:
-                        out[end].append((start, hit[0], hit[1]))
+            self.log = np.log(weights * (1 - STOP))
+
+    def _characters(self, codes: np.ndarray) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+        """Byte pieces of the distinct characters, which character stands where,
+        and the log weight of spelling each by its bytes."""
+        kinds, at = np.unique(codes, return_inverse=True)
+        spelt = [[self.byte[b] for b in chr(c).encode("utf-8", "replace")] for c in kinds.tolist()]
+        return spelt, at.reshape(codes.shape), np.array([self.log[x].sum() for x in spelt])[at.reshape(codes.shape)]
+
+    def _forward(self, codes: np.ndarray, by_bytes: np.ndarray):
+        """Log sums over the segmentations of each prefix, and the pieces found:
+        per end (start, rows, pieces)."""
+        n, size = codes.shape
+        prefix = _prefixes(codes)
+        alpha = np.zeros((size + 1, n))
+        found: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(size + 1)]
+        for end in range(1, size + 1):
+            total = alpha[end - 1] + by_bytes[:, end - 1]
+            for start in range(max(0, end - self.longest), end):
+                h = prefix[:, end] - prefix[:, start] * _POWERS[end - start]
+                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+                rows = np.flatnonzero(self.keys[at] == h)
+                if len(rows):
+                    piece = self.values[at[rows]]
+                    found[end].append((start, rows, piece))
+                    total[rows] = np.logaddexp(total[rows], alpha[start][rows] + self.log[piece])
+            alpha[end] = total
+        return alpha, found
+
+    def spelled(self, words: list[str]) -> np.ndarray:
+        """log Q of each word over all segmentations, the stop included."""
+        out = np.empty(len(words))
+        for places, codes in _by_length(words):
+            _, _, by_bytes = self._characters(codes)
+            out[places] = self._forward(codes, by_bytes)[0][-1] + _LOG_STOP
         return out
 
-    def forward(self, edges) -> list[float]:
-        """Log sums over the segmentations of each prefix."""
-        alpha = [0.0]
-        exp, log = math.exp, math.log
-        for incoming in edges[1:]:
-            terms = [alpha[s] + w for s, _, w in incoming]
-            top = max(terms)
-            alpha.append(top if len(terms) == 1 else top + log(sum([exp(t - top) for t in terms])))
-        return alpha
-
-    def spelled(self, word: str) -> float:
-        """log Q(word) over all segmentations, the stop included."""
-        return self.forward(self.edges(word))[-1] + _LOG_STOP
-
-    def expect(self, word: str, into: np.ndarray) -> None:
-        """Add the expected uses of each piece in the word."""
-        edges = self.edges(word)
-        alpha = self.forward(edges)
-        n = len(alpha) - 1
-        beta = [-math.inf] * n + [0.0]
-        total = alpha[n]
-        for end in range(n, 0, -1):
-            b = beta[end]
-            if b == -math.inf:
-                continue
-            for start, piece, w in edges[end]:
-                share = math.exp(alpha[start] + w + b - total)
-                if piece >= 0:
-                    into[piece] += share
-                else:
-                    for x in (_MARK if start == 0 else word[start - 1]).encode("utf-8", "replace"):
-                        into[self.byte[x]] += share
-                beta[start] = _add(beta[start], w + b)
+    def expect(self, words: list[str], into: np.ndarray) -> None:
+        """Add the expected uses of each piece in the words."""
+        for _, codes in _by_length(words):
+            spelt, at, by_bytes = self._characters(codes)
+            alpha, found = self._forward(codes, by_bytes)
+            n, size = codes.shape
+            beta = np.full((size + 1, n), -np.inf)
+            beta[size] = 0.0
+            uses = np.zeros(len(spelt))
+            for end in range(size, 0, -1):
+                t = by_bytes[:, end - 1] + beta[end]
+                uses += np.bincount(at[:, end - 1], np.exp(alpha[end - 1] + t - alpha[size]), len(spelt))
+                beta[end - 1] = np.logaddexp(beta[end - 1], t)
+                for start, rows, piece in found[end]:
+                    t = self.log[piece] + beta[end][rows]
+                    into += np.bincount(piece, np.exp(alpha[start][rows] + t - alpha[size][rows]), len(into))
+                    beta[start][rows] = np.logaddexp(beta[start][rows], t)
+            for pieces, k in zip(spelt, uses.tolist()):
+                for i in pieces:
+                    into[i] += k
+
+
+_STEP = 0x9E3779B97F4A7C15
+#: Powers of the rolling hash's base, for substrings of up to 64 characters.
+_POWERS = np.array([pow(_STEP, k, 1 << 64) for k in range(65)], dtype=np.uint64)
+
+
+def _codes(words: list[str], size: int) -> np.ndarray:
+    """Code points of words of one length, a row each."""
+    return np.array(words, dtype=f"<U{size}").view(np.uint32).reshape(len(words), size)
+
+
+def _prefixes(codes: np.ndarray) -> np.ndarray:
+    """Rolling hashes of each row's prefixes."""
+    out = np.zeros((codes.shape[0], codes.shape[1] + 1), dtype=np.uint64)
+    for k in range(codes.shape[1]):
+        out[:, k + 1] = out[:, k] * _POWERS[1] + codes[:, k] + np.uint64(1)
+    return out
+
+
+def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of one length together: their places, and the code points of the
+    marked words. A block holds a bounded number of characters (or one word)."""
+    sizes = np.array([len(w) for w in words], dtype=np.int64) + 1
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        size = int(sizes[order[at]])
+        end = min(int(np.searchsorted(sizes[order], size, side="right")), at + max(1, CHUNK_CHARACTERS // size))
+        places = order[at:end]
+        yield places, _codes([_MARK + words[i] for i in places.tolist()], size)
+        at = end
 
 
 _LOG_STOP = math.log(STOP / (1 - STOP))
 
 
-def _add(a: float, b: float) -> float:
-    if a < b:
-        a, b = b, a
-    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
-
-
 @lru_cache(maxsize=1)
 def _lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
+def _texts(words: pa.Array) -> list[str]:
+    return [w.decode("utf-8", "replace") for w in words.to_pylist()]
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word counts of a task's texts: of the training texts, and presence."""
     def sent(learnt: Counter, seen: set[bytes]) -> pa.RecordBatch:
@@ -190,8 +230,7 @@ def fitted(words: DataFrame, path: str) -> np.ndarray:
         lattice.use(lattice.prior)
         total = np.zeros(len(lattice.prior))
         for batch in batches:
-            for w in batch.column(0):
-                lattice.expect(w.as_py().decode("utf-8", "replace"), total)
+            lattice.expect(_texts(batch.column(0)), total)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["i", "n"])
 
@@ -213,8 +252,7 @@ def scored_words(words: DataFrame, path: str, weights, n: int, v: int) -> DataFr
         lattice.use(sent.value)
         for batch in batches:
             c = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-            q = np.array([lattice.spelled(w.as_py().decode("utf-8", "replace")) for w in batch.column(0)])
-            spelt = np.log((1 - END) * (v + 1)) + q
+            spelt = np.log((1 - END) * (v + 1)) + lattice.spelled(_texts(batch.column(0)))
             with np.errstate(divide="ignore"):
                 model = np.logaddexp(np.log(c), spelt) - math.log(n + v + 1)
             yield pa.RecordBatch.from_arrays(

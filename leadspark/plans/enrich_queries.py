@@ -135,7 +135,7 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = fx.settings(spark)
     tenants = _tenants(spark, sf_dir)
     e = SL.eligible(SL.candidates(fx.contacts(spark, sf_dir), fx.history(spark, sf_dir), AS_OF), AS_OF)
-    batch = SL.daily_batch(e, tenants, SEED, tenant_bound=settings)
+    batch = SL.daily_batch(e, tenants, SEED, tenant_bound=settings, k_max=SL.k_bound(settings, "batch_size"))
     templates = fx.prompts(spark).filter(F.col("name") == "standard_query").select(
         "client", F.col("body").alias("template"))
     docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text", "source")

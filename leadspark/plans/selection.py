@@ -174,7 +174,8 @@ def _tenants(spark, sf_dir):
 def daily_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P17 + P19 + O2 + O3 + O4 + W5: today's batch for every runnable tenant."""
     e = SL.eligible(SL.candidates(fx.contacts(spark, sf_dir), fx.history(spark, sf_dir), AS_OF), AS_OF)
-    b = SL.daily_batch(e, _tenants(spark, sf_dir), SEED, tenant_bound=fx.settings(spark))
+    settings = fx.settings(spark)
+    b = SL.daily_batch(e, _tenants(spark, sf_dir), SEED, tenant_bound=settings, k_max=SL.k_bound(settings, "batch_size"))
     return b.select("client", "first_name", "last_name", "company", "position", "is_new",
                     "last_search_date", "last_total_score", "pick_rank", "mini_batch")
 

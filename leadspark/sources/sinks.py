@@ -51,15 +51,16 @@ def append(df: DataFrame, path: str, partition_by=("client",), key: list[str] |
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, partition_by=("client",), sort_by=None) -> None:
+def write_csv(df: DataFrame, path: str, partition_by=("client",), sort_by=None, partitions: int | None = None) -> None:
     """K3 / K7: CSV with a header per tenant folder. With ``sort_by`` rows are
     dealt by ranges of (tenant, order): each file is sorted and holds a range
     of its own, files in name order are in row order, and a large tenant is
-    written by many tasks."""
+    written by many tasks (``partitions``, or as many as adaptive execution
+    finds fit)."""
     out = df
     if sort_by:
-        keys = [F.col(c) for c in (*partition_by, *sort_by)]
-        out = out.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        keys = [F.col(c) if isinstance(c, str) else c for c in (*partition_by, *sort_by)]
+        out = out.repartitionByRange(*([partitions] if partitions else []), *keys).sortWithinPartitions(*keys)
     w = out.write.mode("overwrite").option("header", True)
     if partition_by:
         w = w.partitionBy(*partition_by)

@@ -124,7 +124,12 @@ def load_prices(spark: SparkSession, path: str, fmt: str = "csv", **options) ->
     """Prices with dates parsed leniently (bad -> null, F24) and the
     load checks: C9 empty source, C6 unparseable start dates."""
     opts = {"header": "true", **options} if fmt == "csv" else options
-    return parse_prices(spark.read.schema(PRICING_RAW).options(**opts).format(fmt).load(path))
+    reader = spark.read.options(**opts).format(fmt)
+    if "ord" in reader.load(path).columns:
+        return parse_prices(reader.schema(PRICING_RAW).load(path))
+    # no order column: the order in the file is the order
+    raw = _file_order(reader.schema(PRICING_RAW.split(", ", 1)[1]).load(path), fmt)
+    return parse_prices(raw.withColumnRenamed("src_row", "ord"))
 
 
 def parse_prices(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -157,10 +162,17 @@ def parse_prices(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def load_subscriptions(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    """Typed subscriptions (empty source is a C9 issue for the caller)."""
+    """Typed subscriptions (C9: see :func:`empty_source`)."""
     return spark.read.schema(S.SUBSCRIPTIONS).options(**options).format(fmt).load(path)
 
 
+def empty_source(df: DataFrame, name: str) -> DataFrame:
+    """A check row where a source has no rows."""
+    return df.limit(1).agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(
+        F.lit(None).cast("string").alias("client"), F.lit("empty_source").alias("check"), F.lit(name).alias("key"),
+        F.lit(f"the {name} source is empty").alias("detail"))
+
+
 def load_prompts(spark: SparkSession, glob: str) -> DataFrame:
     """Every tenant prompt file as (client, name, body): whole files,
     tenant from the parent folder, name from the file name without its

@@ -77,3 +77,80 @@ def test_csv_export_sorted_per_tenant(spark, tmp_dir):
     K.write_csv(df, path, sort_by=[F.col("v").desc()])
     back = spark.read.option("header", True).csv(path)
     assert sorted(tuple(r) for r in back.select("client", "v").collect()) == [("A", "1"), ("A", "2"), ("B", "3")]
+
+
+def test_csv_of_a_large_tenant_keeps_its_order_over_files(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "csv2")
+    df = spark.range(0, 5000, numPartitions=7).select(F.lit("A").alias("client"), (F.col("id") * 7919 % 5000).alias("v"))
+    K.write_csv(df, path, sort_by=["v"], partitions=4)
+    folder = os.path.join(path, "client=A")
+    files = sorted(f for f in os.listdir(folder) if f.endswith(".csv"))
+    values = []
+    for f in files:
+        with open(os.path.join(folder, f)) as lines:
+            values += [int(x) for x in lines.read().split()[1:]]
+    assert len(files) > 1 and values == list(range(5000))
+
+
+def test_prices_in_file_order(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "p.csv")
+    with open(path, "w") as f:
+        f.write("model,start_date,end_date,input_price,output_price,search_price\n"
+                "z,2024-01-03,,1.0,2.0,0.1\na,2024-01-01,,NaN,2.0,0.1\nm, ,,1.0,2.0,0.1\n")
+    prices, issues = T.load_prices(spark, path)
+    assert [r.model for r in prices.orderBy("ord").collect()] == ["z", "a", "m"]
+    assert prices.filter("model = 'a'").first().input_price is None
+    assert [r.check for r in issues.collect()] == ["start_date_blank"]
+
+
+def test_first_row_of_a_person_wins_over_files(spark, tmp_dir):
+    from leadspark.operators import contacts as CT
+    path = os.path.join(tmp_dir, "two")
+    for k, position in enumerate(("Dev", "Boss")):
+        spark.createDataFrame([("Ann", "Lee", "Co", position)],
+                              "first_name string, last_name string, company string, position string").coalesce(1) \
+            .write.parquet(os.path.join(path, f"part={k}"))
+    c = CT.one_per_person(T.load_contacts(spark, os.path.join(path, "*"), client="T"))
+    assert [r.position for r in c.collect()] == ["Dev"]
+
+
+def test_empty_subscriptions_are_reported(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "subs")
+    spark.createDataFrame([], S.SUBSCRIPTIONS).write.parquet(path)
+    subs = T.load_subscriptions(spark, path)
+    assert [r.check for r in T.empty_source(subs, "subscriptions").collect()] == ["empty_source"]
+    assert T.empty_source(spark.range(1), "x").count() == 0
+
+
+def test_append_leaves_out_what_is_stored(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "keyed")
+    for rows in ([("A", 1)], [("A", 1), ("A", 2)]):
+        K.append(spark.createDataFrame(rows, "client string, id long"), path, key=["id"])
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2]
+
+
+def test_a_cluster_session_must_name_its_checkpoint_folder(monkeypatch):
+    from leadspark import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def setCheckpointDir(self, path):
+            raise AssertionError("a scratch folder was chosen")
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Session())
+    Session.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Session())

@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import payloads as PL
 from ..functions import text as TX
 from ..schemas import KEY3
+from . import provider as PV
 from .contacts import as_ts
 from .grouping import row_number_per_group, top_k_per_group
 from .selection import k_bound, whole_days  # noqa: F401
@@ -105,7 +107,8 @@ def tie_flags(cands: DataFrame, tenants: DataFrame,
     return c.withColumn("_tie", in_tie)
 
 
-# Texts per ranking request.
+# Function name of a ranking call; texts per ranking request.
+FN_RANKING = "SearchResultsRankingAgent"
 RANK_BATCH = 6
 
 
@@ -136,8 +139,21 @@ def of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(ids, "search_id", "left_semi")
 
 
+def provider_ranks(requests: DataFrame, factory, partitions: int, calls_per_minute: float = PV.CALLS_PER_MINUTE) -> tuple[DataFrame, DataFrame]:
+    """T8 through a provider (T12): the ranking requests (W6) answered, and the
+    answers parsed (F18). Returns the ranks by person (``client, first_name,
+    last_name, company, rank``; the best where a person is named twice) and the
+    calls as the provider counted them."""
+    req = requests.select(F.concat_ws("|", "client", "batch_no").alias("request_id"), F.lit(FN_RANKING).alias("function"),
+                          F.col("request").alias("prompt"))
+    answers = PV.call_provider(req, factory, partitions, calls_per_minute)
+    named = answers.select(F.split_part("request_id", F.lit("|"), F.lit(1)).alias("client"),
+                           F.inline(PL.rankings("response")))
+    return named.groupBy(*KEY3).agg(F.min("rank").alias("rank")), answers
+
+
 def shortlist(cands: DataFrame, texts: DataFrame, tenants: DataFrame, k_max: int,
-              tenant_bound: DataFrame | bool | None = None) -> DataFrame:
+              tenant_bound: DataFrame | bool | None = None, ranks: DataFrame | None = None) -> DataFrame:
     """A6 + W3 + T8 + O5 + W4/O6 + P20: best ``max_emails`` leads per tenant.
 
     When more rows share the top combined score than ``max_emails`` (a tie),
@@ -146,9 +162,17 @@ def shortlist(cands: DataFrame, texts: DataFrame, tenants: DataFrame, k_max: int
     follow the combined score, ``search_id`` breaking equal scores.
     ``k_max`` is a literal upper bound of every tenant's ``max_emails``.
     ``texts`` (search_id, search_results) is read for the tie rows only; the
-    result holds no text (see :func:`with_texts`).
+    result holds no text (see :func:`with_texts`). ``ranks`` (a provider's, by
+    person) order the tie rows instead of the native criteria; unranked ones
+    come last.
     """
     c = tie_flags(cands, tenants, tenant_bound)
+    if ranks is not None:
+        c = c.join(ranks.withColumnRenamed("rank", "_rank"), KEY3, "left")
+        order = [F.col("combined_score").desc(), F.when(F.col("_tie"), F.col("_rank")).asc_nulls_last(),
+                 F.col("search_id").asc()]
+        best = top_k_per_group(c, ["client"], order, "max_emails", k_max, rank_col="pick_rank")
+        return best.withColumn("rank", F.when(F.col("_tie"), F.col("pick_rank"))).drop("_rank")
     tied = of_ids(texts, c.filter("_tie").select("search_id"))
     c = c.join(tied.select("search_id", *rank_features(F.col("search_results"))), "search_id", "left")
     none = {"_promo": 0, "_links": 0, "_len": 0}  # a tie row without a stored text

@@ -39,7 +39,7 @@ from ..sources.tables import path_exists, prompt_for
 HISTORY_COLS = [f.name for f in S.HISTORY.fields]
 USAGE_COLS = [f.name for f in S.CONSUMPTION.fields]
 # Function names of the usage rows of the shortlist's calls.
-FN_RANKING, FN_EMAIL = "results_ranking_agent", "email_proposal_agent"
+FN_RANKING, FN_EMAIL = SH.FN_RANKING, "email_proposal_agent"
 
 
 def stored_history(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
@@ -123,7 +123,9 @@ def run_daily(spark: SparkSession, sf_dir: str, out: str, as_of=fx.AS_OF_CONTACT
         "email_date", F.when(F.col("email_date") != today, F.col("email_date"))))
     cands = SH.candidates(keys, as_of)
     k_max = SH.k_bound(settings, "max_emails")
-    leads = SH.with_texts(SH.shortlist(cands, texts, due, k_max, tenant_bound=settings), texts)
+    requests = SH.ranking_requests(SH.tie_flags(cands, due, settings), texts).checkpoint(eager=True)
+    ranks, answers = SH.provider_ranks(requests, provider, provider_partitions) if provider is not None else (None, None)
+    leads = SH.with_texts(SH.shortlist(cands, texts, due, k_max, tenant_bound=settings, ranks=ranks), texts)
     names = due.select("client", F.explode(F.array(F.lit("email_template"),
                                                    F.lit("business_description"))).alias("name"))
     bodies = prompt_for(names, fx.prompts(spark), fx.default_prompts(spark)).groupBy("client").pivot(
@@ -137,8 +139,13 @@ def run_daily(spark: SparkSession, sf_dir: str, out: str, as_of=fx.AS_OF_CONTACT
         F.col("send_proposed_emails"), F.col("draft"), F.col("search_results"))).checkpoint(eager=True)
 
     # Usage of the ranking requests (W6) and the drafts.
-    requests = SH.ranking_requests(SH.tie_flags(cands, due, settings), texts)
-    calls = _native_call(requests, as_of, FN_RANKING, F.col("batch_no"), F.col("request"), F.col("n_texts"))
+    if answers is None:
+        calls = _native_call(requests, as_of, FN_RANKING, F.col("batch_no"), F.col("request"), F.col("n_texts"))
+    else:
+        calls = _usage_rows(answers.select(
+            F.split_part("request_id", F.lit("|"), F.lit(1)).alias("client"), today.alias("search_date"), "function", "model",
+            F.lit(0).cast("bigint").alias("search_calls"), "input_tokens", "output_tokens",
+            F.col("request_id").alias("subject"), F.lit(0).alias("call_no")))
     calls = calls.unionByName(_native_call(
         leads, as_of, FN_EMAIL, F.col("search_id"),
         F.concat_ws("\n", "email_template", "business_description", "search_results"), TX.token_count("draft")))

@@ -34,7 +34,7 @@ def test_tie_ranks_are_a_permutation_and_update_touches_only_picked(spark):
     rows.append(("T", 50, "low", d, 9, 0, 1, None, ""))
     h = _h(spark, rows)
     tenants = spark.createDataFrame([("T", 3)], "client string, max_emails bigint")
-    picked = SH.shortlist(SH.candidates(h, TODAY), tenants, 5)
+    picked = SH.shortlist(SH.candidates(h, TODAY), h.select("search_id", "search_results"), tenants, 5)
     got = sorted((r.pick_rank, r.rank, r.search_id) for r in picked.collect())
     assert [g[0] for g in got] == [1, 2, 3] and [g[1] for g in got] == [1, 2, 3]
     assert all(g[2] % 2 == 1 for g in got)  # promotable texts win the tie
@@ -57,7 +57,44 @@ def test_ranking_requests_batches_of_six(spark):
     d = TODAY - dt.timedelta(days=1)
     h = _h(spark, [("T", i, f"p{i}", d, 9, 1, 3, None, None) for i in range(1, 15)])
     tenants = spark.createDataFrame([("T", 3)], "client string, max_emails bigint")
-    req = SH.ranking_requests(SH.tie_flags(SH.candidates(h, TODAY), tenants)).orderBy("batch_no").collect()
+    req = SH.ranking_requests(SH.tie_flags(SH.candidates(h, TODAY), tenants), h.select("search_id", "search_results")).orderBy("batch_no").collect()
     assert [r.n_texts for r in req] == [6, 6, 2]
     assert req[2].request.endswith("There are 2 texts. You must return 2 rankings")
     assert req[0].request.startswith('<text first_name="p1", last_name="l", company="co">\nNone\n</text>\n')
+
+
+def test_provider_ranks_order_the_tie(spark):
+    import sys
+
+    from pyspark import cloudpickle
+
+    from leadspark.operators import provider as PV
+
+    class Backwards(PV.Provider):
+        """Ranks the texts of a request from last to first."""
+        model = "backwards"
+
+        def complete(self, function, prompt):
+            import json
+            import re
+            names = re.findall(r'<text first_name="(.*?)", last_name="(.*?)", company="(.*?)">', prompt)
+            rows = [{"first_name": a, "last_name": b, "company": c, "rank": len(names) - i} for i, (a, b, c) in enumerate(names)]
+            return json.dumps({"rankings": rows}), 5, 7
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    import datetime as dt
+    day = dt.datetime(2024, 1, 5)
+    rows = [("T", i, f"p{i}", "x", "c", day, 9, 2, 3, 14, None) for i in range(5)] + [("T", 9, "low", "x", "c", day, 9, 1, 1, 11, None)]
+    keys = spark.createDataFrame(rows, "client string, search_id long, first_name string, last_name string, company string, "
+                                       "search_date timestamp_ntz, novelty_score long, activity_score long, "
+                                       "services_need_score long, total_score long, email_date timestamp_ntz")
+    cands = SH.candidates(keys, day)
+    due = spark.createDataFrame([("T", 3)], "client string, max_emails long")
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "search_id long, search_results string")
+    requests = SH.ranking_requests(SH.tie_flags(cands, due), texts)
+    ranks, answers = SH.provider_ranks(requests, Backwards, 1, calls_per_minute=0)
+    got = SH.shortlist(cands, texts, due, 3, ranks=ranks).orderBy("pick_rank").collect()
+    assert [r.search_id for r in got] == [4, 3, 2]
+    native = SH.shortlist(cands, texts, due, 3).orderBy("pick_rank").collect()
+    assert [r.search_id for r in native] == [0, 1, 2]
+    assert [(r.function, r.model, r.output_tokens) for r in answers.collect()] == [("SearchResultsRankingAgent", "backwards", 7)]

@@ -274,7 +274,16 @@ def scored(docs: DataFrame, path: str, folds: int = 7, held_fold: int = 2) -> Da
     words = common.stored(scored_words(common.spread(counts), path, fitted(common.spread(counts), path), n, v), "words")
     end_base = math.log10((ends + 1) / (n + v + 1))
     end_model = math.log10((ends + END * (v + 1)) / (n + v + 1))
-    common_words = words.orderBy(F.desc("c"), "w").limit(HOT_WORDS).toPandas()
+    # the commonest words: whole classes of counts (eighths of a power of two, so
+    # a bounded number of them) from the top, as long as they fit
+    kind = F.when(F.col("c") > 0, F.floor(F.log2("c") * 8)).otherwise(-1)
+    least, held_words = math.inf, 0
+    for row in words.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).orderBy(F.desc("kind")).collect():
+        held_words += row["n"]
+        if held_words > HOT_WORDS:
+            break
+        least = row["kind"]
+    common_words = words.filter(kind >= F.lit(float(least))).toPandas()
     hot = spark.sparkContext.broadcast({w: (b, m, int(c > 0)) for w, c, b, m in zip(
         map(bytes, common_words["w"]), common_words["c"], common_words["base"], common_words["model"])})
 

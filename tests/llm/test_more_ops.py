@@ -12,7 +12,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import edge_rows, repeated_rows
+from cases import edge_rows, repeated_rows
 from pyspark.sql import Row
 
 from leadspark.llm import bpe, html, lattice, licenses, multiindex

@@ -8,7 +8,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import edge_rows, repeated_rows
+from cases import edge_rows, repeated_rows
 
 from leadspark.llm import fm, lines, packing, recompression, simhash
 
@@ -250,3 +250,50 @@ def test_classifier_edge_rows(spark, repeated, empty):
     assert {r["score"] for r in none} == {0.5}
     assert fm.accepted(repeated, labels.limit(0)).count() == len(repeated_rows())
     assert len(edge_rows()) < len(repeated_rows())
+
+
+# ------------------------------------------------------------------- pipeline
+
+def test_pipeline_stages_pass_their_columns_on(spark, repeated, empty, tmp_path):
+    import corpus_pipeline
+
+    labels = [(i, int(i % 3 > 0), 0) for i in range(12)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (repeated, empty):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns, name
+            assert out.count() <= docs.count()
+            docs = out
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_pipeline_run_equals_its_stages(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    by_id = {r["doc_id"]: r for r in lines.decided(docs).collect()}
+    assert sum(r["kept"] for r in by_id.values()) > 100
+    seen = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        seen = stage(spark, seen, sf)
+        if name == "simhash_near_dedup":
+            # one document of each component of what came in is left
+            prints = brute.simhash(pairs(seen))
+            assert all(i == component for i, _, component in prints)
+        if name == "substring_dedup":
+            kept = brute.substring_dedup([t for _, t in pairs(seen)])
+            assert [n for n, _, _ in kept] == [len(brute.words(t)) for _, t in pairs(seen)]
+    left = dict(pairs(seen))
+    assert set(left) <= set(texts)
+    pieces = corpus_pipeline.run(spark, sf).collect()
+    assert {r["doc_id"] for r in pieces} == set(left)
+    from tokenizers import Tokenizer
+    whole = Tokenizer.from_file(VOCABULARY)
+    tokens = Counter()
+    for r in pieces:
+        tokens[r["doc_id"]] += r["length"]
+    assert tokens == {i: len(whole.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in left.items()}

@@ -221,8 +221,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = MAX_BI
     nodes = common.stored(common.components(edges(distinct, reach)), "nodes")
     lows = (nodes.join(distinct, nodes["node"] == distinct["fp"]).groupBy("root")
             .agg(F.min("low").alias("root_low")))
-    of = (distinct.join(nodes.join(lows, "root").select(F.col("node").alias("fp"), "root_low"), "fp", "left")
-          .select("fp", F.coalesce("root_low", "low").alias("component_id")))
+    # stored: the join below then stands alone, and adaptive execution can split a
+    # fingerprint that many copies share
+    of = common.stored(distinct.join(nodes.join(lows, "root").select(F.col("node").alias("fp"), "root_low"), "fp", "left")
+                       .select("fp", F.coalesce("root_low", "low").alias("component_id")), "of")
     return rows.join(of, "fp").select("doc_id", "h", "fp", "component_id")
 
 

@@ -259,8 +259,10 @@ def _marked(docs: DataFrame, carried: list[str], all_texts: bool) -> tuple[DataF
                 (F.col("t") if all_texts else F.when(F.size("m.a") > 0, F.col("t"))).alias("t")), "windows")
     # documents of equal words are copies of each other: all their windows repeat.
     # Their first one stands in for them below, counted twice.
-    copied = (rows.filter(F.col("m.n_words") >= WINDOW).groupBy(F.col("m.kept_sha256").alias("sha"))
-              .agg(F.count("*").alias("n"), F.min("rid").alias("first")).filter("n > 1").select("sha", "first"))
+    # (Stored, so that the join with a text of very many copies can be split.)
+    copied = common.stored(
+        rows.filter(F.col("m.n_words") >= WINDOW).groupBy(F.col("m.kept_sha256").alias("sha"))
+        .agg(F.count("*").alias("n"), F.min("rid").alias("first")).filter("n > 1").select("sha", "first"), "copied")
     copies = common.stored(rows.select("rid", F.col("m.kept_sha256").alias("sha")).join(copied, "sha").select(
         "rid", (F.col("rid") == F.col("first")).alias("lead")), "copies")
 

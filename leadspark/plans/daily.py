@@ -26,6 +26,7 @@ from .. import schemas as S
 from ..functions import text as TX
 from ..operators import checks as CK
 from ..operators import pricing as P
+from ..operators import provider as PV
 from ..operators import report as RP
 from ..operators import research as RS
 from ..operators import selection as SL
@@ -84,7 +85,8 @@ def _native_call(df: DataFrame, as_of, fn: str, subject, prompt, answer_tokens)
 
 
 def run_daily(spark: SparkSession, sf_dir: str, out: str, as_of=fx.AS_OF_CONTACTS,
-              seed: str | None = None, provider=None, provider_partitions: int = 4) -> dict:
+              seed: str | None = None, provider=None, provider_partitions: int = 4,
+              calls_per_minute: float = PV.CALLS_PER_MINUTE) -> dict:
     """Run one day. Returns the stage row counts (A13) and the output paths."""
     seed = seed or as_of.strftime("%Y-%m-%d")
     today = F.lit(as_ts(as_of))
@@ -109,7 +111,7 @@ def run_daily(spark: SparkSession, sf_dir: str, out: str, as_of=fx.AS_OF_CONTACT
     enriched = RS.enrich_batch(batch, tenants, templates, docs, texts, as_of, tenant_bound=settings,
                                with_previous=provider is not None)
     if provider is not None:
-        enriched = RS.rescore_with_provider(enriched, provider, provider_partitions)
+        enriched = RS.rescore_with_provider(enriched, provider, provider_partitions, calls_per_minute)
     enriched = enriched.withColumn(
         "search_id", F.xxhash64("client", "first_name", "last_name", "company", "search_date"))
     # K5: one materialisation, then history and usage appends.
@@ -124,7 +126,7 @@ def run_daily(spark: SparkSession, sf_dir: str, out: str, as_of=fx.AS_OF_CONTACT
     cands = SH.candidates(keys, as_of)
     k_max = SH.k_bound(settings, "max_emails")
     requests = SH.ranking_requests(SH.tie_flags(cands, due, settings), texts).checkpoint(eager=True)
-    ranks, answers = SH.provider_ranks(requests, provider, provider_partitions) if provider is not None else (None, None)
+    ranks, answers = SH.provider_ranks(requests, provider, provider_partitions, calls_per_minute) if provider is not None else (None, None)
     leads = SH.with_texts(SH.shortlist(cands, texts, due, k_max, tenant_bound=settings, ranks=ranks), texts)
     names = due.select("client", F.explode(F.array(F.lit("email_template"),
                                                    F.lit("business_description"))).alias("name"))

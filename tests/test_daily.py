@@ -123,7 +123,7 @@ def test_provider_sees_both_texts(spark, tmp_dir):
     from pyspark import cloudpickle
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     out = os.path.join(tmp_dir, "run2")
-    D.run_daily(spark, SF, out, provider=Comparing, provider_partitions=2)
+    D.run_daily(spark, SF, out, provider=Comparing, provider_partitions=2, calls_per_minute=0)
     h = read(spark, out, "history").filter(F.col("search_date") == F.lit(DAY1))
     assert {r["novelty_score"] for r in h.collect()} == {1, 9}
     u = D.usage_of_day(spark, out, DAY1)

@@ -18,7 +18,7 @@ def test_top_k_equals_window(spark, data, k):
     df = spark.createDataFrame([(g, v, i) for i, (g, v) in enumerate(data)], "g string, v bigint, id bigint")
     order = [F.col("v").desc(), F.col("id")]
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
-    top = G.top_k_per_group(df.repartition(4), ["g"], order, k, 7, ["id"], rank_col="rn", salts=3)
+    top = G.top_k_per_group(df.repartition(4), ["g"], order, k, 7, rank_col="rn", salts=3)
     assert sorted(top.select("g", "id", "rn").collect()) == sorted(
         ref.filter(F.col("rn") <= k).select("g", "id", "rn").collect())
 

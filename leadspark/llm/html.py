@@ -234,7 +234,8 @@ def extracted(pages: DataFrame) -> DataFrame:
             yield pa.array([main_text(h.as_py(), frozenset(f.as_py() or ())) for h, f in zip(htmls, fixed)], pa.string())
 
     # a host's fixed texts: each on half of its pages or more, so no more than a page or two holds
-    fixed = templates(pages).filter("is_text").groupBy("host").agg(F.collect_list("token").alias("fixed"))
+    # (stored, so that adaptive execution can split the join for a host of very many pages)
+    fixed = common.stored(templates(pages).filter("is_text").groupBy("host").agg(F.collect_list("token").alias("fixed")), "fixed")
     rows = pages.select("page_id", "url", common.text_of("html").alias("html"), host_of(F.col("url")).alias("host"))
     text = rows.join(fixed, "host", "left").select("page_id", "url", run(F.col("html"), F.col("fixed")).alias("text"))
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -5,16 +5,20 @@ root) and its text blocks (path and text). Over the pages of one host, tokens
 with the same occurrence vector (how often they stand on each page) form an
 equivalence class; Spark keeps the vector as the sum of a hash of (page, count),
 so classes are found by grouping, however many pages a host has. A class is
-valid when it has at least MIN_TOKENS tokens and stands on MIN_PAGES pages and
-MIN_SHARE of the host's. A class is nested in the valid class that holds its
-nearest ancestor path; the nested valid classes are the host's template, and what
-lies between template tokens are its slots.
+valid when it has at least MIN_TOKENS tokens, stands on MIN_PAGES pages and
+MIN_SHARE of the host's. A class is nested in the valid class that holds its nearest
+ancestor path; the nested valid classes are the host's template, and what lies
+between template tokens are its slots.
 
-A page's text is what its slots hold, in page order: the blocks inside
-``article`` (else ``main``, else the body) that are not template text and not in
-a menu, header, footer, sidebar, notice, advert, form, script, style or reader
-comment (by tag, role, class or id). Text inside ``article`` or ``main`` is never
-taken for template text: pages of one host may be copies of each other.
+Pages are counted by distinct contents: of pages whose article and main text has
+the same min-hash of 3-word shingles (elsewhere: equal blocks) one counts, so
+that copies don't look like a template. Text inside ``article`` or ``main`` is
+template text only where such contents are half of the pages that hold it.
+
+A page's text is what its slots hold, in page order: template text goes first,
+wherever it stands; of the rest, the blocks inside ``article`` (else ``main``, else
+the body) that are not in a menu, header, footer, sidebar, notice, advert, form,
+script, style or reader comment (by tag, role, class or id).
 
 Character references are decoded, white space (``br`` included) inside a block
 becomes one space, blocks are trimmed and joined by one newline.
@@ -41,6 +45,7 @@ from . import common
 MIN_PAGES = 3
 MIN_SHARE = 0.5
 MIN_TOKENS = 2
+SHINGLE = 3
 
 #: Fixed values of HTML: elements without an end, inline elements, raw text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -89,11 +94,11 @@ def _opened(tag: str, raw: str, parent: _Open) -> _Open:
     region = max(parent.region, 2 if tag == "article" else 1 if tag == "main" else 0)
     if raw and not raw.isspace():
         at = _attributes(raw)
-        names = ".".join(sorted(_PART.findall(at.get("class", "").lower())))
-        words = set(_PART.findall(f"{at.get('class', '')} {at.get('id', '')}".lower()))
         role = at.get("role", "").lower()
         if role == "main":
             region = max(region, 1)
+        names = ".".join(sorted(_PART.findall(at.get("class", "").lower())))
+        words = set(_PART.findall(f"{at.get('class', '')} {at.get('id', '')}".lower()))
         if tag not in ("html", "body"):
             aside = (aside or bool(words & _WORDS) or role in _ROLES or "hidden" in at
                      or "display:none" in at.get("style", "").replace(" ", "").lower())
@@ -177,9 +182,9 @@ def _hash(path: str, text: str | None = None) -> int:
 def main_text(html: str, template: frozenset[int]) -> str:
     """The page's text given the host's template tokens."""
     found, _ = blocks(html)
-    good = [b for b in found if not b.aside]
-    top = max((b.region for b in good), default=0)
-    return "\n".join(b.text for b in good if b.region == top and (top or _hash(b.path, b.text) not in template))
+    top = max((b.region for b in found if not b.aside), default=0)
+    slots = [b for b in found if _hash(b.path, b.text) not in template]
+    return "\n".join(b.text for b in slots if not b.aside and b.region == top)
 
 
 def host_of(url: Column) -> Column:
@@ -187,38 +192,69 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
+def _content(found: list[Block]) -> int:
+    """A number that copies of a page share, near copies mostly."""
+    words = " ".join(b.text for b in found if b.region and not b.aside).split()
+    if not words:
+        return _hash("\n".join(f"{b.path}\0{b.text}" for b in found))
+    return min(_hash(" ".join(words[i:i + SHINGLE])) for i in range(max(1, len(words) - SHINGLE + 1)))
+
+
+_TOKENS = "array<struct<token:bigint,parent:bigint,is_text:boolean,inner:boolean,n:bigint>>"
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: each token, whether it is text, its depth and its count."""
+    """Per page: its content's number and its tokens (hash, that of the path
+    above it, whether it is text, whether inside article or main, count)."""
+    kind = pa.list_(pa.struct([("token", pa.int64()), ("parent", pa.int64()), ("is_text", pa.bool_()),
+                               ("inner", pa.bool_()), ("n", pa.int64())]))
     for batch in batches:
-        rows: list[tuple] = []
-        hosts, pages = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for host, page, html in zip(hosts, pages, batch.column(2)):
+        contents, rows = [], []
+        for html in batch.column(2):
             found, paths = blocks(html.as_py())
-            rows += [(host, page, _hash(p), _hash(p.rpartition("/")[0]), False, n) for p, n in paths.items()]
-            texts = Counter((b.path, b.text) for b in found if not b.region)
-            rows += [(host, page, _hash(p, t), _hash(p), True, n) for (p, t), n in texts.items()]
-        if rows:
-            host, page, token, parent, is_text, n = zip(*rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(token, pa.int64()),
-                 pa.array(parent, pa.int64()), pa.array(is_text, pa.bool_()), pa.array(n, pa.int64())],
-                names=["host", "page", "token", "parent", "is_text", "n"])
+            contents.append(_content(found))
+            row = [(_hash(p), _hash(p.rpartition("/")[0]), False, False, n) for p, n in paths.items()]
+            texts = Counter((b.path, b.text, b.region > 0) for b in found)
+            rows.append(row + [(_hash(p, t), _hash(p), True, inner, n) for (p, t, inner), n in texts.items()])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(contents, pa.int64()), pa.array(rows, kind)],
+            names=["host", "page", "content", "tokens"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per page: its distinct texts' tokens."""
+    for batch in batches:
+        held = [sorted({_hash(b.path, b.text) for b in blocks(html.as_py())[0]}) for html in batch.column(2)]
+        at = pa.array([i for i, x in enumerate(held) for _ in x], pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(at), batch.column(1).take(at), pa.array([t for x in held for t in x], pa.int64())],
+            names=["host", "page", "token"])
+
+
+def _sources(pages: DataFrame) -> DataFrame:
+    """The pages that have a host: ``host, page, t``."""
+    text = common.text_of("html")
+    rows = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("url", text).alias("page"), text.alias("t"))
+    return rows.filter("host is not null")
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """Per host the tokens of its valid classes: ``host, token, is_text, class,
     parent_class`` (the valid class of the nearest ancestor path)."""
-    text = common.text_of("html")
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("url", text).alias("page"), text.alias("t"))
-    rows = rows.filter("host is not null")
-    count = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    tokens = rows.mapInArrow(_tokens, "host string, page long, token long, parent long, is_text boolean, n long")
-    vectors = tokens.groupBy("host", "token", "parent", "is_text").agg(
-        F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).cast("string").alias("class"), F.count("*").alias("support"))
-    often = vectors.join(count, "host").filter(
-        (F.col("support") >= MIN_PAGES) & (F.col("support") >= MIN_SHARE * F.col("pages"))).drop("pages")
-    often = common.stored(often, "tokens")
-    valid = often.groupBy("host", "class").agg(F.count("*").alias("size")).filter(F.col("size") >= MIN_TOKENS)
+    rows = _sources(pages).mapInArrow(_tokens, f"host string, page long, content long, tokens {_TOKENS}")
+    contents = common.stored(rows.groupBy("host", "content").agg(
+        F.min_by("tokens", F.struct("page", F.size("tokens"))).alias("tokens"), F.count("*").alias("copies")), "contents")
+    count = contents.groupBy("host").agg(F.count("*").alias("pages"))
+    tokens = contents.select("host", "content", "copies", F.inline("tokens"))
+    vectors = tokens.groupBy("host", "token", "parent", "is_text", "inner").agg(
+        F.sum(F.xxhash64("content", "n").cast("decimal(20,0)")).cast("string").alias("class"),
+        F.count("*").alias("support"), F.sum("copies").alias("copies"))
+    often = vectors.filter((F.col("support") >= MIN_PAGES) & (~F.col("inner") | (2 * F.col("support") >= F.col("copies"))))
+    often = common.stored(often.join(count, "host"), "tokens")
+    valid = often.groupBy("host", "class").agg(
+        F.count("*").alias("size"), F.min("support").alias("support"),
+        F.min("pages").alias("pages"))
+    valid = valid.filter((F.col("size") >= MIN_TOKENS) & (F.col("support") >= MIN_SHARE * F.col("pages")))
     held = often.join(valid.select("host", "class"), ["host", "class"])
     above = held.filter("not is_text").select("host", F.col("token").alias("parent"), F.col("class").alias("parent_class"))
     return held.join(above, ["host", "parent"], "left").select("host", "token", "is_text", "class", "parent_class")
@@ -233,9 +269,12 @@ def extracted(pages: DataFrame) -> DataFrame:
         for htmls, fixed in columns:
             yield pa.array([main_text(h.as_py(), frozenset(f.as_py() or ())) for h, f in zip(htmls, fixed)], pa.string())
 
-    # a host's fixed texts: each on half of its pages or more, so no more than a page or two holds
-    # (stored, so that adaptive execution can split the join for a host of very many pages)
-    fixed = common.stored(templates(pages).filter("is_text").groupBy("host").agg(F.collect_list("token").alias("fixed")), "fixed")
-    rows = pages.select("page_id", "url", common.text_of("html").alias("html"), host_of(F.col("url")).alias("host"))
-    text = rows.join(fixed, "host", "left").select("page_id", "url", run(F.col("html"), F.col("fixed")).alias("text"))
+    # a page gets the template texts that it holds itself, however many its host has
+    # (stored, so that adaptive execution can split the joins for a host of very many pages)
+    fixed = common.stored(templates(pages).filter("is_text").select("host", "token").distinct(), "fixed")
+    held = _sources(pages).mapInArrow(_texts, "host string, page long, token long").join(fixed, ["host", "token"])
+    held = common.stored(held.groupBy("page").agg(F.collect_set("token").alias("fixed")), "held")
+    html = common.text_of("html")
+    rows = pages.select("page_id", "url", html.alias("html"), F.xxhash64("url", html).alias("page"))
+    text = rows.join(held, "page", "left").select("page_id", "url", run(F.col("html"), F.col("fixed")).alias("text"))
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

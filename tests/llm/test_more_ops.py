@@ -300,6 +300,26 @@ def test_classes_nest(spark):
     assert len(texts) == 1 and texts[0]["class"] == texts[0]["parent_class"]  # once a page, like the elements around it
 
 
+def test_template_text_in_articles_goes(spark):
+    def story(i):
+        return " ".join(f"w{i}x{k}" for k in range(40))
+    page = "<html><body><article><h1>t{0}</h1><p>{1}</p><p>Support our paper</p></article></body></html>"
+    rows = [(i, f"http://a.example/{i}", page.format(i, story(i))) for i in range(8)]
+    # near copies on a host of their own, and a passage that three articles quote
+    rows += [(100 + i, f"http://b.example/{i}", f"<article><p>{story(50)}</p><p>{story(51)}</p><p>on day {i}</p></article>")
+             for i in range(6)]
+    rows += [(200 + i, f"http://c.example/{i}", f"<article><p>{story(200 + i)}</p>" + "<p>quote one</p><p>quote two</p>" * (i < 3)
+              + "</article>") for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html.extracted(
+        spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(8):
+        assert got[i] == f"t{i}\n{story(i)}"
+    for i in range(6):
+        assert got[100 + i] == f"{story(50)}\n{story(51)}\non day {i}"
+    for i in range(9):
+        assert got[200 + i] == story(200 + i) + "\nquote one\nquote two" * (i < 3)
+
+
 def test_given_pages_equal_their_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in html.extracted(pages).collect():

@@ -5,8 +5,9 @@ root) and its text blocks (path and text). Over the pages of one host, tokens
 with the same occurrence vector (how often they stand on each page) form an
 equivalence class; Spark keeps the vector as the sum of a hash of (page, count),
 so classes are found by grouping, however many pages a host has. A class is
-valid when it has at least MIN_TOKENS tokens, stands on MIN_PAGES pages and
-MIN_SHARE of the host's. A class is nested in the valid class that holds its nearest
+valid when it has at least MIN_TOKENS tokens, stands on MIN_PAGES pages, and
+holds an element (the markup of a layout, however rare) or stands on MIN_SHARE
+of the host's pages. A class is nested in the valid class that holds its nearest
 ancestor path; the nested valid classes are the host's template, and what lies
 between template tokens are its slots.
 
@@ -16,9 +17,11 @@ that copies don't look like a template. Text inside ``article`` or ``main`` is
 template text only where such contents are half of the pages that hold it.
 
 A page's text is what its slots hold, in page order: template text goes first,
-wherever it stands; of the rest, the blocks inside ``article`` (else ``main``, else
+wherever it stands; of the rest, the blocks inside ``article`` and ``main`` (else
 the body) that are not in a menu, header, footer, sidebar, notice, advert, form,
-script, style or reader comment (by tag, role, class or id).
+script, style or reader comment (by tag, role, class or id). Inside ``article``
+and ``main`` such words count only as a whole class of a block element: parts of
+a class, ids and anything on a heading or inline element say nothing there.
 
 Character references are decoded, white space (``br`` included) inside a block
 becomes one space, blocks are trimmed and joined by one newline.
@@ -51,6 +54,7 @@ SHINGLE = 3
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp "
                     "small span strike strong sub sup time tt u var wbr".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _RAW = frozenset("script style noscript template iframe textarea title svg math object canvas".split())
 #: Elements, roles and class or id words that hold no main text.
 _ASIDE = frozenset("nav footer aside form head script style noscript template iframe textarea title svg math object "
@@ -98,7 +102,12 @@ def _opened(tag: str, raw: str, parent: _Open) -> _Open:
         if role == "main":
             region = max(region, 1)
         names = ".".join(sorted(_PART.findall(at.get("class", "").lower())))
-        words = set(_PART.findall(f"{at.get('class', '')} {at.get('id', '')}".lower()))
+        if tag in _HEADINGS or region and tag in _INLINE:
+            words = set()
+        elif region:
+            words = set(at.get("class", "").lower().split())
+        else:
+            words = set(_PART.findall(f"{at.get('class', '')} {at.get('id', '')}".lower()))
         if tag not in ("html", "body"):
             aside = (aside or bool(words & _WORDS) or role in _ROLES or "hidden" in at
                      or "display:none" in at.get("style", "").replace(" ", "").lower())
@@ -182,9 +191,9 @@ def _hash(path: str, text: str | None = None) -> int:
 def main_text(html: str, template: frozenset[int]) -> str:
     """The page's text given the host's template tokens."""
     found, _ = blocks(html)
-    top = max((b.region for b in found if not b.aside), default=0)
+    inner = any(b.region and not b.aside for b in found)
     slots = [b for b in found if _hash(b.path, b.text) not in template]
-    return "\n".join(b.text for b in slots if not b.aside and b.region == top)
+    return "\n".join(b.text for b in slots if not b.aside and (b.region or not inner))
 
 
 def host_of(url: Column) -> Column:
@@ -252,9 +261,9 @@ def templates(pages: DataFrame) -> DataFrame:
     often = vectors.filter((F.col("support") >= MIN_PAGES) & (~F.col("inner") | (2 * F.col("support") >= F.col("copies"))))
     often = common.stored(often.join(count, "host"), "tokens")
     valid = often.groupBy("host", "class").agg(
-        F.count("*").alias("size"), F.min("support").alias("support"),
+        F.count("*").alias("size"), F.min("is_text").alias("bare"), F.min("support").alias("support"),
         F.min("pages").alias("pages"))
-    valid = valid.filter((F.col("size") >= MIN_TOKENS) & (F.col("support") >= MIN_SHARE * F.col("pages")))
+    valid = valid.filter((F.col("size") >= MIN_TOKENS) & (~F.col("bare") | (F.col("support") >= MIN_SHARE * F.col("pages"))))
     held = often.join(valid.select("host", "class"), ["host", "class"])
     above = held.filter("not is_text").select("host", F.col("token").alias("parent"), F.col("class").alias("parent_class"))
     return held.join(above, ["host", "parent"], "left").select("host", "token", "is_text", "class", "parent_class")

@@ -320,6 +320,22 @@ def test_template_text_in_articles_goes(spark):
         assert got[200 + i] == story(200 + i) + "\nquote one\nquote two" * (i < 3)
 
 
+def test_words_inside_articles():
+    none = frozenset()
+    assert html.main_text("<article><h2 id='related-work'>Related work</h2><section id='social-impact'><p>s</p></section>"
+                          "<p class='share-prices'>p</p><div class='share'>x</div></article>", none) == "Related work\ns\np"
+    assert html.main_text("<article class='post tag-social'><p>kept <a class='related'>link</a></article>", none) == "kept link"
+    assert html.main_text("<main><p>own</p><article>teaser</article><p>more</p></main><p>o</p>", none) == "own\nteaser\nmore"
+
+
+def test_layouts_under_half_of_a_host(spark):
+    rows = [(9 * k + i, f"http://a.example/{k}/{i}",
+             f"<html><body><div class='layout{'abc'[k]}'><p>Part {'abc'[k]}</p><div>story {k} {i}</div></div></body></html>")
+            for k in range(3) for i in range(4)]
+    got = html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r["url"][-3:], r["text"]) for r in got} == {(f"{k}/{i}", f"story {k} {i}") for k in range(3) for i in range(4)}
+
+
 def test_given_pages_equal_their_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in html.extracted(pages).collect():

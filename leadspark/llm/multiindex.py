@@ -12,8 +12,9 @@ in double precision.
 
 A pair may be met from both sides: it counts for its second vector only where
 that one does not visit the first one's cell. Equal vectors are searched once
-and count with their number; large cells are split into blocks; a visit returns
-counts and a spanning star, never all pairs.
+and count with their number; a cell's members and its visitors are both split
+into blocks, and one task compares a block with a block; it returns counts and a
+spanning star, never all pairs. The grid grows with the distinct vectors.
 
 A vector that is null, empty, zero, or holds a null or non-finite component
 links with nothing. Vectors of different lengths don't link. A null vec_id
@@ -42,7 +43,7 @@ RECALL = 0.999
 SAMPLE, QUERIES = 8192, 256
 #: Distinct vectors that a cell holds on average.
 CELL = 512
-#: Distinct vectors that a block of a cell holds.
+#: Distinct vectors that a block of a cell's members, or of its visitors, holds.
 BLOCK = 2048
 
 
@@ -155,59 +156,88 @@ def _measured(some: DataFrame, grid: Grid, threshold: float) -> float:
     return 0.0
 
 
-def linked(vectors: DataFrame, grid: Grid, dim: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Of distinct vectors ``vid, v, copies``: counts ``vid, n`` of linked rows
-    and links ``a, b`` that span the same components as all links found."""
-    spark = vectors.sparkSession
-    sent = spark.sparkContext.broadcast(grid)
-    some = vectors.filter(F.size("v") == dim)
+def centroids(n: int) -> int:
+    """Centroids of a half, for CELL of n distinct vectors in a cell."""
+    return int(max(1, math.sqrt(n / CELL)))
+
+
+def dealt(some: DataFrame, grid: Grid) -> DataFrame:
+    """The vectors ``vid, v, copies`` dealt into groups ``cell, part, turn``: a
+    block of a cell's members (``home``) with a block of its visitors, so that
+    each member meets each visitor once. Members visit their own cell as well."""
+    spark = some.sparkSession
     kind = dict(some.dtypes)["v"]
+    sent = spark.sparkContext.broadcast(grid)
+    cells = len(grid.books[0]) * len(grid.books[1])
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = sent.value
         for batch in batches:
-            cells = sent.value.cell(*sent.value.halves(unit(_matrix(batch.column(1)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells.astype(np.int32))], names=["vid", "cell"])
-
-    placed = some.select("vid", "v").mapInArrow(place, "vid long, cell int")
-    sizes = placed.groupBy("cell").count().toPandas()  # one row per cell of a grid of fixed size
-    parts = spark.sparkContext.broadcast({int(c): -(-int(n) // BLOCK) for c, n in zip(sizes["cell"], sizes["count"])})
+            a, b = g.halves(unit(_matrix(batch.column(0))))
+            cell, members = np.unique(g.cell(a, b), return_counts=True)
+            visited, visitors = np.unique(np.concatenate([g.visits(*x) for x in zip(a, b)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([cell, visited]).astype(np.int64)),
+                 pa.array(np.concatenate([members, np.zeros(len(visited), np.int64)]).astype(np.int64)),
+                 pa.array(np.concatenate([np.zeros(len(cell), np.int64), visitors]).astype(np.int64))],
+                names=["cell", "members", "visitors"])
+
+    sizes = (some.select("v").mapInArrow(counted, "cell long, members long, visitors long").groupBy("cell")
+             .agg(F.sum("members").alias("members"), F.sum("visitors").alias("visitors"))
+             .filter("members > 0").toPandas())  # a row per cell: one for CELL vectors on average
+    blocks = np.zeros((2, cells), dtype=np.int32)
+    blocks[:, sizes["cell"].to_numpy(np.int64)] = -(-sizes[["members", "visitors"]].to_numpy(np.int64).T // BLOCK)
+    split = spark.sparkContext.broadcast(blocks)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, blocks = sent.value, parts.value
+        g = sent.value
+        parts, turns = split.value
         for batch in batches:
             vid = batch.column(0).to_numpy(zero_copy_only=False)
             a, b = g.halves(unit(_matrix(batch.column(1))))
             own = g.cell(a, b)
-            held: list[tuple[int, int, bool, int]] = []
+            held: list[tuple[int, int, int, bool, int]] = []
             for k in range(len(vid)):
-                home = int(own[k])
-                lives = int(vid[k]) % blocks[home]
+                v, home = int(vid[k]), int(own[k])
+                held += [(home, v % int(parts[home]), t, True, k) for t in range(turns[home])]
                 for c in g.visits(a[k], b[k]).tolist():
-                    held += [(c, p, c == home and p == lives, k) for p in range(blocks.get(c, 0))]
+                    if parts[c]:
+                        turn = v % int(turns[c])
+                        held += [(c, p, turn, False, k) for p in range(parts[c])]
                 if len(held) > 5000 or k + 1 == len(vid):
-                    cell, part, at_home, row = zip(*held)
+                    cell, part, turn, at_home, row = zip(*held)
                     taken = batch.take(pa.array(row, pa.int32()))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cell, pa.int32()), pa.array(part, pa.int32()), pa.array(at_home, pa.bool_()),
-                         *taken.columns], names=["cell", "part", "home", "vid", "v", "copies"])
+                        [pa.array(cell, pa.int64()), pa.array(part, pa.int32()), pa.array(turn, pa.int32()),
+                         pa.array(at_home, pa.bool_()), *taken.columns],
+                        names=["cell", "part", "turn", "home", "vid", "v", "copies"])
                     held = []
 
+    return some.select("vid", "v", "copies").mapInArrow(
+        deal, f"cell long, part int, turn int, home boolean, vid long, v {kind}, copies long")
+
+
+def linked(vectors: DataFrame, grid: Grid, dim: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of distinct vectors ``vid, v, copies``: counts ``vid, n`` of linked rows
+    and links ``a, b`` that span the same components as all links found."""
+    sent = vectors.sparkSession.sparkContext.broadcast(grid)
+
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         g = sent.value
-        rows = rows.sort_values("vid")
-        vid, copies = rows["vid"].to_numpy(np.int64), rows["copies"].to_numpy(np.int64)
-        x = unit(np.array(rows["v"].tolist(), dtype=np.float64))
-        members = np.flatnonzero(rows["home"].to_numpy(bool))
-        if not len(members):
-            return pd.DataFrame({"vid": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
-        a, b = g.halves(x)
-        own = g.cell(a, b)
+        # a member that visits its own cell may be here in both roles
+        vid, first, place = np.unique(rows["vid"].to_numpy(np.int64), return_index=True, return_inverse=True)
+        home = rows["home"].to_numpy(bool)
+        copies = rows["copies"].to_numpy(np.int64)[first]
+        x = unit(np.array(rows["v"].iloc[first].tolist(), dtype=np.float64))
+        members, visitors = np.sort(place[home]), np.sort(place[~home])
         counts = np.zeros(len(x), dtype=np.int64)
         root = np.arange(len(x))
-        for at in range(0, len(x), BLOCK):
-            visitors = np.arange(at, min(at + BLOCK, len(x)))
-            i, j = np.nonzero(x[visitors] @ x[members].T >= threshold)
-            i, j = visitors[i], members[j]
+        a, b = g.halves(x)
+        own = g.cell(a, b)
+        for at in range(0, len(visitors), BLOCK):
+            some = visitors[at:at + BLOCK]
+            i, j = np.nonzero(x[some] @ x[members].T >= threshold)
+            i, j = some[i], members[j]
             i, j = i[i != j], j[i != j]
             # the member counts the pair here unless it visits the visitor's cell itself
             np.add.at(counts, i, copies[j])
@@ -217,9 +247,8 @@ def linked(vectors: DataFrame, grid: Grid, dim: int, threshold: float) -> tuple[
         keep = np.flatnonzero((counts > 0) | (root != np.arange(len(x))))
         return pd.DataFrame({"vid": vid[keep], "n": counts[keep], "root": vid[root[keep]]})
 
-    found = common.stored(some.select("vid", "v", "copies").mapInArrow(
-        deal, f"cell int, part int, home boolean, vid long, v {kind}, copies long")
-        .groupBy("cell", "part").applyInPandas(compare, "vid long, n long, root long"), "links")
+    found = common.stored(dealt(vectors.filter(F.size("v") == dim), grid).groupBy("cell", "part", "turn")
+                          .applyInPandas(compare, "vid long, n long, root long"), "links")
     return found.groupBy("vid").agg(F.sum("n").alias("n")), found.filter("vid <> root").select(
         F.col("vid").alias("a"), F.col("root").alias("b"))
 
@@ -251,7 +280,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         some = vectors.filter(F.size("v") == dim)
         sample = np.array(some.orderBy(F.xxhash64("vid"), "vid").limit(SAMPLE).toPandas()["v"].tolist(), dtype=np.float64)
         sample = unit(sample)
-        grid = Grid(sample, int(min(256, max(1, math.sqrt(n / CELL)))))
+        grid = Grid(sample, centroids(n))
         grid.margin = max(_probed(grid, sample, threshold), _measured(some, grid, threshold))
         c, e = linked(common.spread(vectors), grid, dim, threshold)
         counts, links = (c, e) if counts is None else (counts.unionByName(c), links.unionByName(e))

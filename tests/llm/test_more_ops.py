@@ -254,6 +254,24 @@ def test_recall_on_the_given_vectors(spark, monkeypatch):
     assert 0.97 * true <= sum(r["n_links"] for r in found) <= true
 
 
+def test_dense_groups_are_dealt_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(multiindex, "BLOCK", 20)
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=16)
+    rows = [(i, (base + 0.2 * rng.normal(size=16)).astype(np.float32).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in multiindex.near_duplicates(df).collect())
+    assert got == near_brute(rows)
+    some = df.selectExpr("vec_id as vid", "embedding as v", "1L as copies")
+    sample = multiindex.unit(np.array([v for _, v in rows], dtype=np.float64))
+    groups = multiindex.dealt(some, multiindex.Grid(sample, 1)).groupBy("cell", "part", "turn").count().collect()
+    assert len(groups) == 15 * 15 and max(r["count"] for r in groups) <= 2 * 20
+
+
+def test_grid_grows_with_the_vectors():
+    assert multiindex.centroids(10 ** 9) == int(math.sqrt(10 ** 9 / multiindex.CELL)) and multiindex.centroids(3) == 1
+
+
 # ------------------------------------------------------------------------ HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body>

@@ -5,7 +5,8 @@ END) and all ids are packed into sequences of WIDTH. Documents are dealt into
 shards of about SHARD_TOKENS tokens by a min-hash of their token set, so that
 texts of like vocabulary, copies above all, meet; a min-hash with more tokens
 than that is split over several shards. Each shard holds a BM25 inverted index
-of its documents. A seed document opens a window; the shard's best-scoring
+of its documents, weighted by the statistics of the whole corpus (documents,
+their mean length, documents that hold each token). A seed document opens a window; the shard's best-scoring
 unused neighbours of the seed follow until the window is full. The document
 that crosses the end is cut, its rest opens the next window and is the seed of
 it. Only a shard's last sequence is short.
@@ -21,6 +22,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -135,10 +137,36 @@ def encoded(text: Column, path: str) -> Column:
     return run(text)
 
 
+class Statistics(NamedTuple):
+    """Documents, their mean length, and per token the documents that hold it."""
+    n: int
+    mean: float
+    df: np.ndarray
+
+
+def statistics(rows: DataFrame, path: str) -> Statistics:
+    """Of all documents (``ids``, ``n``); bounded by the vocabulary."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
+        df = np.zeros(e.size, dtype=np.int64)
+        for batch in batches:
+            for ids in batch.column(0).to_pylist():
+                df[np.unique(np.frombuffer(ids, dtype=e.kind))] += 1
+        token = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int32)), pa.array(df[token])], names=["token", "df"])
+
+    n, mean = rows.agg(F.count("*"), F.avg("n")).first()
+    found = rows.select("ids").mapInArrow(count, "token int, df long").groupBy("token").agg(F.sum("df").alias("df")).toPandas()
+    df = np.zeros(int(found["token"].max()) + 1 if len(found) else 0, dtype=np.int64)
+    df[found["token"].to_numpy(np.int64)] = found["df"].to_numpy(np.int64)
+    return Statistics(n, mean or 0.0, df)
+
+
 class Index:
-    """BM25 inverted index over the token ids of a shard's documents."""
+    """BM25 inverted index over the token ids of a shard's documents; without
+    statistics of the corpus, by those of the documents given."""
 
-    def __init__(self, docs: list[np.ndarray], size: int):
+    def __init__(self, docs: list[np.ndarray], size: int, corpus: Statistics | None = None):
         n = len(docs)
         lengths = np.array([len(d) for d in docs])
         key = np.concatenate(docs).astype(np.int64) * n + np.repeat(np.arange(n), lengths)
@@ -148,8 +176,9 @@ class Index:
         token, self.doc = np.divmod(key[new], n)
         df = np.bincount(token, minlength=size)
         self.at = np.concatenate([[0], np.cumsum(df)])
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.weight = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / lengths.mean()))
+        corpus = corpus or Statistics(n, lengths.mean(), df)
+        idf = np.log1p((corpus.n - corpus.df + 0.5) / (corpus.df + 0.5))
+        self.weight = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / corpus.mean))
         order = np.argsort(self.doc, kind="stable")
         self.terms = token[order]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=n))])
@@ -163,9 +192,10 @@ class Index:
         return np.bincount(self.doc[places], self.weight[places], self.n)
 
 
-def arranged(docs: list[np.ndarray], size: int, width: int = WIDTH) -> Iterator[tuple[int, int, int, int, int]]:
+def arranged(docs: list[np.ndarray], size: int, width: int = WIDTH,
+             corpus: Statistics | None = None) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of a shard."""
-    index = Index(docs, size)
+    index = Index(docs, size, corpus)
     unused = np.ones(len(docs), dtype=bool)
     following, sequence, at = 0, 0, 0
     ranking: list[int] = []
@@ -221,6 +251,7 @@ def packed(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS) -> Data
         held += n
         if parts > 1:
             shard, held = shard + parts - 1, shard_tokens
+    corpus = spark.sparkContext.broadcast(statistics(rows, path))
     where = F.broadcast(spark.createDataFrame(plan, "sig int, first long, parts long"))
     dealt = rows.join(where, "sig").select(
         (F.col("first") + F.pmod(F.xxhash64("rid"), F.col("parts"))).alias("shard"), "rid", "doc_id", "ids")
@@ -229,7 +260,7 @@ def packed(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS) -> Data
         group = group.sort_by([("doc_id", "ascending"), ("rid", "ascending")])
         e = encoder(path)
         ids = [np.frombuffer(x, dtype=e.kind) for x in group.column("ids").to_pylist()]
-        pieces = list(arranged(ids, e.size))
+        pieces = list(arranged(ids, e.size, corpus=corpus.value))
         base = group.column("shard")[0].as_py() << 32
         return pa.table({
             "doc_id": group.column("doc_id").take(pa.array([p[0] for p in pieces], pa.int64())),

@@ -202,6 +202,21 @@ def test_every_id_is_packed_once(request, name):
         assert sum(r["length"] for r in got) == sum(map(len, ids))
 
 
+def test_weights_are_those_of_the_corpus(documents):
+    # token 5 is rare here and common in the corpus, token 6 the other way round
+    docs = [np.array(d, dtype=np.int64) for d in ([5, 6], [5, 7], [6, 8], [6, 9], [6, 10])]
+    corpus = packing.Statistics(1000, 2.0, np.array([0] * 5 + [900, 4] + [1] * 4))
+    assert [p[0] for p in packing.arranged(docs, 11, width=4)][:2] == [0, 1]
+    assert [p[0] for p in packing.arranged(docs, 11, width=4, corpus=corpus)][:2] == [0, 2]
+    e = packing.encoder(VOCABULARY)
+    ids = list(e.encode([(r["text"] or "").encode() for r in documents.select("text").collect()]))
+    held = [np.frombuffer(x, dtype=e.kind) for x in ids]
+    want = np.bincount(np.concatenate([np.unique(v) for v in held]))
+    rows = documents.sparkSession.createDataFrame([(bytearray(x), len(v)) for x, v in zip(ids, held)], "ids binary, n long")
+    got = packing.statistics(rows.repartition(4), VOCABULARY)
+    assert got.n == len(held) and np.array_equal(got.df, want) and abs(got.mean - np.mean([len(v) for v in held])) < 1e-6
+
+
 def test_neighbours_follow_their_seed():
     rng = np.random.default_rng(0)
     topics = [rng.integers(1000 * k, 1000 * k + 300, 400) for k in range(5)]

@@ -212,7 +212,8 @@ def edges(distinct: DataFrame, reach: int = MAX_BITS, shard: int = SHARD) -> Dat
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = MAX_BITS) -> DataFrame:
     """One row per document row: ``doc_id, h`` (hash of the text), ``fp`` (the
-    fingerprint as a signed long) and ``component_id``."""
+    fingerprint as a signed long), ``root`` (the component's smallest fingerprint)
+    and ``component_id``."""
     common.prepare(docs.sparkSession)
     text = common.text_of()
     rows = common.stored(docs.select("doc_id", F.xxhash64(text).alias("h"), fingerprints(text, shingle).alias("fp")),
@@ -223,20 +224,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, reach: int = MAX_BI
             .agg(F.min("low").alias("root_low")))
     # stored: the join below then stands alone, and adaptive execution can split a
     # fingerprint that many copies share
-    of = common.stored(distinct.join(nodes.join(lows, "root").select(F.col("node").alias("fp"), "root_low"), "fp", "left")
-                       .select("fp", F.coalesce("root_low", "low").alias("component_id")), "of")
-    return rows.join(of, "fp").select("doc_id", "h", "fp", "component_id")
+    of = common.stored(distinct.join(nodes.join(lows, "root").select(F.col("node").alias("fp"), "root", "root_low"), "fp", "left")
+                       .select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("root_low", "low").alias("component_id")), "of")
+    return rows.join(of, "fp").select("doc_id", "h", "fp", "root", "component_id")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component stays: the row of the smallest doc_id
-    (of equal ids the lowest text hash, of repeated rows one); rows of a
-    component with null ids only are judged alike. Columns unchanged."""
+    (of equal or only null ids the lowest text hash, of repeated rows one).
+    Columns unchanged."""
     found = common.stored(near_duplicates(docs), "found")
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("best"))
-    # components of null ids only can't be told apart by id: their text hash stands in
     key = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
-    dropped = (found.filter("component_id is not null").join(best, "component_id").filter(key != F.col("best"))
+    best = found.groupBy("root").agg(F.min(key).alias("best"))
+    dropped = (found.join(best, "root").filter(~key.eqNullSafe(F.col("best")))
                .select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct())
     many = (found.groupBy("doc_id", "h").count().filter("count > 1")
             .select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")))

@@ -99,6 +99,18 @@ def test_first_of_each(repeated, edge, empty):
     assert simhash.first_of_each(empty).count() == 0
 
 
+def test_first_of_each_without_ids(make):
+    def row(i, text):
+        return (i, text, "", "", 0, "", "", 0)
+    one, other = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    # the second of each pair differs in case only: an equal fingerprint, another text hash
+    rows = [row(None, one), row(None, one.upper()), row(None, other), row(None, other), row(None, other.upper()),
+            row(7, "with an id"), row(None, "with an id"), row(None, "With an ID")]
+    out = simhash.first_of_each(make(rows)).collect()
+    assert Counter(r["text"].lower() for r in out) == {one: 1, other: 1, "with an id": 1}
+    assert [r["doc_id"] for r in out if r["text"].lower() == "with an id"] == [7]
+
+
 # ----------------------------------------------------------------- components
 
 def test_components_of_paths_and_stars(spark):

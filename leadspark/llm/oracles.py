@@ -114,3 +114,24 @@ FROM docs d LEFT JOIN base b USING (rid) LEFT JOIN best s USING (rid)
 
 
 SQL["op1_license_scan"] = _licenses()
+
+SQL["op11_fill_in_middle"] = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+hashes AS (
+  SELECT doc_id, t, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3,
+    ('0x' || d[25:32])::BIGINT AS h4, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u FROM docs),
+cut AS (
+  SELECT doc_id, t, h4, u, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a,
+    greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+    t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 AS plain FROM hashes),
+parts AS (
+  SELECT doc_id, t, n, CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""

@@ -107,11 +107,10 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
 def communication_matrix(parts: DataFrame, sizes: list[int], seed: int = SEED) -> DataFrame:
     """Rows ``leaf, counts`` for the parts ``(leaf, n)``, leaves numbered from
     0: ``counts[s]`` rows of the part go to shard s. ``sizes`` are the shards'."""
-    spark = parts.sparkSession
     leaves = parts.agg(F.max("leaf")).head()[0]
     depth = 0 if leaves is None else int(leaves).bit_length()
-    nodes = spark.range(1).select(F.lit(0).cast("long").alias("node"),
-                                  F.array(*[F.lit(s).cast("long") for s in sizes]).alias("counts"))
+    nodes = parts.filter("leaf = 0").select((F.col("leaf") * 0).alias("node"),
+                                            F.array(*[F.lit(s).cast("long") for s in sizes]).alias("counts"))
     for level in range(depth):
         # rows below each node's left child
         below = (parts.withColumn("child", F.shiftright("leaf", depth - level - 1)).filter("child % 2 = 0")
@@ -132,7 +131,6 @@ def communication_matrix(parts: DataFrame, sizes: list[int], seed: int = SEED) -
 def assigned(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``rid, shard, slot`` for a stored table of distinct row numbers ``rid``
     made by ``monotonically_increasing_id``."""
-    spark = rows.sparkSession
     keys = rows.select("rid", F.shiftright("rid", (PART_ROWS - 1).bit_length()).alias("part"))
     counts = common.stored(keys.groupBy("part").agg(F.count("*").alias("n")), "shard-parts")
     # leaves in the order of the parts; there are as many as input partitions and millions of rows
@@ -158,7 +156,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFram
     rows = common.stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[docs[c] for c in names]).alias("row")),
                          "shard-rows")
     at = common.stored(assigned(rows.select("rid"), shards, seed), "shard-slots")
-    return rows.join(at, "rid").select("row.*", "shard", "slot")
+    # the exchange of the rows is the same at every size, not a broadcast of the slots where they are few
+    return rows.hint("merge").join(at, "rid").select("row.*", "shard", "slot")
 
 
 def save(made: DataFrame, path: str) -> None:

@@ -1,8 +1,8 @@
 """Native enrichment operators: the web-search and LLM steps of the
 per-contact pipeline re-expressed as deterministic Spark jobs.
 
-* T4 corpus search: an inverted index of a documents table scored by
-  tf-idf, top-k documents per query.
+* T4 corpus search: top-k documents per query by tf-idf, from a stored
+  inverted index (:mod:`.search_index`).
 * T5 URL extraction from the raw result text.
 * T6 additive rubric score on the result text.
 * T7 novelty of a result against the person's previous one (token-set
@@ -20,14 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
-from .grouping import previous_in_group, top_k_per_group
+from . import search_index as SI
+from .grouping import previous_in_group
 from .sizing import is_small, spread
 
 # Tokenisation (letters and digits of any script, lower-cased;
 # the same class is valid in Java regex and RE2).
 TOKEN = r"[\p{L}\p{N}]+"
-# Query-term dictionary broadcast bound (distinct terms of all queries).
-MAX_BROADCAST_TERMS = 2_000_000
 # Hit document ids (at most k per query).
 MAX_BROADCAST_IDS = 2_000_000
 DEFAULT_TOP_K = 3
@@ -90,76 +89,13 @@ def token_set(text) -> Column:
 
 # --- T4 -------------------------------------------------------------------
 
-def term_index(docs: DataFrame, terms: DataFrame | None = None,
-               terms_small: bool = True) -> DataFrame:
-    """(doc_id, term, tf): the inverted index of a corpus. With ``terms``
-    only those terms are kept, map-side (broadcast semi join) before the
-    partial aggregation, so only matching tokens are shuffled."""
-    toks = spread(docs.select("doc_id", "text")).select(
-        "doc_id", F.explode(tokens("text")).alias("term"))
-    if terms is not None:
-        toks = toks.join(F.broadcast(terms) if terms_small else terms, "term", "left_semi")
-    return toks.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def search_index(index: DataFrame, n_docs: int, qt: DataFrame, k: int = DEFAULT_TOP_K,
-                 id_col: str = "q_id", group_col: str = "grp") -> DataFrame:
-    """Top-``k`` documents per query from a term index and the queries' terms
-    ``(id, grp, term)``, both materialised (see corpus_search).
-
-    Words that *all* queries of a group share give one base score per document
-    and group. Documents with no further word of a query score just their base,
-    so a query's top ``k`` are among its documents with a further word and the
-    group's ``k`` best base scores: only those pairs are scored."""
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # one row per distinct query term, broadcast where that is proven small
-    small = is_small(df, MAX_BROADCAST_TERMS)
-    df = F.broadcast(df) if small else df
-    weighted = index.join(df, "term").select("doc_id", "term", (
-        F.col("tf") * F.log(F.lit(1.0) + F.lit(float(n_docs)) / F.col("df"))).alias("w"))
-    sizes = qt.groupBy(group_col).agg(F.count_distinct(id_col).alias("n_queries"))
-    shared = (qt.groupBy(group_col, "term").agg(F.count(F.lit(1)).alias("n")).join(sizes, group_col)
-              .filter((F.col("n") == F.col("n_queries")) & (F.col("n") > 1)).select(group_col, "term"))
-    further = qt.join(shared, [group_col, "term"], "left_anti")
-    base = weighted.join(F.broadcast(shared) if small else shared, "term").groupBy(group_col, "doc_id").agg(
-        F.sum("w").alias("base")).checkpoint(eager=True)
-    order = [F.round("base", 9).desc(), F.col("doc_id").asc()]
-    best = top_k_per_group(base, [group_col], order, k, k, rank_col="_r").select(group_col, "doc_id")
-    ids = qt.select(id_col, group_col).distinct()
-    plain = ids.join(best, group_col).select(id_col, group_col, "doc_id", F.lit(0.0).alias("w"))
-    # (query, term) rows: counted before they are broadcast
-    few = is_small(further, MAX_BROADCAST_TERMS)
-    pairs = weighted.join(F.broadcast(further) if few else further, "term").select(id_col, group_col, "doc_id", "w")
-    scores = (pairs.unionByName(plain).groupBy(id_col, group_col, "doc_id").agg(F.sum("w").alias("rest"))
-              .join(base, [group_col, "doc_id"], "left")
-              .withColumn("raw_score", F.col("rest") + F.coalesce("base", F.lit(0.0)))
-              .withColumn("score", F.round("raw_score", 9)))
-    order = [F.col("score").desc(), F.col("doc_id").asc()]
-    top = top_k_per_group(scores, [id_col], order, k, k, rank_col="rank")
-    return top.select(id_col, "rank", "doc_id", F.round("raw_score", 6).alias("score"))
-
-
 def corpus_search(queries: DataFrame, docs: DataFrame, k: int = DEFAULT_TOP_K,
-                  id_col: str = "q_id", text_col: str = "query", group_col: str | None = None,
-                  n_docs: int | None = None) -> DataFrame:
-    """T4: top-``k`` documents per query by tf-idf.
-
-    ``score(q, d) = sum over distinct terms t of q in d: tf(t, d) * ln(1 + N / df(t))``.
-    Only document tokens that occur in some query are shuffled: the query
-    term dictionary is broadcast (bounded count) and applied map-side as a
-    semi join, then term frequencies are partially aggregated before the
-    shuffle. ``df`` is computed for query terms only. Ties: lower doc_id.
-    ``group_col``: queries made from one template, whose words they share.
-    """
-    group = F.col(group_col) if group_col else F.lit(0)
-    # The queries' terms and the matched index are read several times: built
-    # once, so the corpus is tokenised once.
-    qt = queries.select(id_col, group.alias("grp"), F.explode(token_set(text_col)).alias("term")).checkpoint(eager=True)
-    terms = qt.select("term").distinct()
-    small = is_small(terms, MAX_BROADCAST_TERMS)
-    index = term_index(docs, terms, small).checkpoint(eager=True)
-    n = docs.count() if n_docs is None else n_docs  # parquet footers / one aggregate row
-    return search_index(index, n, qt, k, id_col)
+                  id_col: str = "q_id", text_col: str = "query", index: SI.Index | None = None) -> DataFrame:
+    """T4: top-``k`` documents per query by tf-idf, exact, from a stored index
+    (:mod:`.search_index`); without one, an index of ``docs`` is made for this
+    search. Ties: lower doc_id."""
+    index = index or SI.extend(docs, SI.scratch_path(docs.sparkSession))
+    return SI.search(index, queries, k, id_col, text_col)
 
 
 def doc_url(source: Column, doc_id: Column) -> Column:

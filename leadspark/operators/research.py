@@ -6,8 +6,8 @@ standard query (T3) -> searches on engine 1 for every query and on engine 2
 for the first one when the tenant allows it (T4) -> URLs (T5) -> business
 need score (T6) -> novelty against the previous result (T7) -> scores
 (F21). Every step is native here; :mod:`.provider` replaces a step by an
-external call. Each contact's queries are searched together in one corpus
-search, so the corpus is scanned once per search step, not once per query.
+external call. The queries of all contacts are searched together in one search per
+step, from a stored index: the corpus is not tokenised again.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from ..functions import text as TX
 from ..schemas import KEY3
 from . import enrich as EN
 from . import provider as PV
+from . import search_index as SI
 from ..functions import payloads as PL
 from .sizing import broadcast_bounded, is_small, maybe_broadcast, spread
 
@@ -53,7 +54,8 @@ def engine1_text(h: Column) -> Column:
 
 def enrich_batch(batch: DataFrame, tenants: DataFrame, standard_templates: DataFrame,
                  docs: DataFrame, prev_texts: DataFrame, as_of, k: int = EN.DEFAULT_TOP_K,
-                 tenant_bound: DataFrame | bool | None = None, with_previous: bool = False) -> DataFrame:
+                 tenant_bound: DataFrame | bool | None = None, with_previous: bool = False,
+                 index: SI.Index | None = None) -> DataFrame:
     """Run the native pipeline for every contact of ``batch``.
 
     ``batch``: client, first_name, last_name, company, position,
@@ -65,7 +67,8 @@ def enrich_batch(batch: DataFrame, tenants: DataFrame, standard_templates: DataF
     (array of call records) and ``contact_id``. ``tenant_bound``: the
     dimension table (or its check result) bounding ``tenants``' rows.
     ``with_previous`` adds the previous result's text as ``previous_results``
-    (for a provider that compares).
+    (for a provider that compares). ``index``: the stored index of ``docs``,
+    of which then only the hits' texts are read; without one it is made here.
     """
     from ..fixtures import STANDARD_QUERY  # the default template
 
@@ -79,7 +82,7 @@ def enrich_batch(batch: DataFrame, tenants: DataFrame, standard_templates: DataF
          .withColumn("contact_id", F.md5(F.to_json(F.struct(*KEY3))))
          .withColumn("search_period", TX.search_period("last_search_date", as_of))
          .checkpoint(eager=True))
-    n_docs = docs.count()
+    index = index or SI.extend(docs, SI.scratch_path(docs.sparkSession))
     fields = {"first_name": F.col("first_name"), "last_name": F.col("last_name"),
               "company": F.col("company"), "candidate.first_name": F.col("first_name"),
               "candidate.last_name": F.col("last_name"), "candidate.company": F.col("company"),
@@ -89,7 +92,7 @@ def enrich_batch(batch: DataFrame, tenants: DataFrame, standard_templates: DataF
     c = c.withColumn("event_q", TX.event_question("first_name", "last_name", "position", "company"))
     q1 = c.select(F.struct("contact_id", F.lit(0).alias("qpos")).alias("qid"),
                   F.col("event_q").alias("query"))
-    top1 = EN.corpus_search(q1, docs, k=k, id_col="qid", n_docs=n_docs)
+    top1 = SI.search(index, q1, k, "qid")
     h1 = EN.hits(top1, docs, id_col="qid")
     ev = h1.select(F.col("qid.contact_id").alias("contact_id"), F.col("hits").alias("event_hits"))
     # The event type is the first line of the best document (whole line).
@@ -107,7 +110,7 @@ def enrich_batch(batch: DataFrame, tenants: DataFrame, standard_templates: DataF
     # T4: all queries of all contacts in one corpus search.
     q = c.select("contact_id", F.posexplode("queries").alias("qpos", "query")).select(
         F.struct("contact_id", (F.col("qpos") + 1).alias("qpos")).alias("qid"), "qpos", "query")
-    top = EN.corpus_search(q, docs, k=k, id_col="qid", group_col="qpos", n_docs=n_docs)
+    top = SI.search(index, q, k, "qid")
     hs = EN.hits(top, docs, id_col="qid").select(
         F.col("qid.contact_id").alias("contact_id"), F.col("qid.qpos").alias("qpos"), "hits")
     per_contact = hs.groupBy("contact_id").agg(  # <= len(queries) rows per contact

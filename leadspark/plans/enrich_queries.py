@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from .. import oracle as O
 from ..operators import enrich as EN
+from ..operators import search_index as SI
 from ..operators.sizing import spread
 from ..registry import register
 
@@ -30,13 +31,18 @@ r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(raw_score, 9
 SELECT q_id, rank, doc_id, round(raw_score, 6) AS score FROM r WHERE rank <= 3"""
 
 
+def corpus_index(spark: SparkSession, sf_dir: str) -> SI.Index:
+    """The stored index of the whole corpus, extended by documents that are new."""
+    docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return SI.extend(docs, SI.shared_path(spark, sf_dir))
+
+
 @register("t4_corpus_search", SEARCH_SQL)
 def corpus_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4: every benchmark passage searched (whole text) in the whole
     document corpus; top 3 documents each."""
     q = fx.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("query"))
-    docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return EN.corpus_search(q, docs, k=3)
+    return SI.search(corpus_index(spark, sf_dir), q, k=3)
 
 
 def _link_text_col():
@@ -140,7 +146,7 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
         "client", F.col("body").alias("template"))
     docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return PP.enrich_batch(batch, tenants, templates, docs, fx.history_text(spark, sf_dir), AS_OF,
-                           tenant_bound=settings)
+                           tenant_bound=settings, index=corpus_index(spark, sf_dir))
 
 
 def enrich_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +168,7 @@ def usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search_ctes(prefix: str, queries: str) -> list[tuple[str, str]]:
     """tf-idf top-3 over the whole corpus for the (qid, query) rows of the
-    CTE ``queries``; mirrors :func:`leadspark.operators.enrich.search_index`."""
+    CTE ``queries``; mirrors :func:`leadspark.operators.search_index.search`."""
     return [
         (f"{prefix}_qt", f"SELECT DISTINCT qid, unnest(list_distinct({_tok('query')})) AS term FROM {queries}"),
         (f"{prefix}_terms", f"SELECT DISTINCT term FROM {prefix}_qt"),

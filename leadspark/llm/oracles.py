@@ -25,17 +25,32 @@ live AS (
                         '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
   FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM live GROUP BY rid),
-near AS (
-  SELECT rid, norm, lag(norm) OVER w AS a, lead(norm) OVER w AS b,
-    len(string_split(norm, ' ')) AS n
-  FROM live WINDOW w AS (PARTITION BY rid ORDER BY k)),
-flat AS (SELECT near.*, d.source, d.t FROM near JOIN docs d USING (rid) WHERE n >= 5),
-often AS (
-  SELECT source, norm FROM flat GROUP BY source, norm
-  HAVING count(DISTINCT t) > 20 AND count(DISTINCT (coalesce(a, chr(1)), coalesce(b, chr(1)))) > 20),
+flat AS (
+  SELECT l.rid, d.source, d.t, len(w.w) AS n_words, ('0x' || md5(l.norm)[1:15])::BIGINT AS line,
+    sum(len(string_split(l.norm, ' '))) AS n
+  FROM live l JOIN docs d USING (rid) JOIN words w USING (rid) GROUP BY l.rid, d.source, d.t, len(w.w), l.norm),
+texts AS (SELECT DISTINCT source, t, n_words, line, n FROM flat),
+frequent AS (SELECT source, line FROM texts GROUP BY source, line HAVING count(*) > 20),
+held AS (SELECT x.* FROM texts x JOIN frequent f ON x.line = f.line AND x.source IS NOT DISTINCT FROM f.source),
+suspects AS (
+  SELECT source, t, min(line) AS least FROM held GROUP BY source, t, n_words HAVING sum(n) >= 0.5 * n_words),
+sizes AS (SELECT source, least, count(*) AS size FROM suspects GROUP BY source, least),
+theirs AS (SELECT h.*, s.least FROM held h JOIN suspects s ON h.t = s.t AND h.source IS NOT DISTINCT FROM s.source),
+core AS (
+  SELECT a.source, a.least, a.line FROM (SELECT source, least, line, count(*) AS n FROM theirs GROUP BY ALL) a
+    JOIN sizes z ON a.least = z.least AND a.source IS NOT DISTINCT FROM z.source WHERE a.n >= 0.8 * z.size),
+copies AS (
+  SELECT a.source, a.t, a.least FROM theirs a JOIN core c
+    ON a.line = c.line AND a.least = c.least AND a.source IS NOT DISTINCT FROM c.source
+  GROUP BY a.source, a.t, a.least, a.n_words HAVING sum(a.n) >= 0.5 * a.n_words),
+counted AS (
+  SELECT DISTINCT h.source, h.line, CASE WHEN c.least IS NULL THEN h.t ELSE 'copies of ' || c.least END AS document,
+    c.least IS NULL AS own
+  FROM held h LEFT JOIN copies c ON h.t = c.t AND h.source IS NOT DISTINCT FROM c.source),
+often AS (SELECT source, line FROM counted GROUP BY source, line HAVING count(*) > 20),
 lost AS (
   SELECT f.rid, sum(f.n) AS n FROM flat f JOIN often o
-    ON f.norm = o.norm AND f.source IS NOT DISTINCT FROM o.source GROUP BY f.rid),
+    ON f.line = o.line AND f.source IS NOT DISTINCT FROM o.source GROUP BY f.rid),
 base AS (
   SELECT d.doc_id, len(w.w) AS n_words, length(array_to_string(w.w, '')) AS word_chars,
     length(d.t) - length(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')) AS n_symbols,

@@ -26,7 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -36,12 +36,12 @@ END = 2
 #: Tokens that a shard is meant to hold.
 SHARD_TOKENS = 1_000_000
 K1, B = 1.2, 0.75
-#: Words whose ids a Python worker remembers, in two generations of this size.
+#: Words and parts whose ids a Python worker remembers, in two generations of this size.
 MEMORY = 400_000
-#: Words on which the tokenizer's normaliser changes the case only.
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-#: Fixed value: the tokenizer's split pattern, for plain lower-case words.
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00e0-\u00f6\u00f8-\u00ff\u00df]+|[0-9]|[^a-z0-9\u00e0-\u00f6\u00f8-\u00ff\u00df]+")
+#: Texts on which the tokenizer's normaliser changes the case and white space only.
+_PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+#: Fixed value: the tokenizer's split pattern, for plain lower-case texts.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00e0-\u00f6\u00f8-\u00ff\u00df]+|[0-9]|[^\\sa-z0-9\u00e0-\u00f6\u00f8-\u00ff\u00df]+")
 #: Words looked up at once.
 CHUNK_WORDS = 200_000
 _PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -49,9 +49,11 @@ _PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens lon
 
 
 class Encoder:
-    """Ids of white-space-free words by the tokenizer, remembered. The
-    tokenizer drops white space and never joins what it separates, so a text's
-    ids are those of its words in turn."""
+    """Ids by the tokenizer, remembered by what it encodes apart. It drops white
+    space and never joins what that separates, so a text's ids are those of its
+    white-space-free words in turn (keys of type bytes). A plain text is cut further, into
+    the parts of its lower-case form by the tokenizer's split pattern (keys of type
+    str): there are far fewer of them, as neither case nor punctuation multiplies them."""
 
     def __init__(self, path: str):
         import os
@@ -66,54 +68,58 @@ class Encoder:
         self.last = np.zeros(self.size, dtype=bool)  # ids that end a word part
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.last[i] = token.endswith("</w>")
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words. Plain words go to the tokenizer as one text, cut
-        again at the ids that end a word part; the others one by one."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [i for i, t in enumerate(texts) if _PLAIN.fullmatch(t) and "<|" not in t]
-        out: dict[bytes, bytes] = {}
-        if plain:
-            parts = np.array([len(_PARTS.findall(texts[i].lower())) for i in plain])
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in plain])],
-                                                            add_special_tokens=False)[0].ids, dtype=self.kind)
+        self.young: dict[bytes | str, bytes] = {}
+        self.old: dict[bytes | str, bytes] = {}
+
+    @staticmethod
+    def keys(text: bytes) -> list[bytes] | list[str]:
+        decoded = text.decode("utf-8", "replace")
+        if _PLAIN.fullmatch(decoded) and "<|" not in decoded:
+            return _PARTS.findall(decoded.lower())
+        return text.split()
+
+    def _fresh(self, new: list[bytes | str]) -> dict[bytes | str, bytes]:
+        """Ids of new words and parts. Parts go to the tokenizer as one text, cut
+        again at the ids that end a part; words one by one."""
+        parts = [k for k in new if isinstance(k, str)]
+        out: dict[bytes | str, bytes] = {}
+        if parts:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype=self.kind)
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == parts.sum():
-                data, size = ids.tobytes(), self.kind.itemsize
-                cuts = (np.concatenate([[0], ends[np.cumsum(parts) - 1]]) * size).tolist()
-                out = {words[i]: data[a:b] for i, a, b in zip(plain, cuts, cuts[1:])}
-        rest = [i for i, w in enumerate(words) if w not in out]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
-            out[words[i]] = np.array(e.ids, dtype=self.kind).tobytes()
+            if len(ends) == len(parts):
+                data, cuts = ids.tobytes(), (np.append(0, ends) * self.kind.itemsize).tolist()
+                out = {k: data[a:b] for k, a, b in zip(parts, cuts, cuts[1:])}
+        rest = [k for k in new if k not in out]
+        texts = [k if isinstance(k, str) else k.decode("utf-8", "replace") for k in rest]
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            out[k] = np.array(e.ids, dtype=self.kind).tobytes()
         return out
 
-    def _learn(self, held: list[list[bytes]]) -> None:
-        """Have the ids of all these words in the young generation."""
-        words = set().union(*held)
-        new = [w for w in words if w not in self.young]
+    def _learn(self, held: list[list]) -> None:
+        """Have the ids of all these keys in the young generation."""
+        keys = set().union(*held)
+        new = [k for k in keys if k not in self.young]
         if len(self.young) + len(new) > MEMORY:
-            self.old, self.young, new = self.young, {}, list(words)
-        known = {w: self.old[w] for w in new if w in self.old}
+            self.old, self.young, new = self.young, {}, list(keys)
+        known = {k: self.old[k] for k in new if k in self.old}
         self.young.update(known)
-        new = [w for w in new if w not in known]
+        new = [k for k in new if k not in known]
         if new:
             self.young.update(self._fresh(new))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text with END, little-endian."""
         end = np.array([END], dtype=self.kind).tobytes()
-        held: list[list[bytes]] = []
+        held: list[list] = []
         n = 0
         for i, text in enumerate(texts, 1):
-            held.append(text.split())
+            held.append(self.keys(text))
             n += len(held[-1])
             if n >= CHUNK_WORDS or i == len(texts):
                 self._learn(held)
-                known = self.young
-                for words in held:
-                    yield b"".join([known[w] for w in words]) + end
+                of = self.young.__getitem__
+                for keys in held:
+                    yield b"".join(map(of, keys)) + end
                 held, n = [], 0
 
 
@@ -122,19 +128,38 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(text: Column, path: str) -> Column:
-    """Struct of the ids (little-endian), their number and their min-hash."""
-    @F.arrow_udf("struct<ids:binary,n:bigint,sig:int>")
-    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """Rows ``rid, doc_id, ids, n, sig, df``: per document its ids (little-endian), their
+    number and their min-hash; and per task one row with nothing but ``df``, the task's documents that
+    hold each token (a 32-bit number per entry of the vocabulary)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for column in columns:
-            ids = list(e.encode(column.to_pylist()))
-            values = [np.frombuffer(x, dtype=e.kind) for x in ids]
-            yield pa.StructArray.from_arrays(
-                [pa.array(ids, pa.binary()), pa.array([len(v) for v in values], pa.int64()),
-                 pa.array([int(e.order[v].min()) for v in values], pa.int32())], names=["ids", "n", "sig"])
-
-    return run(text)
+        df = np.zeros(e.size, dtype=np.int32)
+        stamp = np.zeros(e.size, dtype=np.int64)
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(1).type
+            ids = list(e.encode(batch.column(2).to_pylist()))
+            n, sig = [], []
+            for x in ids:
+                v = np.frombuffer(x, dtype=e.kind)
+                place = np.arange(len(v))
+                stamp[v] = place  # the last place of each token
+                distinct = v[stamp[v] == place]
+                df[distinct] += 1
+                n.append(len(v))
+                sig.append(int(e.order[distinct].min()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.int32()),
+                 pa.nulls(len(ids), pa.binary())], names=["rid", "doc_id", "ids", "n", "sig", "df"])
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()),
+                 pa.array([df.tobytes()], pa.binary())], names=["rid", "doc_id", "ids", "n", "sig", "df"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", common.text_of().cast("binary").alias("text")).mapInArrow(
+        run, f"rid long, doc_id {kind}, ids binary, n long, sig int, df binary")
 
 
 class Statistics(NamedTuple):
@@ -145,18 +170,18 @@ class Statistics(NamedTuple):
 
 
 def statistics(rows: DataFrame, path: str) -> Statistics:
-    """Of all documents (``ids``, ``n``); bounded by the vocabulary."""
+    """Of all documents, from the rows of :func:`encoded`; bounded by the vocabulary."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
-        df = np.zeros(e.size, dtype=np.int64)
+        df = np.zeros(encoder(path).size, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                df[np.unique(np.frombuffer(ids, dtype=e.kind))] += 1
+            for held in batch.column(0).to_pylist():
+                df += np.frombuffer(held, dtype=np.int32)
         token = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int32)), pa.array(df[token])], names=["token", "df"])
 
-    n, mean = rows.agg(F.count("*"), F.avg("n")).first()
-    found = rows.select("ids").mapInArrow(count, "token int, df long").groupBy("token").agg(F.sum("df").alias("df")).toPandas()
+    n, mean = rows.agg(F.count("n"), F.avg("n")).first()
+    found = rows.select("df").filter("df is not null").mapInArrow(count, "token int, df long").groupBy("token").agg(
+        F.sum("df").alias("df")).toPandas()
     df = np.zeros(int(found["token"].max()) + 1 if len(found) else 0, dtype=np.int64)
     df[found["token"].to_numpy(np.int64)] = found["df"].to_numpy(np.int64)
     return Statistics(n, mean or 0.0, df)
@@ -237,9 +262,9 @@ def packed(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS) -> Data
     offset``: one per piece; ``sequence_id`` is the shard's number times 2^32
     plus that of the sequence in it."""
     spark = common.prepare(docs.sparkSession)
-    rows = common.stored(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id",
-                                     encoded(common.text_of().cast("binary"), path).alias("e"))
-                         .select("rid", "doc_id", "e.*"), "ids")
+    rows = common.stored(encoded(docs, path), "ids")
+    corpus = spark.sparkContext.broadcast(statistics(rows, path))
+    rows = rows.filter("df is null").drop("df")
     # one row per min-hash value: bounded by the vocabulary
     mass = rows.groupBy("sig").agg(F.sum("n").alias("n")).orderBy("sig").collect()
     plan, shard, held = [], -1, shard_tokens
@@ -251,7 +276,6 @@ def packed(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS) -> Data
         held += n
         if parts > 1:
             shard, held = shard + parts - 1, shard_tokens
-    corpus = spark.sparkContext.broadcast(statistics(rows, path))
     where = F.broadcast(spark.createDataFrame(plan, "sig int, first long, parts long"))
     dealt = rows.join(where, "sig").select(
         (F.col("first") + F.pmod(F.xxhash64("rid"), F.col("parts"))).alias("shard"), "rid", "doc_id", "ids")

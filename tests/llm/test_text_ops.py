@@ -1,5 +1,6 @@
 """Quality rules, SimHash, substring dedup, packing, classifier."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -224,8 +225,7 @@ def test_weights_are_those_of_the_corpus(documents):
     ids = list(e.encode([(r["text"] or "").encode() for r in documents.select("text").collect()]))
     held = [np.frombuffer(x, dtype=e.kind) for x in ids]
     want = np.bincount(np.concatenate([np.unique(v) for v in held]))
-    rows = documents.sparkSession.createDataFrame([(bytearray(x), len(v)) for x, v in zip(ids, held)], "ids binary, n long")
-    got = packing.statistics(rows.repartition(4), VOCABULARY)
+    got = packing.statistics(packing.encoded(documents.repartition(4), VOCABULARY), VOCABULARY)
     assert got.n == len(held) and np.array_equal(got.df, want) and abs(got.mean - np.mean([len(v) for v in held])) < 1e-6
 
 
@@ -324,3 +324,33 @@ def test_pipeline_run_equals_its_stages(spark):
     for r in pieces:
         tokens[r["doc_id"]] += r["length"]
     assert tokens == {i: len(whole.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in left.items()}
+
+
+def test_boilerplate_blocks_go_whole_and_copies_stay(make):
+    """A footer of short and long lines goes from all its documents; near copies of a
+    clean text, edited in different places, keep all their words."""
+    rng = random.Random(7)
+    fresh = lambda n: " ".join(str(rng.random()) for _ in range(n))
+    footer = "About us and what we do all day\nRead more\nTerms of use here\nAccept all cookies\nAll rights reserved by the owners"
+    rows = [(i, f"{fresh(40)}\n{footer}", "en", "a", 1, "", "", 0) for i in range(60)]
+    clean = [fresh(9) for _ in range(20)]
+    for i in range(400):
+        lines_ = list(clean)
+        for k in rng.sample(range(20), 2):
+            lines_[k] = fresh(9)
+        rows.append((1000 + i, "\n".join(lines_), "en", "a", 1, "", "", 0))
+    found = {r["doc_id"]: r for r in lines.decided(make(rows)).collect()}
+    words = len(footer.split())
+    assert all(found[i]["n_removed_words"] == words and found[i]["kept"] for i in range(60))
+    assert all(found[1000 + i]["n_removed_words"] == 0 and found[1000 + i]["kept"] for i in range(400))
+
+
+def test_columns_of_any_name_pass(make):
+    from pyspark.sql import functions as F
+    own = lambda i: " ".join(hashlib.md5(f"{i} {k}".encode()).hexdigest() for k in range(30))
+    docs = make([(i, own(i) + "\nsame footer", "en", "a", 1, "", "", 0) for i in range(30)])
+    for name in ("__h", "__id", "__kept", "__removed", "mark", "row"):
+        docs = docs.withColumn(name, F.lit(name))
+    out = lines.applied(docs)
+    assert out.columns == docs.columns
+    assert {(r["doc_id"], r["text"]) for r in out.collect()} == {(i, own(i)) for i in range(30)}

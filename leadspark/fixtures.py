@@ -276,6 +276,24 @@ DEFAULT_PROMPT_ROWS = [
 ]
 
 
+# Rubrics of the tenants, one row per keyword (client, metric, points, keyword,
+# needs_person, needs_company); rows without a client are the default.
+RUBRIC_ROWS = [
+    (None, "A", 3, "case study", False, True), (None, "A", 3, "case studies", False, True),
+    (None, "B", 2, "launch", True, False), (None, "B", 2, "launched", True, False),
+    (None, "C", 1, "conference", True, True), (None, "D", 4, "record year", False, False),
+    ("AMERICA", "A", 3, "mit license", False, False), ("AMERICA", "A", 3, "apache license", False, False),
+    ("AMERICA", "B", 2, "general public license", False, False), ("AMERICA", "C", 1, "the", True, False),
+    ("ASIA", "A", 5, "of the", False, False), ("ASIA", "B", 4, "license", False, False),
+    ("ASIA", "C", 3, "und die", False, False), ("ASIA", "D", 1, "the", False, True),
+]
+
+
+def rubric(spark: SparkSession) -> DataFrame:
+    return local_table(spark, RUBRIC_ROWS, "client string, metric string, points bigint, keyword string, "
+                                           "needs_person boolean, needs_company boolean")
+
+
 def prompts(spark: SparkSession) -> DataFrame:
     return local_table(spark, PROMPT_ROWS, S.PROMPTS)
 

@@ -8,6 +8,11 @@ value on that row. The answers are checkpointed to the shared folder at
 once, so a later stage, a retried task or AQE re-planning never repeats an
 external call; a request id answered twice (a retried task) is de-duplicated.
 
+With a *ledger* (a table of answers by request id) requests go out in waves of about a minute's calls,
+and each wave's answers are stored when it ends. A repeated run reads the ledger first: what is answered is never
+asked again, a final failure is asked again under the next attempt number. Each function (engine)
+has its own rate, and within a wave tenants take turns, so none waits for another's backlog.
+
 :class:`OfflineProvider` is a deterministic stand-in used by tests and
 offline runs; real providers implement the same ``complete`` method.
 """
@@ -24,6 +29,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import path_exists
+from .grouping import row_number_per_group
+
 RESPONSE_SCHEMA = ("request_id string, function string, response string, model string, "
                    "input_tokens bigint, output_tokens bigint, attempts int, error string")
 
@@ -95,6 +103,53 @@ def _run_partition(factory: Callable[[], Provider], per_task_rate: float,
     return run
 
 
+LEDGER_SCHEMA = RESPONSE_SCHEMA + ", attempt int"
+
+
+def call_with_ledger(requests: DataFrame, factory: Callable[[], Provider], partitions: int, ledger: str,
+                     calls_per_minute: float | dict[str, float] = CALLS_PER_MINUTE, max_attempts: int = MAX_ATTEMPTS,
+                     sleep: Callable[[float], None] = time.sleep, max_in_flight: int = MAX_IN_FLIGHT,
+                     wave: int | None = None) -> DataFrame:
+    """As :func:`call_provider`, through a ledger. ``calls_per_minute`` may give each function its
+    own rate. ``wave``: requests of a function per wave (a minute's calls by default): at most
+    that many are asked twice when a run dies. ``requests`` may carry ``client``."""
+    spark = requests.sparkSession
+    asked = requests.withColumn("client", F.col("client") if "client" in requests.columns else F.lit(None).cast("string"))
+    asked = asked.select("request_id", "function", "prompt", "client").dropDuplicates(["request_id"]).checkpoint(eager=True)
+    known = spark.read.schema(LEDGER_SCHEMA).parquet(ledger) if path_exists(spark, ledger) else spark.createDataFrame([], LEDGER_SCHEMA)
+    tried = known.groupBy("request_id").agg(F.max("attempt").alias("tried"), F.max(F.col("error").isNull()).alias("done"))
+    left = asked.join(tried, "request_id", "left").filter("done is null or not done").select(
+        "request_id", "function", "prompt", "client", (F.coalesce("tried", F.lit(0)) + 1).alias("attempt"))
+    # turns: the n-th request of each tenant before the next one of any; then places in that order
+    left = _turns(left)
+    left = left.checkpoint(eager=True)
+    functions = [r[0] for r in left.select("function").distinct().collect()]  # the engines, a handful
+    for function in sorted(functions):
+        rate = calls_per_minute.get(function, CALLS_PER_MINUTE) if isinstance(calls_per_minute, dict) else calls_per_minute
+        size = wave or max(1, int(rate) or 1000)
+        mine = left.filter(F.col("function") == function)
+        last = mine.agg(F.max("place")).head()[0]
+        for first in range(0, last, size):
+            now = mine.filter((F.col("place") > first) & (F.col("place") <= first + size))
+            out = call_provider(now, factory, partitions, rate, max_attempts, sleep, max_in_flight)
+            out.join(now.select("request_id", "attempt"), "request_id").select(
+                *[c.split()[0] for c in LEDGER_SCHEMA.split(", ")]).write.mode("append").parquet(ledger)
+    if not path_exists(spark, ledger):
+        return spark.createDataFrame([], RESPONSE_SCHEMA)
+    mine = spark.read.schema(LEDGER_SCHEMA).parquet(ledger).join(asked.select("request_id"), "request_id", "left_semi")
+    # a good answer wins, else the last failure
+    best = mine.groupBy("request_id").agg(F.max_by(F.struct(*[c for c in mine.columns if c != "request_id"]), F.struct(
+        F.col("error").isNull().alias("good"), "attempt")).alias("x"))
+    return best.select("request_id", "x.*").select(*[c.split()[0] for c in RESPONSE_SCHEMA.split(", ")])
+
+
+def _turns(left: DataFrame) -> DataFrame:
+    """``place`` of each request within its function: tenants take turns."""
+    left = left.withColumn("tenant", F.coalesce("client", F.lit("")))
+    left = row_number_per_group(left, ["function", "tenant"], ["request_id"], "turn")
+    return row_number_per_group(left, ["function"], ["turn", "tenant", "request_id"], "place")
+
+
 def call_provider(requests: DataFrame, factory: Callable[[], Provider], partitions: int,
                   calls_per_minute: float = CALLS_PER_MINUTE, max_attempts: int = MAX_ATTEMPTS,
                   sleep: Callable[[float], None] = time.sleep,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from .. import oracle as O
 from ..operators import enrich as EN
+from ..operators import rubric as RB
 from ..operators import search_index as SI
 from ..operators.sizing import spread
 from ..registry import register
@@ -110,6 +111,41 @@ def rubric_score(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.md5("s.summary").alias("summary_md5"))
 
 
+def _tenant_rubric_sql() -> str:
+    rows = ", ".join("(" + ", ".join("NULL" if v is None else str(v).upper() if isinstance(v, bool) else
+                                     str(v) if isinstance(v, int) else f"'{v}'" for v in r) + ")" for r in fx.RUBRIC_ROWS)
+    return O.with_views("""SELECT h.search_id, h.client, coalesce(least(p.total, 10), 0)::BIGINT AS services_need_score,
+       coalesce(p.metrics, '') AS metrics, md5(coalesce(l.summary, '')) AS summary_md5
+  FROM history h LEFT JOIN per p USING (search_id) LEFT JOIN lined l USING (search_id)""", [
+        ("rubric", f"""SELECT CAST(client AS VARCHAR) AS client, metric, points, keyword, needs_person, needs_company
+  FROM (VALUES {rows}) AS t(client, metric, points, keyword, needs_person, needs_company)"""),
+        ("raw_lines", """SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+       generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM documents"""),
+        ("lines", f"SELECT *, ' ' || array_to_string({_tok('line')}, ' ') || ' ' AS words FROM raw_lines"),
+        ("hits", f"""SELECT h.search_id, r.metric, r.points, l.line_no, l.line
+  FROM history h JOIN lines l ON l.doc_id = h.search_id JOIN rubric r
+    ON r.client IS NOT DISTINCT FROM CASE WHEN h.client IN (SELECT client FROM rubric WHERE client IS NOT NULL) THEN h.client END
+   AND contains(l.words, ' ' || r.keyword || ' ')
+ WHERE (NOT r.needs_person OR contains(l.words, ' ' || array_to_string({_tok("h.first_name || ' ' || h.last_name")}, ' ') || ' '))
+   AND (NOT r.needs_company OR contains(l.words, ' ' || array_to_string({_tok('h.company')}, ' ') || ' '))"""),
+        ("per", """SELECT search_id, sum(points) AS total, string_agg(metric, ',' ORDER BY metric) AS metrics
+  FROM (SELECT DISTINCT search_id, metric, points FROM hits) GROUP BY search_id"""),
+        ("lined", """SELECT search_id, string_agg(line, chr(10) ORDER BY line_no) AS summary
+  FROM (SELECT DISTINCT search_id, line_no, line FROM hits) GROUP BY search_id"""),
+    ])
+
+
+@register("t6_tenant_rubrics", _tenant_rubric_sql())
+def tenant_rubrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T6 with each tenant's own rubric: every stored search, its whole text, its person and company."""
+    h = fx.history(spark, sf_dir).select("search_id", "client", F.concat_ws(" ", "first_name", "last_name").alias("person"), "company")
+    texts = fx.history_text(spark, sf_dir).select(F.col("search_id").alias("text_id"), F.col("search_results").alias("text"))
+    subjects = h.select(F.col("search_id").alias("subject_id"), F.col("search_id").alias("text_id"), "client", "person", "company")
+    s = RB.scored(texts, subjects, fx.rubric(spark))
+    return h.join(s, h["search_id"] == s["subject_id"]).select(
+        "search_id", "client", "services_need_score", "metrics", F.md5("summary").alias("summary_md5"))
+
+
 NOVELTY_SQL = O.with_views(f"""SELECT k.client, k.search_id, k.prev_search_id,
        CASE WHEN len(coalesce(a.toks, [])) = 0 AND len(coalesce(b.toks, [])) = 0 THEN 0
             WHEN len(coalesce(b.toks, [])) = 0 THEN 10

@@ -8,6 +8,8 @@ scale.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from .. import oracle as O
 from ..functions import payloads as PL
 from ..functions import text as TX
 from ..operators import selection as SL
+from ..operators import steps as ST
 from ..operators.sizing import maybe_broadcast
 from ..registry import register
 from .selection import AS_OF, CLEAN_CTES
@@ -352,6 +355,61 @@ def url_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "s.*")
 
 
+_STEP_NAMES = ["target_score_agent", "results_comparison_agent", "url_extraction_agent", "search_proposal_agent",
+               "results_ranking_agent"]
+
+
+def _steps_sql() -> str:
+    """Written apart from the operator's step table."""
+    answer = "CASE event_id % 5 " + " ".join(f"WHEN {i} THEN {sql}" for i, sql in enumerate(
+        [SCORE_SQL, NOVELTY_SQL, URL_SQL, QUERIES_SQL, RANK_SQL])) + " END"
+    name = "CASE event_id % 5 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_STEP_NAMES)) + " END"
+    missing = lambda *keys: " ".join(
+        f"WHEN NOT {_has('j', k)} THEN 'Error: Missing key in JSON: ''{k}'''" for k in keys)
+    rank = '{"rankings": [{"first_name": "VARCHAR", "last_name": "VARCHAR", "company": "VARCHAR", "rank": "BIGINT"}]}'
+    return f"""WITH r AS (SELECT event_id, event_id % 5 AS k, {name} AS function,
+         CASE WHEN event_id % 7 = 0 THEN 'TimeoutError: no answer' END AS error, {answer} AS response FROM events),
+v AS (SELECT *, CASE WHEN error IS NULL THEN {_valid('response')} END AS j FROM r),
+w AS (SELECT *, CASE WHEN error IS NOT NULL THEN error WHEN j IS NULL THEN 'Error: Invalid JSON'
+         WHEN k = 0 THEN CASE {missing('services_need_score', 'reasoning', 'summary_of_facts')} END
+         WHEN k = 1 THEN CASE {missing('novelty_score', 'reasoning')} END
+         WHEN k = 2 THEN CASE {missing('url_facebook', 'url_linkedin', 'url_company')} END
+         WHEN k = 3 THEN CASE {missing('search_queries')} END
+         ELSE CASE {missing('rankings')} END END AS problem FROM v)
+SELECT event_id, function, problem,
+  CASE WHEN k = 0 THEN CASE WHEN problem IS NULL AND {_int('j', 'services_need_score')} IS NOT NULL
+    THEN {_int('j', 'services_need_score')} ELSE 0 END END AS services_need_score,
+  CASE WHEN k = 0 THEN CASE WHEN problem IS NULL AND {_int('j', 'services_need_score')} IS NOT NULL
+    THEN json_extract_string(j, '$.summary_of_facts') ELSE '' END END AS summary,
+  CASE WHEN k = 1 THEN CASE WHEN problem IS NULL THEN {_int('j', 'novelty_score')} ELSE -1 END END AS novelty_score,
+  CASE WHEN k = 2 THEN CASE WHEN {_has('j', 'url_facebook')} THEN json_extract_string(j, '$.url_facebook') ELSE '' END END AS url_facebook,
+  CASE WHEN k = 2 THEN CASE WHEN {_has('j', 'url_facebook')} AND {_has('j', 'url_linkedin')} AND {_has('j', 'url_company')}
+    THEN json_extract_string(j, '$.url_company') ELSE '' END END AS url_company,
+  CASE WHEN k = 3 THEN CASE WHEN problem IS NULL THEN len(from_json(j, '{{"search_queries": ["VARCHAR"]}}').search_queries) ELSE 0 END END
+    AS n_queries,
+  CASE WHEN k = 4 THEN CASE WHEN j IS NULL THEN -1 WHEN problem IS NOT NULL THEN NULL
+    ELSE from_json(j, '{rank}').rankings[1].rank END END AS first_rank
+FROM w"""
+
+
+@register("t14_failure_values", _steps_sql())
+def failure_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One answer per event, dealt over the five steps: good ones, errored calls, bad JSON, missing keys."""
+    k = F.col("event_id") % 5
+    answers = [_score_json(), _novelty_json(), _url_json(), _queries_json(), _rank_json()]
+    pick = lambda values: reduce(lambda a, x: a.when(k == x[0], x[1]), enumerate(values[1:], 1), F.when(k == 0, values[0]))
+    e = _events(spark, sf_dir).select(
+        "event_id", pick([F.lit(n) for n in _STEP_NAMES]).alias("function"), pick(answers).alias("response"),
+        F.when(F.col("event_id") % 7 == 0, "TimeoutError: no answer").alias("error"))
+    o = ST.outcomes(e)
+    ranks = F.col("results_ranking_agent.rankings")
+    return o.select(
+        "event_id", "function", "problem", "target_score_agent.services_need_score", "target_score_agent.summary",
+        "results_comparison_agent.novelty_score", "url_extraction_agent.url_facebook", "url_extraction_agent.url_company",
+        F.when(k == 3, F.size("search_proposal_agent.search_queries")).cast("bigint").alias("n_queries"),
+        F.try_element_at(ranks, F.lit(1))["rank"].alias("first_rank"))
+
+
 @register("s9_search_reply", """WITH r AS (SELECT page_id,
        CASE WHEN page_id % 2 = 0 THEN '[{''title'': ''p' || page_id || ''', ''link'': ''' || url || '''}]'
             ELSE 'no results' END AS reply FROM pages),

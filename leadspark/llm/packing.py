@@ -40,14 +40,43 @@ K1, B = 1.2, 0.75
 MEMORY = 400_000
 #: Texts on which the tokenizer's normaliser changes the case and white space only.
 _PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
-#: Fixed value: the tokenizer's split pattern, for plain lower-case texts.
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00e0-\u00f6\u00f8-\u00ff\u00df]+|[0-9]|[^\\sa-z0-9\u00e0-\u00f6\u00f8-\u00ff\u00df]+")
+#: Fixed value: the tokenizer's split pattern, for plain lower-case texts (its branches start apart, letters come first).
+_PARTS = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff\u00df]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\sa-z0-9\u00e0-\u00f6\u00f8-\u00ff\u00df]+")
 #: Words looked up at once.
 CHUNK_WORDS = 200_000
 _PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
            "sequence_id long, offset long")
 
 
+class Memory(dict):
+    """Ids of keys in two generations: what is asked for again moves to the young one.
+    A key that is new has no ids yet and is noted in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+        self.new: list = []
+
+    def __missing__(self, key):
+        ids = self.old.get(key)
+        if ids is None:
+            self.new.append(key)
+            return b""
+        self[key] = ids
+        return ids
+
+    def learn(self, fresh: Callable[[list], dict]) -> None:
+        """Have the ids of the keys that were new."""
+        if self.new:
+            self.update(fresh(list(dict.fromkeys(self.new))))
+            self.new = []
+
+    def age(self) -> None:
+        if len(self) > MEMORY:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Ids by the tokenizer, remembered by what it encodes apart. It drops white
     space and never joins what that separates, so a text's ids are those of its
@@ -59,17 +88,21 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for parts: they are normal and cut already
+        self.of_parts = Tokenizer.from_file(path)
+        self.of_parts.normalizer = normalizers.Sequence([])
+        self.of_parts.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.order = np.random.default_rng(11).permutation(self.size).astype(np.int32)
         self.last = np.zeros(self.size, dtype=bool)  # ids that end a word part
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.last[i] = token.endswith("</w>")
-        self.young: dict[bytes | str, bytes] = {}
-        self.old: dict[bytes | str, bytes] = {}
+        self.memory = Memory()
 
     @staticmethod
     def keys(text: bytes) -> list[bytes] | list[str]:
@@ -84,7 +117,7 @@ class Encoder:
         parts = [k for k in new if isinstance(k, str)]
         out: dict[bytes | str, bytes] = {}
         if parts:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            ids = np.array(self.of_parts.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype=self.kind)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(parts):
                 data, cuts = ids.tobytes(), (np.append(0, ends) * self.kind.itemsize).tolist()
@@ -95,31 +128,24 @@ class Encoder:
             out[k] = np.array(e.ids, dtype=self.kind).tobytes()
         return out
 
-    def _learn(self, held: list[list]) -> None:
-        """Have the ids of all these keys in the young generation."""
-        keys = set().union(*held)
-        new = [k for k in keys if k not in self.young]
-        if len(self.young) + len(new) > MEMORY:
-            self.old, self.young, new = self.young, {}, list(keys)
-        known = {k: self.old[k] for k in new if k in self.old}
-        self.young.update(known)
-        new = [k for k in new if k not in known]
-        if new:
-            self.young.update(self._fresh(new))
-
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text with END, little-endian."""
         end = np.array([END], dtype=self.kind).tobytes()
-        held: list[list] = []
+        of, new = self.memory.__getitem__, self.memory.new
+        held: list[tuple[list | None, bytes]] = []
         n = 0
         for i, text in enumerate(texts, 1):
-            held.append(self.keys(text))
-            n += len(held[-1])
+            keys, before = self.keys(text), len(new)
+            ids = b"".join(map(of, keys))
+            # a text with new keys is put together again when they are known
+            held.append((keys if len(new) > before else None, ids))
+            n += len(keys)
             if n >= CHUNK_WORDS or i == len(texts):
-                self._learn(held)
-                of = self.young.__getitem__
-                for keys in held:
-                    yield b"".join(map(of, keys)) + end
+                self.memory.learn(self._fresh)
+                new = self.memory.new
+                for keys, ids in held:
+                    yield (ids if keys is None else b"".join(map(of, keys))) + end
+                self.memory.age()
                 held, n = [], 0
 
 

@@ -235,15 +235,17 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     Columns unchanged."""
     found = common.stored(near_duplicates(docs), "found")
     key = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
-    best = found.groupBy("root").agg(F.min(key).alias("best"))
-    dropped = (found.join(best, "root").filter(~key.eqNullSafe(F.col("best")))
-               .select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct())
-    many = (found.groupBy("doc_id", "h").count().filter("count > 1")
-            .select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")))
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(common.text_of()) == F.col("__h"))
-    kept = docs.join(dropped, same, "left_anti")
+    # stored: the join below then stands alone, and adaptive execution can split a large component
+    best = common.stored(found.groupBy("root").agg(F.min(key).alias("best")), "best")
+    dropped = common.stored(found.join(best, "root").filter(~key.eqNullSafe(F.col("best"))).select("doc_id", "h").distinct(), "dropped")
+    many = common.stored(found.groupBy("doc_id", "h").count().filter("count > 1").select("doc_id", "h"), "many")
+
+    def same(rows: DataFrame, keys: DataFrame) -> Column:
+        """Bound to the two tables, so that no column of the documents can clash."""
+        return rows["doc_id"].eqNullSafe(keys["doc_id"]) & (F.xxhash64(common.text_of(rows["text"])) == keys["h"])
+
+    kept = docs.join(dropped, same(docs, dropped), "left_anti")
     if many.isEmpty():
         return kept
-    same = kept["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(common.text_of()) == F.col("__h"))
-    return kept.join(many, same, "left_anti").unionByName(
-        kept.join(many, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.join(many, same(kept, many), "left_anti").unionByName(
+        kept.join(many, same(kept, many), "left_semi").dropDuplicates(["doc_id", "text"]))

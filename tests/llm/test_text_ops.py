@@ -349,8 +349,9 @@ def test_columns_of_any_name_pass(make):
     from pyspark.sql import functions as F
     own = lambda i: " ".join(hashlib.md5(f"{i} {k}".encode()).hexdigest() for k in range(30))
     docs = make([(i, own(i) + "\nsame footer", "en", "a", 1, "", "", 0) for i in range(30)])
-    for name in ("__h", "__id", "__kept", "__removed", "mark", "row"):
+    for name in ("__h", "__id", "__kept", "__removed", "mark", "row", "best", "root", "fp"):
         docs = docs.withColumn(name, F.lit(name))
+    assert simhash.first_of_each(docs).columns == docs.columns and simhash.first_of_each(docs).count() == 30
     out = lines.applied(docs)
     assert out.columns == docs.columns
     assert {(r["doc_id"], r["text"]) for r in out.collect()} == {(i, own(i)) for i in range(30)}

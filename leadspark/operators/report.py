@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from . import enrich as EN
+from . import provider as PV
 from .grouping import row_number_per_group
 from .sizing import maybe_broadcast
 
@@ -134,3 +135,25 @@ def history_page(paged: DataFrame, page: int) -> DataFrame:
     """The requested page of every tenant, clamped to its last page."""
     want = F.least(F.greatest(F.lit(page), F.lit(1)), F.col("n_pages"))
     return paged.filter(F.col("page_no") == want)
+
+
+FN_EMAIL = "email_proposal_agent"
+
+
+def provider_drafts(leads: DataFrame, factory, partitions: int, calls_per_minute=PV.CALLS_PER_MINUTE, ledger: str | None = None,
+                    day: str = "") -> tuple[DataFrame, DataFrame]:
+    """T9 through a provider (T12): one request per lead (template, business description, results); the
+    answer is the draft. A lead whose call failed keeps its native draft. Returns the leads and the answers."""
+    req = leads.select(F.concat_ws("|", "client", F.col("search_id").cast("string"), F.lit(day)).alias("request_id"),
+                       F.lit(FN_EMAIL).alias("function"),
+                       F.concat_ws("\n", "email_template", "business_description", "search_results").alias("prompt"), "client")
+    if ledger:
+        answers = PV.call_with_ledger(req, factory, partitions, ledger, calls_per_minute)
+    else:
+        answers = PV.call_provider(req, factory, partitions, calls_per_minute)
+    # try_cast: the projection may be planned before the ledger is cut to these requests
+    given = answers.filter("error is null").select(
+        F.split_part("request_id", F.lit("|"), F.lit(1)).alias("client"),
+        F.split_part("request_id", F.lit("|"), F.lit(2)).try_cast("bigint").alias("search_id"), F.col("response").alias("_answer"))
+    return leads.join(given, ["client", "search_id"], "left").withColumn(
+        "draft", F.coalesce("_answer", "draft")).drop("_answer"), answers

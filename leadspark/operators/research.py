@@ -20,7 +20,7 @@ from ..schemas import KEY3
 from . import enrich as EN
 from . import provider as PV
 from . import search_index as SI
-from ..functions import payloads as PL
+from . import steps as ST
 from .sizing import broadcast_bounded, is_small, maybe_broadcast, spread
 
 # Search ids of one day's batch: bounded by tenants x 999.
@@ -200,40 +200,47 @@ USAGE_TYPE = ("array<struct<function:string,model:string,search_calls:bigint,"
               "input_tokens:bigint,output_tokens:bigint>>")
 
 
+#: Steps that a provider may take over, and the column of their results.
+PROVIDER_STEPS = (FN_SCORE, FN_NOVELTY)
+
+
 def rescore_with_provider(enriched: DataFrame, factory, partitions: int,
-                          calls_per_minute: float = PV.CALLS_PER_MINUTE) -> DataFrame:
-    """T6 + T7 through an external provider (T12): one scoring and one
-    comparison request per contact, answers parsed with F15/F16, scores and
-    usage records of those two steps replaced by the provider's. Requests
-    are at most two per contact of the batch."""
+                          calls_per_minute: float | dict[str, float] = PV.CALLS_PER_MINUTE,
+                          steps: tuple[str, ...] = PROVIDER_STEPS, ledger: str | None = None) -> DataFrame:
+    """T5, T6 and T7 (those in ``steps``) through an external provider (T12): one request
+    per contact and step, answers read by the step table (T14), so that a failed step yields its
+    failure values; results and usage records of those steps are the provider's. With a ``ledger`` a repeated run of the
+    day asks only for what is not answered. Requests are at most three per contact of the batch."""
     e = enriched
     person = F.concat(F.lit("Person: "), F.concat_ws(" ", "first_name", "last_name"), F.lit("\nCompany: "),
                       F.col("company"), F.lit("\nPeriod: "), F.coalesce("search_period", F.lit("None")), F.lit("\n\n"))
-    req = e.select(F.explode(F.array(
-        F.struct(F.concat(F.col("contact_id").cast("string"), F.lit(":s")).alias("request_id"),
-                 F.lit(FN_SCORE).alias("function"), F.concat(person, F.col("search_raw")).alias("prompt")),
-        F.struct(F.concat(F.col("contact_id").cast("string"), F.lit(":n")).alias("request_id"),
-                 F.lit(FN_NOVELTY).alias("function"),
-                 F.concat(person, F.lit("Previous results:\n"), F.coalesce("previous_results", F.lit("None")),
-                          F.lit("\n\nNew results:\n"), F.col("search_raw")).alias("prompt")))).alias("r")
-    ).select("r.*")
-    ans = PV.call_provider(req, factory, partitions, calls_per_minute)
-    a = ans.select(F.split("request_id", ":")[0].alias("contact_id"), "function",
-                   "response", F.struct("function", "model", F.lit(0).cast("bigint").alias("search_calls"),
-                                        "input_tokens", "output_tokens").alias("call"))
-    per = a.groupBy("contact_id").agg(
-        F.max(F.when(F.col("function") == FN_SCORE, F.col("response"))).alias("_score_json"),
-        F.max(F.when(F.col("function") == FN_NOVELTY, F.col("response"))).alias("_nov_json"),
-        F.collect_list("call").alias("_calls"))  # two per contact
+    prompts = {FN_SCORE: F.concat(person, F.col("search_raw")), FN_URLS: F.concat(person, F.col("search_raw")),
+               FN_NOVELTY: F.concat(person, F.lit("Previous results:\n"), F.coalesce("previous_results", F.lit("None")),
+                                    F.lit("\n\nNew results:\n"), F.col("search_raw"))}
+    # a request is known by contact, day and step, so that a ledger can tell it from another day's
+    name = lambda fn: F.concat_ws(":", "contact_id", F.date_format("search_date", "yyyy-MM-dd"), F.lit(fn))
+    req = e.select(F.explode(F.array(*[
+        F.struct(name(fn).alias("request_id"), F.lit(fn).alias("function"), prompts[fn].alias("prompt"), F.col("client").alias("client"))
+        for fn in steps])).alias("r")).select("r.*")
+    if ledger:
+        answers = PV.call_with_ledger(req, factory, partitions, ledger, calls_per_minute)
+    else:
+        answers = PV.call_provider(req, factory, partitions, calls_per_minute)
+    a = ST.outcomes(answers).withColumn("contact_id", F.split("request_id", ":")[0]).withColumn(
+        "call", F.struct("function", "model", F.lit(0).cast("bigint").alias("search_calls"), "input_tokens", "output_tokens"))
+    per = a.groupBy("contact_id").agg(*[F.first(fn, ignorenulls=True).alias(fn) for fn in steps],
+                                      F.collect_list("call").alias("_calls"))  # one per step
     j = e.join(per, "contact_id", "left")
-    sc = PL.target_score(F.col("_score_json"))
-    nv = PL.novelty(F.col("_nov_json"))
-    kept = F.filter("usage", lambda u: ~u["function"].isin(FN_SCORE, FN_NOVELTY))
-    return (j.withColumn("services_need_score", sc["services_need_score"])
-            .withColumn("activity_score", sc["activity_score"])
-            .withColumn("search_results", sc["summary"])
-            .withColumn("novelty_score", nv["novelty_score"])
-            .withColumn("total_score", F.col("novelty_score") + F.col("activity_score")
-                        + F.col("services_need_score"))
+    put = {}
+    if FN_SCORE in steps:
+        put |= {"services_need_score": F.col(f"{FN_SCORE}.services_need_score"), "activity_score": F.col(f"{FN_SCORE}.activity_score"),
+                "search_results": F.col(f"{FN_SCORE}.summary")}
+    if FN_NOVELTY in steps:
+        put["novelty_score"] = F.col(f"{FN_NOVELTY}.novelty_score")
+    if FN_URLS in steps:
+        put |= {c: F.col(f"{FN_URLS}.{c}") for c in ("url_facebook", "url_linkedin", "url_company")}
+    kept = F.filter("usage", lambda u: ~u["function"].isin(*steps))
+    return (j.withColumns(put)
+            .withColumn("total_score", F.col("novelty_score") + F.col("activity_score") + F.col("services_need_score"))
             .withColumn("usage", F.concat(kept, F.coalesce("_calls", F.array().cast(USAGE_TYPE))))
-            .drop("_score_json", "_nov_json", "_calls", "previous_results", "search_period"))
+            .drop(*steps, "_calls", "previous_results", "search_period"))

@@ -139,14 +139,18 @@ def of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(ids, "search_id", "left_semi")
 
 
-def provider_ranks(requests: DataFrame, factory, partitions: int, calls_per_minute: float = PV.CALLS_PER_MINUTE) -> tuple[DataFrame, DataFrame]:
+def provider_ranks(requests: DataFrame, factory, partitions: int, calls_per_minute: float | dict[str, float] = PV.CALLS_PER_MINUTE,
+                   ledger: str | None = None, day: str = "") -> tuple[DataFrame, DataFrame]:
     """T8 through a provider (T12): the ranking requests (W6) answered, and the
     answers parsed (F18). Returns the ranks by person (``client, first_name,
     last_name, company, rank``; the best where a person is named twice) and the
-    calls as the provider counted them."""
-    req = requests.select(F.concat_ws("|", "client", "batch_no").alias("request_id"), F.lit(FN_RANKING).alias("function"),
-                          F.col("request").alias("prompt"))
-    answers = PV.call_provider(req, factory, partitions, calls_per_minute)
+    calls as the provider counted them. A ``ledger`` tells requests apart by ``day`` too."""
+    req = requests.select(F.concat_ws("|", "client", "batch_no", F.lit(day)).alias("request_id"), F.lit(FN_RANKING).alias("function"),
+                          F.col("request").alias("prompt"), "client")
+    if ledger:
+        answers = PV.call_with_ledger(req, factory, partitions, ledger, calls_per_minute)
+    else:
+        answers = PV.call_provider(req, factory, partitions, calls_per_minute)
     named = answers.select(F.split_part("request_id", F.lit("|"), F.lit(1)).alias("client"),
                            F.inline(PL.rankings("response")))
     return named.groupBy(*KEY3).agg(F.min("rank").alias("rank")), answers

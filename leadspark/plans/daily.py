@@ -29,6 +29,7 @@ from ..operators import pricing as P
 from ..operators import provider as PV
 from ..operators import report as RP
 from ..operators import research as RS
+from ..operators import search_index as SI
 from ..operators import selection as SL
 from ..operators import shortlist as SH
 from ..operators import tenants as TN
@@ -40,7 +41,7 @@ from ..sources.tables import path_exists, prompt_for
 HISTORY_COLS = [f.name for f in S.HISTORY.fields]
 USAGE_COLS = [f.name for f in S.CONSUMPTION.fields]
 # Function names of the usage rows of the shortlist's calls.
-FN_RANKING, FN_EMAIL = SH.FN_RANKING, "email_proposal_agent"
+FN_RANKING, FN_EMAIL = SH.FN_RANKING, RP.FN_EMAIL
 
 
 def stored_history(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
@@ -86,11 +87,16 @@ def _native_call(df: DataFrame, as_of, fn: str, subject, prompt, answer_tokens)
 
 def run_daily(spark: SparkSession, sf_dir: str, out: str, as_of=fx.AS_OF_CONTACTS,
               seed: str | None = None, provider=None, provider_partitions: int = 4,
-              calls_per_minute: float = PV.CALLS_PER_MINUTE) -> dict:
-    """Run one day. Returns the stage row counts (A13) and the output paths."""
+              calls_per_minute: float | dict[str, float] = PV.CALLS_PER_MINUTE,
+              provider_steps: tuple[str, ...] = RS.PROVIDER_STEPS) -> dict:
+    """Run one day. Returns the stage row counts (A13) and the output paths.
+
+    ``provider`` takes over ``provider_steps`` (scores, novelty, URLs, e-mail drafts) and the ranking; its
+    answers go to a ledger beside the history, so a repeated run asks only for what is missing."""
     seed = seed or as_of.strftime("%Y-%m-%d")
     today = F.lit(as_ts(as_of))
     history_path, usage_path = posixpath.join(out, "history"), posixpath.join(out, "usage")
+    ledger = posixpath.join(out, "provider_ledger")
     settings, subs, prices = fx.settings(spark), fx.subscriptions(spark), fx.pricing(spark)
 
     # Tenants that run today (P7, P8, P17, P19) and their batches.
@@ -108,10 +114,12 @@ def run_daily(spark: SparkSession, sf_dir: str, out: str, as_of=fx.AS_OF_CONTACT
         "client", F.col("body").alias("template"))
     docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     texts = past.select("search_id", "search_results")
+    index = SI.extend(docs, posixpath.join(out, "corpus_index"))  # kept, and extended by new documents only
     enriched = RS.enrich_batch(batch, tenants, templates, docs, texts, as_of, tenant_bound=settings,
-                               with_previous=provider is not None)
+                               with_previous=provider is not None, index=index)
     if provider is not None:
-        enriched = RS.rescore_with_provider(enriched, provider, provider_partitions, calls_per_minute)
+        steps = tuple(fn for fn in provider_steps if fn != FN_EMAIL)
+        enriched = RS.rescore_with_provider(enriched, provider, provider_partitions, calls_per_minute, steps, ledger)
     enriched = enriched.withColumn(
         "search_id", F.xxhash64("client", "first_name", "last_name", "company", "search_date"))
     # K5: one materialisation, then history and usage appends.
@@ -126,7 +134,8 @@ def run_daily(spark: SparkSession, sf_dir: str, out: str, as_of=fx.AS_OF_CONTACT
     cands = SH.candidates(keys, as_of)
     k_max = SH.k_bound(settings, "max_emails")
     requests = SH.ranking_requests(SH.tie_flags(cands, due, settings), texts).checkpoint(eager=True)
-    ranks, answers = SH.provider_ranks(requests, provider, provider_partitions, calls_per_minute) if provider is not None else (None, None)
+    day = as_of.strftime("%Y-%m-%d")
+    ranks, answers = SH.provider_ranks(requests, provider, provider_partitions, calls_per_minute, ledger, day) if provider is not None else (None, None)
     leads = SH.with_texts(SH.shortlist(cands, texts, due, k_max, tenant_bound=settings, ranks=ranks), texts)
     names = due.select("client", F.explode(F.array(F.lit("email_template"),
                                                    F.lit("business_description"))).alias("name"))
@@ -137,18 +146,22 @@ def run_daily(spark: SparkSession, sf_dir: str, out: str, as_of=fx.AS_OF_CONTACT
     leads = leads.withColumn("draft", RP.draft_email(
         F.col("email_template"), F.col("business_description"), F.col("search_results"),
         F.col("first_name"), F.col("last_name"), F.col("company")))
+    drafts = None
+    if provider is not None and FN_EMAIL in provider_steps:
+        leads, drafts = RP.provider_drafts(leads.checkpoint(eager=True), provider, provider_partitions, calls_per_minute, ledger, day)
     leads = leads.withColumn("email_content", RP.sent_content(
         F.col("send_proposed_emails"), F.col("draft"), F.col("search_results"))).checkpoint(eager=True)
 
     # Usage of the ranking requests (W6) and the drafts.
-    if answers is None:
-        calls = _native_call(requests, as_of, FN_RANKING, F.col("batch_no"), F.col("request"), F.col("n_texts"))
-    else:
-        calls = _usage_rows(answers.select(
+    def made(answers: DataFrame) -> DataFrame:
+        return _usage_rows(answers.select(
             F.split_part("request_id", F.lit("|"), F.lit(1)).alias("client"), today.alias("search_date"), "function", "model",
             F.lit(0).cast("bigint").alias("search_calls"), "input_tokens", "output_tokens",
             F.col("request_id").alias("subject"), F.lit(0).alias("call_no")))
-    calls = calls.unionByName(_native_call(
+
+    calls = made(answers) if answers is not None else _native_call(
+        requests, as_of, FN_RANKING, F.col("batch_no"), F.col("request"), F.col("n_texts"))
+    calls = calls.unionByName(made(drafts) if drafts is not None else _native_call(
         leads, as_of, FN_EMAIL, F.col("search_id"),
         F.concat_ws("\n", "email_template", "business_description", "search_results"), TX.token_count("draft")))
     K.append(calls, usage_path, key=["usage_id"])

@@ -128,3 +128,53 @@ def test_provider_sees_both_texts(spark, tmp_dir):
     assert {r["novelty_score"] for r in h.collect()} == {1, 9}
     u = D.usage_of_day(spark, out, DAY1)
     assert u.filter("model = 'comparing'").count() == 2 * h.count()
+
+
+class Dying(PV.Provider):
+    """Notes each call; its worker dies at the first draft of an e-mail while a file says so."""
+    model = "dying"
+
+    def __init__(self, home):
+        self.home = home
+
+    def complete(self, function, prompt):
+        with open(f"{self.home}/calls", "a") as log:
+            log.write(function + "\n")
+        if function == "email_proposal_agent":
+            if os.path.exists(f"{self.home}/die"):
+                os._exit(1)
+            return "A drafted e-mail.", 1, 1
+        if function == "url_extraction_agent":
+            return '{"url_facebook": "f", "url_linkedin": "l", "url_company": "c"}', 1, 1
+        if function == "results_comparison_agent":
+            return '{"novelty_score": 9, "reasoning": "r"}', 1, 1
+        return '{"services_need_score": 10, "reasoning": "r", "summary_of_facts": "f"}', 1, 1
+
+
+def test_a_day_that_died_repeats_no_answered_call(spark, tmp_dir):
+    import sys
+    from collections import Counter
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    out = os.path.join(tmp_dir, "run3")
+    steps = ("target_score_agent", "results_comparison_agent", "url_extraction_agent", "email_proposal_agent")
+
+    def run(home=tmp_dir):
+        return D.run_daily(spark, SF, out, provider=lambda: Dying(home), provider_partitions=2, calls_per_minute=0, provider_steps=steps)
+
+    open(f"{tmp_dir}/die", "w").close()
+    with pytest.raises(Exception):
+        run()
+    os.rename(f"{tmp_dir}/die", f"{tmp_dir}/alive")
+    before = Counter(open(f"{tmp_dir}/calls").read().split())
+    run()
+    calls = Counter(open(f"{tmp_dir}/calls").read().split())
+    h = read(spark, out, "history").filter(F.col("search_date") == F.lit(DAY1))
+    n = h.count()
+    for step in steps[:3]:
+        assert calls[step] == before[step] == n
+    assert calls["email_proposal_agent"] > before["email_proposal_agent"] > 0
+    assert {r["url_company"] for r in h.select("url_company").distinct().collect()} == {"c"}
+    mailed = read(spark, out, "history").filter(F.col("email_date") == F.lit(DAY1)).select("email_content").collect()
+    assert mailed and all("A drafted e-mail." in r["email_content"] for r in mailed)

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
@@ -103,11 +103,18 @@ def run_daily(spark: SparkSession, sf_dir: str, out: str, as_of=fx.AS_OF_CONTACT
     # Rows of an earlier attempt at this day are set aside.
     usage = all_usage(spark, sf_dir, out)
     before = usage.filter(~F.col("function").isin(*RS.FUNCTIONS, FN_RANKING, FN_EMAIL) | (F.col("search_date") != today))
-    tenants = TN.runnable_tenants(subs, settings, before, prices, as_of).checkpoint(eager=True)
+    seen: dict[str, Observation] = {}
+
+    def counted(df: DataFrame, stage: str) -> DataFrame:
+        """The stage's rows are counted by the job that first consumes it."""
+        df, seen[stage] = CK.observed(df, stage)
+        return df
+
+    tenants = counted(TN.runnable_tenants(subs, settings, before, prices, as_of), "tenants").checkpoint(eager=True)
     history = stored_history(spark, sf_dir, out)
     past = history.filter(F.col("search_date").isNull() | (F.col("search_date") != today))
-    elig = SL.eligible(SL.candidates(fx.contacts(spark, sf_dir), past, as_of), as_of)
-    batch, batch_obs = CK.observed(SL.daily_batch(elig, tenants, seed, tenant_bound=settings), "batch")
+    elig = counted(SL.eligible(SL.candidates(fx.contacts(spark, sf_dir), counted(past, "history"), as_of), as_of), "eligible")
+    batch = counted(SL.daily_batch(elig, tenants, seed, tenant_bound=settings), "batch")
 
     # Research (T1-T11); optionally scores through an external provider.
     templates = fx.prompts(spark).filter(F.col("name") == "standard_query").select(
@@ -150,7 +157,8 @@ def run_daily(spark: SparkSession, sf_dir: str, out: str, as_of=fx.AS_OF_CONTACT
     if provider is not None and FN_EMAIL in provider_steps:
         leads, drafts = RP.provider_drafts(leads.checkpoint(eager=True), provider, provider_partitions, calls_per_minute, ledger, day)
     leads = leads.withColumn("email_content", RP.sent_content(
-        F.col("send_proposed_emails"), F.col("draft"), F.col("search_results"))).checkpoint(eager=True)
+        F.col("send_proposed_emails"), F.col("draft"), F.col("search_results")))
+    leads = counted(leads, "leads").checkpoint(eager=True)
 
     # Usage of the ranking requests (W6) and the drafts.
     def made(answers: DataFrame) -> DataFrame:
@@ -179,7 +187,12 @@ def run_daily(spark: SparkSession, sf_dir: str, out: str, as_of=fx.AS_OF_CONTACT
     totals = P.cost_total(detail)
     labels = totals.select("client", P.period_label(totals).alias("period_label"))
     K.write_costs(P.cost_daily(detail).join(labels, "client"), posixpath.join(out, "costs"))
-    return {"batch_rows": (batch_obs.get or {}).get("rows"), "out": out}
+    # The stages' counts, a handful of rows, once all their jobs are done
+    stages = {stage: obs.get["rows"] for stage, obs in seen.items()}
+    rows = [(as_of.strftime("%Y-%m-%d"), stage, n) for stage, n in stages.items()]
+    K.write_partitioned(fx.local_table(spark, rows, "day string, stage string, n_rows bigint").coalesce(1),
+                        posixpath.join(out, "metrics"), partition_by=("day",))
+    return {"batch_rows": stages["batch"], "stages": stages, "out": out}
 
 
 def usage_of_day(spark: SparkSession, out: str, as_of) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leadspark import fixtures as fx
 from leadspark import registry
 from leadspark.operators import provider as PV
+from leadspark.operators import selection as SL
 from leadspark.operators import tenants as TN
 from leadspark.plans import daily as D
 
@@ -43,6 +44,18 @@ def test_history_holds_past_and_new_searches(spark, two_days):
     assert len(new) > 0 and len(h) == past + len(new) and h["search_id"].is_unique
 
 
+def test_stage_counts_equal_plain_counts(spark, two_days):
+    out, steps = two_days
+    h = steps[0][0]
+    got = {r["stage"]: r["n_rows"] for r in read(spark, out, "metrics").filter(F.col("day") == DAY1.strftime("%Y-%m-%d")).collect()}
+    subs, settings, prices = fx.subscriptions(spark), fx.settings(spark), fx.pricing(spark)
+    past = fx.history(spark, SF)
+    assert got == {
+        "tenants": TN.runnable_tenants(subs, settings, fx.consumption(spark, SF), prices, DAY1).count(),
+        "history": past.count(), "eligible": SL.eligible(SL.candidates(fx.contacts(spark, SF), past, DAY1), DAY1).count(),
+        "batch": (h["search_date"] == DAY1).sum(), "leads": len(emailed(h, DAY1))}
+
+
 def test_novelty_compares_with_the_stored_text(spark, two_days):
     h = two_days[1][0][0]
     want = registry.queries()["t10_enrich_batch"](spark, SF).select(

@@ -131,20 +131,22 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text with END, little-endian."""
         end = np.array([END], dtype=self.kind).tobytes()
-        of, new = self.memory.__getitem__, self.memory.new
-        held: list[tuple[list | None, bytes]] = []
+        of = self.memory.__getitem__
+        held: list[tuple[list | None, list[bytes]]] = []
         n = 0
         for i, text in enumerate(texts, 1):
-            keys, before = self.keys(text), len(new)
-            ids = b"".join(map(of, keys))
-            # a text with new keys is put together again when they are known
-            held.append((keys if len(new) > before else None, ids))
+            keys, before = self.keys(text), len(self.memory.new)
+            found = list(map(of, keys))
+            held.append((keys if len(self.memory.new) > before else None, found))
             n += len(keys)
             if n >= CHUNK_WORDS or i == len(texts):
                 self.memory.learn(self._fresh)
-                new = self.memory.new
-                for keys, ids in held:
-                    yield (ids if keys is None else b"".join(map(of, keys))) + end
+                for keys, found in held:
+                    if keys is not None:  # some were new
+                        for k, ids in enumerate(found):
+                            if not ids:
+                                found[k] = of(keys[k])
+                    yield b"".join(found) + end
                 self.memory.age()
                 held, n = [], 0
 

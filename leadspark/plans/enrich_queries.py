@@ -114,7 +114,7 @@ def rubric_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _tenant_rubric_sql() -> str:
     rows = ", ".join("(" + ", ".join("NULL" if v is None else str(v).upper() if isinstance(v, bool) else
                                      str(v) if isinstance(v, int) else f"'{v}'" for v in r) + ")" for r in fx.RUBRIC_ROWS)
-    return O.with_views("""SELECT h.search_id, h.client, coalesce(least(p.total, 10), 0)::BIGINT AS services_need_score,
+    return O.with_views("""SELECT h.search_id, h.client, least(coalesce(p.total, 0), 10)::BIGINT AS services_need_score,
        coalesce(p.metrics, '') AS metrics, md5(coalesce(l.summary, '')) AS summary_md5
   FROM history h LEFT JOIN per p USING (search_id) LEFT JOIN lined l USING (search_id)""", [
         ("rubric", f"""SELECT CAST(client AS VARCHAR) AS client, metric, points, keyword, needs_person, needs_company

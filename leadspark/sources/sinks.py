@@ -2,13 +2,18 @@
 partition-scoped updates, CSV exports.
 
 Nothing here reads a whole table back to rewrite it: appends are appends,
-updates overwrite only the tenant partitions they touch.
+updates overwrite only the tenant partitions they touch, and the daily run adds
+rows by flushes (:func:`flush`) that are visible as a whole or not at all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import posixpath
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .tables import path_exists
 
@@ -72,20 +77,77 @@ def write_costs(costs: DataFrame, path: str) -> None:
     write_partitioned(costs, path, partition_by=("client", "period_label"))
 
 
-def persist_enrichment(enriched: DataFrame, history_path: str, usage_path: str,
-                       history_cols: list[str], usage_fn) -> DataFrame:
-    """K5: results and usage come from one materialisation (checkpoint to
-    the shared folder), so a retried or re-planned write never repeats the
-    research; then the two appends, each leaving out what a failed earlier
-    attempt of the same run has stored (``search_id``, ``usage_id``)."""
-    done = enriched.checkpoint(eager=True)
-    append(with_month(done.select(*history_cols)), history_path, HISTORY_PARTITIONS, ["search_id"])
-    append(usage_fn(done), usage_path, key=["usage_id"])
-    return done
+# --- Flushes: writes that become visible as a whole -------------------------
+#
+# A flush writes its rows of one or more tables into partitions of its own
+# (``run=<flush>.<attempt>``) and then one manifest entry. Readers take the
+# partitions that the manifest names, so a run that died between two writes has
+# stored nothing, and a repeated one is a new attempt. Nothing stored is read
+# to add rows: a run is known by its name, not by the keys of its rows.
+
+MANIFEST = "flushes"
+MANIFEST_SCHEMA = "flush string, attempt string, tables array<string>, counter string, last_id bigint"
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """One row per finished flush of the store at ``root``: a few a day."""
+    path = posixpath.join(root, MANIFEST)
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(path)
+
+
+def is_flushed(spark: SparkSession, root: str, flush: str) -> bool:
+    return not manifest(spark, root).filter(F.col("flush") == flush).isEmpty()
+
+
+def last_id(spark: SparkSession, root: str, counter: str) -> int | None:
+    """The largest number that flushes have given out under ``counter``."""
+    return manifest(spark, root).filter(F.col("counter") == counter).agg(F.max("last_id")).first()[0]
+
+
+def stored(spark: SparkSession, root: str, table: str, schema: StructType | None = None) -> DataFrame | None:
+    """The rows of all finished flushes, with their ``run``. The runs are
+    partitions, so those of failed attempts are not read. Before the first row:
+    an empty table of ``schema``, or None without one."""
+    runs = [r.run for r in manifest(spark, root).filter(F.array_contains("tables", table)).select(
+        F.concat_ws(".", "flush", "attempt").alias("run")).collect()]
+    if not runs:
+        return None if schema is None else spark.createDataFrame([], StructType([*schema.fields, StructField("run", StringType())]))
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(posixpath.join(root, table)).filter(F.col("run").isin(runs))
+
+
+def flush(spark: SparkSession, root: str, name: str, tables: dict[str, DataFrame],
+          partition_by: dict[str, tuple[str, ...]] | None = None,
+          counter: str | None = None, last: int | None = None) -> bool:
+    """Store the rows of ``tables`` under the flush ``name``, all of
+    them or none. A flush that is finished is left as it is (False). A
+    table that is there already is the master of its columns (C3, F30)."""
+    if is_flushed(spark, root, name):
+        return False
+    attempt = uuid.uuid4().hex
+    run = f"{name}.{attempt}"
+    counts = {table: Observation() for table in tables}  # a table without rows leaves no files to read
+    for table, df in tables.items():
+        parts = (partition_by or {}).get(table, ())
+        there = stored(spark, root, table)
+        if there is not None:
+            kept = [f for f in there.schema.fields if f.name != "run"]
+            df = conform(df, StructType(kept))
+        df = df.withColumn("run", F.lit(run)).observe(counts[table], F.count(F.lit(1)).alias("rows"))
+        write_partitioned(df, posixpath.join(root, table), partition_by=(*parts, "run"))
+    names = F.array(*[F.lit(t) for t in tables if counts[t].get["rows"]]).cast("array<string>")
+    entry = spark.range(1).select(
+        F.lit(name).alias("flush"), F.lit(attempt).alias("attempt"), names.alias("tables"),
+        F.lit(counter).cast("string").alias("counter"), F.lit(last).cast("bigint").alias("last_id"))
+    entry.coalesce(1).write.mode("append").parquet(posixpath.join(root, MANIFEST))
+    return True
 
 
 # A stored history is partitioned by tenant and search month, so that marking a
-# few e-mailed searches rewrites a month of a tenant, not all of it.
+# few e-mailed searches rewrites a month of a tenant, not all of it; and by the
+# run that stored the rows (last).
 HISTORY_PARTITIONS = ("client", "search_month")
 
 
@@ -96,9 +158,9 @@ def with_month(history: DataFrame) -> DataFrame:
 def update_history(history: DataFrame, path: str, touched: DataFrame, update) -> None:
     """K6: rewrite the partitions of the stored ``history`` that ``touched``
     (rows with client and search_date, at most a few per tenant) falls into;
-    ``update`` maps their rows."""
+    ``history`` holds each row's ``run``, and ``update`` maps the rows."""
     from ..operators.sizing import maybe_broadcast
     parts = with_month(touched.select("client", "search_date")).select(*HISTORY_PARTITIONS).distinct()
     rows = with_month(history).join(maybe_broadcast(parts.checkpoint(eager=True)), [*HISTORY_PARTITIONS], "left_semi")
     done = update(rows).checkpoint(eager=True)  # the partitions it comes from are overwritten below
-    write_partitioned(done, path, partition_by=HISTORY_PARTITIONS)
+    write_partitioned(done, path, partition_by=(*HISTORY_PARTITIONS, "run"))

@@ -191,3 +191,16 @@ def test_a_day_that_died_repeats_no_answered_call(spark, tmp_dir):
     assert {r["url_company"] for r in h.select("url_company").distinct().collect()} == {"c"}
     mailed = read(spark, out, "history").filter(F.col("email_date") == F.lit(DAY1)).select("email_content").collect()
     assert mailed and all("A drafted e-mail." in r["email_content"] for r in mailed)
+
+
+def test_no_stored_key_is_a_hash(spark, two_days):
+    out, steps = two_days
+    h, past = steps[2][0], fx.history(spark, SF)
+    new = h[h["search_date"].isin([DAY1, DAY2])]
+    first = past.agg(F.max("search_id")).first()[0] + 1
+    assert sorted(new["search_id"]) == list(range(first, first + len(new)))
+    first = fx.consumption(spark, SF).agg(F.max("usage_id")).first()[0] + 1
+    u = D.K.stored(spark, out, "usage").toPandas()
+    assert sorted(u["usage_id"]) == list(range(first, first + len(u)))
+    ids = D.K.stored(spark, out, D.SEARCH_IDS).toPandas()
+    assert sorted(ids["search_id"]) == sorted(new["search_id"])

@@ -1,10 +1,12 @@
 """Price list, as-of price lookup and API cost roll-ups.
 
 The price lookup (J2) is the one theta join of the engine. It is planned
-without any shuffle of the usage table: the price list is folded into one
+without any shuffle of the usage table: a short price list is folded into one
 row per model (an array of its periods), joined to usage on ``model``
 (broadcast when the list is small, checked by a bounded count), and the
-period is picked per row with higher-order functions. Rules of the pick:
+period is picked per row with higher-order functions. A long list is first cut
+into the stretches of time in which one period is in force (:func:`timeline`), which a usage
+row finds by binary search. Rules of the pick:
 
 * candidates are the model's periods with ``start <= d``;
 * a candidate is *valid* when ``end >= d`` or ``end`` is null (``end`` is a
@@ -30,6 +32,11 @@ from .sizing import broadcast_bounded, is_small
 # AQE splitting a hot model's usage partition.
 MAX_BROADCAST_PRICE_ROWS = 200_000
 
+# Lists up to this many rows are scanned per usage row; longer ones get a timeline.
+SCAN_PRICE_ROWS = 256
+# Stretches of a model that one page of its timeline holds.
+PAGE = 256
+
 PRICE_FIELDS = ["input_price", "output_price", "search_price"]
 # Usage measure paired with each price column.
 MEASURE_OF_PRICE = {"input_price": "input_tokens", "output_price": "output_tokens",
@@ -43,21 +50,30 @@ def periods_by_model(prices: DataFrame) -> DataFrame:
 
 
 def price_asof(usage: DataFrame, prices: DataFrame, date_col: str = "search_date",
-               max_broadcast_rows: int = MAX_BROADCAST_PRICE_ROWS) -> DataFrame:
+               max_broadcast_rows: int = MAX_BROADCAST_PRICE_ROWS, scan_rows: int = SCAN_PRICE_ROWS) -> DataFrame:
     """Attach ``price_ord`` and the three prices in force at ``date_col``.
 
     Usage rows keep their partitioning; no aggregation over usage happens.
     """
-    per_model = periods_by_model(prices)
-    if is_small(prices, max_broadcast_rows):
-        per_model = F.broadcast(per_model)
+    n = prices.limit(max(max_broadcast_rows, scan_rows) + 1).count()
+    side = F.broadcast if n <= max_broadcast_rows else lambda df: df
     d = F.col(date_col)
-    cands = F.filter("periods", lambda p: p["start_date"] <= d)
-    ranked = F.transform(cands, lambda p: F.struct(
-        F.coalesce(p["end_date"] >= d, F.lit(True)).alias("valid"),
-        p["ord"].alias("ord"), p.alias("p")))
-    best = F.array_max(ranked)
-    out = usage.join(per_model, "model", "left").withColumn("_best", best)
+    if n <= scan_rows:
+        cands = F.filter("periods", lambda p: p["start_date"] <= d)
+        ranked = F.transform(cands, lambda p: F.struct(
+            F.coalesce(p["end_date"] >= d, F.lit(True)).alias("valid"),
+            p["ord"].alias("ord"), p.alias("p")))
+        out = usage.join(side(periods_by_model(prices)), "model", "left").withColumn("_best", F.array_max(ranked))
+    else:
+        line = timeline(prices)
+        page = F.floor((F.col("seg") - 1) / PAGE)
+        pages = line.groupBy("model", page.alias("_page")).agg(F.array_sort(F.collect_list("at")).alias("_ats"))
+        firsts = pages.groupBy("model").agg(F.array_sort(F.collect_list(F.col("_ats")[0])).alias("_firsts"))
+        best = line.select("model", F.col("seg").alias("_seg"), "_best")
+        out = usage.join(side(firsts), "model", "left").withColumn("_page", _up_to("_firsts", d, 1 << 20) - 1).drop("_firsts")
+        out = out.join(side(pages), ["model", "_page"], "left").withColumn(
+            "_seg", F.col("_page") * PAGE + _up_to("_ats", d, PAGE)).drop("_ats")
+        out = out.join(side(best), ["model", "_seg"], "left")
     return out.select(
         *[c for c in usage.columns],
         F.col("_best.ord").alias("price_ord"),
@@ -65,6 +81,52 @@ def price_asof(usage: DataFrame, prices: DataFrame, date_col: str = "search_date
         *[F.col(f"_best.p.{f}").alias(f) for f in PRICE_FIELDS])
 
 
+def _up_to(sorted_array: str, d: Column, longest: int) -> Column:
+    """How many entries of a sorted array (at most ``longest``, a power of two,
+    doubled less one) are not after ``d``, by binary search."""
+    steps = [longest >> i for i in range(longest.bit_length())]
+    return F.aggregate(F.array(*[F.lit(s).cast("bigint") for s in steps]), F.lit(0).cast("bigint"), lambda at, step: F.when(
+        F.get(F.col(sorted_array), (at + step - 1).cast("int")) <= d, at + step).otherwise(at))
+
+
+def timeline(prices: DataFrame) -> DataFrame:
+    """The stretches of time of each model, ``(model, seg, at, _best)``: from
+    ``at`` on, until the next stretch, ``_best`` (valid, ord, p) is in force.
+
+    A stretch begins at a start or just after an end. The last valid period in file order
+    is the largest ``ord`` of those that cover a stretch: a period gives its
+    ``ord`` to the blocks of 1, 2, 4, ... stretches that make it up (two a size at most),
+    and a stretch takes the largest of the blocks that it lies in. So the
+    work is rows x log(rows), also where many periods overlap."""
+    period = F.struct("ord", "start_date", "end_date", *PRICE_FIELDS)
+    p = prices.filter(F.col("model").isNotNull() & F.col("start_date").isNotNull()).select(
+        "model", F.col("start_date").alias("at"), F.col("end_date").isNull().alias("open"),
+        F.when(F.col("end_date") >= F.col("start_date"), F.col("end_date") + F.expr("INTERVAL '0.000001' SECOND")).alias("past"),
+        period.alias("p"))
+    of_model = Window.partitionBy("model")
+    points = p.select("model", "at").unionByName(p.filter("past IS NOT NULL").select("model", F.col("past").alias("at"))).distinct()
+    segs = (points.withColumn("seg", F.row_number().over(of_model.orderBy("at")).cast("bigint"))
+            .withColumn("n", F.count(F.lit(1)).over(of_model)).checkpoint(eager=True))
+    ends = segs.select("model", F.col("at").alias("past"), F.col("seg").alias("stop"))
+    spans = p.join(segs, ["model", "at"]).join(ends, ["model", "past"], "left").withColumn(
+        "stop", F.when(F.col("open"), F.col("n") + 1).otherwise(F.col("stop"))).checkpoint(eager=True)
+
+    levels = F.explode(F.sequence(F.lit(0), F.ceil(F.log2(F.col("n") + 1)).cast("int")))
+    lo, hi = F.expr("shiftright(seg + shiftleft(1L, level) - 1, level)"), F.expr("shiftright(stop, level)")
+    blocks = (spans.filter("stop IS NOT NULL").withColumn("level", levels).withColumn("lo", lo).withColumn("hi", hi)
+              .filter("lo < hi").select("model", "level", "p", F.explode(F.array_compact(F.array(
+                  F.when(F.col("lo") % 2 == 1, F.col("lo")), F.when(F.col("hi") % 2 == 1, F.col("hi") - 1)))).alias("block"))
+              .groupBy("model", "level", "block").agg(F.max("p").alias("p")))
+    valid = (segs.withColumn("level", levels).withColumn("block", F.expr("shiftright(seg, level)"))
+             .join(blocks, ["model", "level", "block"]).groupBy("model", "seg").agg(F.max("p").alias("valid")))
+    begun = spans.groupBy("model", "seg").agg(F.max("p").alias("p"))
+    so_far = F.max("p").over(of_model.orderBy("seg").rowsBetween(Window.unboundedPreceding, 0))
+    line = segs.join(begun, ["model", "seg"], "left").withColumn("begun", so_far).join(valid, ["model", "seg"], "left")
+    best = F.coalesce("valid", "begun")
+    return line.select("model", "seg", "at", F.struct(
+        F.col("valid").isNotNull().alias("valid"), best["ord"].alias("ord"), best.alias("p")).alias("_best")).checkpoint(eager=True)
+
+
 # Money is computed in exact decimals (measure < 10^13 per record, price
 # < 10^6 with 9 decimals; a larger value fails the cast, it is never lost) so
 # sums do not depend on the order rows arrive in; results are turned into

@@ -38,6 +38,29 @@ def cost_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.cost_daily(d)
 
 
+@register("j2_long_price_list", """WITH prices AS (
+  SELECT CASE WHEN event_id % 2 = 0 THEN event_id ELSE 1000000000000 - event_id END AS ord, event_type AS model,
+         ts AS start_date, CASE WHEN event_type = 'view' AND event_id % 50 = 0 THEN NULL
+              ELSE ts + to_minutes(CAST(floor(value) AS BIGINT)) END AS end_date
+  FROM events),
+best AS (
+  SELECT u.event_id, max(CASE WHEN p.end_date IS NULL OR p.end_date >= u.ts THEN 10000000000000 ELSE 0 END + p.ord) AS best
+  FROM events u LEFT JOIN prices p ON p.model = u.event_type AND p.start_date <= u.ts GROUP BY u.event_id)
+SELECT event_id AS usage_id, best % 10000000000000 AS price_ord, best >= 10000000000000 AS price_valid FROM best""")
+def long_price_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 with a price row per event: periods of minutes that overlap, some
+    open, in a file order of their own."""
+    ev = fx.read(spark, sf_dir, "events")
+    start, odd = F.col("ts").cast("timestamp_ntz"), F.col("event_id") % 2 != 0
+    is_open = (F.col("event_type") == "view") & (F.col("event_id") % 50 == 0)
+    prices = ev.select(
+        F.when(odd, F.lit(10**12) - F.col("event_id")).otherwise(F.col("event_id")).alias("ord"),
+        F.col("event_type").alias("model"), start.alias("start_date"),
+        F.when(~is_open, start + F.make_dt_interval(F.lit(0), F.lit(0), F.floor("value").cast("int"))).alias("end_date"),
+        F.col("value").alias("input_price"), F.col("value").alias("output_price"), F.lit(0.0).alias("search_price"))
+    return P.price_asof(_usage(spark, sf_dir), prices).select("usage_id", "price_ord", "price_valid")
+
+
 @register("a1_cost_period", O.with_views(
     """SELECT client, CAST(sum(money) AS DOUBLE) AS total_cost, min(date) AS first_date,
        max(date) AS last_date, count(*) AS n_records,

@@ -19,6 +19,7 @@ from ..functions import payloads as PL
 from ..functions import text as TX
 from ..operators import selection as SL
 from ..operators import steps as ST
+from ..operators import token_counts as TK
 from ..operators.sizing import maybe_broadcast
 from ..registry import register
 from .selection import AS_OF, CLEAN_CTES
@@ -101,6 +102,15 @@ def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.read(spark, sf_dir, "documents").select("doc_id", TX.token_count("text").alias("n_tokens"))
 
 
+@register("f29_tokenizer_counts")
+def tokenizer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F29 plugged: every whole text counted by a real tokenizer (a library's
+    merges: no SQL), the session's or a public one."""
+    from public_tokenizers import path
+    name = spark.conf.get(TK.CONF, None) or path("byte_bpe_50k.json")
+    return fx.read(spark, sf_dir, "documents").select("doc_id", TK.counter(name)("text").alias("n_tokens"))
+
+
 # --- F4 / F12 / F13 / T3: per-contact query text -------------------------
 
 PERIOD_SQL = """CASE WHEN len(names) = 1 THEN names[1]

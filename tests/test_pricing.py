@@ -63,3 +63,51 @@ def test_small_prices_and_large_measures_are_exact(spark):
     u = _usage(spark, [("m", D(2024, 1, 2), 5_000_000_000_000, 7, 3)])
     money = P.cost_detail(u, prices).first().money
     assert money == Decimal("2.000000003")
+
+
+def test_timeline_equals_the_scan(spark):
+    """Overlaps, touching and turned periods, open ends, shared starts, missing dates and models."""
+    import random
+    rng = random.Random(11)
+
+    def day(k):
+        return D(2024, 1, 1) + dt.timedelta(hours=12 * k)
+
+    rows = []
+    for i in range(700):
+        start = rng.randrange(80)
+        end = None if rng.random() < 0.03 and i < 300 else day(start + rng.choice([-1, 0, 1, 2, 3, 9]))
+        rows.append((i, rng.choice("aaaab") if i % 50 else None, None if i % 41 == 0 else day(start), end, float(i), None, 0.5))
+    rng.shuffle(rows)
+    prices = spark.createDataFrame(rows, fx.S.PRICING)
+    moments = [day(k) + dt.timedelta(microseconds=m) for k in range(-2, 95) for m in (-1, 0, 1)]
+    usage = [(m, at, 1, 1, 1) for at in moments for m in "ab"] + [("a", None, 1, 1, 1), ("z", day(3), 1, 1, 1), (None, day(3), 1, 1, 1)]
+    u = _usage(spark, usage)
+    cols = ["usage_id", "price_ord", "price_valid", *P.PRICE_FIELDS]
+
+    def found(**kw):
+        out = P.price_asof(u, prices, **kw)
+        assert out.columns == [*u.columns, "price_ord", "price_valid", *P.PRICE_FIELDS]
+        return sorted(map(str, out.select(*cols).collect()))
+
+    want = found(scan_rows=1000)
+    assert len(want) == len(usage) and found() == want
+    assert found(max_broadcast_rows=10) == want  # no broadcast
+    old = P.PAGE
+    try:
+        P.PAGE = 8
+        assert found() == want
+    finally:
+        P.PAGE = old
+
+
+def test_a_long_list_is_looked_up_without_usage_shuffle(spark):
+    prices = spark.range(1000).select(
+        F.col("id").alias("ord"), F.lit("click").alias("model"),
+        F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, CAST(id AS INT))").alias("start_date"),
+        F.lit(None).cast("timestamp_ntz").alias("end_date"),
+        *[F.lit(1.0).alias(f) for f in P.PRICE_FIELDS])
+    u = fx.consumption(spark, "/root/testdata/sf0.001")
+    plan = P.price_asof(u, prices)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 4 and "SortMergeJoin" not in plan
+    assert P.price_asof(u, prices).filter("model = 'click' AND search_date >= '2024-01-01' AND price_ord IS NULL").isEmpty()

@@ -97,34 +97,36 @@ def timeline(prices: DataFrame) -> DataFrame:
     is the largest ``ord`` of those that cover a stretch: a period gives its
     ``ord`` to the blocks of 1, 2, 4, ... stretches that make it up (two a size at most),
     and a stretch takes the largest of the blocks that it lies in. So the
-    work is rows x log(rows), also where many periods overlap."""
+    work is rows x log(rows), also where many periods overlap. Periods go by their
+    number in file order; their prices are joined to the result."""
     period = F.struct("ord", "start_date", "end_date", *PRICE_FIELDS)
     p = prices.filter(F.col("model").isNotNull() & F.col("start_date").isNotNull()).select(
         "model", F.col("start_date").alias("at"), F.col("end_date").isNull().alias("open"),
         F.when(F.col("end_date") >= F.col("start_date"), F.col("end_date") + F.expr("INTERVAL '0.000001' SECOND")).alias("past"),
         period.alias("p"))
     of_model = Window.partitionBy("model")
+    p = p.withColumn("no", F.row_number().over(of_model.orderBy("p"))).checkpoint(eager=True)
     points = p.select("model", "at").unionByName(p.filter("past IS NOT NULL").select("model", F.col("past").alias("at"))).distinct()
     segs = (points.withColumn("seg", F.row_number().over(of_model.orderBy("at")).cast("bigint"))
             .withColumn("n", F.count(F.lit(1)).over(of_model)).checkpoint(eager=True))
     ends = segs.select("model", F.col("at").alias("past"), F.col("seg").alias("stop"))
-    spans = p.join(segs, ["model", "at"]).join(ends, ["model", "past"], "left").withColumn(
+    spans = p.drop("p").join(segs, ["model", "at"]).join(ends, ["model", "past"], "left").withColumn(
         "stop", F.when(F.col("open"), F.col("n") + 1).otherwise(F.col("stop"))).checkpoint(eager=True)
 
     levels = F.explode(F.sequence(F.lit(0), F.ceil(F.log2(F.col("n") + 1)).cast("int")))
     lo, hi = F.expr("shiftright(seg + shiftleft(1L, level) - 1, level)"), F.expr("shiftright(stop, level)")
     blocks = (spans.filter("stop IS NOT NULL").withColumn("level", levels).withColumn("lo", lo).withColumn("hi", hi)
-              .filter("lo < hi").select("model", "level", "p", F.explode(F.array_compact(F.array(
+              .filter("lo < hi").select("model", "level", "no", F.explode(F.array_compact(F.array(
                   F.when(F.col("lo") % 2 == 1, F.col("lo")), F.when(F.col("hi") % 2 == 1, F.col("hi") - 1)))).alias("block"))
-              .groupBy("model", "level", "block").agg(F.max("p").alias("p")))
+              .groupBy("model", "level", "block").agg(F.max("no").alias("no")))
     valid = (segs.withColumn("level", levels).withColumn("block", F.expr("shiftright(seg, level)"))
-             .join(blocks, ["model", "level", "block"]).groupBy("model", "seg").agg(F.max("p").alias("valid")))
-    begun = spans.groupBy("model", "seg").agg(F.max("p").alias("p"))
-    so_far = F.max("p").over(of_model.orderBy("seg").rowsBetween(Window.unboundedPreceding, 0))
+             .join(blocks, ["model", "level", "block"]).groupBy("model", "seg").agg(F.max("no").alias("valid")))
+    begun = spans.groupBy("model", "seg").agg(F.max("no").alias("no"))
+    so_far = F.max("no").over(of_model.orderBy("seg").rowsBetween(Window.unboundedPreceding, 0))
     line = segs.join(begun, ["model", "seg"], "left").withColumn("begun", so_far).join(valid, ["model", "seg"], "left")
-    best = F.coalesce("valid", "begun")
+    line = line.withColumn("no", F.coalesce("valid", "begun")).join(p.select("model", "no", "p"), ["model", "no"], "left")
     return line.select("model", "seg", "at", F.struct(
-        F.col("valid").isNotNull().alias("valid"), best["ord"].alias("ord"), best.alias("p")).alias("_best")).checkpoint(eager=True)
+        F.col("valid").isNotNull().alias("valid"), F.col("p.ord").alias("ord"), F.col("p")).alias("_best")).checkpoint(eager=True)
 
 
 # Money is computed in exact decimals (measure < 10^13 per record, price

@@ -24,7 +24,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizing import broadcast_bounded, is_small
+from .grouping import row_number_per_group
+from .sizing import broadcast_bounded, is_small, rows_of
 
 # A price list is a small dimension (models x price periods). It is
 # broadcast only when a bounded count proves it below this many rows;
@@ -36,6 +37,12 @@ MAX_BROADCAST_PRICE_ROWS = 200_000
 SCAN_PRICE_ROWS = 256
 # Stretches of a model that one page of its timeline holds.
 PAGE = 256
+# Stretches of a model that one sort of its timeline takes.
+CHUNK = 1 << 16
+# Blocks of 1, 2, 4, ... stretches that are looked up for each stretch (larger ones: for a group of them).
+SMALL_LEVELS = 6
+# Bytes of a page's first moment, with its model's row where that has one page.
+FIRST_BYTES = 64
 
 PRICE_FIELDS = ["input_price", "output_price", "search_price"]
 # Usage measure paired with each price column.
@@ -70,7 +77,9 @@ def price_asof(usage: DataFrame, prices: DataFrame, date_col: str = "search_date
         pages = line.groupBy("model", page.alias("_page")).agg(F.array_sort(F.collect_list("at")).alias("_ats"))
         firsts = pages.groupBy("model").agg(F.array_sort(F.collect_list(F.col("_ats")[0])).alias("_firsts"))
         best = line.select("model", F.col("seg").alias("_seg"), "_best")
-        out = usage.join(side(firsts), "model", "left").withColumn("_page", _up_to("_firsts", d, 1 << 20) - 1).drop("_firsts")
+        # one moment a page, so they are sent to the usage rows far beyond the price rows that are
+        few = is_small(line.filter((F.col("seg") - 1) % PAGE == 0), rows_of(FIRST_BYTES))
+        out = usage.join(F.broadcast(firsts) if few else firsts, "model", "left").withColumn("_page", _up_to("_firsts", d, 1 << 20) - 1).drop("_firsts")
         out = out.join(side(pages), ["model", "_page"], "left").withColumn(
             "_seg", F.col("_page") * PAGE + _up_to("_ats", d, PAGE)).drop("_ats")
         out = out.join(side(best), ["model", "_seg"], "left")
@@ -104,31 +113,56 @@ def timeline(prices: DataFrame) -> DataFrame:
         "model", F.col("start_date").alias("at"), F.col("end_date").isNull().alias("open"),
         F.when(F.col("end_date") >= F.col("start_date"), F.col("end_date") + F.expr("INTERVAL '0.000001' SECOND")).alias("past"),
         period.alias("p"))
-    of_model = Window.partitionBy("model")
-    p = p.withColumn("no", F.row_number().over(of_model.orderBy("p"))).checkpoint(eager=True)
+    # numbers are only compared: they rise by file order and may have gaps
+    p = (p.repartitionByRange("p", "model").sortWithinPartitions("p", "model")
+         .withColumn("no", F.monotonically_increasing_id()).checkpoint(eager=True))
     points = p.select("model", "at").unionByName(p.filter("past IS NOT NULL").select("model", F.col("past").alias("at"))).distinct()
-    segs = (points.withColumn("seg", F.row_number().over(of_model.orderBy("at")).cast("bigint"))
-            .withColumn("n", F.count(F.lit(1)).over(of_model)).checkpoint(eager=True))
+    segs = row_number_per_group(points, ["model"], ["at"], "seg")
+    sizes = segs.groupBy("model").agg(F.max("seg").alias("n")).checkpoint(eager=True)
+    segs = segs.join(F.broadcast(sizes) if is_small(sizes, MAX_BROADCAST_PRICE_ROWS) else sizes, "model").checkpoint(eager=True)
     ends = segs.select("model", F.col("at").alias("past"), F.col("seg").alias("stop"))
-    spans = p.drop("p").join(segs, ["model", "at"]).join(ends, ["model", "past"], "left").withColumn(
-        "stop", F.when(F.col("open"), F.col("n") + 1).otherwise(F.col("stop"))).checkpoint(eager=True)
+    starts = p.drop("p").join(segs, ["model", "at"]).checkpoint(eager=True)
+    span = ["model", "no", "seg", "stop", "n"]
+    spans = starts.filter("past IS NOT NULL").join(ends, ["model", "past"]).select(*span).unionByName(
+        starts.filter("open").withColumn("stop", F.col("n") + 1).select(*span))
 
     levels = F.explode(F.sequence(F.lit(0), F.ceil(F.log2(F.col("n") + 1)).cast("int")))
     lo, hi = F.expr("shiftright(seg + shiftleft(1L, level) - 1, level)"), F.expr("shiftright(stop, level)")
-    blocks = (spans.filter("stop IS NOT NULL").withColumn("level", levels).withColumn("lo", lo).withColumn("hi", hi)
+    blocks = (spans.withColumn("level", levels).withColumn("lo", lo).withColumn("hi", hi)
               .filter("lo < hi").select("model", "level", "no", F.explode(F.array_compact(F.array(
                   F.when(F.col("lo") % 2 == 1, F.col("lo")), F.when(F.col("hi") % 2 == 1, F.col("hi") - 1)))).alias("block"))
-              .groupBy("model", "level", "block").agg(F.max("no").alias("no")))
-    valid = (segs.withColumn("level", levels).withColumn("block", F.expr("shiftright(seg, level)"))
-             .join(blocks, ["model", "level", "block"]).groupBy("model", "seg").agg(F.max("no").alias("valid")))
-    begun = spans.groupBy("model", "seg").agg(F.max("no").alias("no"))
-    so_far = F.max("no").over(of_model.orderBy("seg").rowsBetween(Window.unboundedPreceding, 0))
-    line = segs.join(begun, ["model", "seg"], "left").withColumn("begun", so_far).join(valid, ["model", "seg"], "left")
+              .groupBy("model", "level", "block").agg(F.max("no").alias("no"))).checkpoint(eager=True)
+
+    def largest(parts: DataFrame, name: str, low: int) -> DataFrame:
+        """The largest number of the blocks that hold a part (``1 << low`` stretches), by its levels' blocks."""
+        return (parts.withColumn("block", F.expr(f"shiftright({name}, level - {low})")).join(blocks, ["model", "level", "block"])
+                .groupBy("model", name).agg(F.max("no").alias(f"of_{name}")))
+
+    # large blocks are looked up once for the stretches of a group, so a stretch meets the small ones alone
+    group = F.shiftright("seg", SMALL_LEVELS).alias("group")
+    groups = segs.select("model", "n", group).distinct().withColumn("level", levels).filter(F.col("level") >= SMALL_LEVELS)
+    small = segs.select("model", "seg", F.explode(F.sequence(F.lit(0), F.lit(SMALL_LEVELS - 1))).alias("level"))
+    begun = starts.groupBy("model", "seg").agg(F.max("no").alias("no"))
+    line = _begun_so_far(segs.join(begun, ["model", "seg"], "left")).join(largest(small, "seg", 0), ["model", "seg"], "left")
+    line = line.withColumn("group", group).join(largest(groups, "group", SMALL_LEVELS), ["model", "group"], "left")
+    line = line.withColumn("valid", F.greatest("of_seg", "of_group"))
     line = line.withColumn("no", F.coalesce("valid", "begun")).join(p.select("model", "no", "p"), ["model", "no"], "left")
     return line.select("model", "seg", "at", F.struct(
         F.col("valid").isNotNull().alias("valid"), F.col("p.ord").alias("ord"), F.col("p")).alias("_best")).checkpoint(eager=True)
 
 
+def _begun_so_far(segs: DataFrame) -> DataFrame:
+    """``begun``: the largest ``no`` of a model up to each ``seg``. It runs within chunks of
+    ``CHUNK`` stretches, and what the chunks before leave is added; no task sorts a whole model."""
+    segs = segs.withColumn("_chunk", F.floor(F.col("seg") / CHUNK))
+    before = Window.partitionBy("model").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    left = segs.groupBy("model", "_chunk").agg(F.max("no").alias("_no")).withColumn("_left", F.max("_no").over(before))
+    left = left.filter("_left IS NOT NULL").select("model", "_chunk", "_left")
+    so_far = F.max("no").over(Window.partitionBy("model", "_chunk").orderBy("seg").rowsBetween(Window.unboundedPreceding, 0))
+    return segs.withColumn("begun", so_far).join(left, ["model", "_chunk"], "left").withColumn(
+        "begun", F.greatest("begun", "_left")).drop("_chunk", "_left")
+
+
 # Money is computed in exact decimals (measure < 10^13 per record, price
 # < 10^6 with 9 decimals; a larger value fails the cast, it is never lost) so
 # sums do not depend on the order rows arrive in; results are turned into

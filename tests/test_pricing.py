@@ -111,3 +111,38 @@ def test_a_long_list_is_looked_up_without_usage_shuffle(spark):
     plan = P.price_asof(u, prices)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") >= 4 and "SortMergeJoin" not in plan
     assert P.price_asof(u, prices).filter("model = 'click' AND search_date >= '2024-01-01' AND price_ord IS NULL").isEmpty()
+
+
+def test_timeline_holds_no_model_in_one_task(spark, monkeypatch):
+    """One model alone: every table on the way is spread over tasks, and small chunks and groups give the scan's periods."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    prices = spark.range(3000).select(
+        F.col("id").alias("ord"), F.lit("click").alias("model"),
+        F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, CAST(id * 7919 % 3000 AS INT))").alias("start_date"),
+        F.expr("CASE WHEN id % 60 > 0 OR id < 2000 THEN timestamp_ntz'2024-01-01' + make_dt_interval(0, CAST(id * 7919 % 3000 + id % 90 AS INT)) END")
+        .alias("end_date"), *[F.lit(1.0).alias(f) for f in P.PRICE_FIELDS])
+    shares, checkpoint = [], DataFrame.checkpoint
+
+    def watched(self, *args, **kw):
+        out = checkpoint(self, *args, **kw)
+        counts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        if sum(counts) > 1000:
+            shares.append(max(counts) / sum(counts))
+        return out
+
+    monkeypatch.setattr(P, "CHUNK", 128)
+    monkeypatch.setattr(P, "SMALL_LEVELS", 3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        monkeypatch.setattr(DataFrame, "checkpoint", watched)
+        line = P.timeline(prices)
+        monkeypatch.setattr(DataFrame, "checkpoint", checkpoint)
+        assert len(shares) >= 4 and max(shares) < 0.5
+        assert line.count() == prices.select(F.explode(F.array_compact(F.array(
+            "start_date", F.expr("end_date + INTERVAL '0.000001' SECOND")))).alias("at")).distinct().count()
+        u = _usage(spark, [("click", D(2024, 1, 1) + dt.timedelta(minutes=15 * k), 1, 1, 1) for k in range(0, 12400, 9)])
+        want = P.price_asof(u, prices, scan_rows=5000).select("usage_id", "price_ord", "price_valid").collect()
+        got = P.price_asof(u, prices).select("usage_id", "price_ord", "price_valid").collect()
+        assert sorted(map(str, got)) == sorted(map(str, want))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -3,14 +3,14 @@
 **The table.** Documents are cut into blocks of ``BLOCK`` in the order of falling length, so the documents
 of a block are alike. Stored per segment:
 
-* ``postings``: one row per block and term with the documents in order of falling frequency and the
-  largest one (``max_tf``); a file holds whole blocks, sorted by block and term;
+* ``postings``: one row per block and term with the documents in order of falling frequency, the
+  largest one (``max_tf``) and their number; a file holds whole blocks, sorted by block and term;
 * ``terms``: document frequencies, bucketed by term (a bucket without a query term is not read);
 * ``documents``: the ids and their blocks, and ``manifest``: one row per finished segment.
 
 :func:`extend` adds a segment with the documents whose ids are new; nothing stored is read but ids.
-A text is shuffled once, by its block, and tokenised there, so counting its terms and
-gathering a block's postings need no further exchange. The manifest row is written last: a segment of a run
+A text is shuffled once, by its block, and tokenised there; its terms are counted and
+a block's postings gathered from Arrow batches, without a further exchange. The manifest row is written last: a segment of a run
 that died is never seen, and its folder is written anew. A document is known by its id: a
 changed text needs a new one.
 
@@ -42,7 +42,7 @@ BLOCK = 32
 BUCKETS = 16
 #: Blocks per query that are scored first, to find its threshold.
 FIRST_BLOCKS = 2
-# Rows of one broadcast: ids, or (query, block, term) with its weight.
+# Rows of one broadcast: ids, (query, block), or (query, block, term) with its weight.
 MAX_BROADCAST_ROWS = 2_000_000
 SALTS = 16
 #: Summed in another order, equal scores differ by less than this share.
@@ -53,6 +53,10 @@ def _bucket(term: str | Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+#: One stored row: ``n`` documents of a block have the term.
+POSTINGS = "block bigint, term string, max_tf bigint, n bigint, docs array<struct<tf:bigint,doc_id:bigint>>"
+
+
 @dataclass
 class Index:
     spark: SparkSession
@@ -95,6 +99,69 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(spark, path, sum(r.n_docs for r in done), sorted(r.segment for r in done))
 
 
+def _gather():
+    """The function that counts the terms of documents ``(block, doc_id, terms)``, sorted by block, and gathers the
+    postings of each block. It holds one Arrow batch, and of a block that goes on its counts. (Made here
+    so that workers get it whole and need not have this package.)"""
+    def gather(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def counted(block, doc_id, row, term, tf):
+            """``tf`` of each ``term`` of document row ``row`` added up by block, term and document, in the order of the
+            postings, with their lists' starts."""
+            terms = term.dictionary_encode().combine_chunks()
+            words, code = terms.dictionary, terms.indices.to_numpy()
+            order = pc.sort_indices(words).to_numpy()
+            rank = np.empty(len(words), "int64")
+            rank[order] = np.arange(len(words))
+            blocks, at = np.unique(block, return_inverse=True)
+            docs, doc = np.unique(doc_id, return_inverse=True)
+            # three numbers below the terms of a batch: their product is far below 2^63
+            key = ((at * len(words))[row] + rank[code]) * len(docs) + doc[row]
+            by = np.argsort(key)
+            key = key[by]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            tf = np.add.reduceat(tf[by], first)[::-1]
+            place, doc = np.divmod(key[first][::-1], len(docs))
+            by = np.lexsort((-tf, place))  # stable: the later document first
+            place, doc, tf = place[by], doc[by], tf[by]
+            starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+            at, term = np.divmod(place[starts], len(words))
+            return blocks[at], words.take(pa.array(order[term])), starts, docs[doc], tf
+
+        def postings(block, term, starts, doc_id, tf):
+            ends = np.r_[starts, len(tf)]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+                [pa.array(tf, pa.int64()), pa.array(doc_id, pa.int64())], ["tf", "doc_id"]))
+            table = pa.table([pa.array(block), term, pa.array(tf[starts], pa.int64()), pa.array(np.diff(ends), pa.int64()), lists],
+                             ["block", "term", "max_tf", "n", "docs"])
+            yield from table.to_batches(max_chunksize=1 << 16)
+
+        # counts of the last block, which may go on in the next batch: its number, documents, terms, frequencies
+        held = np.empty(0, "int64"), np.empty(0, "int64"), pa.array([], pa.string()), np.empty(0, "int64")
+        for batch in batches:
+            lists, n = batch.column("terms"), len(held[0])
+            row, term = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+            if not n + len(term):
+                continue
+            block, term, starts, doc_id, tf = counted(
+                np.r_[held[0], batch.column("block").to_numpy()], np.r_[held[1], batch.column("doc_id").to_numpy()],
+                np.r_[np.arange(n), n + row], pa.chunked_array([held[2], term]), np.r_[held[3], np.ones(len(term), "int64")])
+            done = int(np.searchsorted(block, block[-1]))
+            stop = int(starts[done])
+            if done:
+                yield from postings(block[:done], term[:done], starts[:done], doc_id[:stop], tf[:stop])
+            sizes = np.diff(np.r_[starts[done:], len(tf)])
+            held = (np.repeat(block[done:], sizes), doc_id[stop:],
+                    term[done:].take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), tf[stop:])
+        if len(held[0]):
+            yield from postings(*counted(held[0], held[1], np.arange(len(held[0])), pa.chunked_array([held[2]]), held[3]))
+
+    return gather
+
+
 def extend(docs: DataFrame, path: str) -> Index:
     """Index the documents ``(doc_id, text)`` whose ids the index at ``path`` does not
     hold yet; rows of one id are one document."""
@@ -120,13 +187,10 @@ def extend(docs: DataFrame, path: str) -> Index:
     n_ids, n_docs = ids.agg(F.count("*"), F.coalesce(F.sum("n_rows"), F.lit(0))).head()
     blocks = ids.select("doc_id", "block")
     placed = new.join(F.broadcast(blocks) if n_ids <= MAX_BROADCAST_ROWS else blocks, "doc_id").repartition(parts, "block")
-    rows = (placed.select("block", "doc_id", F.explode(tokens("text")).alias("term"))
-            .groupBy("block", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-            .groupBy("block", "term").agg(F.reverse(F.array_sort(F.collect_list(F.struct("tf", "doc_id")))).alias("docs"))
-            .select("block", "term", F.col("docs")[0]["tf"].alias("max_tf"), "docs"))
-    rows.sortWithinPartitions("block", "term").write.mode("overwrite").parquet(f"{path}/postings/{at}")
-    rows = spark.read.schema("term string, docs array<struct<tf:bigint,doc_id:bigint>>").parquet(f"{path}/postings/{at}")
-    rows.groupBy("term").agg(F.sum(F.size("docs")).alias("df")).withColumn("bucket", _bucket("term")).repartition("bucket") \
+    rows = placed.sortWithinPartitions("block").select("block", "doc_id", tokens("text").alias("terms")).mapInArrow(_gather(), POSTINGS)
+    rows.write.mode("overwrite").parquet(f"{path}/postings/{at}")
+    rows = spark.read.schema("term string, n bigint").parquet(f"{path}/postings/{at}")
+    rows.groupBy("term").agg(F.sum("n").alias("df")).withColumn("bucket", _bucket("term")).repartition("bucket") \
         .sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms/{at}")
     spark.range(1).select(F.lit(segment).alias("segment"), F.lit(n_docs).cast("long").alias("n_docs")).coalesce(1).write.mode(
         "append").parquet(f"{path}/manifest")
@@ -175,9 +239,15 @@ def scored(index: Index, qt: DataFrame, k: int, id_col: str) -> DataFrame:
 
     def exact(found: DataFrame, bounded: bool) -> DataFrame:
         """Scores of all documents of the blocks ``found`` (``bounded``: at most FIRST_BLOCKS per query)."""
-        wanted = found.select(id_col, "segment", "block").join(small(qw), id_col)
-        proven = (few and bounded) or is_small(wanted, MAX_BROADCAST_ROWS)
-        rows = index.postings.join(F.broadcast(wanted) if proven else wanted, ["segment", "block", "term"])
+        found = found.select(id_col, "segment", "block")
+        wanted = found.join(small(qw), id_col)
+        if (few and bounded) or is_small(wanted, MAX_BROADCAST_ROWS):
+            rows = index.postings.join(F.broadcast(wanted), ["segment", "block", "term"])
+        elif few and is_small(found, MAX_BROADCAST_ROWS):
+            # the postings stay where they are: joined to the terms of all queries, then cut to the blocks of each
+            rows = index.postings.join(F.broadcast(qw), "term").join(F.broadcast(found), [id_col, "segment", "block"], "left_semi")
+        else:
+            rows = index.postings.join(wanted, ["segment", "block", "term"])
         return rows.select(id_col, "w", F.explode("docs").alias("d")).groupBy(id_col, F.col("d.doc_id").alias("doc_id")).agg(
             F.sum(F.col("d.tf") * F.col("w")).alias("raw_score"))
 

@@ -99,3 +99,40 @@ def test_plan_reads_no_lists_for_bounds(spark, tmp_dir):
     index = SI.extend(spark.createDataFrame(corpus(50), DOCS), f"{tmp_dir}/ix")
     plan = index.postings.select("segment", "block", "term", "max_tf")._jdf.queryExecution().executedPlan().toString()
     assert "docs" not in plan.split("ReadSchema")[1]
+
+
+def test_blocks_that_go_on_in_the_next_batch(spark):
+    """Postings gathered from batches of any size, with repeated ids, empty texts and characters of several bytes."""
+    import pyarrow as pa
+    rng = random.Random(9)
+    texts = [(i // 7, 1000 - i, [rng.choice(["a", "b", "ü", "漢", "zz", "é1"]) for _ in range(rng.randrange(0, 9))]) for i in range(60)]
+    texts += [(b, i, ["zz", "new"]) for b, i, _ in texts[::5]]  # further rows of the same documents
+    texts.sort(key=lambda r: r[0])
+    want = {}
+    for b, i, terms in texts:
+        for t in terms:
+            want.setdefault((b, t), Counter())[i] += 1
+    want = [(b, t, max(c.values()), len(c), sorted(((n, i) for i, n in c.items()), reverse=True))
+            for (b, t), c in sorted(want.items(), key=lambda x: (x[0][0], x[0][1].encode()))]
+    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("terms", pa.list_(pa.string()))])
+    table = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in texts], schema)
+    for size in (1, 5, 1000):
+        got = [r for out in SI._gather()(iter(table.to_batches(max_chunksize=size))) for r in out.to_pylist()]
+        assert [(r["block"], r["term"], r["max_tf"], r["n"], [(d["tf"], d["doc_id"]) for d in r["docs"]]) for r in got] == want
+
+
+def test_postings_are_not_shuffled_for_many_wanted_terms(spark, tmp_dir, monkeypatch):
+    """Few (query, block) pairs but more (query, block, term) than one broadcast takes: the postings stay in place."""
+    monkeypatch.setattr(SI, "BLOCK", 4)
+    docs = [(i, " ".join(f"w{(i * 7 + j) % 60}" for j in range(50))) for i in range(240)]
+    asked = [(q, " ".join(f"w{(q + j) % 60}" for j in range(40))) for q in range(5)]
+    index = SI.extend(spark.createDataFrame(docs, DOCS), f"{tmp_dir}/ix")
+    monkeypatch.setattr(SI, "MAX_BROADCAST_ROWS", 500)
+    qt = spark.createDataFrame(asked, QUERIES).select("q_id", F.explode(EN.token_set("query")).alias("term")).checkpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = SI.scored(index, qt, 3, "q_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan
+    assert rows(SI.search(index, spark.createDataFrame(asked, QUERIES), 3)) == plain(docs, asked, 3)

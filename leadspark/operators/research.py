@@ -129,13 +129,6 @@ def enrich_batch(batch: DataFrame, tenants: DataFrame, standard_templates: DataF
     # text-building expressions into each use.
     c = (c.withColumn("results", results).withColumn("search_raw", TX.join_results("results"))
          .drop("qhits", "event_hits").checkpoint(eager=True))
-    # A day's batch is a few rows per tenant but each carries long texts:
-    # spread them over the cores for the regex and token work below.
-    c = spread(c)
-
-    # T5, T6.
-    c = (c.withColumn("_u", EN.extract_urls("search_raw"))
-         .withColumn("_s", EN.rubric_score("search_raw")))
     # Previous result text of the person's latest stored search.
     # Only the stored texts this batch compares against are tokenised: the
     # batch's search ids (<= batch rows, materialised above) cut the text
@@ -143,10 +136,19 @@ def enrich_batch(batch: DataFrame, tenants: DataFrame, standard_templates: DataF
     ids = c.select(F.col("last_search_id").alias("search_id")).where("search_id IS NOT NULL").distinct()
     ids = F.broadcast(ids) if is_small(ids, MAX_BROADCAST_IDS) else ids
     prev = prev_texts.join(ids, "search_id", "left_semi").select(
-        F.col("search_id").alias("last_search_id"), F.col("search_results").alias("previous_results"),
-        EN.token_set("search_results").alias("_prev_toks"))
-    c = c.join(prev, "last_search_id", "left").withColumn(
-        "novelty_score", EN.novelty_score(EN.token_set(F.col("search_raw")), F.col("_prev_toks")))
+        F.col("search_id").alias("last_search_id"), F.col("search_results").alias("previous_results"))
+    # A day's batch is a few rows per tenant but each carries long texts:
+    # spread them over the cores for the regex and token work below, which
+    # follows the last exchange (else it ran in the few tasks of the join).
+    c = spread(c.join(prev, "last_search_id", "left").checkpoint(eager=True))
+
+    # T5, T6.
+    c = (c.withColumn("_u", EN.extract_urls("search_raw"))
+         .withColumn("_s", EN.rubric_score("search_raw")))
+    # Each token list and count is made once, not once per use.
+    c = c.withColumn("_toks", EN.token_set("search_raw")).withColumn("_prev_toks", EN.token_set("previous_results")).withColumn(
+        "_n_raw", TX.token_count("search_raw").cast("bigint"))
+    c = c.withColumn("novelty_score", EN.novelty_score(F.col("_toks"), F.col("_prev_toks")))
 
     usage = usage_records(c, use_e2)
     act, srv = F.col("_s.activity_score"), F.col("_s.services_need_score")
@@ -165,10 +167,11 @@ def enrich_batch(batch: DataFrame, tenants: DataFrame, standard_templates: DataF
         usage.alias("usage"), *(["previous_results", "search_period"] if with_previous else []))
 
 
-def _call(fn: str, calls: int, prompt: Column, answer: Column) -> Column:
+def _call(fn: str, calls: int, prompt: Column, answer: Column, n_prompt: Column | None = None) -> Column:
+    """``n_prompt``: the prompt's tokens, where they are counted already."""
     return F.struct(F.lit(fn).alias("function"), F.lit(NATIVE_MODEL).alias("model"),
                     F.lit(calls).cast("bigint").alias("search_calls"),
-                    TX.token_count(prompt).cast("bigint").alias("input_tokens"),
+                    (TX.token_count(prompt).cast("bigint") if n_prompt is None else n_prompt).alias("input_tokens"),
                     TX.token_count(answer).cast("bigint").alias("output_tokens"))
 
 
@@ -181,17 +184,18 @@ def usage_records(c: DataFrame, use_e2: Column) -> Column:
         _call(FN_EVENT, 1, F.col("event_q"), F.col("search_event_type")),
         _call(FN_PROPOSAL, 0, F.col("event_q"), TX.join_queries(F.slice(q, 1, len(PROPOSALS)))),
         *e1)
+    raw, n_raw = F.col("search_raw"), F.col("_n_raw")
     tail = F.array(
-        _call(FN_URLS, 0, F.col("search_raw"), F.concat_ws(" ", "_u.url_facebook", "_u.url_linkedin",
-                                                            "_u.url_company")),
-        _call(FN_SCORE, 0, F.col("search_raw"), F.col("_s.summary")),
-        _call(FN_NOVELTY, 0, F.col("search_raw"), F.col("novelty_score").cast("string")))
+        _call(FN_URLS, 0, raw, F.concat_ws(" ", "_u.url_facebook", "_u.url_linkedin", "_u.url_company"), n_raw),
+        _call(FN_SCORE, 0, raw, F.col("_s.summary"), n_raw),
+        _call(FN_NOVELTY, 0, raw, F.col("novelty_score").cast("string"), n_raw))
     return F.when(use_e2, F.concat(base, F.array(e2), tail)).otherwise(F.concat(base, tail))
 
 
 def usage_table(enriched: DataFrame) -> DataFrame:
     """T11 -> CONSUMPTION rows (client and date first, P15)."""
-    u = enriched.select("client", "search_date", F.posexplode("usage").alias("call_no", "u"))
+    # not posexplode: its filter for empty arrays would make every usage array a second time, below the spread
+    u = enriched.select("client", "search_date", F.posexplode_outer("usage").alias("call_no", "u")).where("call_no IS NOT NULL")
     return u.select("client", "search_date", "u.function", "u.model", "u.search_calls",
                     "u.input_tokens", "u.output_tokens", "call_no")
 

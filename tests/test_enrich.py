@@ -62,3 +62,15 @@ def test_long_event_type_keeps_the_period(spark):
     row = RS.enrich_batch(batch, tenants, empty, docs, prev, dt.datetime(2001, 8, 2)).first()
     period = row.search_query.split("\n===\n")[0]
     assert len(period) > 2000 and period.endswith("August 2001")
+
+
+def test_usage_arrays_are_made_once(spark):
+    """No filter for empty arrays that would make them a second time; empty and null ones give no row."""
+    from leadspark.operators import research as PP
+    call = "struct('f' AS function, 'm' AS model, 1L AS search_calls, id AS input_tokens, 2L AS output_tokens)"
+    e = spark.range(6).selectExpr(
+        "'T' AS client", "timestamp_ntz'2024-01-01' AS search_date",
+        f"CASE WHEN id = 5 THEN NULL WHEN id = 4 THEN slice(array({call}), 1, 0) ELSE array_repeat({call}, int(id) + 1) END AS usage")
+    t = PP.usage_table(e)
+    assert "size(" not in t._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.input_tokens, r.call_no) for r in t.collect()) == [(i, n) for i in range(4) for n in range(i + 1)]
